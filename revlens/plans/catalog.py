@@ -13,6 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.functions import expressions as X
+from revlens.operators import explore as EX
+from revlens.operators import ingest as IN
+from revlens.operators import margin as MG
 from revlens.operators import rollups as R
 from revlens.sources import tables as S
 
@@ -56,4 +60,354 @@ def q_monthly_rollup(spark, sf_dir):
     m = R.monthly_rollup(_tx(spark, sf_dir))
     return m.select("month", "segment", _d("sales").alias("sales"), _d("profit").alias("profit"),
                     F.round("margin_rate", 6).alias("margin_rate"))
+
+
+def _r(c, n=6):
+    return F.round(F.col(c).cast("double"), n)
+
+
+def _date(c="order_date"):
+    return F.col(c).cast("date").alias(c)
+
+
+# Query parameters.
+SEARCH_TERM, SEARCH_SEGMENT = "99", "BUILDING"
+PIVOT_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+YTD_YEAR = 2000
+PAGE_SIZE = 12
+
+
+@register("customer_profiles")
+def q_customer_profiles(spark, sf_dir):
+    c = R.customer_profiles(_tx(spark, sf_dir))
+    return c.select("customer", _d("sales").alias("sales"), _r("margin_rate").alias("margin_rate"),
+                    _r("discount").alias("discount"))
+
+
+@register("avg_margin_by_segment")
+def q_avg_margin(spark, sf_dir):
+    return R.avg_margin_by(_tx(spark, sf_dir), "segment", 4)
+
+
+@register("median_rev_per_unit")
+def q_median_rpu(spark, sf_dir):
+    m = MG.median_rev_per_unit(_tx(spark, sf_dir))
+    return m.select("segment", _r("median_revenue_per_unit").alias("median_revenue_per_unit"))
+
+
+@register("kpi_overview")
+def q_kpi(spark, sf_dir):
+    k = R.kpi_overview(_tx(spark, sf_dir))
+    return k.select("portfolio_margin_health", "risk_alerts", _r("at_risk_sales", 4).alias("at_risk_sales"),
+                    _r("recovery_opportunity", 4).alias("recovery_opportunity"), "margin_target",
+                    _r("target_progress", 6).alias("target_progress"), "n_rows")
+
+
+def _monthly(spark, sf_dir):
+    return R.monthly_rollup(_tx(spark, sf_dir))
+
+
+@register("revenue_pivot")
+def q_pivot(spark, sf_dir):
+    p = R.revenue_pivot(_monthly(spark, sf_dir), PIVOT_SEGMENTS, 12)
+    return p.select("month", *[_d(s).alias(s) for s in PIVOT_SEGMENTS])
+
+
+@register("revenue_sparkline")
+def q_sparkline(spark, sf_dir):
+    return R.revenue_sparkline(_monthly(spark, sf_dir), 6).select("month", _d("sales").alias("sales"))
+
+
+_RISK_COLS = ["order_id", "line_number", "customer", "segment", "region"]
+
+
+@register("at_risk_deals")
+def q_at_risk(spark, sf_dir):
+    a = R.at_risk(_tx(spark, sf_dir), 0.05)
+    return a.select(*_RISK_COLS, _date(), _d("sales").alias("sales"), _r("discount").alias("discount"),
+                    _r("margin_rate").alias("margin_rate"))
+
+
+@register("top_at_risk")
+def q_top_at_risk(spark, sf_dir):
+    a = R.top_at_risk(_tx(spark, sf_dir), 50, 0.05)
+    return a.select(*_RISK_COLS, _date(), _d("sales").alias("sales"), _r("discount").alias("discount"),
+                    _r("margin_rate").alias("margin_rate"))
+
+
+@register("search_transactions")
+def q_search(spark, sf_dir):
+    s_ = EX.search(_tx(spark, sf_dir), SEARCH_TERM, SEARCH_SEGMENT)
+    return s_.select("order_id", "line_number", "customer", "segment", _d("sales").alias("sales"))
+
+
+def _history_chart(spark, sf_dir):
+    m = _monthly(spark, sf_dir)
+    return m.select("month", "segment", _d("sales").alias("sales"), F.lit(False).alias("is_forecast"))
+
+
+def _time_range_query(rng):
+    def q(spark, sf_dir):
+        return EX.time_range(_history_chart(spark, sf_dir), rng, year=YTD_YEAR)
+    return q
+
+
+for _rng in ("3m", "6m", "12m", "ytd"):
+    register(f"time_range_{_rng}")(_time_range_query(_rng))
+
+
+@register("transactions_view")
+def q_transactions_view(spark, sf_dir):
+    return EX.listing(_tx(spark, sf_dir))
+
+
+@register("preview")
+def q_preview(spark, sf_dir):
+    return EX.preview(_tx(spark, sf_dir), 100)
+
+
+@register("paged_transactions")
+def q_paged(spark, sf_dir):
+    lst = EX.listing(_tx(spark, sf_dir))
+    order = [F.col(c).asc_nulls_first() for c in (*EX.LISTING_ORDER, "margin_pct")]
+    return EX.page(lst, order, None, PAGE_SIZE)
+
+
+@register("trend_label")
+def q_trend(spark, sf_dir):
+    return _mom(spark, sf_dir).select("segment", "month", "trend")
+
+
+@register("mom_change")
+def q_mom(spark, sf_dir):
+    return _mom(spark, sf_dir).select("segment", "month", "sales", "prev_sales", "pct_change")
+
+
+def _mom(spark, sf_dir):
+    from pyspark.sql import Window
+    m = _monthly(spark, sf_dir).select("segment", "month", _d("sales").alias("sales"))
+    # monthly is (segments x months) rows: a per-segment window is small.
+    w = Window.partitionBy("segment").orderBy("month")
+    m = m.withColumn("prev_sales", F.lag("sales").over(w))
+    pct = X.pct_change(F.col("sales"), F.col("prev_sales"))
+    return m.withColumn("pct_change", F.round(pct, 6)).withColumn("trend", X.trend(pct))
+
+
+def _tx_rules(spark, sf_dir):
+    return _tx(spark, sf_dir).select("order_id", "line_number", "margin_rate", "discount", "segment", "region")
+
+
+@register("margin_flag")
+def q_margin_flag(spark, sf_dir):
+    t = _tx_rules(spark, sf_dir)
+    return t.select("order_id", "line_number", _r("margin_rate").alias("margin_rate"),
+                    X.margin_flag(F.col("margin_rate")).alias("margin_flag"))
+
+
+@register("margin_rating")
+def q_margin_rating(spark, sf_dir):
+    t = _tx_rules(spark, sf_dir)
+    return t.select("order_id", "line_number", X.margin_rating(F.col("margin_rate")).alias("margin_rating"),
+                    X.is_profitable(F.col("margin_rate")).alias("is_profitable"))
+
+
+@register("margin_band")
+def q_margin_band(spark, sf_dir):
+    t = EX.listing(_tx(spark, sf_dir))
+    return t.select("order_id", "customer", "margin_pct", X.margin_band(F.col("margin_pct")).alias("margin_band"))
+
+
+def _personas_input(spark, sf_dir):
+    c = R.customer_profiles(_tx(spark, sf_dir))
+    # Averages are rounded to 9 dp before the rules: cut points such as 0.25
+    # must not depend on the order in which a distributed sum was added up.
+    return c.select("customer", F.col("sales").cast("double").alias("avg_value"),
+                    F.round("discount", 9).alias("avg_discount"), F.round("margin_rate", 9).alias("avg_margin"))
+
+
+@register("persona_label")
+def q_persona_label(spark, sf_dir):
+    c = _personas_input(spark, sf_dir)
+    return c.select("customer", X.persona_label("avg_value", "avg_discount", "avg_margin").alias("persona_label"))
+
+
+@register("churn_risk")
+def q_churn(spark, sf_dir):
+    c = _personas_input(spark, sf_dir)
+    return c.select("customer", X.churn_risk("avg_discount", "avg_margin").alias("churn_risk"))
+
+
+@register("token_estimate")
+def q_tokens(spark, sf_dir):
+    d = S.read_table(spark, sf_dir, "documents")
+    t = X.token_estimate(F.col("text"))
+    return d.select("doc_id", F.length("text").alias("n_chars"), t.alias("token_estimate"),
+                    X.budget_used_pct(t).alias("budget_used_pct"))
+
+
+@register("content_fingerprint")
+def q_fingerprint(spark, sf_dir):
+    d = S.read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat(F.lit("sha256:"), F.sha2(F.col("text"), 256)).alias("content_hash"))
+
+
+@register("rule_recovery")
+def q_rule_recovery(spark, sf_dir):
+    r = MG.rule_recovery(S.deals(spark, sf_dir))
+    return r.select("deal_id", "industry", "product", "safe_ceiling_pct", "cliff_pct",
+                    _r("recovery", 6).alias("recovery"))
+
+
+@register("discount_sweep")
+def q_sweep(spark, sf_dir):
+    # The curve depends only on (segment, region, product, quantity): sweep
+    # each distinct configuration once instead of every deal.
+    cfg = S.deals(spark, sf_dir).select("segment", "region", "product", "quantity").distinct()
+    sw = MG.discount_sweep(cfg)
+    return sw.select("segment", "region", "product", "quantity", "discount_pct", "margin_pct", "zone")
+
+
+@register("whatif_discount")
+def q_whatif(spark, sf_dir):
+    w = MG.whatif_discount(_tx(spark, sf_dir))
+    return w.select("month", "segment", "scenario_discount", _r("actual_revenue", 4).alias("actual_revenue"),
+                    _r("scenario_revenue", 4).alias("scenario_revenue"), _r("revenue_delta", 4).alias("revenue_delta"))
+
+
+@register("encode_categories")
+def q_encoders(spark, sf_dir):
+    return MG.fit_encoders(_tx(spark, sf_dir))
+
+
+def _typed_dirty(spark, sf_dir):
+    raw = S.raw_orders(spark, sf_dir)
+    norm, _ = IN.normalize_headers(raw)
+    return IN.with_rule(IN.enforce_schema(norm))
+
+
+@register("encode_oov")
+def q_encode_oov(spark, sf_dir):
+    enc = MG.fit_encoders(_tx(spark, sf_dir))
+    e = MG.encode(_typed_dirty(spark, sf_dir), enc)
+    return e.select("segment", "region", "industry", "product", "segment_enc", "region_enc", "industry_enc",
+                    "product_enc", F.size("warnings").alias("n_warnings"))
+
+
+@register("impute_rev_per_unit")
+def q_impute(spark, sf_dir):
+    med = MG.median_rev_per_unit(_tx(spark, sf_dir))
+    d = MG.impute_rev_per_unit(_typed_dirty(spark, sf_dir), med)
+    return d.select("segment", _r("sales").alias("sales"), _r("quantity").alias("quantity"),
+                    _r("revenue_per_unit").alias("revenue_per_unit"), "rpu_imputed")
+
+
+def _reps(spark, sf_dir):
+    tx = _tx(spark, sf_dir)
+    enc = MG.fit_encoders(tx)
+    encoded = MG.encode(IN.deal_features(tx), enc, warn=False)
+    return MG.representative_deals(encoded, enc)
+
+
+@register("representative_deals")
+def q_reps(spark, sf_dir):
+    r = _reps(spark, sf_dir)
+    return r.select("segment", "region", "segment_enc", "region_enc", _r("quantity").alias("quantity"),
+                    _r("revenue_per_unit").alias("revenue_per_unit"), "industry_enc", "product_enc")
+
+
+@register("ceiling_grid")
+def q_grid(spark, sf_dir):
+    g = MG.ceiling_grid(_reps(spark, sf_dir))
+    return g.select("segment", "region", _r("discount", 2).alias("discount"), _r("quantity").alias("quantity"),
+                    _r("discount_x_quantity").alias("discount_x_quantity"), "high_discount_flag_int")
+
+
+@register("deal_features")
+def q_deal_features(spark, sf_dir):
+    f = IN.deal_features(_tx(spark, sf_dir))
+    return f.select("order_id", "line_number", _r("discount_x_quantity").alias("discount_x_quantity"),
+                    _r("revenue_per_unit").alias("revenue_per_unit"), "high_discount_flag_int")
+
+
+@register("validate_deals")
+def q_validate(spark, sf_dir):
+    t = _typed_dirty(spark, sf_dir).select("segment", "region", "industry", "product", "quantity", "sales",
+                                           "discount")
+    v = IN.validate_deals(t)
+    return v.select("segment", "region", _r("quantity").alias("quantity"), _r("sales").alias("sales"),
+                    _r("discount").alias("discount"), F.concat_ws(",", "errors").alias("errors"), "is_valid")
+
+
+@register("normalized_headers")
+def q_headers(spark, sf_dir):
+    norm, _ = IN.normalize_headers(S.raw_orders(spark, sf_dir))
+    return norm
+
+
+@register("synth_order_id")
+def q_synth(spark, sf_dir):
+    raw = S.raw_orders(spark, sf_dir).drop(" order_id ")
+    norm, _ = IN.normalize_headers(raw)
+    t = IN.enforce_schema(norm)
+    return t.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("order_id").alias("n_distinct"),
+                 F.min("order_id").alias("min_id"), F.max("order_id").alias("max_id"))
+
+
+@register("coerce_numeric")
+def q_coerce(spark, sf_dir):
+    raw = S.raw_orders(spark, sf_dir)
+    p = IN.CleanParams()
+    return raw.select(
+        F.col("Amount").alias("amount_raw"), F.col("Qty").alias("qty_raw"),
+        F.col("`Discount Rate`").alias("discount_raw"),
+        F.round(IN.coerce_number(F.col("Amount"), 0.0, p), 6).alias("sales"),
+        F.round(IN.coerce_number(F.col("Qty"), 1.0, p), 6).alias("quantity"),
+        F.round(IN.coerce_number(F.col("`Discount Rate`"), 0.0, p), 6).alias("discount"),
+        F.round(IN.coerce_number(F.col("net_profit"), 0.0, p), 6).alias("profit"))
+
+
+@register("fill_categorical")
+def q_fill(spark, sf_dir):
+    norm, _ = IN.normalize_headers(S.raw_orders(spark, sf_dir))
+    p = IN.CleanParams()
+    present = [f.name for f in IN.S.CATEGORICAL if f.name in norm.columns]
+    nulls = norm.select(*[IN.null_tokens(F.col(c), p.null_tokens).alias(c) for c in present])
+    counts = IN.fill_counts(nulls)
+    stack = ", ".join(f"'{c}', `{c}`" for c in present)
+    return counts.selectExpr(f"stack({len(present)}, {stack}) as (column_name, null_count)")
+
+
+@register("parse_dates")
+def q_parse_dates(spark, sf_dir):
+    raw = S.raw_orders(spark, sf_dir)
+    return raw.select(F.col("Date").alias("date_raw"), IN.parse_date(F.col("Date")).alias("order_date"))
+
+
+@register("clean_transactions")
+def q_clean(spark, sf_dir):
+    c = IN.clean(S.raw_orders(spark, sf_dir))
+    return c.select("order_id", _date(), "customer", "segment", "region", "product", "industry", "license",
+                    _r("sales").alias("sales"), _r("quantity").alias("quantity"), _r("discount").alias("discount"),
+                    _r("profit").alias("profit"), _r("margin_rate").alias("margin_rate"), "high_discount_flag")
+
+
+@register("dq_report")
+def q_dq(spark, sf_dir):
+    return IN.dq_report(S.raw_orders(spark, sf_dir))
+
+
+@register("dq_examples")
+def q_dq_examples(spark, sf_dir):
+    e = IN.dq_examples(S.raw_orders(spark, sf_dir))
+    return e.select("failed_rule", "example_rank", "order_id", "customer", _r("sales").alias("sales"),
+                    _r("quantity").alias("quantity"), _r("discount").alias("discount"), "violations", "and_more")
+
+
+@register("ingest_summary")
+def q_ingest_summary(spark, sf_dir):
+    s_ = IN.ingest_summary(S.raw_orders(spark, sf_dir))
+    return s_.select("rows_raw", "rows_loaded", "rows_dropped", "rows_monthly",
+                     F.concat_ws("|", "segments").alias("segments"))
+
+
 FLAGSHIP = "monthly_rollup"

@@ -32,3 +32,12 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner",
                max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Join with ``right`` broadcast when its row count is under the bound."""
     return left.join(bounded_broadcast(right, max_rows), on, how)
+
+
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a global aggregate (exactly one row, so the
+    broadcast is bounded) to every row of ``df`` via a constant-key join."""
+    k = "_one_row_key"
+    return (df.withColumn(k, F.lit(1))
+              .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k, "left")
+              .drop(k))

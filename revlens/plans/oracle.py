@@ -72,3 +72,435 @@ ORACLE["monthly_rollup"] = with_tx("""
 SELECT month, segment, CAST(sales AS DOUBLE) AS sales, CAST(profit AS DOUBLE) AS profit,
        round(margin_rate, 6) AS margin_rate
 FROM monthly""", MONTHLY_CTE)
+
+from revlens.schema import NULL_TOKENS as _TOKENS  # noqa: E402
+
+_TOK = ", ".join("'" + t.replace("'", "''") + "'" for t in _TOKENS)
+
+
+def _nt(x: str) -> str:
+    return f"(CASE WHEN {x} IN ({_TOK}) THEN NULL ELSE {x} END)"
+
+
+def _num(x: str, default: str) -> str:
+    v = _nt(x)
+    return (f"coalesce(try_cast({v} AS DOUBLE), "
+            f"try_cast(regexp_replace({v}, '[^0-9.\\-]', '', 'g') AS DOUBLE), {default})")
+
+
+def _date(x: str) -> str:
+    v = f"trim({_nt(x)})"
+    fmts = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%d/%m/%Y"]
+    return "coalesce(" + ", ".join(f"try_strptime({v}, '{f}')" for f in fmts) + ")"
+
+
+RAW_CTE = """
+raw AS (
+  SELECT CASE WHEN k % 47 = 0 THEN NULL ELSE order_id END AS order_id_raw,
+         CASE WHEN k % 61 = 0 THEN 'not a date'
+              WHEN k % 3 = 0 THEN strftime(order_date, '%Y-%m-%d')
+              WHEN k % 3 = 1 THEN strftime(order_date, '%Y/%m/%d')
+              ELSE strftime(order_date, '%-m/%-d/%Y') END AS date_raw,
+         CASE WHEN k % 43 = 0 THEN NULL ELSE customer END AS client_raw,
+         CASE WHEN k % 59 = 0 THEN NULL ELSE segment END AS tier_raw,
+         CASE WHEN k % 53 = 0 THEN NULL ELSE region END AS country_raw,
+         product AS sku_raw,
+         CASE WHEN k % 97 = 0 THEN 'n/a' WHEN k % 89 = 0 THEN '0' WHEN k % 83 = 0 THEN '-12.50'
+              ELSE '$' || CAST(sales AS VARCHAR) END AS amount_raw,
+         CASE WHEN k % 79 = 0 THEN '0' WHEN k % 73 = 0 THEN NULL
+              ELSE CAST(CAST(quantity AS INTEGER) AS VARCHAR) END AS qty_raw,
+         CASE WHEN k % 71 = 0 THEN '45%' WHEN k % 67 = 0 THEN NULL
+              ELSE CAST(CAST(discount AS DECIMAL(4,2)) AS VARCHAR) END AS discount_raw,
+         CASE WHEN k % 41 = 0 THEN NULL ELSE CAST(profit AS VARCHAR) END AS profit_raw,
+         industry AS sector_raw
+  FROM (SELECT *, CAST(order_id AS BIGINT) * 10 + line_number AS k FROM tx)
+)"""
+
+TYPED_CTE = f"""
+typed0 AS (
+  SELECT {_nt('order_id_raw')} AS order_id,
+         {_date('date_raw')} AS order_date,
+         coalesce({_nt('client_raw')}, 'Unknown Client') AS customer,
+         coalesce({_nt('tier_raw')}, 'General') AS segment,
+         coalesce({_nt('country_raw')}, 'Global') AS region,
+         coalesce({_nt('sku_raw')}, 'Standard Product') AS product,
+         coalesce({_nt('sector_raw')}, 'Unknown') AS industry,
+         'Standard' AS license,
+         {_num('amount_raw', '0.0')} AS sales,
+         {_num('qty_raw', '1.0')} AS quantity,
+         {_num('discount_raw', '0.0')} AS discount,
+         {_num('profit_raw', '0.0')} AS profit,
+         date_raw, amount_raw, qty_raw, discount_raw, profit_raw
+  FROM raw
+),
+typed AS (
+  SELECT *, CASE WHEN order_date IS NULL THEN 'date'
+                 WHEN NOT (sales > 0) THEN 'sales'
+                 WHEN NOT (quantity > 0) THEN 'quantity'
+                 WHEN discount < 0 OR discount > 1 THEN 'discount' END AS failed_rule
+  FROM typed0
+),
+clean AS (
+  SELECT coalesce(order_id, 'Unknown') AS order_id, order_date, customer, segment, region, product,
+         industry, license, sales, quantity, coalesce(discount, 0.0) AS discount,
+         coalesce(profit, 0.0) AS profit,
+         greatest(-1.0, least(1.0, profit / nullif(sales, 0))) AS margin_rate,
+         discount > 0.3 AS high_discount_flag
+  FROM typed WHERE failed_rule IS NULL
+)"""
+
+ENC_CTE = """
+enc AS (
+  SELECT col AS "column", value, CAST(dense_rank() OVER (PARTITION BY col ORDER BY value) - 1 AS INTEGER) AS code
+  FROM (SELECT DISTINCT 'segment' AS col, segment AS value FROM tx
+        UNION SELECT DISTINCT 'industry', industry FROM tx
+        UNION SELECT DISTINCT 'region', region FROM tx
+        UNION SELECT DISTINCT 'product', product FROM tx)
+)"""
+
+MED_CTE = """
+med AS (
+  SELECT segment, median(CAST(sales AS DOUBLE) / greatest(quantity, 1e-6)) AS m FROM tx GROUP BY segment
+)"""
+
+REPS_CTE = """
+feat AS (
+  SELECT t.segment, t.region, t.quantity,
+         CAST(t.sales AS DOUBLE) / greatest(t.quantity, 1e-6) AS rpu,
+         ei.code AS industry_enc, ep.code AS product_enc
+  FROM tx t
+  JOIN enc ei ON ei."column" = 'industry' AND ei.value = t.industry
+  JOIN enc ep ON ep."column" = 'product' AND ep.value = t.product
+),
+combo AS (
+  SELECT segment, region, median(quantity) AS mq, median(rpu) AS mr FROM feat GROUP BY 1, 2
+),
+segm AS (
+  SELECT segment, median(quantity) AS sq, median(rpu) AS sr FROM feat GROUP BY 1
+),
+mi AS (
+  SELECT segment, region, industry_enc FROM (
+    SELECT segment, region, industry_enc,
+           row_number() OVER (PARTITION BY segment, region ORDER BY count(*) DESC, industry_enc) AS rk
+    FROM feat GROUP BY 1, 2, 3) WHERE rk = 1
+),
+mp AS (
+  SELECT segment, region, product_enc FROM (
+    SELECT segment, region, product_enc,
+           row_number() OVER (PARTITION BY segment, region ORDER BY count(*) DESC, product_enc) AS rk
+    FROM feat GROUP BY 1, 2, 3) WHERE rk = 1
+),
+grid AS (
+  SELECT s.value AS segment, s.code AS segment_enc, r.value AS region, r.code AS region_enc
+  FROM enc s JOIN enc r ON s."column" = 'segment' AND r."column" = 'region'
+),
+reps AS (
+  SELECT g.segment, g.region, g.segment_enc, g.region_enc,
+         coalesce(c.mq, sg.sq) AS quantity, coalesce(c.mr, sg.sr) AS revenue_per_unit,
+         coalesce(mi.industry_enc, 0) AS industry_enc, coalesce(mp.product_enc, 0) AS product_enc
+  FROM grid g
+  LEFT JOIN combo c ON c.segment = g.segment AND c.region = g.region
+  LEFT JOIN segm sg ON sg.segment = g.segment
+  LEFT JOIN mi ON mi.segment = g.segment AND mi.region = g.region
+  LEFT JOIN mp ON mp.segment = g.segment AND mp.region = g.region
+)"""
+
+ORACLE["customer_profiles"] = with_tx("""
+SELECT customer, CAST(sum(sales) AS DOUBLE) AS sales, round(avg(margin_rate), 6) AS margin_rate,
+       round(avg(discount), 6) AS discount
+FROM txm GROUP BY customer""")
+
+ORACLE["avg_margin_by_segment"] = with_tx("""
+SELECT segment, round(avg(margin_rate), 4) AS avg_margin FROM txm GROUP BY segment""")
+
+ORACLE["median_rev_per_unit"] = with_tx("""
+SELECT segment, round(median(CAST(sales AS DOUBLE) / greatest(quantity, 1e-6)), 6) AS median_revenue_per_unit
+FROM tx GROUP BY segment
+UNION ALL
+SELECT NULL, round(median(CAST(sales AS DOUBLE) / greatest(quantity, 1e-6)), 6) FROM tx""")
+
+ORACLE["kpi_overview"] = with_tx("""
+SELECT round(avg(margin_rate) * 100, 1) AS portfolio_margin_health,
+       count(*) FILTER (WHERE margin_rate < 0.05) AS risk_alerts,
+       round(CAST(coalesce(sum(sales) FILTER (WHERE margin_rate < 0.05), 0) AS DOUBLE), 4) AS at_risk_sales,
+       round(CAST(coalesce(sum(sales) FILTER (WHERE margin_rate < 0.05), 0) AS DOUBLE) * 0.15, 4)
+         AS recovery_opportunity,
+       25.0 AS margin_target,
+       round(least(100.0, round(avg(margin_rate) * 100, 1) / 25.0 * 100), 6) AS target_progress,
+       count(*) AS n_rows
+FROM txm""")
+
+_LAST12 = "(SELECT DISTINCT month FROM monthly ORDER BY month DESC LIMIT {n})"
+
+ORACLE["revenue_pivot"] = with_tx("""
+SELECT month,
+       CAST(coalesce(sum(sales) FILTER (WHERE segment = 'AUTOMOBILE'), 0) AS DOUBLE) AS AUTOMOBILE,
+       CAST(coalesce(sum(sales) FILTER (WHERE segment = 'BUILDING'), 0) AS DOUBLE) AS BUILDING,
+       CAST(coalesce(sum(sales) FILTER (WHERE segment = 'FURNITURE'), 0) AS DOUBLE) AS FURNITURE,
+       CAST(coalesce(sum(sales) FILTER (WHERE segment = 'HOUSEHOLD'), 0) AS DOUBLE) AS HOUSEHOLD,
+       CAST(coalesce(sum(sales) FILTER (WHERE segment = 'MACHINERY'), 0) AS DOUBLE) AS MACHINERY
+FROM monthly WHERE month IN """ + _LAST12.format(n=12) + " GROUP BY month", MONTHLY_CTE)
+
+ORACLE["revenue_sparkline"] = with_tx("""
+SELECT month, CAST(sum(sales) AS DOUBLE) AS sales FROM monthly
+WHERE month IN """ + _LAST12.format(n=6) + " GROUP BY month", MONTHLY_CTE)
+
+_RISK_SELECT = """SELECT order_id, line_number, customer, segment, region, CAST(order_date AS DATE) AS order_date,
+       CAST(sales AS DOUBLE) AS sales, round(discount, 6) AS discount, round(margin_rate, 6) AS margin_rate
+FROM txm WHERE margin_rate < 0.05"""
+
+ORACLE["at_risk_deals"] = with_tx(_RISK_SELECT)
+ORACLE["top_at_risk"] = with_tx(_RISK_SELECT + """
+ORDER BY sales DESC, order_id NULLS FIRST, line_number NULLS FIRST, order_date NULLS FIRST,
+         customer NULLS FIRST, product NULLS FIRST, industry NULLS FIRST, quantity NULLS FIRST,
+         discount NULLS FIRST, profit NULLS FIRST
+LIMIT 50""")
+
+ORACLE["search_transactions"] = with_tx("""
+SELECT order_id, line_number, customer, segment, CAST(sales AS DOUBLE) AS sales FROM tx
+WHERE (contains(lower(coalesce(order_id, '')), '99') OR contains(lower(coalesce(customer, '')), '99'))
+  AND segment = 'BUILDING'""")
+
+_CHART = "chart AS (SELECT month, segment, CAST(sales AS DOUBLE) AS sales, false AS is_forecast FROM monthly)"
+for _n, _k in (("3m", 3), ("6m", 6), ("12m", 12)):
+    ORACLE[f"time_range_{_n}"] = with_tx(
+        "SELECT * FROM chart WHERE month IN (SELECT DISTINCT month FROM chart ORDER BY month DESC LIMIT "
+        f"{_k})", MONTHLY_CTE, _CHART)
+ORACLE["time_range_ytd"] = with_tx("SELECT * FROM chart WHERE year(month) = 2000", MONTHLY_CTE, _CHART)
+
+LISTING_CTE = """
+listing AS (
+  SELECT coalesce(order_id, '') AS order_id, strftime(order_date, '%Y-%m-%d') AS order_date, customer, segment,
+         coalesce(region, 'Global') AS region, product, coalesce(CAST(sales AS DOUBLE), 0.0) AS sales,
+         round(coalesce(margin_rate, 0.0) * 100, 1) AS margin_pct,
+         printf('%.1f', round(coalesce(margin_rate, 0.0) * 100, 1)) || '%' AS margin
+  FROM txm
+)"""
+
+ORACLE["transactions_view"] = with_tx("SELECT * FROM listing", LISTING_CTE)
+
+_LIST_ORDER = ("order_date NULLS FIRST, order_id NULLS FIRST, customer NULLS FIRST, segment NULLS FIRST, "
+               "region NULLS FIRST, product NULLS FIRST, sales NULLS FIRST, margin_pct")
+
+ORACLE["preview"] = with_tx(
+    "SELECT *, (SELECT count(*) FROM tx) AS total_count FROM listing ORDER BY " + _LIST_ORDER + " LIMIT 100",
+    LISTING_CTE)
+
+ORACLE["paged_transactions"] = with_tx(
+    "SELECT *, CAST(ceil(rn / 12.0) AS BIGINT) AS page, "
+    "CAST(greatest(1, ceil((SELECT count(*) FROM listing) / 12.0)) AS BIGINT) AS total_pages FROM ("
+    "SELECT *, row_number() OVER (ORDER BY " + _LIST_ORDER + ") AS row_number FROM listing) "
+    "t(order_id, order_date, customer, segment, region, product, sales, margin_pct, margin, rn)",
+    LISTING_CTE)
+# keep the column name row_number
+ORACLE["paged_transactions"] = ORACLE["paged_transactions"].replace(
+    "SELECT *, CAST(ceil(rn / 12.0)", "SELECT order_id, order_date, customer, segment, region, product, sales, "
+    "margin_pct, margin, rn AS row_number, CAST(ceil(rn / 12.0)")
+
+MOM_CTE = """
+mom AS (
+  SELECT segment, month, CAST(sales AS DOUBLE) AS sales,
+         lag(CAST(sales AS DOUBLE)) OVER (PARTITION BY segment ORDER BY month) AS prev_sales
+  FROM monthly
+),
+mom2 AS (
+  SELECT *, CASE WHEN prev_sales > 0 THEN (sales - prev_sales) / prev_sales ELSE 0.0 END AS pct FROM mom
+)"""
+
+ORACLE["mom_change"] = with_tx(
+    "SELECT segment, month, sales, prev_sales, round(pct, 6) AS pct_change FROM mom2", MONTHLY_CTE, MOM_CTE)
+ORACLE["trend_label"] = with_tx(
+    "SELECT segment, month, CASE WHEN pct >= 0.05 THEN 'up' WHEN pct <= -0.05 THEN 'down' ELSE 'flat' END AS trend "
+    "FROM mom2", MONTHLY_CTE, MOM_CTE)
+
+ORACLE["margin_flag"] = with_tx("""
+SELECT order_id, line_number, round(margin_rate, 6) AS margin_rate,
+       CASE WHEN margin_rate >= 0.15 THEN 'green' WHEN margin_rate >= 0.05 THEN 'caution' ELSE 'red' END
+         AS margin_flag
+FROM txm""")
+
+ORACLE["margin_rating"] = with_tx("""
+SELECT order_id, line_number,
+       CASE WHEN margin_rate >= 0.15 THEN 'healthy' WHEN margin_rate >= 0.05 THEN 'at_risk' ELSE 'critical' END
+         AS margin_rating,
+       margin_rate > 0 AS is_profitable
+FROM txm""")
+
+ORACLE["margin_band"] = with_tx("""
+SELECT order_id, customer, margin_pct,
+       CASE WHEN margin_pct >= 15 THEN 'healthy' WHEN margin_pct >= 10 THEN 'thin' ELSE 'low' END AS margin_band
+FROM listing""", LISTING_CTE)
+
+CUST_CTE = """
+cust AS (
+  SELECT customer, CAST(sum(sales) AS DOUBLE) AS v, round(avg(discount), 9) AS d, round(avg(margin_rate), 9) AS m
+  FROM txm GROUP BY customer
+)"""
+
+ORACLE["persona_label"] = with_tx("""
+SELECT customer,
+       CASE WHEN v >= 5000 THEN (CASE WHEN m >= 0.15 THEN 'Champion' WHEN d >= 0.20 THEN 'Value Seeker'
+                                      ELSE 'High Value' END)
+            ELSE (CASE WHEN m >= 0.15 THEN 'Steady SMB' WHEN d >= 0.20 AND m < 0.15 THEN 'At Risk'
+                       ELSE 'Standard' END) END AS persona_label
+FROM cust""", CUST_CTE)
+
+ORACLE["churn_risk"] = with_tx("""
+SELECT customer,
+       CASE WHEN m < 0.10 OR d >= 0.25 THEN 'high' WHEN m < 0.15 OR d >= 0.15 THEN 'medium' ELSE 'low' END
+         AS churn_risk
+FROM cust""", CUST_CTE)
+
+ORACLE["token_estimate"] = """
+SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, CAST(ceil(length(text) / 4) AS BIGINT) AS token_estimate,
+       round(100.0 * CAST(ceil(length(text) / 4) AS DOUBLE) / 600.0, 1) AS budget_used_pct
+FROM documents"""
+
+ORACLE["content_fingerprint"] = """
+SELECT doc_id, 'sha256:' || sha256(text) AS content_hash FROM documents"""
+
+DEALS_CTE = """
+deals AS (
+  SELECT order_id || '-' || CAST(line_number AS VARCHAR) AS deal_id, segment, region, industry, product,
+         CAST(quantity AS INTEGER) AS quantity, CAST(sales AS DOUBLE) AS sales, CAST(discount AS DOUBLE) AS discount
+  FROM tx
+)"""
+
+ORACLE["rule_recovery"] = with_tx("""
+SELECT deal_id, industry, product, c AS safe_ceiling_pct, c + 15.0 AS cliff_pct,
+       round(sales * greatest(0.0, discount * 100 - c) / 100, 6) AS recovery
+FROM (SELECT *, (CASE industry WHEN 'Tech' THEN 22.0 WHEN 'Finance' THEN 12.0 WHEN 'Healthcare' THEN 18.0
+                               ELSE 15.0 END)
+              + (CASE product WHEN 'Enterprise API' THEN 5.0 WHEN 'Basic' THEN -3.0 ELSE 0.0 END) AS c
+      FROM deals)""", DEALS_CTE)
+
+ORACLE["discount_sweep"] = with_tx("""
+SELECT segment, region, product, quantity, discount_pct,
+       round(CASE WHEN d <= 10 THEN 28 + o - d * 1.2
+                  WHEN d <= 25 THEN 16 + o - (d - 10) * 0.8
+                  WHEN d <= 40 THEN 4 + o - (d - 25) * 0.4
+                  ELSE greatest(-15.0, -2 + o - (d - 40) * 0.5) END, 1) + 0.0 AS margin_pct,
+       CASE WHEN d > 35 THEN 'danger' ELSE 'healthy' END AS zone
+FROM (SELECT c.*, CAST(i AS INTEGER) AS discount_pct, CAST(i AS DOUBLE) AS d,
+             (CASE segment WHEN 'Enterprise' THEN -2.5 WHEN 'Small Business' THEN 1.0 ELSE 0.0 END)
+           + (CASE region WHEN 'Europe' THEN 1.5 WHEN 'APAC' THEN -1.0 ELSE 0.0 END)
+           + (CASE product WHEN 'Enterprise API' THEN 4.0 WHEN 'Basic' THEN -2.0 ELSE 0.0 END)
+           + CAST(quantity AS DOUBLE) / 1000 * -1.5 AS o
+      FROM (SELECT DISTINCT segment, region, product, quantity FROM deals) c, range(0, 81) r(i))""",
+                                   DEALS_CTE)
+
+ORACLE["whatif_discount"] = with_tx("""
+SELECT month, segment, s AS scenario_discount, round(sum(sales), 4) AS actual_revenue,
+       round(sum(lv * (1 - s)), 4) AS scenario_revenue, round(sum(lv * (1 - s)) - sum(sales), 4) AS revenue_delta
+FROM (SELECT CAST(date_trunc('month', order_date) AS DATE) AS month, segment, CAST(sales AS DOUBLE) AS sales,
+             CAST(sales AS DOUBLE) / (1 - discount) AS lv
+      FROM tx WHERE discount < 1) b,
+     (VALUES (0.0), (0.05), (0.10), (0.20)) v(s)
+GROUP BY 1, 2, 3""")
+
+ORACLE["encode_categories"] = with_tx("SELECT * FROM enc", ENC_CTE)
+
+ORACLE["encode_oov"] = with_tx("""
+SELECT t.segment, t.region, t.industry, t.product,
+       coalesce(es.code, -1) AS segment_enc, coalesce(er.code, -1) AS region_enc,
+       coalesce(ei.code, -1) AS industry_enc, coalesce(ep.code, -1) AS product_enc,
+       CAST((es.code IS NULL)::INT + (er.code IS NULL)::INT + (ei.code IS NULL)::INT + (ep.code IS NULL)::INT
+            AS INTEGER) AS n_warnings
+FROM typed t
+LEFT JOIN enc es ON es."column" = 'segment' AND es.value = t.segment
+LEFT JOIN enc er ON er."column" = 'region' AND er.value = t.region
+LEFT JOIN enc ei ON ei."column" = 'industry' AND ei.value = t.industry
+LEFT JOIN enc ep ON ep."column" = 'product' AND ep.value = t.product""", ENC_CTE, RAW_CTE, TYPED_CTE)
+
+ORACLE["impute_rev_per_unit"] = with_tx("""
+SELECT t.segment, round(t.sales, 6) AS sales, round(t.quantity, 6) AS quantity,
+       round(CASE WHEN coalesce(CASE WHEN t.quantity > 0 THEN t.sales / t.quantity END, 0.0) > 0
+                  THEN t.sales / t.quantity
+                  ELSE coalesce(med.m, (SELECT avg(m) FROM med)) END, 6) AS revenue_per_unit,
+       NOT (coalesce(CASE WHEN t.quantity > 0 THEN t.sales / t.quantity END, 0.0) > 0) AS rpu_imputed
+FROM typed t LEFT JOIN med ON med.segment = t.segment""", MED_CTE, RAW_CTE, TYPED_CTE)
+
+ORACLE["representative_deals"] = with_tx("""
+SELECT segment, region, segment_enc, region_enc, round(quantity, 6) AS quantity,
+       round(revenue_per_unit, 6) AS revenue_per_unit, industry_enc, product_enc
+FROM reps""", ENC_CTE, REPS_CTE)
+
+ORACLE["ceiling_grid"] = with_tx("""
+SELECT segment, region, round(round(i * 0.01, 2), 2) AS discount, round(quantity, 6) AS quantity,
+       round(round(i * 0.01, 2) * quantity, 6) AS discount_x_quantity,
+       CAST(round(i * 0.01, 2) > 0.3 AS INTEGER) AS high_discount_flag_int
+FROM reps, range(0, 81) r(i)""", ENC_CTE, REPS_CTE)
+
+ORACLE["deal_features"] = with_tx("""
+SELECT order_id, line_number, round(discount * quantity, 6) AS discount_x_quantity,
+       round(CAST(sales AS DOUBLE) / greatest(quantity, 1e-6), 6) AS revenue_per_unit,
+       CAST(discount > 0.3 AS INTEGER) AS high_discount_flag_int
+FROM tx""")
+
+ORACLE["validate_deals"] = with_tx("""
+SELECT segment, region, round(quantity, 6) AS quantity, round(sales, 6) AS sales, round(discount, 6) AS discount,
+       concat_ws(',', e1, e2, e3, e4, e5, e6, e7, e8) AS errors,
+       coalesce(e1, e2, e3, e4, e5, e6, e7, e8) IS NULL AS is_valid
+FROM (SELECT *,
+        CASE WHEN segment IS NULL OR length(segment) < 1 OR length(segment) > 64 THEN 'segment' END AS e1,
+        CASE WHEN region IS NULL OR length(region) < 1 OR length(region) > 64 THEN 'region' END AS e2,
+        CASE WHEN industry IS NULL OR length(industry) < 1 OR length(industry) > 64 THEN 'industry' END AS e3,
+        CASE WHEN product IS NULL OR length(product) < 1 OR length(product) > 128 THEN 'product' END AS e4,
+        CASE WHEN quantity IS NULL OR quantity < 1 OR quantity > 100000 THEN 'quantity' END AS e5,
+        CASE WHEN sales IS NULL OR sales <= 0 OR sales > 50000000.0 THEN 'sales' END AS e6,
+        CASE WHEN discount IS NULL OR discount < 0 OR discount > 0.9 THEN 'discount' END AS e7,
+        CASE WHEN coalesce(NOT (sales / nullif(quantity, 0) > 0), true) THEN 'revenue_per_unit' END AS e8
+      FROM typed)""", RAW_CTE, TYPED_CTE)
+
+ORACLE["normalized_headers"] = with_tx("""
+SELECT order_id_raw AS order_id, date_raw AS order_date, client_raw AS customer, tier_raw AS segment,
+       country_raw AS region, sku_raw AS product, amount_raw AS sales, qty_raw AS quantity,
+       discount_raw AS discount, profit_raw AS profit, sector_raw AS industry
+FROM raw""", RAW_CTE)
+
+ORACLE["synth_order_id"] = with_tx("""
+SELECT count(*) AS n_rows, count(*) AS n_distinct, 'AUTO-000001' AS min_id, printf('AUTO-%06d', count(*)) AS max_id
+FROM raw""", RAW_CTE)
+
+ORACLE["coerce_numeric"] = with_tx("""
+SELECT amount_raw, qty_raw, discount_raw, round(sales, 6) AS sales, round(quantity, 6) AS quantity,
+       round(discount, 6) AS discount, round(profit, 6) AS profit
+FROM typed0""", RAW_CTE, TYPED_CTE)
+
+ORACLE["fill_categorical"] = with_tx(f"""
+SELECT 'order_id' AS column_name, count(*) FILTER (WHERE {_nt('order_id_raw')} IS NULL) AS null_count FROM raw
+UNION ALL SELECT 'customer', count(*) FILTER (WHERE {_nt('client_raw')} IS NULL) FROM raw
+UNION ALL SELECT 'segment', count(*) FILTER (WHERE {_nt('tier_raw')} IS NULL) FROM raw
+UNION ALL SELECT 'region', count(*) FILTER (WHERE {_nt('country_raw')} IS NULL) FROM raw
+UNION ALL SELECT 'product', count(*) FILTER (WHERE {_nt('sku_raw')} IS NULL) FROM raw
+UNION ALL SELECT 'industry', count(*) FILTER (WHERE {_nt('sector_raw')} IS NULL) FROM raw""", RAW_CTE)
+
+ORACLE["parse_dates"] = with_tx(f"""
+SELECT date_raw, {_date('date_raw')} AS order_date FROM raw""", RAW_CTE)
+
+ORACLE["clean_transactions"] = with_tx("""
+SELECT order_id, CAST(order_date AS DATE) AS order_date, customer, segment, region, product, industry, license,
+       round(sales, 6) AS sales, round(quantity, 6) AS quantity, round(discount, 6) AS discount,
+       round(profit, 6) AS profit, round(margin_rate, 6) AS margin_rate, high_discount_flag
+FROM clean""", RAW_CTE, TYPED_CTE)
+
+ORACLE["dq_report"] = with_tx("""
+SELECT coalesce(failed_rule, 'kept') AS rule, count(*) AS rows FROM typed GROUP BY 1""", RAW_CTE, TYPED_CTE)
+
+ORACLE["dq_examples"] = with_tx("""
+SELECT failed_rule, example_rank, order_id, customer, round(sales, 6) AS sales, round(quantity, 6) AS quantity,
+       round(discount, 6) AS discount, violations, greatest(violations - 5, 0) AS and_more
+FROM (SELECT *, row_number() OVER (PARTITION BY failed_rule ORDER BY order_id NULLS FIRST, customer NULLS FIRST,
+                                   sales NULLS FIRST, quantity NULLS FIRST, discount NULLS FIRST) AS example_rank,
+             count(*) OVER (PARTITION BY failed_rule) AS violations
+      FROM typed WHERE failed_rule IS NOT NULL)
+WHERE example_rank <= 5""", RAW_CTE, TYPED_CTE)
+
+ORACLE["ingest_summary"] = with_tx("""
+SELECT count(*) AS rows_raw, count(*) FILTER (WHERE failed_rule IS NULL) AS rows_loaded,
+       count(*) - count(*) FILTER (WHERE failed_rule IS NULL) AS rows_dropped,
+       count(DISTINCT CASE WHEN failed_rule IS NULL THEN (date_trunc('month', order_date), segment) END)
+         AS rows_monthly,
+       (SELECT string_agg(segment, '|' ORDER BY segment) FROM
+          (SELECT DISTINCT segment FROM typed WHERE failed_rule IS NULL)) AS segments
+FROM typed""", RAW_CTE, TYPED_CTE)
