@@ -17,7 +17,13 @@ from revlens.functions import expressions as X
 from revlens.operators import explore as EX
 from revlens.operators import ingest as IN
 from revlens.operators import margin as MG
+from revlens.operators import alerts as AL
+from revlens.operators import context as CX
+from revlens.operators import forecast as FC
+from revlens.operators import personas as PS
 from revlens.operators import rollups as R
+from revlens.plans import models as MD
+from revlens.plans import overview as OV
 from revlens.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,7 +105,7 @@ def q_median_rpu(spark, sf_dir):
 def q_kpi(spark, sf_dir):
     k = R.kpi_overview(_tx(spark, sf_dir))
     return k.select("portfolio_margin_health", "risk_alerts", _r("at_risk_sales", 4).alias("at_risk_sales"),
-                    _r("recovery_opportunity", 4).alias("recovery_opportunity"), "margin_target",
+                    _r("recovery_opportunity", 6).alias("recovery_opportunity"), "margin_target",
                     _r("target_progress", 6).alias("target_progress"), "n_rows")
 
 
@@ -410,4 +416,221 @@ def q_ingest_summary(spark, sf_dir):
                      F.concat_ws("|", "segments").alias("segments"))
 
 
-FLAGSHIP = "monthly_rollup"
+
+
+# ------------------------------------------------------------------ forecast
+@register("forecast_design")
+def q_forecast_design(spark, sf_dir):
+    d = FC.forecast_design(_monthly(spark, sf_dir))
+    return d.select("segment", "month", "t_idx", "n_months", _r("y_s").alias("y_s"), "is_train",
+                    *[_r(f).alias(f) for f in FC.FEATURES])
+
+
+def _fc_models(spark, sf_dir):
+    return FC.segment_models(_monthly(spark, sf_dir))
+
+
+@register("forecast_coefficients")
+def q_forecast_coefficients(spark, sf_dir):
+    co = FC.coefficients(_monthly(spark, sf_dir))
+    return co.select("segment", "split", "n", F.round("intercept", 9).alias("intercept"),
+                     F.transform("coef", lambda x: F.round(x, 9)).alias("coef"))
+
+
+@register("forecast_backtest")
+def q_forecast_backtest(spark, sf_dir):
+    return _fc_models(spark, sf_dir).select("segment", "n_months", "r2_validation",
+                                            F.round("resid_std_s", 9).alias("resid_std_s"))
+
+
+def _segment_forecast(spark, sf_dir, periods=3):
+    return FC.segment_forecast(_fc_models(spark, sf_dir), FC.ForecastParams(periods=periods))
+
+
+@register("segment_forecast")
+def q_segment_forecast(spark, sf_dir):
+    return _segment_forecast(spark, sf_dir)
+
+
+@register("forecast_global")
+def q_forecast_global(spark, sf_dir):
+    return FC.forecast_global(_segment_forecast(spark, sf_dir))
+
+
+def _fvc(spark, sf_dir):
+    return FC.forecast_vs_current(_segment_forecast(spark, sf_dir), _monthly(spark, sf_dir))
+
+
+@register("forecast_vs_current")
+def q_fvc(spark, sf_dir):
+    return _fvc(spark, sf_dir)
+
+
+@register("forecast_chart")
+def q_forecast_chart(spark, sf_dir):
+    return FC.forecast_chart(_monthly(spark, sf_dir), _segment_forecast(spark, sf_dir))
+
+
+@register("aggregate_outlook")
+def q_outlook(spark, sf_dir):
+    return FC.aggregate_outlook(_fvc(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ margin model
+@register("margin_model_metrics")
+def q_margin_metrics(spark, sf_dir):
+    m = MD.margin_model(spark, sf_dir)
+    top = m.importances[0][0]
+    return spark.createDataFrame([(m.r2, m.mae, top)], "r2 double, mae double, top_feature string")
+
+
+@register("feature_importances")
+def q_importances(spark, sf_dir):
+    return MG.feature_importances(MD.margin_model(spark, sf_dir), spark, 3)
+
+
+@register("discount_ceilings")
+def q_ceilings(spark, sf_dir):
+    return MD.ceilings(spark, sf_dir)
+
+
+@register("deal_scores")
+def q_deal_scores(spark, sf_dir):
+    m = MD.margin_model(spark, sf_dir)
+    return MG.score_deals(m, S.deals(spark, sf_dir), MD.ceilings(spark, sf_dir))
+
+
+def _at_risk_scored(spark, sf_dir):
+    top = R.top_at_risk(_tx(spark, sf_dir), 50, 0.05)
+    deals = top.select(F.col("order_id").alias("deal_id"), "segment", "region", "industry", "product",
+                       F.col("quantity").cast("int").alias("quantity"), _d("sales").alias("sales"),
+                       _d("discount").alias("discount"))
+    return MG.score_deals(MD.margin_model(spark, sf_dir), deals, MD.ceilings(spark, sf_dir))
+
+
+@register("at_risk_scored")
+def q_at_risk_scored(spark, sf_dir):
+    return _at_risk_scored(spark, sf_dir)
+
+
+# ------------------------------------------------------------------ personas
+@register("customer_clusters")
+def q_clusters(spark, sf_dir):
+    c, _ = MD.clusters(spark, sf_dir)
+    return c.select("customer", "cluster", _d("sales").alias("sales"), _r("margin_rate").alias("margin_rate"),
+                    _r("discount").alias("discount"))
+
+
+@register("silhouette")
+def q_silhouette(spark, sf_dir):
+    c, sil = MD.clusters(spark, sf_dir)
+    return c.groupBy().agg(F.count(F.lit(1)).alias("n_customers"),
+                           F.count_distinct("cluster").alias("n_clusters")).withColumn("silhouette", F.lit(sil))
+
+
+@register("cluster_stats")
+def q_cluster_stats(spark, sf_dir):
+    c, _ = MD.clusters(spark, sf_dir)
+    return PS.cluster_stats(c)
+
+
+def _naming(spark, sf_dir):
+    c, _ = MD.clusters(spark, sf_dir)
+    return PS.name_personas(PS.cluster_stats(c))
+
+
+@register("persona_assignments")
+def q_assign(spark, sf_dir):
+    c, _ = MD.clusters(spark, sf_dir)
+    return PS.assign_personas(c, _naming(spark, sf_dir)).select("customer", "cluster", "persona")
+
+
+def _traits(spark, sf_dir):
+    c, _ = MD.clusters(spark, sf_dir)
+    naming = _naming(spark, sf_dir)
+    return PS.persona_traits(PS.assign_personas(c, naming), _tx(spark, sf_dir), naming)
+
+
+@register("persona_traits")
+def q_traits(spark, sf_dir):
+    return _traits(spark, sf_dir)
+
+
+def _fixed_profiles(spark, sf_dir):
+    prof = R.customer_profiles(_tx(spark, sf_dir)).withColumn("sales", F.col("sales").cast("double"))
+    return prof.join(S.fixed_clusters(spark, sf_dir), "customer")
+
+
+@register("persona_naming")
+def q_persona_naming(spark, sf_dir):
+    n = PS.name_personas(PS.cluster_stats(_fixed_profiles(spark, sf_dir)))
+    return n.select("cluster", "persona", "action_signal", _r("avg_sales", 4).alias("avg_sales"),
+                    _r("avg_margin").alias("avg_margin"), _r("avg_discount").alias("avg_discount"), "n_customers")
+
+
+@register("roi_recovery")
+def q_roi(spark, sf_dir):
+    prof = _fixed_profiles(spark, sf_dir)
+    naming = PS.name_personas(PS.cluster_stats(prof))
+    r = PS.roi_recovery(PS.assign_personas(prof, naming))
+    return r.select(_r("champions_margin").alias("champions_margin"), _r("seekers_margin").alias("seekers_margin"),
+                    _r("seekers_sales", 4).alias("seekers_sales"), "recovery_usd")
+
+
+# ------------------------------------------------------------------ composites
+def _fixed_fvc(spark, sf_dir):
+    """Deterministic stand-in for forecast output: each segment's last month
+    against the month before (the same columns forecast_vs_current emits)."""
+    m = _mom(spark, sf_dir)
+    from pyspark.sql import Window
+    w = Window.partitionBy("segment").orderBy(F.col("month").desc())
+    last = m.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
+    return last.select("segment", F.col("pct_change").alias("pct_change_vs_current"),
+                       F.col("trend").alias("trend_direction"))
+
+
+def _fixed_personas(spark, sf_dir):
+    prof = _fixed_profiles(spark, sf_dir)
+    st = PS.cluster_stats(prof)
+    return st.select("cluster", X.churn_risk(F.round("avg_discount", 9), F.round("avg_margin", 9)).alias("churn_risk"))
+
+
+@register("alerts")
+def q_alerts(spark, sf_dir):
+    return AL.alerts(_fixed_fvc(spark, sf_dir), _fixed_personas(spark, sf_dir))
+
+
+@register("alert_count")
+def q_alert_count(spark, sf_dir):
+    return AL.count_alerts(AL.alerts(_fixed_fvc(spark, sf_dir), _fixed_personas(spark, sf_dir)))
+
+
+@register("context_packet")
+def q_context(spark, sf_dir):
+    tx = _tx(spark, sf_dir)
+    groups = tx.select("region").distinct()
+    return CX.context_packets(_fvc(spark, sf_dir), _at_risk_scored(spark, sf_dir), _traits(spark, sf_dir),
+                              groups, key="region")
+
+
+@register("executive_overview")
+def q_overview(spark, sf_dir):
+    o = OV.overview_by(_tx(spark, sf_dir), "segment")
+    return o.select("segment", "portfolio_margin_health", "risk_alerts", _r("at_risk_sales", 4).alias("at_risk_sales"),
+                    _r("recovery_opportunity", 6).alias("recovery_opportunity"), "n_rows",
+                    _r("recent_revenue", 4).alias("recent_revenue"), "recent_months")
+
+
+@register("executive_overview_full")
+def q_overview_full(spark, sf_dir):
+    monthly = _monthly(spark, sf_dir)
+    fc = _segment_forecast(spark, sf_dir)
+    fvc = FC.forecast_vs_current(fc, monthly)
+    chart = FC.forecast_chart(monthly, fc)
+    spark_line = R.revenue_sparkline(monthly, 6)
+    kpi = R.kpi_overview(_tx(spark, sf_dir))
+    m = MD.margin_model(spark, sf_dir)
+    return OV.executive_overview(kpi, fvc, chart, spark_line, MD.ceilings(spark, sf_dir), m.r2)
+
+
+FLAGSHIP = "executive_overview"

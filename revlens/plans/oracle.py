@@ -223,7 +223,7 @@ ORACLE["kpi_overview"] = with_tx("""
 SELECT round(avg(margin_rate) * 100, 1) AS portfolio_margin_health,
        count(*) FILTER (WHERE margin_rate < 0.05) AS risk_alerts,
        round(CAST(coalesce(sum(sales) FILTER (WHERE margin_rate < 0.05), 0) AS DOUBLE), 4) AS at_risk_sales,
-       round(CAST(coalesce(sum(sales) FILTER (WHERE margin_rate < 0.05), 0) AS DOUBLE) * 0.15, 4)
+       round(CAST(coalesce(sum(sales) FILTER (WHERE margin_rate < 0.05), 0) AS DOUBLE) * 0.15, 6)
          AS recovery_opportunity,
        25.0 AS margin_target,
        round(least(100.0, round(avg(margin_rate) * 100, 1) / 25.0 * 100), 6) AS target_progress,
@@ -504,3 +504,105 @@ SELECT count(*) AS rows_raw, count(*) FILTER (WHERE failed_rule IS NULL) AS rows
        (SELECT string_agg(segment, '|' ORDER BY segment) FROM
           (SELECT DISTINCT segment FROM typed WHERE failed_rule IS NULL)) AS segments
 FROM typed""", RAW_CTE, TYPED_CTE)
+
+ORACLE["forecast_design"] = with_tx("""
+SELECT segment, month, CAST(t AS INTEGER) AS t_idx, CAST(n AS INTEGER) AS n_months,
+       (round((y - ym) / (CASE WHEN ys < 1e-6 THEN 1.0 ELSE ys END), 6) + 0.0) AS y_s,
+       t < n - least(6, CAST(floor(n / 3) AS INTEGER)) AS is_train,
+       (round(CAST(t AS DOUBLE), 6) + 0.0) AS t, (round(CAST(t AS DOUBLE) * t, 6) + 0.0) AS t2,
+       (round(sin(2 * pi() * 1 / 12 * t), 6) + 0.0) AS sin1, (round(cos(2 * pi() * 1 / 12 * t), 6) + 0.0) AS cos1,
+       (round(sin(2 * pi() * 2 / 12 * t), 6) + 0.0) AS sin2, (round(cos(2 * pi() * 2 / 12 * t), 6) + 0.0) AS cos2,
+       (round(sin(2 * pi() * 3 / 12 * t), 6) + 0.0) AS sin3, (round(cos(2 * pi() * 3 / 12 * t), 6) + 0.0) AS cos3
+FROM (SELECT segment, month, CAST(sales AS DOUBLE) AS y,
+             row_number() OVER (PARTITION BY segment ORDER BY month) - 1 AS t,
+             count(*) OVER (PARTITION BY segment) AS n,
+             avg(CAST(sales AS DOUBLE)) OVER (PARTITION BY segment) AS ym,
+             stddev_pop(CAST(sales AS DOUBLE)) OVER (PARTITION BY segment) AS ys
+      FROM monthly)""", MONTHLY_CTE)
+
+FIXED_CTE = """
+prof AS (
+  SELECT t.customer, CAST(sum(t.sales) AS DOUBLE) AS sales, avg(t.margin_rate) AS margin_rate,
+         avg(t.discount) AS discount, CAST(c.c_custkey % 4 AS INTEGER) AS cluster
+  FROM txm t JOIN customer c ON c.c_name = t.customer
+  GROUP BY t.customer, c.c_custkey
+),
+cstats AS (
+  SELECT cluster, avg(sales) AS avg_sales, avg(margin_rate) AS avg_margin, avg(discount) AS avg_discount,
+         count(*) AS n_customers
+  FROM prof GROUP BY cluster
+),
+win AS (
+  SELECT arg_max(cluster, (avg_margin, -cluster)) AS champ, arg_max(cluster, (avg_discount, -cluster)) AS seek,
+         arg_max(cluster, (avg_sales, -cluster)) AS vol
+  FROM cstats
+),
+named AS (
+  SELECT s.*, CASE WHEN s.cluster = w.vol THEN 'Volume Accounts' WHEN s.cluster = w.seek THEN 'Discount Seekers'
+                   WHEN s.cluster = w.champ THEN 'Champions' ELSE 'At-Risk' END AS persona
+  FROM cstats s, win w
+)"""
+
+ORACLE["persona_naming"] = with_tx("""
+SELECT cluster, persona,
+       CASE persona WHEN 'Champions' THEN 'Protect & Upsell' WHEN 'Discount Seekers' THEN 'Reprice & Cap Discounts'
+                    WHEN 'Volume Accounts' THEN 'Retention Strategy' WHEN 'At-Risk' THEN 'Immediate Intervention'
+                    ELSE 'Analyze Behavior' END AS action_signal,
+       round(avg_sales, 4) AS avg_sales, round(avg_margin, 6) AS avg_margin, round(avg_discount, 6) AS avg_discount,
+       n_customers
+FROM named""", FIXED_CTE)
+
+ORACLE["roi_recovery"] = with_tx("""
+SELECT round(cm, 6) AS champions_margin, round(sm, 6) AS seekers_margin, round(ss, 4) AS seekers_sales,
+       round(CASE WHEN cm IS NULL OR sm IS NULL THEN 0.0 ELSE greatest(0.0, (cm - sm) * ss) END, 2) AS recovery_usd
+FROM (SELECT avg(p.margin_rate) FILTER (WHERE n.persona = 'Champions') AS cm,
+             avg(p.margin_rate) FILTER (WHERE n.persona = 'Discount Seekers') AS sm,
+             sum(p.sales) FILTER (WHERE n.persona = 'Discount Seekers') AS ss
+      FROM prof p JOIN named n ON n.cluster = p.cluster)""", FIXED_CTE)
+
+ALERT_CTE = """
+lastm AS (
+  SELECT segment, pct, CASE WHEN pct >= 0.05 THEN 'up' WHEN pct <= -0.05 THEN 'down' ELSE 'flat' END AS trend
+  FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY month DESC) AS r FROM mom2) WHERE r = 1
+),
+churn AS (
+  SELECT count(*) FILTER (WHERE round(avg_margin, 9) < 0.10 OR round(avg_discount, 9) >= 0.25) AS n FROM cstats
+),
+found AS (
+  SELECT 'fc-' || segment AS alert_id, 'critical' AS type, segment || ' Revenue Drop' AS title,
+         'Forecast predicts a ' || printf('%+.1f', round(pct * 100, 1)) || '% change next period. '
+           || 'Immediate sales intervention recommended.' AS description,
+         'View Forecast' AS action
+  FROM lastm WHERE trend = 'down' OR pct < 0
+  UNION ALL
+  SELECT 'persona-churn', 'warning', 'High Churn Risk Detected',
+         CAST(n AS VARCHAR) || ' customer segments show behavior patterns consistent with imminent churn.',
+         'Audit Personas'
+  FROM churn WHERE n > 0
+)"""
+
+ORACLE["alerts"] = with_tx("""
+SELECT * FROM found
+UNION ALL
+SELECT 'stable', 'info', 'System Optimal',
+       'All business segments are performing within predicted variance. No critical anomalies detected.',
+       'View Report'
+WHERE (SELECT count(*) FROM found) = 0""", MONTHLY_CTE, MOM_CTE, FIXED_CTE, ALERT_CTE)
+
+ORACLE["alert_count"] = with_tx("""
+SELECT count(*) AS priority_alerts FROM found""", MONTHLY_CTE, MOM_CTE, FIXED_CTE, ALERT_CTE)
+
+ORACLE["executive_overview"] = with_tx("""
+WITH_MARK
+SELECT k.segment, k.portfolio_margin_health, k.risk_alerts, k.at_risk_sales, k.recovery_opportunity, k.n_rows,
+       round(r.recent_revenue, 4) AS recent_revenue, r.recent_months
+FROM (SELECT segment, round(avg(margin_rate) * 100, 1) AS portfolio_margin_health,
+             count(*) FILTER (WHERE margin_rate < 0.05) AS risk_alerts,
+             round(CAST(coalesce(sum(sales) FILTER (WHERE margin_rate < 0.05), 0) AS DOUBLE), 4) AS at_risk_sales,
+             round(CAST(coalesce(sum(sales) FILTER (WHERE margin_rate < 0.05), 0) AS DOUBLE) * 0.15, 6)
+               AS recovery_opportunity,
+             count(*) AS n_rows
+      FROM txm GROUP BY segment) k
+LEFT JOIN (SELECT segment, CAST(sum(sales) AS DOUBLE) AS recent_revenue, count(*) AS recent_months
+           FROM monthly WHERE month IN (SELECT DISTINCT month FROM monthly ORDER BY month DESC LIMIT 6)
+           GROUP BY segment) r ON r.segment = k.segment""".replace("WITH_MARK\n", ""), MONTHLY_CTE)
