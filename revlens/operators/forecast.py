@@ -152,9 +152,10 @@ def segment_models(monthly: DataFrame, params: ForecastParams = ForecastParams()
     hold = _predict_s(train, design.where(~F.col("is_train")), key)
     w = Window.partitionBy(key)
     hold = hold.withColumn("_ym", F.avg("y_s").over(w))
-    r2 = hold.groupBy(key).agg(
-        F.round(1 - F.sum(F.pow(F.col("y_s") - F.col("yhat_s"), 2))
-                / F.sum(F.pow(F.col("y_s") - F.col("_ym"), 2)), 3).alias("r2_validation"))
+    sse, sst = F.sum(F.pow(F.col("y_s") - F.col("yhat_s"), 2)), F.sum(F.pow(F.col("y_s") - F.col("_ym"), 2))
+    # constant hold-out target: 1 for a perfect fit, else 0 (finite R2)
+    r2v = F.when(sst == 0, F.when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(1 - F.try_divide(sse, sst))
+    r2 = hold.groupBy(key).agg(F.round(r2v, 3).alias("r2_validation"))
     ins = _predict_s(full, design, key)
     stats = ins.groupBy(key).agg(
         F.stddev_pop(F.col("y_s") - F.col("yhat_s")).alias("resid_std_s"),

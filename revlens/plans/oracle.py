@@ -225,7 +225,7 @@ SELECT round(avg(margin_rate) * 100, 1) AS portfolio_margin_health,
        round(CAST(coalesce(sum(sales) FILTER (WHERE margin_rate < 0.05), 0) AS DOUBLE), 4) AS at_risk_sales,
        round(CAST(coalesce(sum(sales) FILTER (WHERE margin_rate < 0.05), 0) AS DOUBLE) * 0.15, 6)
          AS recovery_opportunity,
-       25.0 AS margin_target,
+       CAST(25.0 AS DOUBLE) AS margin_target,
        round(least(100.0, round(avg(margin_rate) * 100, 1) / 25.0 * 100), 6) AS target_progress,
        count(*) AS n_rows
 FROM txm""")
@@ -367,7 +367,7 @@ deals AS (
 )"""
 
 ORACLE["rule_recovery"] = with_tx("""
-SELECT deal_id, industry, product, c AS safe_ceiling_pct, c + 15.0 AS cliff_pct,
+SELECT deal_id, industry, product, CAST(c AS DOUBLE) AS safe_ceiling_pct, CAST(c + 15.0 AS DOUBLE) AS cliff_pct,
        round(sales * greatest(0.0, discount * 100 - c) / 100, 6) AS recovery
 FROM (SELECT *, (CASE industry WHEN 'Tech' THEN 22.0 WHEN 'Finance' THEN 12.0 WHEN 'Healthcare' THEN 18.0
                                ELSE 15.0 END)
@@ -390,7 +390,7 @@ FROM (SELECT c.*, CAST(i AS INTEGER) AS discount_pct, CAST(i AS DOUBLE) AS d,
                                    DEALS_CTE)
 
 ORACLE["whatif_discount"] = with_tx("""
-SELECT month, segment, s AS scenario_discount, round(sum(sales), 4) AS actual_revenue,
+SELECT month, segment, CAST(s AS DOUBLE) AS scenario_discount, round(sum(sales), 4) AS actual_revenue,
        round(sum(lv * (1 - s)), 4) AS scenario_revenue, round(sum(lv * (1 - s)) - sum(sales), 4) AS revenue_delta
 FROM (SELECT CAST(date_trunc('month', order_date) AS DATE) AS month, segment, CAST(sales AS DOUBLE) AS sales,
              CAST(sales AS DOUBLE) / (1 - discount) AS lv
@@ -426,8 +426,8 @@ SELECT segment, region, segment_enc, region_enc, round(quantity, 6) AS quantity,
 FROM reps""", ENC_CTE, REPS_CTE)
 
 ORACLE["ceiling_grid"] = with_tx("""
-SELECT segment, region, round(round(i * 0.01, 2), 2) AS discount, round(quantity, 6) AS quantity,
-       round(round(i * 0.01, 2) * quantity, 6) AS discount_x_quantity,
+SELECT segment, region, CAST(round(i * 0.01, 2) AS DOUBLE) AS discount, round(quantity, 6) AS quantity,
+       round(CAST(round(i * 0.01, 2) AS DOUBLE) * quantity, 6) AS discount_x_quantity,
        CAST(round(i * 0.01, 2) > 0.3 AS INTEGER) AS high_discount_flag_int
 FROM reps, range(0, 81) r(i)""", ENC_CTE, REPS_CTE)
 
@@ -488,7 +488,7 @@ ORACLE["dq_report"] = with_tx("""
 SELECT coalesce(failed_rule, 'kept') AS rule, count(*) AS rows FROM typed GROUP BY 1""", RAW_CTE, TYPED_CTE)
 
 ORACLE["dq_examples"] = with_tx("""
-SELECT failed_rule, example_rank, order_id, customer, round(sales, 6) AS sales, round(quantity, 6) AS quantity,
+SELECT failed_rule, CAST(example_rank AS INTEGER) AS example_rank, order_id, customer, round(sales, 6) AS sales, round(quantity, 6) AS quantity,
        round(discount, 6) AS discount, violations, greatest(violations - 5, 0) AS and_more
 FROM (SELECT *, row_number() OVER (PARTITION BY failed_rule ORDER BY order_id NULLS FIRST, customer NULLS FIRST,
                                    sales NULLS FIRST, quantity NULLS FIRST, discount NULLS FIRST) AS example_rank,
