@@ -11,6 +11,7 @@ Python loop of single-row predictions.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions import expressions as X
 from revlens.operators.ingest import MODEL_CATEGORICALS, deal_features
-from revlens.operators.quantiles import group_quantile
+from revlens.operators.quantiles import group_quantile, group_quantiles
 from revlens.operators.sequence import with_row_number
 from revlens.plans.joins import attach_one_row
 
@@ -58,10 +59,10 @@ def fit_encoders(tx: DataFrame, columns=MODEL_CATEGORICALS) -> DataFrame:
     """M8: (column, value, code) with codes 0..n-1 in alphabetical order per
     column. Distinct values are numbered with a distributed sequence (no
     single-task window), then shifted by each column's first number."""
-    distinct = None
-    for c in columns:
-        d = tx.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")).distinct()
-        distinct = d if distinct is None else distinct.unionByName(d)
+    # one scan: every row contributes one (column, value) pair per column
+    pairs = tx.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("_p"))
+    distinct = pairs.select("_p.column", "_p.value").distinct()
     numbered = with_row_number(distinct, ["column", "value"], name="_rn")
     first = numbered.groupBy("column").agg(F.min("_rn").alias("_first"))
     return (numbered.join(F.broadcast(first), "column")
@@ -94,11 +95,11 @@ def encode(df: DataFrame, encoders: DataFrame, columns=MODEL_CATEGORICALS,
 def median_rev_per_unit(tx: DataFrame) -> DataFrame:
     """A4: exact median revenue per unit per segment, plus the global median
     as a row with segment NULL."""
-    f = tx.select("segment", X.revenue_per_unit("sales", "quantity").alias("rpu"))
-    per = group_quantile(f, ["segment"], "rpu", out="median_revenue_per_unit")
-    glob = group_quantile(f, [], "rpu", out="median_revenue_per_unit").select(
-        F.lit(None).cast("string").alias("segment"), "median_revenue_per_unit")
-    return per.unionByName(glob)
+    # one ranking pass: every row counts for its segment and for the global
+    # group (segment key NULL)
+    f = tx.select(F.explode(F.array(F.col("segment"), F.lit(None).cast("string"))).alias("segment"),
+                  X.revenue_per_unit("sales", "quantity").alias("rpu"))
+    return group_quantile(f, ["segment"], "rpu", out="median_revenue_per_unit")
 
 
 def impute_rev_per_unit(deals: DataFrame, medians: DataFrame) -> DataFrame:
@@ -133,16 +134,20 @@ def representative_deals(encoded: DataFrame, encoders: DataFrame) -> DataFrame:
     base = encoded.select("segment", "region", F.col("quantity").cast("double").alias("quantity"),
                           "revenue_per_unit", "industry_enc", "product_enc")
     keys = ["segment", "region"]
-    med_q = group_quantile(base, keys, "quantity", out="med_quantity")
-    med_r = group_quantile(base, keys, "revenue_per_unit", out="med_rpu")
+    # combination and segment-level medians in one ranking pass: each row is
+    # counted once for its (segment, region) and once for its segment
+    # (region key NULL), for both measures.
+    lv = base.select("segment", F.explode(F.array(F.col("region"), F.lit(None).cast("string"))).alias("region"),
+                     "quantity", "revenue_per_unit")
+    med = group_quantiles(lv, keys, {"med_quantity": "quantity", "med_rpu": "revenue_per_unit"})
+    med_c = med.where(F.col("region").isNotNull())
+    med_s = med.where(F.col("region").isNull()).select(
+        "segment", F.col("med_quantity").alias("seg_quantity"), F.col("med_rpu").alias("seg_rpu"))
     mode_i = _mode_code(base, keys, "industry_enc", "industry_enc")
     mode_p = _mode_code(base, keys, "product_enc", "product_enc")
-    seg_q = group_quantile(base, ["segment"], "quantity", out="seg_quantity")
-    seg_r = group_quantile(base, ["segment"], "revenue_per_unit", out="seg_rpu")
     grid = combo_grid(encoders)
-    rep = (grid.join(med_q, keys, "left").join(med_r, keys, "left")
-               .join(mode_i, keys, "left").join(mode_p, keys, "left")
-               .join(seg_q, "segment", "left").join(seg_r, "segment", "left"))
+    rep = (grid.join(med_c, keys, "left").join(mode_i, keys, "left").join(mode_p, keys, "left")
+               .join(med_s, "segment", "left"))
     return rep.select(
         "segment", "region", "segment_enc", "region_enc",
         F.coalesce("med_quantity", "seg_quantity").alias("quantity"),
@@ -218,12 +223,15 @@ def train_margin_model(tx: DataFrame, params: MarginParams = MarginParams()) ->
                        minInstancesPerNode=params.min_instances, seed=params.seed, maxBins=64)
     pipe_fit = lambda df: PipelineModel(stages=[_assembler(), gbt.fit(_assembler().transform(df))])
     train, test = data.randomSplit([1 - params.test_fraction, params.test_fraction], seed=params.seed)
-    holdout = pipe_fit(train)
+    # the hold-out fit and the refit on all rows are independent: submit
+    # both at once so their (many, small) per-level jobs share the executors
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        f_hold, f_all = pool.submit(pipe_fit, train), pool.submit(pipe_fit, data)
+        holdout, model = f_hold.result(), f_all.result()
     pred = holdout.transform(test)
     ev = RegressionEvaluator(labelCol="label", predictionCol="prediction")
     r2 = ev.setMetricName("r2").evaluate(pred)
     mae = ev.setMetricName("mae").evaluate(pred)
-    model = pipe_fit(data)
     gbm: GBTRegressionModel = model.stages[-1]
     imp = sorted(zip(FEATURES, gbm.featureImportances.toArray().tolist()), key=lambda t: (-t[1], t[0]))
     medians = median_rev_per_unit(tx).persist()

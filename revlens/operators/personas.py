@@ -10,6 +10,7 @@ persona mapping are tiny (k rows).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
@@ -37,6 +38,7 @@ class PersonaParams:
     min_customers: int = 20
     max_iter: int = 300
     tol: float = 1e-4
+    parallel_fits: int = 4
 
 
 def standardize(profiles: DataFrame, features=PROFILE_FEATURES) -> DataFrame:
@@ -62,15 +64,16 @@ def cluster_customers(tx: DataFrame, params: PersonaParams = PersonaParams()):
     z = standardize(prof)
     vec = VectorAssembler(inputCols=[f"z_{f}" for f in PROFILE_FEATURES], outputCol="features").transform(z)
     vec = vec.persist()
-    best = None
-    for i in range(params.n_init):
+    def fit_one(i):
         km = KMeans(k=params.k, seed=params.seed + i, maxIter=params.max_iter, tol=params.tol,
                     featuresCol="features", predictionCol="cluster")
-        model = km.fit(vec)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    model = best[1]
+        m = km.fit(vec)
+        return m.summary.trainingCost, i, m
+    # n_init restarts are independent jobs: run them concurrently, keep the
+    # lowest cost (ties -> lowest restart index, so the choice is stable)
+    with ThreadPoolExecutor(max_workers=min(params.n_init, params.parallel_fits)) as pool:
+        fits = list(pool.map(fit_one, range(params.n_init)))
+    model = min(fits, key=lambda t: (t[0], t[1]))[2]
     out = model.transform(vec)
     sil = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(out)
     return out.drop("features").withColumn("cluster", F.col("cluster").cast("int")), round(sil, 3)

@@ -58,15 +58,30 @@ def group_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5,
                      .select(*grp, "_frac",
                              F.when(in_block("_lo"), F.col("_m0") + F.col("_lo") - F.col("_off")).alias("_id_lo"),
                              F.when(in_block("_hi"), F.col("_m0") + F.col("_hi") - F.col("_off")).alias("_id_hi")))
-    wanted = targets.select(F.explode(F.array("_id_lo", "_id_hi")).alias("_mid")).where(F.col("_mid").isNotNull())
-    # <= 2 rows per group are fetched; AQE broadcasts ``wanted`` when small.
-    picked = tagged.join(wanted, "_mid", "left_semi").select("_mid", "_v")
-    lo = targets.join(picked.withColumnRenamed("_mid", "_id_lo").withColumnRenamed("_v", "_v_lo"), "_id_lo")
-    hi = targets.join(picked.withColumnRenamed("_mid", "_id_hi").withColumnRenamed("_v", "_v_hi"), "_id_hi")
-    lo = lo.groupBy(*grp).agg(F.first("_v_lo").alias("_v_lo"), F.first("_frac").alias("_frac"))
-    hi = hi.groupBy(*grp).agg(F.first("_v_hi").alias("_v_hi"))
-    res = lo.join(hi, grp, "inner")
+    # one row per (group, side) that must be fetched; <= 2 per group
+    sides = targets.select(*grp, "_frac", F.explode(F.array(
+        F.struct(F.lit("lo").alias("side"), F.col("_id_lo").alias("_mid")),
+        F.struct(F.lit("hi").alias("side"), F.col("_id_hi").alias("_mid")))).alias("_s"))
+    sides = sides.select(*grp, "_frac", "_s.side", "_s._mid").where(F.col("_mid").isNotNull())
+    picked = tagged.join(sides.select("_mid").distinct(), "_mid", "left_semi").select("_mid", "_v")
+    both = sides.join(picked, "_mid")
+    # groupBy (not a join) on the keys, so NULL group keys are kept
+    res = both.groupBy(*grp).agg(F.max(F.when(F.col("side") == "lo", F.col("_v"))).alias("_v_lo"),
+                                 F.max(F.when(F.col("side") == "hi", F.col("_v"))).alias("_v_hi"),
+                                 F.max("_frac").alias("_frac"))
     val = F.when(F.col("_frac") == 0, F.col("_v_lo")).otherwise(
         F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * F.col("_frac"))
     res = res.select(*grp, val.alias(out))
     return res.drop("_g") if drop_const else res
+
+
+def group_quantiles(df: DataFrame, keys: list[str], values: dict[str, str], q: float = 0.5) -> DataFrame:
+    """Several quantile columns in one pass: ``values`` maps output name ->
+    input column. Rows are unpivoted to (keys, measure, value), ranked once,
+    and pivoted back (one row per group)."""
+    long = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(name).alias("_m"), F.col(col).cast("double").alias("_x"))
+        for name, col in values.items()])).alias("_u")).select(*keys, "_u._m", "_u._x")
+    res = group_quantile(long, [*keys, "_m"], "_x", q=q, out="_q")
+    return res.groupBy(*keys).agg(*[F.max(F.when(F.col("_m") == name, F.col("_q"))).alias(name)
+                                    for name in values])

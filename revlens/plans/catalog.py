@@ -444,7 +444,7 @@ def q_forecast_backtest(spark, sf_dir):
 
 
 def _segment_forecast(spark, sf_dir, periods=3):
-    return FC.segment_forecast(_fc_models(spark, sf_dir), FC.ForecastParams(periods=periods))
+    return FC.segment_forecast(MD.forecast_models(spark, sf_dir), FC.ForecastParams(periods=periods))
 
 
 @register("segment_forecast")
@@ -607,6 +607,7 @@ def q_alert_count(spark, sf_dir):
 
 @register("context_packet")
 def q_context(spark, sf_dir):
+    MD.train_all(spark, sf_dir)
     tx = _tx(spark, sf_dir)
     groups = tx.select("region").distinct()
     return CX.context_packets(_fvc(spark, sf_dir), _at_risk_scored(spark, sf_dir), _traits(spark, sf_dir),
@@ -623,6 +624,7 @@ def q_overview(spark, sf_dir):
 
 @register("executive_overview_full")
 def q_overview_full(spark, sf_dir):
+    MD.train_all(spark, sf_dir)
     monthly = _monthly(spark, sf_dir)
     fc = _segment_forecast(spark, sf_dir)
     fvc = FC.forecast_vs_current(fc, monthly)

@@ -4,6 +4,8 @@ also be saved/loaded (S7) with ``save_margin_model``/``load_margin_model``."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
@@ -35,7 +37,9 @@ def ceilings(spark: SparkSession, sf_dir: str, params: MG.MarginParams = QUERY_M
     k = _key(spark, "ceilings", sf_dir, params)
     if k not in _CACHE:
         tx = R.margin_features(S.transactions(spark, sf_dir))
-        _CACHE[k] = MG.discount_ceilings(margin_model(spark, sf_dir, params), tx, params).persist()
+        c = MG.discount_ceilings(margin_model(spark, sf_dir, params), tx, params).persist()
+        c.count()
+        _CACHE[k] = c
     return _CACHE[k]
 
 
@@ -68,3 +72,33 @@ def load_margin_model(spark: SparkSession, path: str) -> MG.MarginModel:
                           encoders=spark.read.parquet(f"{path}/encoders"),
                           medians=spark.read.parquet(f"{path}/medians"),
                           r2=m.r2, mae=m.mae, importances=imp)
+
+
+def train_all(spark: SparkSession, sf_dir: str) -> None:
+    """Train the three pillars (margin model + ceilings, customer clusters,
+    forecast models) concurrently: they are independent, and their many
+    small MLlib jobs leave executors idle when run one after another."""
+    from revlens.operators import forecast as FC
+    k = _key(spark, "forecast", sf_dir)
+
+    def forecast():
+        if k not in _CACHE:
+            monthly = R.monthly_rollup(R.margin_features(S.transactions(spark, sf_dir)))
+            _CACHE[k] = FC.segment_models(monthly).persist()
+            _CACHE[k].count()
+        return _CACHE[k]
+
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        futs = [pool.submit(ceilings, spark, sf_dir), pool.submit(clusters, spark, sf_dir), pool.submit(forecast)]
+        for f in futs:
+            f.result()
+
+
+def forecast_models(spark: SparkSession, sf_dir: str):
+    """Cached per-segment forecast models (see ``train_all``)."""
+    from revlens.operators import forecast as FC
+    k = _key(spark, "forecast", sf_dir)
+    if k not in _CACHE:
+        monthly = R.monthly_rollup(R.margin_features(S.transactions(spark, sf_dir)))
+        _CACHE[k] = FC.segment_models(monthly).persist()
+    return _CACHE[k]
