@@ -212,7 +212,13 @@ def training_frame(tx: DataFrame, encoders: DataFrame, params: MarginParams = Ma
 def train_margin_model(tx: DataFrame, params: MarginParams = MarginParams()) -> MarginModel:
     """M9: 80/20 split (seed) for hold-out R2/MAE, then refit on all rows."""
     encoders = fit_encoders(tx).persist()
-    data = training_frame(tx, encoders, params).persist()
+    data = training_frame(tx, encoders, params)
+    # Tree training is CPU bound and runs one task per partition per level:
+    # if AQE coalesced the input below the cluster's parallelism, spread it.
+    par = data.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < par:
+        data = data.repartition(par)
+    data = data.persist()
     n = data.count()
     if n < params.min_rows:
         raise MarginModelError(f"need >= {params.min_rows} rows to train, got {n}")

@@ -9,6 +9,7 @@ encoding (``limit(1)`` on a text scan).
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,8 @@ def resolve_source(spark: SparkSession, source) -> str:
     with TypeError (bytes would have to travel through the driver)."""
     if isinstance(source, (str, os.PathLike)):
         path = os.fspath(source)
-        if "://" not in path and not any(ch in path for ch in "*?[") and not os.path.exists(path):
+        has_scheme = re.match(r"^[A-Za-z][A-Za-z0-9+.\-]*:", path) is not None
+        if not has_scheme and not any(ch in path for ch in "*?[") and not os.path.exists(path):
             raise FileNotFoundError(path)
         return path
     raise TypeError(f"unsupported source type {type(source).__name__}; pass a path or glob")
@@ -82,6 +84,7 @@ def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     line breaks are quoted, quotes doubled); one file per partition, each
     with its header, written in parallel."""
     (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .csv(path))
 
 

@@ -10,6 +10,8 @@ reach the Parquet scans.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +92,27 @@ def transactions(spark: SparkSession, sf_dir: str, *, exact: bool = True) -> Dat
     return out
 
 
+_RAW_FILES: dict = {}
+
+
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty fixture as what it stands for - a raw CSV export: written
+    once per session into the shared checkpoint directory, then read back
+    with the CSV source (all columns STRING). Reading a file also keeps the
+    optimizer from pushing the cleaning predicates into the star join."""
+    from revlens.session import checkpoint_dir
+    from revlens.sources.files import read_csv
+    key = (id(spark._jsparkSession), sf_dir)
+    if key not in _RAW_FILES:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/fixtures/raw_orders-{uuid.uuid4().hex}"
+        (raw_orders_frame(spark, sf_dir).write.mode("overwrite").option("header", True)
+            .option("quote", '"').option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+        _RAW_FILES[key] = path
+    return read_csv(spark, _RAW_FILES[key], sep=",", encoding="UTF-8")
+
+
+def raw_orders_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirty, all-STRING variant of ``transactions`` with aliased headers,
     mixed date formats, currency text, percents, zeros and NULLs. The rule
     for each column is picked by ``k = l_orderkey * 10 + l_linenumber``."""
