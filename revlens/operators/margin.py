@@ -365,6 +365,23 @@ def discount_sweep(deals: DataFrame, max_pct: int = 80, cliff_pct: float = SWEEP
                  .withColumn("zone", F.when(d > cliff_pct, "danger").otherwise("healthy")))
 
 
+def discount_sweep_model(model: "MarginModel", deals: DataFrame, params: MarginParams = MarginParams()) -> DataFrame:
+    """M18, model mode: per deal the model's predicted margin at every grid
+    discount (0..max step), revenue per unit from the deal (segment median
+    when missing), categorical codes from the model's encoders."""
+    rp = impute_rev_per_unit(deals, model.medians)
+    enc = encode(rp, model.encoders, warn=False)
+    n = int(round(params.discount_max / params.discount_step))
+    g = (enc.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n))))
+            .withColumn("deal_discount", F.col("discount"))
+            .withColumn("discount", F.round(F.col("_i") * F.lit(params.discount_step), 2)).drop("_i")
+            .withColumn("discount_x_quantity", F.col("discount") * F.col("quantity").cast("double"))
+            .withColumn("high_discount_flag_int", (F.col("discount") > params.high_discount).cast("int")))
+    out = predict(model, g)
+    return out.withColumn("predicted_margin_rate",
+                          F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("prediction"))), 4))
+
+
 # Default what-if discount scenarios.
 WHATIF_SCENARIOS = (0.0, 0.05, 0.10, 0.20)
 

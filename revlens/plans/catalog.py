@@ -179,6 +179,14 @@ def q_paged(spark, sf_dir):
     return EX.page(lst, order, None, PAGE_SIZE)
 
 
+@register("transactions_page")
+def q_page(spark, sf_dir):
+    # second explorer variant: 8 rows per page, requested page clamped
+    lst = EX.listing(_tx(spark, sf_dir))
+    order = [F.col(c).asc_nulls_first() for c in (*EX.LISTING_ORDER, "margin_pct")]
+    return EX.page(lst, order, number=100_000, size=8)
+
+
 @register("trend_label")
 def q_trend(spark, sf_dir):
     return _mom(spark, sf_dir).select("segment", "month", "trend")
@@ -413,7 +421,8 @@ def q_dq_examples(spark, sf_dir):
 def q_ingest_summary(spark, sf_dir):
     s_ = IN.ingest_summary(S.raw_orders(spark, sf_dir))
     return s_.select("rows_raw", "rows_loaded", "rows_dropped", "rows_monthly",
-                     F.concat_ws("|", "segments").alias("segments"))
+                     F.concat_ws("|", "segments").alias("segments"), "profit_all_zero",
+                     F.size("warnings").alias("n_warnings"), F.size("validation_errors").alias("n_errors"))
 
 
 
@@ -461,6 +470,13 @@ def _fvc(spark, sf_dir):
     return FC.forecast_vs_current(_segment_forecast(spark, sf_dir), _monthly(spark, sf_dir))
 
 
+@register("forecast_single_segment")
+def q_forecast_single(spark, sf_dir):
+    fc = _segment_forecast(spark, sf_dir)
+    first = fc.agg(F.min("segment")).first()[0]
+    return FC.forecast_global(fc, segment=first)
+
+
 @register("forecast_vs_current")
 def q_fvc(spark, sf_dir):
     return _fvc(spark, sf_dir)
@@ -508,6 +524,17 @@ def _at_risk_scored(spark, sf_dir):
     return MG.score_deals(MD.margin_model(spark, sf_dir), deals, MD.ceilings(spark, sf_dir))
 
 
+@register("discount_sweep_model")
+def q_sweep_model(spark, sf_dir):
+    # model-mode sweep over the top-50 at-risk deals
+    top = R.top_at_risk(_tx(spark, sf_dir), 50, 0.05)
+    deals = top.select(F.col("order_id").alias("deal_id"), "segment", "region", "industry", "product",
+                       F.col("quantity").cast("int").alias("quantity"), _d("sales").alias("sales"),
+                       _d("discount").alias("discount"))
+    sw = MG.discount_sweep_model(MD.margin_model(spark, sf_dir), deals)
+    return sw.select("deal_id", "segment", "region", "deal_discount", "discount", "predicted_margin_rate")
+
+
 @register("at_risk_scored")
 def q_at_risk_scored(spark, sf_dir):
     return _at_risk_scored(spark, sf_dir)

@@ -502,9 +502,21 @@ SELECT count(*) AS rows_raw, count(*) FILTER (WHERE failed_rule IS NULL) AS rows
        count(DISTINCT CASE WHEN failed_rule IS NULL THEN (date_trunc('month', order_date), segment) END)
          AS rows_monthly,
        (SELECT string_agg(segment, '|' ORDER BY segment) FROM
-          (SELECT DISTINCT segment FROM typed WHERE failed_rule IS NULL)) AS segments
+          (SELECT DISTINCT segment FROM typed WHERE failed_rule IS NULL)) AS segments,
+       coalesce(bool_and(profit = 0) FILTER (WHERE failed_rule IS NULL), true) AS profit_all_zero,
+       -- 11 header renames + License synthesised, + the all-zero-profit warning
+       CAST(12 + (CASE WHEN coalesce(bool_and(profit = 0) FILTER (WHERE failed_rule IS NULL), true)
+                       THEN 1 ELSE 0 END) AS INTEGER) AS n_warnings,
+       CAST(CASE WHEN count(*) FILTER (WHERE failed_rule IS NULL) = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_errors
 FROM typed""", RAW_CTE, TYPED_CTE)
 
+ORACLE["transactions_page"] = with_tx(
+    "SELECT * FROM (SELECT order_id, order_date, customer, segment, region, product, sales, margin_pct, margin, "
+    "rn AS row_number, CAST(ceil(rn / 8.0) AS BIGINT) AS page, "
+    "CAST(greatest(1, ceil((SELECT count(*) FROM listing) / 8.0)) AS BIGINT) AS total_pages FROM ("
+    "SELECT *, row_number() OVER (ORDER BY " + _LIST_ORDER + ") AS rn FROM listing)) "
+    "WHERE page = least(greatest(100000, 1), total_pages)", LISTING_CTE)
+
 ORACLE["forecast_design"] = with_tx("""
 SELECT segment, month, CAST(t AS INTEGER) AS t_idx, CAST(n AS INTEGER) AS n_months,
        (round((y - ym) / (CASE WHEN ys < 1e-6 THEN 1.0 ELSE ys END), 6) + 0.0) AS y_s,
