@@ -45,6 +45,7 @@ class MarginParams:
     subsampling_rate: float = 0.8
     feature_subset: str = "0.8"
     min_instances: int = 10
+    max_bins: int = 32
     seed: int = 42
     test_fraction: float = 0.2
     min_rows: int = 100
@@ -226,7 +227,8 @@ def train_margin_model(tx: DataFrame, params: MarginParams = MarginParams()) ->
                        stepSize=params.step_size, maxDepth=params.max_depth,
                        subsamplingRate=params.subsampling_rate,
                        featureSubsetStrategy=params.feature_subset,
-                       minInstancesPerNode=params.min_instances, seed=params.seed, maxBins=64)
+                       minInstancesPerNode=params.min_instances, seed=params.seed,
+                       maxBins=params.max_bins)
     pipe_fit = lambda df: PipelineModel(stages=[_assembler(), gbt.fit(_assembler().transform(df))])
     train, test = data.randomSplit([1 - params.test_fraction, params.test_fraction], seed=params.seed)
     # the hold-out fit and the refit on all rows are independent: submit
