@@ -25,12 +25,13 @@ from revlens.functions import expressions as X
 from revlens.operators.ingest import MODEL_CATEGORICALS, deal_features
 from revlens.operators.quantiles import group_quantile, group_quantiles
 from revlens.operators.sequence import with_row_number
-from revlens.plans.joins import attach_one_row
+from revlens.plans.joins import attach_one_row, bounded_broadcast
 
 # Model feature order.
 FEATURES = ("quantity", "discount", "discount_x_quantity", "revenue_per_unit",
             "high_discount_flag_int", "segment_enc", "industry_enc", "region_enc", "product_enc")
 OOV_CODE = -1
+ENCODER_BROADCAST_ROWS = 1_000_000
 
 
 class MarginModelError(ValueError):
@@ -81,6 +82,9 @@ def encode(df: DataFrame, encoders: DataFrame, columns=MODEL_CATEGORICALS,
     for c in columns:
         enc = encoders.where(F.col("column") == c).select(F.col("value").alias(f"_{c}_v"),
                                                           F.col("code").alias(f"_{c}_code"))
+        # categorical classes are usually few: broadcast them when the row
+        # bound holds, otherwise both sides are shuffled on the value
+        enc = bounded_broadcast(enc, ENCODER_BROADCAST_ROWS)
         out = out.join(enc, out[c].cast("string") == enc[f"_{c}_v"], "left").drop(f"_{c}_v")
         known = F.col(f"_{c}_code").isNotNull()
         msgs.append(F.when(~known, F.format_string(f"Unknown {c} '%s' encoded as -1.",
