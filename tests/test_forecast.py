@@ -99,3 +99,18 @@ def test_global_and_alerting_inputs(spark):
     assert fvc["B"].trend_direction == "down" and fvc["A"].current_revenue == 200.0
     with pytest.raises(FC.ForecastError):
         FC.forecast_global(fc, segment="nope")
+
+
+def test_chart_time_ranges_keep_forecasts(spark):
+    from revlens.operators.explore import time_range
+    from revlens.plans.materialize import materialize
+    monthly = _monthly(spark, {"A": np.linspace(100, 200, 24)})
+    fc = FC.segment_forecast(FC.segment_models(monthly))
+    chart = materialize(FC.forecast_chart(monthly, fc, last=12), "chart")
+    assert chart.where("is_forecast").count() == 3 and chart.where("not is_forecast").count() == 12
+    r3 = time_range(chart, "3m")
+    assert r3.where("not is_forecast").count() == 3 and r3.where("is_forecast").count() == 3
+    ytd = time_range(chart, "ytd", year=2019)
+    assert ytd.where("not is_forecast").count() == 12
+    disp = FC.forecast_chart(monthly, fc, display=True).where("is_forecast").orderBy("step").collect()
+    assert [r.step for r in disp] == [1, 2, 3] and disp[0].sales == disp[1].sales   # 'A' has no growth factor
