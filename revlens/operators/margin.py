@@ -26,6 +26,7 @@ from revlens.operators.ingest import MODEL_CATEGORICALS, deal_features
 from revlens.operators.quantiles import group_quantile, group_quantiles
 from revlens.operators.sequence import with_row_number
 from revlens.plans.joins import attach_one_row, bounded_broadcast
+from revlens.session import checkpoint_dir
 
 # Model feature order.
 FEATURES = ("quantity", "discount", "discount_x_quantity", "revenue_per_unit",
@@ -136,8 +137,11 @@ def representative_deals(encoded: DataFrame, encoders: DataFrame) -> DataFrame:
     median revenue per unit, modal industry and product codes; combinations
     without rows fall back to the segment median quantity, the segment
     median revenue per unit and code 0."""
+    # The narrow projection is read three times (medians, two modes): write
+    # it once (reliable checkpoint) instead of re-running joins and encoders.
+    checkpoint_dir(encoded.sparkSession)
     base = encoded.select("segment", "region", F.col("quantity").cast("double").alias("quantity"),
-                          "revenue_per_unit", "industry_enc", "product_enc")
+                          "revenue_per_unit", "industry_enc", "product_enc").checkpoint(eager=True)
     keys = ["segment", "region"]
     # combination and segment-level medians in one ranking pass: each row is
     # counted once for its (segment, region) and once for its segment
