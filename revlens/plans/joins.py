@@ -35,9 +35,11 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner",
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Append the columns of a global aggregate (exactly one row, so the
-    broadcast is bounded) to every row of ``df`` via a constant-key join."""
-    k = "_one_row_key"
-    return (df.withColumn(k, F.lit(1))
-              .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k, "left")
-              .drop(k))
+    """Append the columns of a global aggregate (at most one row) to every
+    row of ``df``. The row is packed into one struct and read through a
+    scalar subquery: it is computed once and no join is planned. No rows
+    yields NULLs (like a left join)."""
+    cols = [c for c in one_row.columns if c not in df.columns]
+    packed = one_row.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_one_row")).scalar()
+    return df.withColumn("_one_row", packed).select(
+        *[F.col(f"`{c}`") for c in df.columns], *[F.col("_one_row").getField(c).alias(c) for c in cols])
