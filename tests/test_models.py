@@ -98,3 +98,20 @@ def test_context_packet_respects_budget_and_drops_deals_first(spark):
     import json
     js = json.loads(small.json)
     assert len(js["forecast"]["segments"]) == 3
+
+
+def test_rule_recovery_and_sweep_curve(spark):
+    deals = spark.createDataFrame([("Tech", "Enterprise API", "Enterprise", "Europe", 1000, 10000.0, 0.30),
+                                   ("Finance", "Basic", "SMB", "APAC", 0, 5000.0, 0.05)],
+                                  "industry string, product string, segment string, region string, quantity int, "
+                                  "sales double, discount double")
+    r = {x.industry: x for x in MG.rule_recovery(deals).collect()}
+    assert r["Tech"].safe_ceiling_pct == 27.0 and r["Tech"].cliff_pct == 42.0
+    assert abs(r["Tech"].recovery - 10000.0 * 3 / 100) < 1e-9
+    assert r["Finance"].safe_ceiling_pct == 9.0 and r["Finance"].recovery == 0.0
+    sw = {(x.industry, x.discount_pct): x for x in MG.discount_sweep(deals).collect()}
+    # Tech deal offset: -2.5 (Enterprise) + 1.5 (Europe) + 4.0 (Enterprise API) - 1.5 (1000 units) = 1.5
+    assert sw[("Tech", 0)].margin_pct == 29.5 and sw[("Tech", 10)].margin_pct == 17.5
+    assert sw[("Tech", 30)].margin_pct == 3.5 and sw[("Tech", 80)].margin_pct == -15.0
+    assert sw[("Tech", 35)].zone == "healthy" and sw[("Tech", 36)].zone == "danger"
+    assert len([k for k in sw if k[0] == "Finance"]) == 81
