@@ -32,6 +32,18 @@ def _path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows and bytes of an Arrow batch: texts are long, and a worker holds a batch whole.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+
+
+def small_arrow_batches(spark: SparkSession) -> None:
+    """Lower Spark's rows and bytes per Arrow batch for this session if they are more."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that
     survives lost executors and fixes what a later reader sees."""

@@ -34,7 +34,7 @@ END_ID = 1
 #: Words whose ids a worker remembers; others are encoded when met.
 REMEMBERED_WORDS = 500_000
 #: Rounds of multiplicative weights for one linear program.
-ROUNDS = 160
+ROUNDS = 96
 #: How strongly a covered length loses price.
 ETA = 2.0
 
@@ -64,21 +64,43 @@ class WordEncoder:
         whole = b"".join(self._ids(["ab", "1", "cd", "1"]))
         self.joins = len(self.mark) == 4 and np.array(probe, dtype="<u4").tobytes() == whole
         self.closing = {c: self._ids([c])[0] for c in ",."} if b"".join(self._ids(["ab", ","])) == self._ids(["ab,"])[0] else {}
+        self.letters = self._for_letters()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _for_letters(self):
+        """The same vocabulary without the steps that leave lower-case ASCII
+        letters between blanks as they are."""
+        import json
 
-    def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each word with its ids."""
-        plain = [w for w in words if "1" not in w and "<" not in w and len(w) <= 64] if self.joins else []
-        rest = set(words).difference(plain)
-        groups = [plain[k : k + 400] for k in range(0, len(plain), 400)]
-        for group, ids in zip(groups, self._ids([" 1 ".join(g) for g in groups]), strict=True):
-            cuts = (np.flatnonzero(np.frombuffer(ids, dtype="<u4") == np.frombuffer(self.mark, dtype="<u4")[0]) * 4).tolist()
+        from tokenizers import Tokenizer
+
+        settings = json.loads(self.tokenizer.to_str())
+        steps = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if [x["type"] for x in steps] != ["Split", "ByteLevel"] or not self.joins:
+            return None
+        settings |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        return Tokenizer.from_str(json.dumps(settings))
+
+    def _ids(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, words: list[str], tokenizer=None) -> Iterator[tuple[str, bytes]]:
+        groups = [words[k : k + 400] for k in range(0, len(words), 400)]
+        mark = np.frombuffer(self.mark, dtype="<u4")
+        for group, ids in zip(groups, self._ids([" 1 ".join(g) for g in groups], tokenizer), strict=True):
+            cuts = (np.flatnonzero(np.frombuffer(ids, dtype="<u4") == mark) * 4).tolist()
             at = 0
             for w, cut in zip(group, [*cuts, len(ids)], strict=True):
                 yield w, ids[at:cut]
                 at = cut + 4
+
+    def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with its ids."""
+        letters = [w for w in words if w.isascii() and w.isalpha() and w.islower() and len(w) <= 64] if self.letters else []
+        rest = set(words).difference(letters)
+        plain = [w for w in rest if "1" not in w and "<" not in w and len(w) <= 64] if self.joins else []
+        rest.difference_update(plain)
+        yield from self._joined(letters, self.letters)
+        yield from self._joined(plain)
         yield from zip(rest, self._ids(list(rest)), strict=True)
 
     def encode(self, texts: list[str], end_id: int | None) -> list[bytes]:
@@ -94,9 +116,11 @@ class WordEncoder:
         for w, stem in stems.items():
             ids = (known[stem] if stem in known else extra[stem]) + closing[w[-1]]
             (known if len(known) < REMEMBERED_WORDS and len(w) <= 64 else extra)[w] = ids
-        if extra:
-            return [b"".join([known[w] if w in known else extra[w] for w in ws]) + end for ws in words]
-        return [b"".join([known[w] for w in ws]) + end for ws in words]
+        known.update(extra)  # for this batch
+        out = [b"".join(map(known.__getitem__, ws)) + end for ws in words]
+        for w in extra:
+            del known[w]
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -170,7 +194,7 @@ def plan_sequences(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPA
     for i in np.flatnonzero(full & (left > 0)):
         out.append((lengths[i : i + 1], np.ones(1, dtype=np.int64), int(left[i])))
         left[i] = 0
-    for _ in range(4):
+    for _ in range(2):
         live = np.flatnonzero(left > 0)
         if len(live) == 0 or left[live].max() < 2:
             break

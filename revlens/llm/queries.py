@@ -8,17 +8,26 @@ brute force in ``tests/llm``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revlens.llm import fingerprints, mixing, packing, sharding
+from revlens.llm import fingerprints, linedup, lm, mixing, packing, pivots, quality, sharding, simhash, suffixes
+from revlens.llm.common import small_arrow_batches
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    """Register a query, with Arrow batches that suit whole texts."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_arrow_batches(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +64,45 @@ def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likeness."""
     rows = fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every text and the smallest id within linked fingerprints."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3, seed=42)
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every text, without lines that an earlier one has."""
+    rows = linedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", F.size("deleted").alias("n_removed"), "deleted", "text")
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text, learned from rows not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    rows = quality.score(docs, net)
+    return rows.select("doc_id", (quality.held_out_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+                       F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 200-byte strings that come again."""
+    rows = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("firsts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op2_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.93 and more between vectors of equal label."""
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+@query
+def op9_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every whole text."""
+    return lm.score(table(spark, sf_dir, "documents"), parts=10)
