@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions import expressions as X
@@ -35,9 +35,8 @@ def listing(tx: DataFrame) -> DataFrame:
 
 def preview(tx: DataFrame, n: int = 100) -> DataFrame:
     """Total row count plus the first n rows in LISTING_ORDER.
-    ``orderBy.limit`` is a TakeOrderedAndProject (per-task top-n), the count
-    is a global aggregate; the one-row count is attached with a join on a
-    constant key, so no step collects to the driver."""
+    ``orderBy.limit`` is a TakeOrderedAndProject (per-task top-n); the count
+    is a global aggregate of its own scan, read as a scalar subquery."""
     rows = listing(tx)
     top = rows.orderBy(*[F.col(c).asc_nulls_first() for c in LISTING_ORDER], "margin_pct").limit(n)
     total = tx.agg(F.count(F.lit(1)).alias("total_count"))
@@ -55,21 +54,42 @@ def search(tx: DataFrame, term: str, segment: str | None = None) -> DataFrame:
     return tx.where(cond)
 
 
-def page(df: DataFrame, order_by: list, number: int | None = None, size: int = 12) -> DataFrame:
-    """Page slicing. With ``number`` the page is clamped to
+def page(df: DataFrame, order_by: list[str], number: int | None = None, size: int = 12) -> DataFrame:
+    """Page slicing in ascending order of the columns ``order_by`` (nulls
+    first). With ``number`` the page is clamped to
     [1, total_pages] and only its rows are returned; without it every row
-    gets its page number (total_pages = max(1, ceil(n / size))). Row numbers
-    come from ``with_row_number`` (range-partitioned sort + partition offsets),
-    never from a single-partition window."""
-    numbered = with_row_number(df, order_by, name="row_number")
+    gets its page number (total_pages = max(1, ceil(n / size))).
+
+    One page needs a count and a top-k: ``orderBy().limit()`` from the nearer
+    end, then ``offset``; rows aren't numbered or shuffled. All pages need row
+    numbers, which come from ``with_row_number`` (range-partitioned sort and
+    partition offsets), never from a single-partition window."""
+    if number is not None:
+        n = df.count()
+        pages = max(1, -(-n // size))
+        wanted = min(max(number, 1), pages)
+        skip, rows = (wanted - 1) * size, min(size, n - (wanted - 1) * size)
+        from_end = n - skip
+        if skip <= from_end:
+            top = df.orderBy(*[_asc(c) for c in order_by]).limit(skip + rows).offset(skip)
+        else:
+            top = df.orderBy(*[_reversed(c) for c in order_by]).limit(from_end).offset(from_end - rows)
+        w = Window.orderBy(*[_asc(c) for c in order_by])  # one page
+        return (top.withColumn("row_number", (F.row_number().over(w) + F.lit(skip)).cast("long"))
+                   .withColumn("page", F.lit(wanted).cast("long")).withColumn("total_pages", F.lit(pages).cast("long")))
+    numbered = with_row_number(df, [_asc(c) for c in order_by], name="row_number")
     numbered = numbered.withColumn("page", F.ceil(F.col("row_number") / F.lit(size)).cast("long"))
     total = numbered.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(size))).cast("long")
                          .alias("total_pages"))
-    numbered = attach_one_row(numbered, total)
-    if number is None:
-        return numbered
-    clamped = F.least(F.greatest(F.lit(number), F.lit(1)), F.col("total_pages"))
-    return numbered.where(F.col("page") == clamped)
+    return attach_one_row(numbered, total)
+
+
+def _asc(c: str):
+    return F.col(c).asc_nulls_first()
+
+
+def _reversed(c: str):
+    return F.col(c).desc_nulls_last()
 
 
 # Chart time ranges (number of history months; None = all).

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions import expressions as X
+from revlens.plans.materialize import materialize
 
 # Model constants.
 N_FOURIER = 3
@@ -44,6 +45,7 @@ class ForecastParams:
     min_months: int = MIN_MONTHS
     z: float = Z_95
     periods: int = 3
+    calendar: bool = False   # time index by calendar month, so gaps count
 
 
 def feature_columns(t: Column) -> list[Column]:
@@ -57,8 +59,9 @@ def feature_columns(t: Column) -> list[Column]:
 
 def forecast_design(monthly: DataFrame, params: ForecastParams = ForecastParams(),
                     key: str = "segment", value: str = "sales") -> DataFrame:
-    """Positional time index per segment (month gaps collapse),
-    series length T, features, target standardised by the full-series mean
+    """Positional time index per segment (month gaps collapse;
+    with ``params.calendar`` the months since the segment's first one), series
+    length T, features, target standardised by the full-series mean
     and population std (std < 1e-6 -> 1), and the hold-out flag for the last
     min(holdout, T div 3) positions."""
     w = Window.partitionBy(key).orderBy("month")
@@ -72,6 +75,9 @@ def forecast_design(monthly: DataFrame, params: ForecastParams = ForecastParams(
     d = d.withColumn("y_s", (F.col("y") - F.col("y_mean")) / F.col("y_std"))
     hold = F.least(F.lit(params.holdout), F.floor(F.col("n_months") / 3).cast("int"))
     d = d.withColumn("is_train", F.col("t_idx") < F.col("n_months") - hold)
+    if params.calendar:
+        since = F.round(F.months_between("month", F.min("month").over(wall))).cast("int")
+        d = d.withColumn("t_idx", since).withColumn("n_months", F.max("t_idx").over(wall) + 1)
     t = F.col("t_idx").cast("double")
     return d.select(key, "month", "t_idx", "n_months", "y", "y_mean", "y_std", "y_s", "is_train",
                     *feature_columns(t))
@@ -145,8 +151,8 @@ def _predict_s(coef_df: DataFrame, design: DataFrame, key: str) -> DataFrame:
 def segment_models(monthly: DataFrame, params: ForecastParams = ForecastParams(), key: str = "segment") -> DataFrame:
     """One row per segment: full-fit coefficients, hold-out R2 (3 dp),
     residual population std (scaled units), mean/std, T and last month."""
-    design = forecast_design(monthly, params, key).persist()
-    co = fit(design, params, key).persist()
+    design = materialize(forecast_design(monthly, params, key), "design")
+    co = materialize(fit(design, params, key), "coefficients")
     train = co.where(F.col("split") == "train").select(key, "coef", "intercept")
     full = co.where(F.col("split") == "full").select(key, "coef", "intercept")
     hold = _predict_s(train, design.where(~F.col("is_train")), key)
@@ -221,16 +227,17 @@ DISPLAY_GROWTH = {"Enterprise": 0.02, "SMB": 0.01, "Strategic": 0.03}
 
 
 def forecast_chart(monthly: DataFrame, fc: DataFrame, last: int = 12, key: str = "segment",
-                   display: bool = False) -> DataFrame:
+                   display: bool = False, growth: dict[str, float] | None = None) -> DataFrame:
     """Last n history months plus the forecast steps, flagged.
     ``display=True`` reproduces the reference chart: the first-step forecast
-    grown by a per-segment factor (1 + g * i) instead of the real steps."""
+    grown by a per-segment factor (1 + g * i), of the table ``growth``, instead
+    of the real steps."""
     from revlens.operators.rollups import last_months
     hist = last_months(monthly, last).select(key, "month", F.col("sales").cast("double").alias("sales"),
                                              F.lit(False).alias("is_forecast"), F.lit(0).alias("step"))
     if display:
         first = fc.where(F.col("step") == 1).select(key, "month", "yhat")
-        g = _growth(F.col(key))
+        g = _growth(F.col(key), DISPLAY_GROWTH if growth is None else growth)
         fut = (first.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(3))))
                     .select(key, F.add_months("month", F.col("step") - 1).alias("month"),
                             (F.col("yhat") * (1 + g * (F.col("step") - 1))).alias("sales"),
@@ -240,8 +247,8 @@ def forecast_chart(monthly: DataFrame, fc: DataFrame, last: int = 12, key: str =
     return hist.unionByName(fut)
 
 
-def _growth(c: Column) -> Column:
-    expr = None
-    for k, v in DISPLAY_GROWTH.items():
-        expr = F.when(c == k, F.lit(v)) if expr is None else expr.when(c == k, F.lit(v))
-    return expr.otherwise(F.lit(0.0))
+def _growth(c: Column, table: dict[str, float]) -> Column:
+    expr = F.lit(0.0)
+    for k, v in table.items():
+        expr = F.when(c == k, F.lit(v)).otherwise(expr)
+    return expr

@@ -11,28 +11,25 @@ Python loop of single-row predictions.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions import expressions as X
 from revlens.operators.ingest import MODEL_CATEGORICALS, deal_features
-from revlens.operators.quantiles import group_quantile, group_quantiles
-from revlens.operators.sequence import with_row_number
-from revlens.plans.joins import attach_one_row, bounded_broadcast
-from revlens.session import checkpoint_dir
+from revlens.operators.quantiles import group_quantile
+from revlens.plans.joins import attach_one_row, small_table
+from revlens.plans.materialize import materialize
 
 # Model feature order.
 FEATURES = ("quantity", "discount", "discount_x_quantity", "revenue_per_unit",
             "high_discount_flag_int", "segment_enc", "industry_enc", "region_enc", "product_enc")
 OOV_CODE = -1
-ENCODER_BROADCAST_ROWS = 1_000_000
 
 
 class MarginModelError(ValueError):
@@ -60,32 +57,28 @@ class MarginParams:
 # ---------------------------------------------------------------- M8 / J4
 def fit_encoders(tx: DataFrame, columns=MODEL_CATEGORICALS) -> DataFrame:
     """M8: (column, value, code) with codes 0..n-1 in alphabetical order per
-    column. Distinct values are numbered with a distributed sequence (no
-    single-task window), then shifted by each column's first number."""
+    column; NULL is no class (``deal_features`` fills it first). The table
+    holds the classes only, so one sort per column is enough; it is written
+    once, as every encoding joins it."""
     # one scan: every row contributes one (column, value) pair per column
     pairs = tx.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("_p"))
-    distinct = pairs.select("_p.column", "_p.value").distinct()
-    numbered = with_row_number(distinct, ["column", "value"], name="_rn")
-    first = numbered.groupBy("column").agg(F.min("_rn").alias("_first"))
-    return (numbered.join(F.broadcast(first), "column")
-                    .select("column", "value", (F.col("_rn") - F.col("_first")).cast("int").alias("code")))
+    distinct = pairs.select("_p.column", "_p.value").where(F.col("value").isNotNull()).distinct()
+    code = F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1
+    return small_table(distinct.select("column", "value", code.cast("int").alias("code")), "encoders")
 
 
 def encode(df: DataFrame, encoders: DataFrame, columns=MODEL_CATEGORICALS,
            warn: bool = True) -> DataFrame:
     """Add ``<col>_enc`` per column (unknown / NULL -> -1) and a
     ``warnings`` array naming each unknown value. One left join per column
-    against that column's slice of the encoder table (small; AQE broadcasts
-    it when it fits the threshold)."""
+    against that column's slice of the written encoder table, which carries a
+    broadcast hint if its bytes are few (``fit_encoders``)."""
     out = df
     msgs = []
     for c in columns:
         enc = encoders.where(F.col("column") == c).select(F.col("value").alias(f"_{c}_v"),
                                                           F.col("code").alias(f"_{c}_code"))
-        # categorical classes are usually few: broadcast them when the row
-        # bound holds, otherwise both sides are shuffled on the value
-        enc = bounded_broadcast(enc, ENCODER_BROADCAST_ROWS)
         out = out.join(enc, out[c].cast("string") == enc[f"_{c}_v"], "left").drop(f"_{c}_v")
         known = F.col(f"_{c}_code").isNotNull()
         msgs.append(F.when(~known, F.format_string(f"Unknown {c} '%s' encoded as -1.",
@@ -100,12 +93,13 @@ def encode(df: DataFrame, encoders: DataFrame, columns=MODEL_CATEGORICALS,
 # ---------------------------------------------------------------- A4 / J3
 def median_rev_per_unit(tx: DataFrame) -> DataFrame:
     """A4: exact median revenue per unit per segment, plus the global median
-    as a row with segment NULL."""
-    # one ranking pass: every row counts for its segment and for the global
-    # group (segment key NULL)
-    f = tx.select(F.explode(F.array(F.col("segment"), F.lit(None).cast("string"))).alias("segment"),
-                  X.revenue_per_unit("sales", "quantity").alias("rpu"))
-    return group_quantile(f, ["segment"], "rpu", out="median_revenue_per_unit")
+    as a row with segment NULL. Only the two columns needed are written, and
+    read by the quantiles' passes."""
+    f = materialize(tx.select("segment", X.revenue_per_unit("sales", "quantity").alias("rpu")), "rpu")
+    out = "median_revenue_per_unit"
+    known = f.where(F.col("segment").isNotNull())
+    every = group_quantile(f, [], "rpu", out=out).select(F.lit(None).cast("string").alias("segment"), out)
+    return small_table(group_quantile(known, ["segment"], "rpu", out=out).unionByName(every), "medians")
 
 
 def impute_rev_per_unit(deals: DataFrame, medians: DataFrame) -> DataFrame:
@@ -137,26 +131,17 @@ def representative_deals(encoded: DataFrame, encoders: DataFrame) -> DataFrame:
     median revenue per unit, modal industry and product codes; combinations
     without rows fall back to the segment median quantity, the segment
     median revenue per unit and code 0."""
-    # The narrow projection is read three times (medians, two modes): write
-    # it once (reliable checkpoint) instead of re-running joins and encoders.
-    checkpoint_dir(encoded.sparkSession)
-    base = encoded.select("segment", "region", F.col("quantity").cast("double").alias("quantity"),
-                          "revenue_per_unit", "industry_enc", "product_enc").checkpoint(eager=True)
+    # The narrow projection is read by the passes of the medians and by the
+    # modes: write it once instead of re-running joins and encoders.
+    base = materialize(encoded.select("segment", "region", F.col("quantity").cast("double").alias("quantity"),
+                                      "revenue_per_unit", "industry_enc", "product_enc"), "representatives")
     keys = ["segment", "region"]
-    # combination and segment-level medians in one ranking pass: each row is
-    # counted once for its (segment, region) and once for its segment
-    # (region key NULL), for both measures.
-    lv = base.select("segment", F.explode(F.array(F.col("region"), F.lit(None).cast("string"))).alias("region"),
-                     "quantity", "revenue_per_unit")
-    med = group_quantiles(lv, keys, {"med_quantity": "quantity", "med_rpu": "revenue_per_unit"})
-    med_c = med.where(F.col("region").isNotNull())
-    med_s = med.where(F.col("region").isNull()).select(
-        "segment", F.col("med_quantity").alias("seg_quantity"), F.col("med_rpu").alias("seg_rpu"))
-    mode_i = _mode_code(base, keys, "industry_enc", "industry_enc")
-    mode_p = _mode_code(base, keys, "product_enc", "product_enc")
-    grid = combo_grid(encoders)
-    rep = (grid.join(med_c, keys, "left").join(mode_i, keys, "left").join(mode_p, keys, "left")
-               .join(med_s, "segment", "left"))
+    rep = combo_grid(encoders)
+    for level, pre in ((keys, "med"), (["segment"], "seg")):
+        for col, short in (("quantity", "quantity"), ("revenue_per_unit", "rpu")):
+            rep = rep.join(group_quantile(base, level, col, out=f"{pre}_{short}"), level, "left")
+    for code in ("industry_enc", "product_enc"):
+        rep = rep.join(_mode_code(base, keys, code, code), keys, "left")
     return rep.select(
         "segment", "region", "segment_enc", "region_enc",
         F.coalesce("med_quantity", "seg_quantity").alias("quantity"),
@@ -199,61 +184,87 @@ def ceiling_grid(reps: DataFrame, params: MarginParams = MarginParams()) -> Data
 # ---------------------------------------------------------------- M9
 @dataclass
 class MarginModel:
+    """A predictor (anything with ``transform``) and its small tables. The
+    hold-out metrics need a fit of their own and are made when first asked."""
     model: PipelineModel
     encoders: DataFrame
     medians: DataFrame
-    r2: float
-    mae: float
     importances: list[tuple[str, float]]
+    metrics: dict = field(default_factory=dict)
+    measure: object = None
+
+    def _metric(self, name: str) -> float:
+        if name not in self.metrics and self.measure is not None:
+            self.metrics.update(self.measure())
+        return self.metrics[name]
+
+    @property
+    def r2(self) -> float:
+        return self._metric("r2")
+
+    @property
+    def mae(self) -> float:
+        return self._metric("mae")
 
 
 def _assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
 
 
-def training_frame(tx: DataFrame, encoders: DataFrame, params: MarginParams = MarginParams()) -> DataFrame:
+# Rows of a training partition; their number follows the rows, not the cores.
+TRAIN_ROWS_PER_PARTITION = 50_000
+
+
+def _prepared(tx: DataFrame, params: MarginParams):
+    """Encoders and the written training frame, with the hold-out flag. The
+    split and the partitioning follow a hash of the row, so results don't
+    depend on the cluster's size."""
     feats = deal_features(tx, params.high_discount)
+    encoders = fit_encoders(feats)
     enc = encode(feats, encoders, warn=False)
     cols = [F.col(c).cast("double").alias(c) for c in FEATURES]
-    return enc.select(*cols, F.col("margin_rate").cast("double").alias("label")).where(F.col("label").isNotNull())
+    data = enc.select(*cols, F.col("margin_rate").cast("double").alias("label")).where(F.col("label").isNotNull())
+    data = data.withColumn("_h", F.xxhash64(F.lit(params.seed), *FEATURES, "label"))
+    data = data.withColumn("_test", F.pmod("_h", F.lit(1000)) < F.lit(int(1000 * params.test_fraction)))
+    return encoders, materialize(data, "training")
+
+
+def _dealt(data: DataFrame) -> DataFrame:
+    n = max(1, -(-data.count() // TRAIN_ROWS_PER_PARTITION))
+    return data.repartition(n, "_h").sortWithinPartitions("_h", *FEATURES, "label").drop("_h", "_test")
 
 
 def train_margin_model(tx: DataFrame, params: MarginParams = MarginParams()) -> MarginModel:
-    """M9: 80/20 split (seed) for hold-out R2/MAE, then refit on all rows."""
-    encoders = fit_encoders(tx).persist()
-    data = training_frame(tx, encoders, params)
-    # Tree training is CPU bound and runs one task per partition per level:
-    # if AQE coalesced the input below the cluster's parallelism, spread it.
-    par = data.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() < par:
-        data = data.repartition(par)
-    data = data.persist()
+    """M9: the model is fitted on all rows; hold-out R2/MAE come from a second
+    fit on 80 % of them, made when they are asked for."""
+    encoders, data = _prepared(tx, params)
     n = data.count()
     if n < params.min_rows:
         raise MarginModelError(f"need >= {params.min_rows} rows to train, got {n}")
-    gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=params.max_iter,
-                       stepSize=params.step_size, maxDepth=params.max_depth,
-                       subsamplingRate=params.subsampling_rate,
-                       featureSubsetStrategy=params.feature_subset,
-                       minInstancesPerNode=params.min_instances, seed=params.seed,
-                       maxBins=params.max_bins)
-    pipe_fit = lambda df: PipelineModel(stages=[_assembler(), gbt.fit(_assembler().transform(df))])
-    train, test = data.randomSplit([1 - params.test_fraction, params.test_fraction], seed=params.seed)
-    # the hold-out fit and the refit on all rows are independent: submit
-    # both at once so their (many, small) per-level jobs share the executors
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        f_hold, f_all = pool.submit(pipe_fit, train), pool.submit(pipe_fit, data)
-        holdout, model = f_hold.result(), f_all.result()
-    pred = holdout.transform(test)
-    ev = RegressionEvaluator(labelCol="label", predictionCol="prediction")
-    r2 = ev.setMetricName("r2").evaluate(pred)
-    mae = ev.setMetricName("mae").evaluate(pred)
+
+    def fit(rows: DataFrame) -> PipelineModel:
+        gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=params.max_iter,
+                           stepSize=params.step_size, maxDepth=params.max_depth,
+                           subsamplingRate=params.subsampling_rate,
+                           featureSubsetStrategy=params.feature_subset,
+                           minInstancesPerNode=params.min_instances, seed=params.seed,
+                           maxBins=params.max_bins)
+        held = _assembler().transform(_dealt(rows)).select("features", "label").persist()
+        try:
+            return PipelineModel(stages=[_assembler(), gbt.fit(held)])
+        finally:
+            held.unpersist()
+
+    def measure() -> dict:
+        holdout = fit(data.where(~F.col("_test")))
+        pred = holdout.transform(data.where(F.col("_test")))
+        ev = RegressionEvaluator(labelCol="label", predictionCol="prediction")
+        return {k: round(ev.setMetricName(k).evaluate(pred), 4) for k in ("r2", "mae")}
+
+    model = fit(data)
     gbm: GBTRegressionModel = model.stages[-1]
     imp = sorted(zip(FEATURES, gbm.featureImportances.toArray().tolist()), key=lambda t: (-t[1], t[0]))
-    medians = median_rev_per_unit(tx).persist()
-    data.unpersist()
-    return MarginModel(model=model, encoders=encoders, medians=medians, r2=round(r2, 4),
-                       mae=round(mae, 4), importances=imp)
+    return MarginModel(model=model, encoders=encoders, medians=median_rev_per_unit(tx), importances=imp, measure=measure)
 
 
 def predict(model: MarginModel, feats: DataFrame) -> DataFrame:
@@ -287,7 +298,7 @@ def score_deals(model: MarginModel, deals: DataFrame, ceilings: DataFrame | None
     never fail the batch: problems become entries of ``warnings``."""
     rp = impute_rev_per_unit(deals, model.medians)
     imputed_msg = F.when(F.col("rpu_imputed"), F.format_string(
-        "revenue_per_unit not provided - using segment median (%.2f).", F.col("revenue_per_unit")))
+        "No revenue per unit given; the segment's median of %.2f stands in.", F.col("revenue_per_unit")))
     rp = rp.withColumn("warnings", F.array_compact(F.array(imputed_msg)))
     q, d = F.col("quantity").cast("double"), F.col("discount").cast("double")
     rp = (rp.withColumn("discount_x_quantity", d * q)
@@ -324,55 +335,59 @@ def feature_importances(model: MarginModel, spark, top: int = 3) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M17 / M18 / M19
-# Rule-based safe-ceiling table (discount in percent).
-RULE_BASE_CEILING = 15.0
-RULE_INDUSTRY_CEILING = {"Tech": 22.0, "Finance": 12.0, "Healthcare": 18.0}
-RULE_PRODUCT_ADJUST = {"Enterprise API": 5.0, "Basic": -3.0}
-RULE_CLIFF_GAP = 15.0
+@dataclass(frozen=True)
+class RuleTables:
+    """The rule-based curves as data: what a value of a column adds. Pass
+    other tables to use other names of industries, products, ...
+
+    Fixed values: the defaults (percent; percentage points for offsets)."""
+    base_ceiling: float = 15.0
+    cliff_gap: float = 15.0
+    industry_ceiling: dict = field(default_factory=lambda: {"Tech": 22.0, "Finance": 12.0, "Healthcare": 18.0})
+    product_adjust: dict = field(default_factory=lambda: {"Enterprise API": 5.0, "Basic": -3.0})
+    segment_offset: dict = field(default_factory=lambda: {"Enterprise": -2.5, "Small Business": 1.0})
+    region_offset: dict = field(default_factory=lambda: {"Europe": 1.5, "APAC": -1.0})
+    product_offset: dict = field(default_factory=lambda: {"Enterprise API": 4.0, "Basic": -2.0})
+    volume_slope: float = -1.5  # per 1000 units
+    cliff_pct: float = 35.0
+    # pieces of the margin curve: up to this discount, margin at its start, loss per point
+    pieces: tuple = ((10, 28.0, 1.2), (25, 16.0, 0.8), (40, 4.0, 0.4), (None, -2.0, 0.5))
+    floor: float = -15.0
 
 
 def _lookup(col, table: dict, default):
-    expr = None
+    expr = F.lit(default)
     for k, v in table.items():
-        expr = F.when(col == k, F.lit(v)) if expr is None else expr.when(col == k, F.lit(v))
-    return expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
+        expr = F.when(col == k, F.lit(v)).otherwise(expr)
+    return expr
 
 
-def rule_recovery(deals: DataFrame) -> DataFrame:
-    """Rule ceiling (percent) per deal, cliff = ceiling + 15, recovery
+def rule_recovery(deals: DataFrame, rules: RuleTables = RuleTables()) -> DataFrame:
+    """Rule ceiling (percent) per deal, cliff = ceiling + gap, recovery
     = sales * max(0, discount% - ceiling) / 100."""
-    ceiling = _lookup(F.col("industry"), RULE_INDUSTRY_CEILING, RULE_BASE_CEILING) + \
-        _lookup(F.col("product"), RULE_PRODUCT_ADJUST, 0.0)
-    disc_pct = F.col("discount").cast("double") * 100
+    ceiling = _lookup(F.col("industry"), rules.industry_ceiling, rules.base_ceiling) + \
+        _lookup(F.col("product"), rules.product_adjust, 0.0)
+    over = F.col("discount").cast("double") * 100 - F.col("safe_ceiling_pct")
     return (deals.withColumn("safe_ceiling_pct", ceiling)
-                 .withColumn("cliff_pct", F.col("safe_ceiling_pct") + RULE_CLIFF_GAP)
-                 .withColumn("recovery", F.col("sales").cast("double")
-                             * F.greatest(F.lit(0.0), disc_pct - F.col("safe_ceiling_pct")) / 100))
-
-
-# Margin-curve offsets (percentage points) and curve pieces.
-SWEEP_SEGMENT_OFFSET = {"Enterprise": -2.5, "Small Business": 1.0}
-SWEEP_REGION_OFFSET = {"Europe": 1.5, "APAC": -1.0}
-SWEEP_PRODUCT_OFFSET = {"Enterprise API": 4.0, "Basic": -2.0}
-SWEEP_VOLUME_SLOPE = -1.5     # per 1000 units
-SWEEP_CLIFF_PCT = 35
+                 .withColumn("cliff_pct", F.col("safe_ceiling_pct") + rules.cliff_gap)
+                 .withColumn("recovery", F.col("sales").cast("double") * F.greatest(F.lit(0.0), over) / 100))
 
 
-def discount_sweep(deals: DataFrame, max_pct: int = 80, cliff_pct: float = SWEEP_CLIFF_PCT) -> DataFrame:
+def discount_sweep(deals: DataFrame, max_pct: int = 80, rules: RuleTables = RuleTables()) -> DataFrame:
     """Per deal the rule-based margin (percent, 1 dp) at every discount
     0..max_pct and its zone (danger above the cliff)."""
-    o = (_lookup(F.col("segment"), SWEEP_SEGMENT_OFFSET, 0.0)
-         + _lookup(F.col("region"), SWEEP_REGION_OFFSET, 0.0)
-         + _lookup(F.col("product"), SWEEP_PRODUCT_OFFSET, 0.0)
-         + F.col("quantity").cast("double") / 1000 * SWEEP_VOLUME_SLOPE)
+    o = (_lookup(F.col("segment"), rules.segment_offset, 0.0)
+         + _lookup(F.col("region"), rules.region_offset, 0.0)
+         + _lookup(F.col("product"), rules.product_offset, 0.0)
+         + F.col("quantity").cast("double") / 1000 * rules.volume_slope)
     d = F.col("discount_pct").cast("double")
-    margin = (F.when(d <= 10, 28 + o - d * 1.2)
-               .when(d <= 25, 16 + o - (d - 10) * 0.8)
-               .when(d <= 40, 4 + o - (d - 25) * 0.4)
-               .otherwise(F.greatest(F.lit(-15.0), -2 + o - (d - 40) * 0.5)))
+    begins = [0, *[p[0] for p in rules.pieces[:-1]]]
+    margin = F.greatest(F.lit(rules.floor), F.lit(rules.pieces[-1][1]) + o - (d - begins[-1]) * rules.pieces[-1][2])
+    for start, (upto, at_start, slope) in reversed(list(zip(begins, rules.pieces))[:-1]):
+        margin = F.when(d <= upto, F.lit(at_start) + o - (d - start) * slope).otherwise(margin)
     return (deals.withColumn("discount_pct", F.explode(F.sequence(F.lit(0), F.lit(max_pct))))
                  .withColumn("margin_pct", F.round(margin, 1))
-                 .withColumn("zone", F.when(d > cliff_pct, "danger").otherwise("healthy")))
+                 .withColumn("zone", F.when(d > rules.cliff_pct, "danger").otherwise("healthy")))
 
 
 def discount_sweep_model(model: "MarginModel", deals: DataFrame, params: MarginParams = MarginParams()) -> DataFrame:

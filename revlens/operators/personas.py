@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from revlens.functions import expressions as X
 from revlens.operators.rollups import customer_profiles
 from revlens.plans.joins import attach_one_row
+from revlens.plans.materialize import materialize
 
 PROFILE_FEATURES = ("sales", "margin_rate", "discount")
 
@@ -44,9 +45,18 @@ class PersonaParams:
 def standardize(profiles: DataFrame, features=PROFILE_FEATURES) -> DataFrame:
     """(x - mean) / population std per feature (std 0 -> 1), from one global
     aggregate attached to every row."""
-    stats = profiles.agg(*[F.avg(f).alias(f"_m_{f}") for f in features],
-                         *[F.stddev_pop(f).alias(f"_s_{f}") for f in features])
-    out = attach_one_row(profiles, stats)
+    return scale(profiles, scaling_of(profiles, features), features)
+
+
+def scaling_of(profiles: DataFrame, features=PROFILE_FEATURES) -> DataFrame:
+    """One row: mean and population std of each feature."""
+    return profiles.agg(*[F.avg(f).alias(f"_m_{f}") for f in features],
+                        *[F.stddev_pop(f).alias(f"_s_{f}") for f in features])
+
+
+def scale(profiles: DataFrame, scaling: DataFrame, features=PROFILE_FEATURES) -> DataFrame:
+    """Apply a scaling row to profiles."""
+    out = attach_one_row(profiles, scaling)
     for f in features:
         s = F.when(F.col(f"_s_{f}") > 0, F.col(f"_s_{f}")).otherwise(F.lit(1.0))
         out = out.withColumn(f"z_{f}", (F.col(f).cast("double") - F.col(f"_m_{f}")) / s)
@@ -54,16 +64,20 @@ def standardize(profiles: DataFrame, features=PROFILE_FEATURES) -> DataFrame:
 
 
 def cluster_customers(tx: DataFrame, params: PersonaParams = PersonaParams()):
-    """Returns (clustered profiles with ``cluster``, silhouette).
+    """Returns (clustered profiles with ``cluster``, silhouette,
+    (k-means model, scaling row)). Profiles are written once, as every restart
+    reads them.
     Silhouette is MLlib's ClusteringEvaluator (squared Euclidean, linear in
     the number of customers) - the exact Euclidean form needs all pairs."""
-    prof = customer_profiles(tx).withColumn("sales", F.col("sales").cast("double"))
+    prof = materialize(customer_profiles(tx).withColumn("sales", F.col("sales").cast("double")), "profiles")
     n = prof.count()
     if n < params.min_customers:
         raise SegmentationError(f"need >= {params.min_customers} customers, got {n}")
-    z = standardize(prof)
+    scaling = materialize(scaling_of(prof), "scaling")
+    z = scale(prof, scaling)
     vec = VectorAssembler(inputCols=[f"z_{f}" for f in PROFILE_FEATURES], outputCol="features").transform(z)
     vec = vec.persist()
+
     def fit_one(i):
         km = KMeans(k=params.k, seed=params.seed + i, maxIter=params.max_iter, tol=params.tol,
                     featuresCol="features", predictionCol="cluster")
@@ -76,14 +90,15 @@ def cluster_customers(tx: DataFrame, params: PersonaParams = PersonaParams()):
     model = min(fits, key=lambda t: (t[0], t[1]))[2]
     out = model.transform(vec)
     sil = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(out)
-    return out.drop("features").withColumn("cluster", F.col("cluster").cast("int")), round(sil, 3)
+    vec.unpersist()
+    return out.drop("features").withColumn("cluster", F.col("cluster").cast("int")), round(sil, 3), (model, scaling)
 
 
 def cluster_stats(clustered: DataFrame) -> DataFrame:
     """Per cluster the mean of each profile feature and the size."""
     return clustered.groupBy("cluster").agg(
-        F.avg("sales").alias("avg_sales"), F.avg("margin_rate").alias("avg_margin"),
-        F.avg("discount").alias("avg_discount"), F.count(F.lit(1)).alias("n_customers"))
+        X.exact_avg("sales", 6).alias("avg_sales"), X.exact_avg("margin_rate").alias("avg_margin"),
+        X.exact_avg("discount").alias("avg_discount"), F.count(F.lit(1)).alias("n_customers"))
 
 
 def name_personas(stats: DataFrame) -> DataFrame:
@@ -113,8 +128,8 @@ def roi_recovery(assigned: DataFrame) -> DataFrame:
     total sales of Seekers); 0 when either persona is empty. One pass."""
     p = F.col("persona")
     agg = assigned.agg(
-        F.avg(F.when(p == X.PERSONA_CHAMPIONS, F.col("margin_rate"))).alias("champions_margin"),
-        F.avg(F.when(p == X.PERSONA_SEEKERS, F.col("margin_rate"))).alias("seekers_margin"),
+        X.exact_avg(F.when(p == X.PERSONA_CHAMPIONS, F.col("margin_rate"))).alias("champions_margin"),
+        X.exact_avg(F.when(p == X.PERSONA_SEEKERS, F.col("margin_rate"))).alias("seekers_margin"),
         F.sum(F.when(p == X.PERSONA_SEEKERS, F.col("sales").cast("double"))).alias("seekers_sales"))
     gap = F.col("champions_margin") - F.col("seekers_margin")
     val = F.when(F.col("champions_margin").isNull() | F.col("seekers_margin").isNull(), F.lit(0.0)) \

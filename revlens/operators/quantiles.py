@@ -1,17 +1,18 @@
 """Exact per-group quantiles (linear interpolation, the SQL ``median`` /
 ``percentile_cont`` definition) that stay distributed under skew.
 
-Spark's exact ``percentile`` aggregate keeps a value->count map per group in
-one buffer, so a group holding a third of a 100 TB table would be merged in
-one task. Here the group's values are instead range-partitioned on
-``(keys, value)``: a hot group spans many partitions. Each partition reports,
-per group, how many rows it holds and the id of its first row; prefix sums of
-those counts give every block's rank offset, so the one or two rows at the
-target ranks are addressed by id and fetched with a join. Only small tables
-(blocks, targets) are ever aggregated or windowed over.
+Spark's exact ``percentile`` keeps a value -> count map per group in one
+buffer, so a group holding a third of a 100 TB table would be merged in one
+task. Here no row is shuffled by its group. Each group keeps a bracket of
+values that holds the wanted rank; a pass sketches the values inside the
+brackets (``percentile_approx``: a mergeable sketch of bounded size), counts
+what lies below and inside, and moves the bracket to the sketch's neighbours
+of the wanted rank. When few rows are left inside, their (group, value)
+counts - partially aggregated on the map side, so a value that repeats is one
+row - and prefix sums over them give the exact values. A sketch that misses
+the rank is noticed by the counts, and that group keeps its old bracket.
 
-``approx=True`` switches to ``percentile_approx`` (one pass, bounded
-memory, rank error 1/accuracy).
+The input is read once per pass: hand in a written (or narrow) table.
 """
 
 from __future__ import annotations
@@ -19,69 +20,74 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.operators.sequence import _tag_and_checkpoint
+#: Sketch points per pass, the sketch's accuracy, rows of a group that are ranked exactly.
+POINTS, ACCURACY, FEW_ROWS = 64, 10_000, 100_000
 
 
 def group_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5,
-                   out: str = "median", approx: bool = False,
-                   accuracy: int = 100_000) -> DataFrame:
+                   out: str = "median", approx: bool = False, accuracy: int = 100_000,
+                   few_rows: int = FEW_ROWS) -> DataFrame:
     """One row per group: ``keys + [out]``. NULL values are ignored; groups
     with only NULLs are absent."""
-    keys = list(keys)
-    drop_const = not keys
-    if drop_const:  # global quantile: one constant group key
-        df, keys = df.withColumn("_g", F.lit(0)), ["_g"]
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    from revlens.plans.joins import small_table
+    named = {f"_k{i}": k for i, k in enumerate(keys)}
+    base = df.select(*[F.col(k).alias(n) for n, k in named.items()], F.lit(0).alias("_g"),
+                     F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    grp = ["_g", *named]
+    back = [F.col(n).alias(k) for n, k in named.items()]
     if approx:
-        res = base.groupBy(*keys).agg(F.percentile_approx("_v", q, accuracy).alias(out))
-        return res.drop("_g") if drop_const else res
+        return base.groupBy(*grp).agg(F.percentile_approx("_v", q, accuracy).alias(out)).select(*back, out)
 
-    order = [*keys, "_v"]
-    ranged = base.repartitionByRange(*order).sortWithinPartitions(*order)
-    tagged = _tag_and_checkpoint(ranged)
+    def inside(state: DataFrame) -> DataFrame:
+        cond = F.lit(True)
+        s = state.select(*[F.col(c).alias(f"_s{c}") for c in grp], "_lo", "_hi", "_below", "_n")
+        for c in grp:
+            cond = cond & F.col(c).eqNullSafe(F.col(f"_s{c}"))
+        return base.join(s, cond)
 
-    grp = keys
-    blocks = tagged.groupBy("_pid", *grp).agg(F.count(F.lit(1)).alias("_c"),
-                                              F.min("_mid").alias("_m0"))
-    # blocks has at most (#partitions + #groups) rows: each partition holds a
-    # contiguous key range.
-    w = Window.partitionBy(*grp).orderBy("_pid")
-    blocks = (blocks.withColumn("_off", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
-                    .withColumn("_n", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding,
-                                                                        Window.unboundedFollowing))))
+    state = base.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    state = small_table(state.withColumn("_below", F.lit(0).cast("long")).withColumn("_in", F.col("_n")), "quantile")
     pos = (F.col("_n") - 1) * F.lit(q)
-    blocks = (blocks.withColumn("_lo", F.floor(pos).cast("long"))
-                    .withColumn("_hi", F.ceil(pos).cast("long"))
-                    .withColumn("_frac", pos - F.floor(pos)))
-    in_block = lambda r: (F.col(r) >= F.col("_off")) & (F.col(r) < F.col("_off") + F.col("_c"))
-    targets = (blocks.where(in_block("_lo") | in_block("_hi"))
-                     .select(*grp, "_frac",
-                             F.when(in_block("_lo"), F.col("_m0") + F.col("_lo") - F.col("_off")).alias("_id_lo"),
-                             F.when(in_block("_hi"), F.col("_m0") + F.col("_hi") - F.col("_off")).alias("_id_hi")))
-    # one row per (group, side) that must be fetched; <= 2 per group
-    sides = targets.select(*grp, "_frac", F.explode(F.array(
-        F.struct(F.lit("lo").alias("side"), F.col("_id_lo").alias("_mid")),
-        F.struct(F.lit("hi").alias("side"), F.col("_id_hi").alias("_mid")))).alias("_s"))
-    sides = sides.select(*grp, "_frac", "_s.side", "_s._mid").where(F.col("_mid").isNotNull())
-    picked = tagged.join(sides.select("_mid").distinct(), "_mid", "left_semi").select("_mid", "_v")
-    both = sides.join(picked, "_mid")
-    # groupBy (not a join) on the keys, so NULL group keys are kept
-    res = both.groupBy(*grp).agg(F.max(F.when(F.col("side") == "lo", F.col("_v"))).alias("_v_lo"),
-                                 F.max(F.when(F.col("side") == "hi", F.col("_v"))).alias("_v_hi"),
-                                 F.max("_frac").alias("_frac"))
+    points = [i / POINTS for i in range(1, POINTS)]
+    while True:
+        widest = state.where(F.col("_lo") < F.col("_hi")).agg(F.max("_in")).first()[0]
+        if widest is None or widest <= few_rows:
+            break
+        rows = inside(state).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        sk = rows.groupBy(*grp).agg(F.percentile_approx("_v", points, ACCURACY).alias("_q"))
+        s2 = state.select(*[F.col(c).alias(f"_t{c}") for c in grp], "_n", "_lo", "_hi", "_below", "_in")
+        cond = F.lit(True)
+        for c in grp:
+            cond = cond & F.col(c).eqNullSafe(F.col(f"_t{c}"))
+        at = F.floor((pos - F.col("_below")) / F.col("_in") * POINTS).cast("int")
+        moved = sk.join(s2, cond).select(
+            *grp, "_n", F.col("_lo").alias("_lo0"), F.col("_hi").alias("_hi0"), F.col("_below").alias("_below0"),
+            F.col("_in").alias("_in0"),
+            F.coalesce(F.get("_q", at - 2), F.col("_lo")).alias("_lo"),
+            F.coalesce(F.get("_q", at + 2), F.col("_hi")).alias("_hi"))
+        moved = small_table(moved, "quantile")
+        cnt = inside(moved.withColumn("_below", F.lit(0))).groupBy(*grp).agg(
+            F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
+            F.count_if(F.col("_v").between(F.col("_lo"), F.col("_hi"))).alias("_in"))
+        m = moved.select(*[F.col(c).alias(f"_t{c}") for c in grp], "_n", "_lo0", "_hi0", "_below0", "_in0", "_lo", "_hi")
+        checked = cnt.join(m, cond)
+        holds = (F.floor(pos) >= F.col("_below")) & (F.ceil(pos) < F.col("_below") + F.col("_in"))
+        pick = lambda a, b: F.when(holds, F.col(a)).otherwise(F.col(b)).alias(a)
+        state = small_table(checked.select(*grp, "_n", pick("_lo", "_lo0"), pick("_hi", "_hi0"),
+                                           pick("_below", "_below0"), pick("_in", "_in0")), "quantile")
+        now = state.where(F.col("_lo") < F.col("_hi")).agg(F.max("_in")).first()[0]
+        if now is not None and now >= widest:  # one value repeats: its counts are one row
+            break
+    rows = inside(state).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    counts = rows.groupBy(*grp, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"),
+                                          F.first("_below").alias("_below"))
+    upto = F.sum("_c").over(Window.partitionBy(*grp).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("_end", F.col("_below") + upto).withColumn("_start", F.col("_end") - F.col("_c"))
+    holds = lambda r: (r >= F.col("_start")) & (r < F.col("_end"))
+    frac = pos - F.floor(pos)
+    res = ranked.groupBy(*grp).agg(F.max(F.when(holds(F.floor(pos)), F.col("_v"))).alias("_v_lo"),
+                                   F.max(F.when(holds(F.ceil(pos)), F.col("_v"))).alias("_v_hi"),
+                                   F.max(frac).alias("_frac"))
     val = F.when(F.col("_frac") == 0, F.col("_v_lo")).otherwise(
         F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * F.col("_frac"))
-    res = res.select(*grp, val.alias(out))
-    return res.drop("_g") if drop_const else res
-
-
-def group_quantiles(df: DataFrame, keys: list[str], values: dict[str, str], q: float = 0.5) -> DataFrame:
-    """Several quantile columns in one pass: ``values`` maps output name ->
-    input column. Rows are unpivoted to (keys, measure, value), ranked once,
-    and pivoted back (one row per group)."""
-    long = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(name).alias("_m"), F.col(col).cast("double").alias("_x"))
-        for name, col in values.items()])).alias("_u")).select(*keys, "_u._m", "_u._x")
-    res = group_quantile(long, [*keys, "_m"], "_x", q=q, out="_q")
-    return res.groupBy(*keys).agg(*[F.max(F.when(F.col("_m") == name, F.col("_q"))).alias(name)
-                                    for name in values])
+    return res.select(*back, val.alias(out))

@@ -41,14 +41,14 @@ def customer_profiles(tx: DataFrame) -> DataFrame:
     tx = _with_margin(tx)
     return (tx.groupBy("customer")
               .agg(F.sum("sales").alias("sales"),
-                   F.avg("margin_rate").alias("margin_rate"),
-                   F.avg("discount").alias("discount")))
+                   X.exact_avg("margin_rate").alias("margin_rate"),
+                   X.exact_avg("discount").alias("discount")))
 
 
 def avg_margin_by(tx: DataFrame, key: str = "segment", digits: int = 4) -> DataFrame:
     """A3: mean margin rate per key, rounded."""
     tx = _with_margin(tx)
-    return tx.groupBy(key).agg(F.round(F.avg("margin_rate"), digits).alias("avg_margin"))
+    return tx.groupBy(key).agg(F.round(X.exact_avg("margin_rate"), digits).alias("avg_margin"))
 
 
 def at_risk(tx: DataFrame, threshold: float = 0.05) -> DataFrame:
@@ -69,6 +69,17 @@ def top_at_risk(tx: DataFrame, n: int = 50, threshold: float = 0.05,
             .limit(n))
 
 
+def top_at_risk_by(tx: DataFrame, key: str, n: int = 50, threshold: float = 0.05,
+                   tie_break: tuple[str, ...] = ("order_id", "line_number", "order_date", "customer",
+                                                 "product", "industry", "quantity", "discount",
+                                                 "profit")) -> DataFrame:
+    """K1 per group: each group's n at-risk rows with the largest sales. Spark
+    limits each task to n rows a group before the shuffle."""
+    cols = [c for c in tie_break if c in tx.columns]
+    w = Window.partitionBy(key).orderBy(F.col("sales").desc(), *[F.col(c).asc_nulls_first() for c in cols])
+    return at_risk(tx, threshold).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+
+
 def kpi_overview(tx: DataFrame, floor: float = 0.05, recovery_share: float = 0.15,
                  target: float = 25.0) -> DataFrame:
     """A6 + X11: portfolio margin health (mean margin x 100, 1 dp), count and
@@ -77,7 +88,7 @@ def kpi_overview(tx: DataFrame, floor: float = 0.05, recovery_share: float = 0.1
     tx = _with_margin(tx)
     risky = F.col("margin_rate") < floor
     agg = tx.agg(
-        F.avg("margin_rate").alias("mean_margin"),
+        X.exact_avg("margin_rate").alias("mean_margin"),
         F.count_if(risky).alias("risk_alerts"),
         F.sum(F.when(risky, F.col("sales"))).alias("at_risk_sales"),
         F.count(F.lit(1)).alias("n_rows"),
@@ -95,13 +106,11 @@ def kpi_overview(tx: DataFrame, floor: float = 0.05, recovery_share: float = 0.1
 
 
 def last_months(monthly: DataFrame, n: int, month: str = "month") -> DataFrame:
-    """Keep rows of the n most recent distinct months. The month list is
-    derived from an aggregate (distinct months), which is tiny; ranking it
-    needs no shuffle of the input."""
-    months = monthly.select(month).distinct()
-    recent = (months.withColumn("_r", F.dense_rank().over(Window.orderBy(F.col(month).desc())))
-                    .where(F.col("_r") <= n).drop("_r"))
-    return monthly.join(F.broadcast(recent), month, "left_semi")
+    """Keep rows of the n most recent distinct months. ``monthly`` is a
+    rollup, bounded by months x segments: it is ranked in one task, and read
+    once (a semi-join with its own months would compute it twice)."""
+    rank = F.dense_rank().over(Window.orderBy(F.col(month).desc()))
+    return monthly.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
 
 
 def revenue_pivot(monthly: DataFrame, segments: tuple[str, ...], last: int = 12) -> DataFrame:
@@ -117,16 +126,3 @@ def revenue_sparkline(monthly: DataFrame, last: int = 6) -> DataFrame:
     """Total sales per month for the last n months."""
     totals = monthly.groupBy("month").agg(F.sum("sales").alias("sales"))
     return last_months(totals, last)
-
-
-def ingest_summary(tx: DataFrame, rows_before: DataFrame | None = None) -> DataFrame:
-    """One row with counts, monthly-row count and sorted segments."""
-    tx = _with_margin(tx)
-    return tx.agg(
-        F.count(F.lit(1)).alias("rows_loaded"),
-        F.count_distinct(month_col(), F.col("segment")).alias("rows_monthly"),
-        F.array_sort(F.collect_set("segment")).alias("segments"),
-        F.count_distinct(month_col()).alias("n_months"),
-        F.min("order_date").alias("first_date"),
-        F.max("order_date").alias("last_date"),
-    )

@@ -23,7 +23,9 @@ from revlens.operators import forecast as FC
 from revlens.operators import personas as PS
 from revlens.operators import rollups as R
 from revlens.plans import models as MD
+from revlens.plans.materialize import materialize
 from revlens.plans import overview as OV
+from revlens.sources import files as FL
 from revlens.sources import tables as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +43,11 @@ def _tx(spark, sf_dir):
     return R.margin_features(S.transactions(spark, sf_dir))
 
 
+def _clean(spark, sf_dir):
+    """The clean table written once: for queries that read it several times."""
+    return MD.clean_table(spark, sf_dir)
+
+
 def _d(c):
     return F.col(c).cast("double")
 
@@ -148,8 +155,11 @@ def q_search(spark, sf_dir):
 
 
 def _history_chart(spark, sf_dir):
-    m = _monthly(spark, sf_dir)
-    return m.select("month", "segment", _d("sales").alias("sales"), F.lit(False).alias("is_forecast"))
+    m = MD.monthly(spark, sf_dir)
+    hist = m.select("month", "segment", _d("sales").alias("sales"), F.lit(False).alias("is_forecast"))
+    fut = _fixed_forecast(spark, sf_dir).select("month", "segment", F.col("yhat").alias("sales"),
+                                                F.lit(True).alias("is_forecast"))
+    return hist.unionByName(fut)
 
 
 def _time_range_query(rng):
@@ -169,22 +179,20 @@ def q_transactions_view(spark, sf_dir):
 
 @register("preview")
 def q_preview(spark, sf_dir):
-    return EX.preview(_tx(spark, sf_dir), 100)
+    return EX.preview(_clean(spark, sf_dir), 100)
 
 
 @register("paged_transactions")
 def q_paged(spark, sf_dir):
     lst = EX.listing(_tx(spark, sf_dir))
-    order = [F.col(c).asc_nulls_first() for c in (*EX.LISTING_ORDER, "margin_pct")]
-    return EX.page(lst, order, None, PAGE_SIZE)
+    return EX.page(lst, [*EX.LISTING_ORDER, "margin_pct"], None, PAGE_SIZE)
 
 
 @register("transactions_page")
 def q_page(spark, sf_dir):
     # second explorer variant: 8 rows per page, requested page clamped
-    lst = EX.listing(_tx(spark, sf_dir))
-    order = [F.col(c).asc_nulls_first() for c in (*EX.LISTING_ORDER, "margin_pct")]
-    return EX.page(lst, order, number=100_000, size=8)
+    lst = EX.listing(_clean(spark, sf_dir))
+    return EX.page(lst, [*EX.LISTING_ORDER, "margin_pct"], number=100_000, size=8)
 
 
 @register("trend_label")
@@ -199,7 +207,7 @@ def q_mom(spark, sf_dir):
 
 def _mom(spark, sf_dir):
     from pyspark.sql import Window
-    m = _monthly(spark, sf_dir).select("segment", "month", _d("sales").alias("sales"))
+    m = MD.monthly(spark, sf_dir).select("segment", "month", _d("sales").alias("sales"))
     # monthly is (segments x months) rows: a per-segment window is small.
     w = Window.partitionBy("segment").orderBy("month")
     m = m.withColumn("prev_sales", F.lag("sales").over(w))
@@ -316,10 +324,9 @@ def q_impute(spark, sf_dir):
 
 
 def _reps(spark, sf_dir):
-    tx = _tx(spark, sf_dir)
-    enc = MG.fit_encoders(tx)
-    encoded = MG.encode(IN.deal_features(tx), enc, warn=False)
-    return MG.representative_deals(encoded, enc)
+    feats = IN.deal_features(_clean(spark, sf_dir))
+    enc = MG.fit_encoders(feats)
+    return MG.representative_deals(MG.encode(feats, enc, warn=False), enc)
 
 
 @register("representative_deals")
@@ -364,7 +371,12 @@ def q_synth(spark, sf_dir):
     norm, _ = IN.normalize_headers(raw)
     t = IN.enforce_schema(norm)
     return t.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("order_id").alias("n_distinct"),
-                 F.min("order_id").alias("min_id"), F.max("order_id").alias("max_id"))
+                 F.min_by("order_id", _id_number()).alias("min_id"), F.max_by("order_id", _id_number()).alias("max_id"))
+
+
+def _id_number():
+    # 'AUTO-%06d' grows wider than six digits: compare its number
+    return F.regexp_extract("order_id", r"(\d+)$", 1).cast("bigint")
 
 
 @register("coerce_numeric")
@@ -436,7 +448,7 @@ def q_forecast_design(spark, sf_dir):
 
 
 def _fc_models(spark, sf_dir):
-    return FC.segment_models(_monthly(spark, sf_dir))
+    return MD.forecast_models(spark, sf_dir)
 
 
 @register("forecast_coefficients")
@@ -467,14 +479,12 @@ def q_forecast_global(spark, sf_dir):
 
 
 def _fvc(spark, sf_dir):
-    return FC.forecast_vs_current(_segment_forecast(spark, sf_dir), _monthly(spark, sf_dir))
+    return FC.forecast_vs_current(_segment_forecast(spark, sf_dir), MD.monthly(spark, sf_dir))
 
 
 @register("forecast_single_segment")
 def q_forecast_single(spark, sf_dir):
-    fc = _segment_forecast(spark, sf_dir)
-    first = fc.agg(F.min("segment")).first()[0]
-    return FC.forecast_global(fc, segment=first)
+    return FC.forecast_global(_segment_forecast(spark, sf_dir), segment=PIVOT_SEGMENTS[0])
 
 
 @register("forecast_vs_current")
@@ -484,7 +494,7 @@ def q_fvc(spark, sf_dir):
 
 @register("forecast_chart")
 def q_forecast_chart(spark, sf_dir):
-    return FC.forecast_chart(_monthly(spark, sf_dir), _segment_forecast(spark, sf_dir))
+    return FC.forecast_chart(MD.monthly(spark, sf_dir), _segment_forecast(spark, sf_dir))
 
 
 @register("aggregate_outlook")
@@ -516,28 +526,26 @@ def q_deal_scores(spark, sf_dir):
     return MG.score_deals(m, S.deals(spark, sf_dir), MD.ceilings(spark, sf_dir))
 
 
-def _at_risk_scored(spark, sf_dir):
-    top = R.top_at_risk(_tx(spark, sf_dir), 50, 0.05)
-    deals = top.select(F.col("order_id").alias("deal_id"), "segment", "region", "industry", "product",
-                       F.col("quantity").cast("int").alias("quantity"), _d("sales").alias("sales"),
-                       _d("discount").alias("discount"))
-    return MG.score_deals(MD.margin_model(spark, sf_dir), deals, MD.ceilings(spark, sf_dir))
+def _as_deals(tx):
+    return tx.select(F.col("order_id").alias("deal_id"), "segment", "region", "industry", "product",
+                     F.col("quantity").cast("int").alias("quantity"), _d("sales").alias("sales"),
+                     _d("discount").alias("discount"))
 
 
 @register("discount_sweep_model")
 def q_sweep_model(spark, sf_dir):
-    # model-mode sweep over the top-50 at-risk deals
-    top = R.top_at_risk(_tx(spark, sf_dir), 50, 0.05)
-    deals = top.select(F.col("order_id").alias("deal_id"), "segment", "region", "industry", "product",
-                       F.col("quantity").cast("int").alias("quantity"), _d("sales").alias("sales"),
-                       _d("discount").alias("discount"))
-    sw = MG.discount_sweep_model(MD.margin_model(spark, sf_dir), deals)
-    return sw.select("deal_id", "segment", "region", "deal_discount", "discount", "predicted_margin_rate")
+    # The prediction depends on the model's inputs only: sweep each distinct
+    # configuration of all deals once.
+    cfg = S.deals(spark, sf_dir).select("segment", "region", "industry", "product", "quantity", "sales").distinct()
+    cfg = cfg.withColumn("discount", F.lit(0.0))  # the sweep's, not the deal's
+    sw = MG.discount_sweep_model(MD.margin_model(spark, sf_dir), cfg)
+    return sw.select("segment", "region", "industry", "product", "quantity", "sales", "discount", "predicted_margin_rate")
 
 
 @register("at_risk_scored")
 def q_at_risk_scored(spark, sf_dir):
-    return _at_risk_scored(spark, sf_dir)
+    top = R.top_at_risk(_clean(spark, sf_dir), 50, 0.05)
+    return MG.score_deals(MD.margin_model(spark, sf_dir), _as_deals(top), MD.ceilings(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ personas
@@ -575,7 +583,7 @@ def q_assign(spark, sf_dir):
 def _traits(spark, sf_dir):
     c, _ = MD.clusters(spark, sf_dir)
     naming = _naming(spark, sf_dir)
-    return PS.persona_traits(PS.assign_personas(c, naming), _tx(spark, sf_dir), naming)
+    return PS.persona_traits(PS.assign_personas(c, naming), _clean(spark, sf_dir), naming)
 
 
 @register("persona_traits")
@@ -584,7 +592,7 @@ def q_traits(spark, sf_dir):
 
 
 def _fixed_profiles(spark, sf_dir):
-    prof = R.customer_profiles(_tx(spark, sf_dir)).withColumn("sales", F.col("sales").cast("double"))
+    prof = R.customer_profiles(_clean(spark, sf_dir)).withColumn("sales", F.col("sales").cast("double"))
     return prof.join(S.fixed_clusters(spark, sf_dir), "customer")
 
 
@@ -597,7 +605,7 @@ def q_persona_naming(spark, sf_dir):
 
 @register("roi_recovery")
 def q_roi(spark, sf_dir):
-    prof = _fixed_profiles(spark, sf_dir)
+    prof = materialize(_fixed_profiles(spark, sf_dir), "profiles")
     naming = PS.name_personas(PS.cluster_stats(prof))
     r = PS.roi_recovery(PS.assign_personas(prof, naming))
     return r.select(_r("champions_margin").alias("champions_margin"), _r("seekers_margin").alias("seekers_margin"),
@@ -635,15 +643,20 @@ def q_alert_count(spark, sf_dir):
 @register("context_packet")
 def q_context(spark, sf_dir):
     MD.train_all(spark, sf_dir)
-    tx = _tx(spark, sf_dir)
-    groups = tx.select("region").distinct()
-    return CX.context_packets(_fvc(spark, sf_dir), _at_risk_scored(spark, sf_dir), _traits(spark, sf_dir),
-                              groups, key="region")
+    tx, model = _clean(spark, sf_dir), MD.margin_model(spark, sf_dir)
+    # every region's own largest at-risk deals are scored
+    deals = _as_deals(R.top_at_risk_by(tx, "region", 50, 0.05))
+    scored = materialize(MG.score_deals(model, deals, MD.ceilings(spark, sf_dir)), "scored")
+    fvc, traits = materialize(_fvc(spark, sf_dir), "fvc"), materialize(_traits(spark, sf_dir), "traits")
+    CX.check_packets(fvc, scored, traits)
+    facts = CX.ModelFacts(model.r2, PS.PersonaParams().k, MD.clusters(spark, sf_dir)[1])
+    return CX.context_packets(fvc, scored, traits, tx.select("region").distinct(), MD.ceilings(spark, sf_dir),
+                              R.avg_margin_by(tx, "segment", 4), facts, key="region")
 
 
 @register("executive_overview")
 def q_overview(spark, sf_dir):
-    o = OV.overview_by(_tx(spark, sf_dir), "segment")
+    o = OV.overview_by(_clean(spark, sf_dir), "segment")
     return o.select("segment", "portfolio_margin_health", "risk_alerts", _r("at_risk_sales", 4).alias("at_risk_sales"),
                     _r("recovery_opportunity", 6).alias("recovery_opportunity"), "n_rows",
                     _r("recent_revenue", 4).alias("recent_revenue"), "recent_months")
@@ -652,14 +665,242 @@ def q_overview(spark, sf_dir):
 @register("executive_overview_full")
 def q_overview_full(spark, sf_dir):
     MD.train_all(spark, sf_dir)
-    monthly = _monthly(spark, sf_dir)
+    monthly = MD.monthly(spark, sf_dir)
     fc = _segment_forecast(spark, sf_dir)
     fvc = FC.forecast_vs_current(fc, monthly)
     chart = FC.forecast_chart(monthly, fc)
     spark_line = R.revenue_sparkline(monthly, 6)
-    kpi = R.kpi_overview(_tx(spark, sf_dir))
+    kpi = R.kpi_overview(_clean(spark, sf_dir))
     m = MD.margin_model(spark, sf_dir)
     return OV.executive_overview(kpi, fvc, chart, spark_line, MD.ceilings(spark, sf_dir), m.r2)
 
 
+# ------------------------------------------------------------------ fixed models
+# The operators downstream of a fitted model, on models of fixed coefficients:
+# the same code paths, with results that SQL can state.
+FIXED_COEF = (0.01, 0.0005, 0.1, -0.2, 0.05, 0.02, -0.03, 0.04)
+FIXED_INTERCEPT, FIXED_STD, FIXED_MEAN, FIXED_RESIDUAL, FIXED_R2 = 0.25, 25_000.0, 100_000.0, 0.5, 0.4
+FIXED_GROWTH = {"AUTOMOBILE": 0.02, "BUILDING": 0.01, "MACHINERY": 0.03}
+FIXED_MARGIN = {"discount": -0.9, "quantity": 0.0005, "revenue_per_unit": 0.00001, "segment_enc": -0.01,
+                "region_enc": 0.002, "industry_enc": 0.001, "product_enc": -0.0003}
+FIXED_MARGIN_BASE = 0.45
+# the rule tables' entries under names that the tables have
+FIXED_RULES = MG.RuleTables(
+    industry_ceiling={"Brand#11": 22.0, "Brand#22": 12.0, "Brand#3": 18.0},
+    product_adjust={"ECONOMY": 5.0, "STANDARD": -3.0},
+    segment_offset={"AUTOMOBILE": -2.5, "BUILDING": 1.0}, region_offset={"EUROPE": 1.5, "ASIA": -1.0},
+    product_offset={"ECONOMY": 4.0, "STANDARD": -2.0})
+
+
+def _fixed_models(spark, sf_dir):
+    per = MD.monthly(spark, sf_dir).groupBy("segment").agg(
+        F.count(F.lit(1)).cast("int").alias("n_months"), F.max("month").alias("last_month"))
+    return per.withColumns({
+        "coef": F.array(*[F.lit(c) for c in FIXED_COEF]), "intercept": F.lit(FIXED_INTERCEPT),
+        "r2_validation": F.lit(FIXED_R2), "resid_std_s": F.lit(FIXED_RESIDUAL), "y_mean": F.lit(FIXED_MEAN),
+        "y_std": F.lit(FIXED_STD)})
+
+
+def _fixed_forecast(spark, sf_dir):
+    return FC.segment_forecast(_fixed_models(spark, sf_dir), FC.ForecastParams(periods=3))
+
+
+def _fixed_vs_current(spark, sf_dir):
+    return FC.forecast_vs_current(_fixed_forecast(spark, sf_dir), MD.monthly(spark, sf_dir))
+
+
+@register("segment_forecast_fixed")
+def q_segment_forecast_fixed(spark, sf_dir):
+    return _fixed_forecast(spark, sf_dir)
+
+
+@register("forecast_global_fixed")
+def q_forecast_global_fixed(spark, sf_dir):
+    return FC.forecast_global(_fixed_forecast(spark, sf_dir))
+
+
+@register("forecast_single_segment_fixed")
+def q_forecast_single_fixed(spark, sf_dir):
+    return FC.forecast_global(_fixed_forecast(spark, sf_dir), segment=PIVOT_SEGMENTS[0])
+
+
+@register("forecast_vs_current_fixed")
+def q_fvc_fixed(spark, sf_dir):
+    return _fixed_vs_current(spark, sf_dir).withColumn("pct_change_vs_current", _r("pct_change_vs_current"))
+
+
+@register("aggregate_outlook_fixed")
+def q_outlook_fixed(spark, sf_dir):
+    o = FC.aggregate_outlook(_fixed_vs_current(spark, sf_dir))
+    return o.select(_r("total_next_period_revenue", 2).alias("total_next_period_revenue"),
+                    _r("total_current_revenue", 2).alias("total_current_revenue"),
+                    _r("aggregate_pct_change").alias("aggregate_pct_change"), "aggregate_trend")
+
+
+@register("forecast_chart_fixed")
+def q_chart_fixed(spark, sf_dir):
+    return FC.forecast_chart(MD.monthly(spark, sf_dir), _fixed_forecast(spark, sf_dir))
+
+
+@register("forecast_chart_display_fixed")
+def q_chart_display_fixed(spark, sf_dir):
+    c = FC.forecast_chart(MD.monthly(spark, sf_dir), _fixed_forecast(spark, sf_dir), display=True, growth=FIXED_GROWTH)
+    return c.withColumn("sales", _r("sales", 4))
+
+
+@register("cluster_stats_fixed")
+def q_cluster_stats_fixed(spark, sf_dir):
+    st = PS.cluster_stats(_fixed_profiles(spark, sf_dir))
+    return st.select("cluster", _r("avg_sales", 4).alias("avg_sales"), _r("avg_margin").alias("avg_margin"),
+                     _r("avg_discount").alias("avg_discount"), "n_customers")
+
+
+@register("persona_assignments_fixed")
+def q_assign_fixed(spark, sf_dir):
+    prof = _fixed_profiles(spark, sf_dir)
+    return PS.assign_personas(prof, PS.name_personas(PS.cluster_stats(prof))).select("customer", "cluster", "persona")
+
+
+@register("persona_traits_fixed")
+def q_traits_fixed(spark, sf_dir):
+    prof = _fixed_profiles(spark, sf_dir)
+    naming = PS.name_personas(PS.cluster_stats(prof))
+    return PS.persona_traits(PS.assign_personas(prof, naming), _clean(spark, sf_dir), naming)
+
+
+class LinearStandIn:
+    """A predictor of fixed weights in place of the fitted trees."""
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = F.lit(FIXED_MARGIN_BASE)
+        for name, w in FIXED_MARGIN.items():
+            out = out + F.col(name) * F.lit(w)
+        return df.withColumn("prediction", out).withColumn("features", F.lit(None).cast("string"))
+
+
+def _fixed_margin_model(spark, sf_dir) -> MG.MarginModel:
+    tx = _clean(spark, sf_dir)
+    return MG.MarginModel(model=LinearStandIn(), encoders=MG.fit_encoders(IN.deal_features(tx)),
+                          medians=MG.median_rev_per_unit(tx), importances=[], metrics={"r2": 0.9, "mae": 0.05})
+
+
+def _fixed_ceilings(spark, sf_dir, model):
+    return MG.discount_ceilings(model, _clean(spark, sf_dir))
+
+
+@register("discount_ceilings_fixed")
+def q_ceilings_fixed(spark, sf_dir):
+    return _fixed_ceilings(spark, sf_dir, _fixed_margin_model(spark, sf_dir))
+
+
+def _score_columns(scored):
+    return scored.withColumn("discount_use", _r("discount_use")).withColumn("warnings", F.concat_ws("|", "warnings"))
+
+
+@register("deal_scores_fixed")
+def q_deal_scores_fixed(spark, sf_dir):
+    m = _fixed_margin_model(spark, sf_dir)
+    return _score_columns(MG.score_deals(m, S.deals(spark, sf_dir), _fixed_ceilings(spark, sf_dir, m)))
+
+
+@register("at_risk_scored_fixed")
+def q_at_risk_fixed(spark, sf_dir):
+    m = _fixed_margin_model(spark, sf_dir)
+    top = R.top_at_risk(_clean(spark, sf_dir), 50, 0.05)
+    return _score_columns(MG.score_deals(m, _as_deals(top), _fixed_ceilings(spark, sf_dir, m)))
+
+
+@register("top_at_risk_by_region")
+def q_top_by_region(spark, sf_dir):
+    a = R.top_at_risk_by(_tx(spark, sf_dir), "region", 50, 0.05)
+    return a.select(*_RISK_COLS, _date(), _d("sales").alias("sales"), _r("discount").alias("discount"),
+                    _r("margin_rate").alias("margin_rate"))
+
+
+@register("rule_recovery_mapped")
+def q_rule_recovery_mapped(spark, sf_dir):
+    r = MG.rule_recovery(S.deals(spark, sf_dir), FIXED_RULES)
+    return r.select("deal_id", "industry", "product", "safe_ceiling_pct", "cliff_pct", _r("recovery", 6).alias("recovery"))
+
+
+@register("discount_sweep_mapped")
+def q_sweep_mapped(spark, sf_dir):
+    cfg = S.deals(spark, sf_dir).select("segment", "region", "product", "quantity").distinct()
+    sw = MG.discount_sweep(cfg, rules=FIXED_RULES)
+    return sw.select("segment", "region", "product", "quantity", "discount_pct", "margin_pct", "zone")
+
+
+# ------------------------------------------------------------------ ingestion pieces
+# One text form for each remainder of the row's number; Java date patterns, and
+# what they are written with (%: as is).
+DATE_FORMS = ("yyyy-M-d", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm", "MMM d, yyyy",
+              "dd-MMM-yyyy", "yyyyMMdd", "M/d/yy", "M/d/yyyy HH:mm", "MM-dd-yyyy", "M.d.yyyy", "MMMM d yyyy",
+              "d MMM yyyy", "yyyy/MM/dd hh:mm a", "yyyy-MM-dd'T'HH:mm:ss'+00:00'", "yyyy.MM.dd")
+
+
+@register("parse_date_forms")
+def q_parse_date_forms(spark, sf_dir):
+    tx = _tx(spark, sf_dir)
+    k = F.col("order_id").cast("bigint") * 10 + F.col("line_number")
+    form = F.pmod(k, F.lit(len(DATE_FORMS)))
+    text = F.lit("not a date")
+    for i, pattern in enumerate(DATE_FORMS):
+        text = F.when(form == i, F.date_format("order_date", pattern)).otherwise(text)
+    return tx.select("order_id", "line_number", form.cast("int").alias("form"), IN.parse_date(text).alias("order_date"))
+
+
+@register("date_key")
+def q_date_key(spark, sf_dir):
+    """C11: a date key column is kept as a whole number, unparsable as NULL."""
+    raw = S.raw_orders(spark, sf_dir).withColumn("Date Key", F.regexp_replace("Date", "[-/]", ""))
+    norm, _ = IN.normalize_headers(raw)
+    typed = IN.enforce_schema(norm)
+    return typed.groupBy("date_key").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("missing_critical")
+def q_missing_critical(spark, sf_dir):
+    """Which critical columns a file without each header would miss."""
+    raw = S.raw_orders(spark, sf_dir)
+    rows = []
+    for c in raw.columns:
+        norm, _ = IN.normalize_headers(raw.drop(c))
+        try:
+            IN.check_critical(norm)
+            rows.append((c.strip(), False))
+        except IN.SchemaError:
+            rows.append((c.strip(), True))
+    n = raw.agg(F.count(F.lit(1)).alias("rows"))
+    return spark.createDataFrame(rows, "dropped string, rejected boolean").withColumn("rows", n.scalar())
+
+
+@register("fill_model_columns")
+def q_fill_model(spark, sf_dir):
+    """Missing model categoricals are 'Unknown'."""
+    t = _typed_dirty(spark, sf_dir).drop("industry").withColumn(
+        "product", F.when(F.col("quantity") > 1, F.col("product")))
+    return IN.deal_features(t).groupBy("industry", "product").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("sniffed_orders")
+def q_sniffed(spark, sf_dir):
+    """The raw export read with detected delimiter and encodings."""
+    raw = FL.read_csv(spark, S.raw_orders_path(spark, sf_dir))
+    norm, _ = IN.normalize_headers(raw)
+    return norm
+
+
+@register("file_fingerprints")
+def q_file_fingerprints(spark, sf_dir):
+    """S3: one row per file of the raw export."""
+    f = FL.content_fingerprint(spark, S.raw_orders_path(spark, sf_dir))
+    return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "file_hash")
+
+
+@register("csv_export")
+def q_csv_export(spark, sf_dir):
+    """The listing's rows as the export writes them."""
+    return FL.csv_lines(EX.listing(_tx(spark, sf_dir)).select("order_id", "order_date", "customer", "segment", "region", "product", "margin"))
+
+
 FLAGSHIP = "executive_overview"

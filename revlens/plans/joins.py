@@ -1,12 +1,11 @@
-"""Join helpers: broadcast only behind a size check.
-
-Spark's own size check (``spark.sql.autoBroadcastJoinThreshold`` at planning
-time, and AQE's runtime conversion of sort-merge joins once shuffle sizes are
-known) already covers most joins, so by default we simply join and let the
-optimizer decide. ``bounded_broadcast`` is for inputs we *want* to broadcast
-(dimension tables, per-group parameter tables): it checks a row bound with a
-cheap ``limit(n + 1).count()`` and only then adds the hint; beyond the bound
-the plain join is returned and Spark shuffles both sides.
+"""Join helpers.
+
+Most joins are left to Spark, whose own size checks (the broadcast threshold
+at planning time, AQE's statistics at run time) choose the strategy. Small
+derived tables (medians, ceilings, encoder classes) have no usable estimate
+before they run, so ``small_table`` writes them once and checks the bytes
+written: up to ``BROADCAST_BYTES`` the table is hinted as a broadcast, beyond
+that the plain join stays and both sides are shuffled.
 """
 
 from __future__ import annotations
@@ -14,24 +13,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a side we are willing to ship to every executor.
-DEFAULT_MAX_BROADCAST_ROWS = 200_000
+from revlens.plans.materialize import materialize, size_of
 
+#: Bytes of Parquet up to which a written table may be broadcast.
+BROADCAST_BYTES = 8 << 20
 
-def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it is proven small, else ``df`` unchanged."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
-
-
-def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner",
-               max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join with ``right`` broadcast when its row count is under the bound."""
-    return left.join(bounded_broadcast(right, max_rows), on, how)
+def small_table(df: DataFrame, name: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` written once and read back, with a broadcast hint if it is small."""
+    written, path = materialize(df, name, with_path=True)
+    return F.broadcast(written) if size_of(df.sparkSession, path) <= max_bytes else written
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -1,23 +1,26 @@
-"""Train-once model cache (per session, keyed by input path and params),
-playing the role of the reference's in-process model cache. Models can
-also be saved/loaded (S7) with ``save_margin_model``/``load_margin_model``."""
+"""Train-once model cache (per session, keyed by input path and params), and
+saving and loading of the fitted models (S7).
+
+All pillars read one written clean table (``clean_table``): the star join and
+the margin features run once for a composite query, not once per pillar.
+"""
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import SparkSession
+from pyspark.ml.clustering import KMeansModel
+from pyspark.sql import DataFrame, SparkSession
 
+from revlens.operators import forecast as FC
 from revlens.operators import margin as MG
 from revlens.operators import personas as PS
 from revlens.operators import rollups as R
+from revlens.plans.joins import small_table
+from revlens.plans.materialize import materialize, release
 from revlens.sources import tables as S
 
-# Driver queries train a shorter GBT than the reference's 300 rounds of 0.05
-# (same depth / sampling); the full setting is MarginParams().
-QUERY_MARGIN_PARAMS = MG.MarginParams(max_iter=40, step_size=0.1)
-
 _CACHE: dict = {}
 
 
@@ -25,31 +28,61 @@ def _key(spark: SparkSession, *parts):
     return (id(spark._jsparkSession), *parts)
 
 
-def margin_model(spark: SparkSession, sf_dir: str, params: MG.MarginParams = QUERY_MARGIN_PARAMS) -> MG.MarginModel:
-    k = _key(spark, "margin", sf_dir, params)
+def _cached(spark: SparkSession, name: str, *parts, make):
+    k = _key(spark, name, *parts)
     if k not in _CACHE:
-        tx = R.margin_features(S.transactions(spark, sf_dir))
-        _CACHE[k] = MG.train_margin_model(tx, params)
+        _CACHE[k] = make()
     return _CACHE[k]
 
 
-def ceilings(spark: SparkSession, sf_dir: str, params: MG.MarginParams = QUERY_MARGIN_PARAMS):
-    k = _key(spark, "ceilings", sf_dir, params)
-    if k not in _CACHE:
-        tx = R.margin_features(S.transactions(spark, sf_dir))
-        c = MG.discount_ceilings(margin_model(spark, sf_dir, params), tx, params).persist()
-        c.count()
-        _CACHE[k] = c
-    return _CACHE[k]
+def clear(spark: SparkSession | None = None) -> None:
+    """Forget all models and remove the tables written for them."""
+    _CACHE.clear()
+    release(spark)
+
+
+def clean_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean transactions with margin features, written once."""
+    return _cached(spark, "clean", sf_dir, make=lambda: materialize(
+        R.margin_features(S.transactions(spark, sf_dir)), "clean"))
+
+
+def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cached(spark, "monthly", sf_dir, make=lambda: materialize(
+        R.monthly_rollup(clean_table(spark, sf_dir)), "monthly"))
+
+
+def margin_model(spark: SparkSession, sf_dir: str, params: MG.MarginParams = MG.MarginParams()) -> MG.MarginModel:
+    return _cached(spark, "margin", sf_dir, params,
+                   make=lambda: MG.train_margin_model(clean_table(spark, sf_dir), params))
+
+
+def ceilings(spark: SparkSession, sf_dir: str, params: MG.MarginParams = MG.MarginParams()) -> DataFrame:
+    return _cached(spark, "ceilings", sf_dir, params, make=lambda: small_table(
+        MG.discount_ceilings(margin_model(spark, sf_dir, params), clean_table(spark, sf_dir), params), "ceilings"))
 
 
 def clusters(spark: SparkSession, sf_dir: str, params: PS.PersonaParams = PS.PersonaParams()):
-    k = _key(spark, "clusters", sf_dir, params)
-    if k not in _CACHE:
-        tx = R.margin_features(S.transactions(spark, sf_dir))
-        clustered, sil = PS.cluster_customers(tx, params)
-        _CACHE[k] = (clustered.persist(), sil)
-    return _CACHE[k]
+    """(clustered profiles, silhouette)."""
+    def make():
+        clustered, sil, _ = PS.cluster_customers(clean_table(spark, sf_dir), params)
+        return materialize(clustered, "clusters"), sil
+    return _cached(spark, "clusters", sf_dir, params, make=make)
+
+
+def forecast_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cached(spark, "forecast", sf_dir, make=lambda: materialize(
+        FC.segment_models(monthly(spark, sf_dir)), "forecast"))
+
+
+def train_all(spark: SparkSession, sf_dir: str) -> None:
+    """Train the three pillars (margin model + ceilings, customer clusters,
+    forecast models) at once: they are independent, and their many small jobs
+    leave executors idle when run one after another."""
+    clean_table(spark, sf_dir)
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        for f in [pool.submit(fn, spark, sf_dir) for fn in (ceilings, clusters, forecast_models)]:
+            f.result()
 
 
 def save_margin_model(model: MG.MarginModel, path: str) -> None:
@@ -71,34 +104,23 @@ def load_margin_model(spark: SparkSession, path: str) -> MG.MarginModel:
     return MG.MarginModel(model=PipelineModel.load(f"{path}/pipeline"),
                           encoders=spark.read.parquet(f"{path}/encoders"),
                           medians=spark.read.parquet(f"{path}/medians"),
-                          r2=m.r2, mae=m.mae, importances=imp)
+                          importances=imp, metrics={"r2": m.r2, "mae": m.mae})
 
 
-def train_all(spark: SparkSession, sf_dir: str) -> None:
-    """Train the three pillars (margin model + ceilings, customer clusters,
-    forecast models) concurrently: they are independent, and their many
-    small MLlib jobs leave executors idle when run one after another."""
-    from revlens.operators import forecast as FC
-    k = _key(spark, "forecast", sf_dir)
-
-    def forecast():
-        if k not in _CACHE:
-            monthly = R.monthly_rollup(R.margin_features(S.transactions(spark, sf_dir)))
-            _CACHE[k] = FC.segment_models(monthly).persist()
-            _CACHE[k].count()
-        return _CACHE[k]
+def save_clusters(model: KMeansModel, scaling: DataFrame, path: str) -> None:
+    """The k-means model and the means and deviations it was fitted with."""
+    model.write().overwrite().save(f"{path}/kmeans")
+    scaling.write.mode("overwrite").parquet(f"{path}/scaling")
 
-    with ThreadPoolExecutor(max_workers=3) as pool:
-        futs = [pool.submit(ceilings, spark, sf_dir), pool.submit(clusters, spark, sf_dir), pool.submit(forecast)]
-        for f in futs:
-            f.result()
 
+def load_clusters(spark: SparkSession, path: str) -> tuple[KMeansModel, DataFrame]:
+    return KMeansModel.load(f"{path}/kmeans"), spark.read.parquet(f"{path}/scaling")
 
-def forecast_models(spark: SparkSession, sf_dir: str):
-    """Cached per-segment forecast models (see ``train_all``)."""
-    from revlens.operators import forecast as FC
-    k = _key(spark, "forecast", sf_dir)
-    if k not in _CACHE:
-        monthly = R.monthly_rollup(R.margin_features(S.transactions(spark, sf_dir)))
-        _CACHE[k] = FC.segment_models(monthly).persist()
-    return _CACHE[k]
+
+def save_forecast(models: DataFrame, path: str) -> None:
+    """Coefficients, scaling and back-test figures per segment."""
+    models.write.mode("overwrite").parquet(path)
+
+
+def load_forecast(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -55,6 +55,50 @@ def with_tx(body: str, *ctes: str) -> str:
     return "WITH " + ",".join(parts) + "\n" + body
 
 
+def _avg(x: str, scale: int = 12) -> str:
+    """A mean whose sum is exact, divided once."""
+    return f"CAST(sum(CAST({x} AS DECIMAL({scale + 16},{scale}))) AS DOUBLE) / count({x})"
+
+
+def _label(v: str, d: str, m: str) -> str:
+    """The persona label: what stands out, in the list for high or low values."""
+    names = "('Champion', 'Value Seeker', 'High Value')", "('Steady SMB', 'At Risk', 'Standard')"
+    high, low = (["'" + x.strip(" '()") + "'" for x in n.split(",")] for n in names)
+    place = f"(CASE WHEN {m} >= 0.15 THEN 1 WHEN {d} >= 0.20 THEN 2 ELSE 3 END)"
+    return f"list_extract(CASE WHEN {v} >= 5000 THEN [{', '.join(high)}] ELSE [{', '.join(low)}] END, {place})"
+
+
+# The forecast of the fixed coefficients (catalog.FIXED_*).
+FORECAST_CTE = """
+fmodel AS (
+  SELECT segment, count(*) AS n, max(month) AS last_month FROM monthly GROUP BY segment
+),
+fraw AS (
+  SELECT segment, CAST(h AS INTEGER) AS step, CAST(last_month + to_months(CAST(h AS INTEGER)) AS DATE) AS month,
+         CAST(n + h - 1 AS DOUBLE) AS t
+  FROM fmodel, range(1, 4) r(h)
+),
+fcst AS (
+  SELECT segment, step, month, round(y, 2) AS yhat, round(y - 24500.0, 2) AS yhat_lower, round(y + 24500.0, 2) AS yhat_upper,
+         CAST(0.4 AS DOUBLE) AS r2_validation
+  FROM (SELECT *, (0.25 + (0.01 * t + 0.0005 * (t * t) + 0.1 * sin(2 * pi() * 1 / 12 * t) + -0.2 * cos(2 * pi() * 1 / 12 * t)
+               + 0.05 * sin(2 * pi() * 2 / 12 * t) + 0.02 * cos(2 * pi() * 2 / 12 * t)
+               + -0.03 * sin(2 * pi() * 3 / 12 * t) + 0.04 * cos(2 * pi() * 3 / 12 * t))) * 25000.0 + 100000.0 AS y
+        FROM fraw)
+)"""
+
+FVC_CTE = """
+fvc AS (
+  SELECT f.segment, f.yhat AS next_period_revenue, f.yhat_lower AS confidence_lower, f.yhat_upper AS confidence_upper,
+         c.current_revenue, CASE WHEN c.current_revenue > 0 THEN (f.yhat - c.current_revenue) / c.current_revenue ELSE 0.0 END AS pct,
+         f.r2_validation
+  FROM fcst f JOIN (SELECT segment, CAST(arg_max(sales, month) AS DOUBLE) AS current_revenue FROM monthly GROUP BY segment) c
+    ON c.segment = f.segment
+  WHERE f.step = 1
+)"""
+
+_TREND = "CASE WHEN {p} >= 0.05 THEN 'up' WHEN {p} <= -0.05 THEN 'down' ELSE 'flat' END"
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["transactions"] = with_tx("""
@@ -206,12 +250,12 @@ reps AS (
 )"""
 
 ORACLE["customer_profiles"] = with_tx("""
-SELECT customer, CAST(sum(sales) AS DOUBLE) AS sales, round(avg(margin_rate), 6) AS margin_rate,
-       round(avg(discount), 6) AS discount
+SELECT customer, CAST(sum(sales) AS DOUBLE) AS sales, round(""" + _avg("margin_rate") + """, 6) AS margin_rate,
+       round(""" + _avg("discount") + """, 6) AS discount
 FROM txm GROUP BY customer""")
 
 ORACLE["avg_margin_by_segment"] = with_tx("""
-SELECT segment, round(avg(margin_rate), 4) AS avg_margin FROM txm GROUP BY segment""")
+SELECT segment, round(""" + _avg("margin_rate") + """, 4) AS avg_margin FROM txm GROUP BY segment""")
 
 ORACLE["median_rev_per_unit"] = with_tx("""
 SELECT segment, round(median(CAST(sales AS DOUBLE) / greatest(quantity, 1e-6)), 6) AS median_revenue_per_unit
@@ -220,13 +264,13 @@ UNION ALL
 SELECT NULL, round(median(CAST(sales AS DOUBLE) / greatest(quantity, 1e-6)), 6) FROM tx""")
 
 ORACLE["kpi_overview"] = with_tx("""
-SELECT round(avg(margin_rate) * 100, 1) AS portfolio_margin_health,
+SELECT round(""" + _avg("margin_rate") + """ * 100, 1) AS portfolio_margin_health,
        count(*) FILTER (WHERE margin_rate < 0.05) AS risk_alerts,
        round(CAST(coalesce(sum(sales) FILTER (WHERE margin_rate < 0.05), 0) AS DOUBLE), 4) AS at_risk_sales,
        round(CAST(coalesce(sum(sales) FILTER (WHERE margin_rate < 0.05), 0) AS DOUBLE) * 0.15, 6)
          AS recovery_opportunity,
        CAST(25.0 AS DOUBLE) AS margin_target,
-       round(least(100.0, round(avg(margin_rate) * 100, 1) / 25.0 * 100), 6) AS target_progress,
+       round(least(100.0, round(""" + _avg("margin_rate") + """ * 100, 1) / 25.0 * 100), 6) AS target_progress,
        count(*) AS n_rows
 FROM txm""")
 
@@ -261,12 +305,14 @@ SELECT order_id, line_number, customer, segment, CAST(sales AS DOUBLE) AS sales
 WHERE (contains(lower(coalesce(order_id, '')), '99') OR contains(lower(coalesce(customer, '')), '99'))
   AND segment = 'BUILDING'""")
 
-_CHART = "chart AS (SELECT month, segment, CAST(sales AS DOUBLE) AS sales, false AS is_forecast FROM monthly)"
+_CHART = """chart AS (SELECT month, segment, CAST(sales AS DOUBLE) AS sales, false AS is_forecast FROM monthly
+           UNION ALL SELECT month, segment, yhat, true FROM fcst)"""
 for _n, _k in (("3m", 3), ("6m", 6), ("12m", 12)):
     ORACLE[f"time_range_{_n}"] = with_tx(
-        "SELECT * FROM chart WHERE month IN (SELECT DISTINCT month FROM chart ORDER BY month DESC LIMIT "
-        f"{_k})", MONTHLY_CTE, _CHART)
-ORACLE["time_range_ytd"] = with_tx("SELECT * FROM chart WHERE year(month) = 2000", MONTHLY_CTE, _CHART)
+        "SELECT * FROM chart WHERE is_forecast OR month IN (SELECT DISTINCT month FROM monthly ORDER BY month DESC "
+        f"LIMIT {_k})", MONTHLY_CTE, FORECAST_CTE, _CHART)
+ORACLE["time_range_ytd"] = with_tx("SELECT * FROM chart WHERE is_forecast OR year(month) = 2000", MONTHLY_CTE,
+                                   FORECAST_CTE, _CHART)
 
 LISTING_CTE = """
 listing AS (
@@ -333,16 +379,14 @@ FROM listing""", LISTING_CTE)
 
 CUST_CTE = """
 cust AS (
-  SELECT customer, CAST(sum(sales) AS DOUBLE) AS v, round(avg(discount), 9) AS d, round(avg(margin_rate), 9) AS m
+  SELECT customer, CAST(sum(sales) AS DOUBLE) AS v, round(""" + _avg("discount") + """, 9) AS d,
+         round(""" + _avg("margin_rate") + """, 9) AS m
   FROM txm GROUP BY customer
 )"""
 
 ORACLE["persona_label"] = with_tx("""
 SELECT customer,
-       CASE WHEN v >= 5000 THEN (CASE WHEN m >= 0.15 THEN 'Champion' WHEN d >= 0.20 THEN 'Value Seeker'
-                                      ELSE 'High Value' END)
-            ELSE (CASE WHEN m >= 0.15 THEN 'Steady SMB' WHEN d >= 0.20 AND m < 0.15 THEN 'At Risk'
-                       ELSE 'Standard' END) END AS persona_label
+       """ + _label("v", "d", "m") + """ AS persona_label
 FROM cust""", CUST_CTE)
 
 ORACLE["churn_risk"] = with_tx("""
@@ -534,14 +578,14 @@ FROM (SELECT segment, month, CAST(sales AS DOUBLE) AS y,
 
 FIXED_CTE = """
 prof AS (
-  SELECT t.customer, CAST(sum(t.sales) AS DOUBLE) AS sales, avg(t.margin_rate) AS margin_rate,
-         avg(t.discount) AS discount, CAST(c.c_custkey % 4 AS INTEGER) AS cluster
+  SELECT t.customer, CAST(sum(t.sales) AS DOUBLE) AS sales, """ + _avg("t.margin_rate") + """ AS margin_rate,
+         """ + _avg("t.discount") + """ AS discount, CAST(c.c_custkey % 4 AS INTEGER) AS cluster
   FROM txm t JOIN customer c ON c.c_name = t.customer
   GROUP BY t.customer, c.c_custkey
 ),
 cstats AS (
-  SELECT cluster, avg(sales) AS avg_sales, avg(margin_rate) AS avg_margin, avg(discount) AS avg_discount,
-         count(*) AS n_customers
+  SELECT cluster, """ + _avg("sales", 6) + """ AS avg_sales, """ + _avg("margin_rate") + """ AS avg_margin,
+         """ + _avg("discount") + """ AS avg_discount, count(*) AS n_customers
   FROM prof GROUP BY cluster
 ),
 win AS (
@@ -567,8 +611,8 @@ FROM named""", FIXED_CTE)
 ORACLE["roi_recovery"] = with_tx("""
 SELECT round(cm, 6) AS champions_margin, round(sm, 6) AS seekers_margin, round(ss, 4) AS seekers_sales,
        round(CASE WHEN cm IS NULL OR sm IS NULL THEN 0.0 ELSE greatest(0.0, (cm - sm) * ss) END, 2) AS recovery_usd
-FROM (SELECT avg(p.margin_rate) FILTER (WHERE n.persona = 'Champions') AS cm,
-             avg(p.margin_rate) FILTER (WHERE n.persona = 'Discount Seekers') AS sm,
+FROM (SELECT """ + _avg("CASE WHEN n.persona = 'Champions' THEN p.margin_rate END") + """ AS cm,
+             """ + _avg("CASE WHEN n.persona = 'Discount Seekers' THEN p.margin_rate END") + """ AS sm,
              sum(p.sales) FILTER (WHERE n.persona = 'Discount Seekers') AS ss
       FROM prof p JOIN named n ON n.cluster = p.cluster)""", FIXED_CTE)
 
@@ -618,3 +662,124 @@ FROM (SELECT segment, round(avg(margin_rate) * 100, 1) AS portfolio_margin_healt
 LEFT JOIN (SELECT segment, CAST(sum(sales) AS DOUBLE) AS recent_revenue, count(*) AS recent_months
            FROM monthly WHERE month IN (SELECT DISTINCT month FROM monthly ORDER BY month DESC LIMIT 6)
            GROUP BY segment) r ON r.segment = k.segment""".replace("WITH_MARK\n", ""), MONTHLY_CTE)
+
+# ------------------------------------------------------------------ fixed models
+ORACLE["segment_forecast_fixed"] = with_tx("SELECT * FROM fcst", MONTHLY_CTE, FORECAST_CTE)
+
+_GLOBAL = """
+SELECT step, round(sum(yhat), 2) AS yhat, round(sum(yhat_lower), 2) AS yhat_lower, round(sum(yhat_upper), 2) AS yhat_upper,
+       round(avg(r2_validation), 3) AS r2, min(month) AS first_label, max(month) AS last_label, count(*) AS n_segments
+FROM fcst {where} GROUP BY step"""
+ORACLE["forecast_global_fixed"] = with_tx(_GLOBAL.format(where=""), MONTHLY_CTE, FORECAST_CTE)
+ORACLE["forecast_single_segment_fixed"] = with_tx(_GLOBAL.format(where="WHERE segment = 'AUTOMOBILE'"), MONTHLY_CTE, FORECAST_CTE)
+
+ORACLE["forecast_vs_current_fixed"] = with_tx(f"""
+SELECT segment, next_period_revenue, confidence_lower, confidence_upper, current_revenue,
+       round(pct, 6) AS pct_change_vs_current, {_TREND.format(p='pct')} AS trend_direction, r2_validation
+FROM fvc""", MONTHLY_CTE, FORECAST_CTE, FVC_CTE)
+
+ORACLE["aggregate_outlook_fixed"] = with_tx(f"""
+SELECT round(n, 2) AS total_next_period_revenue, round(c, 2) AS total_current_revenue, round(p, 6) AS aggregate_pct_change,
+       {_TREND.format(p='p')} AS aggregate_trend
+FROM (SELECT n, c, CASE WHEN c > 0 THEN (n - c) / c ELSE 0.0 END AS p
+      FROM (SELECT sum(next_period_revenue) AS n, sum(current_revenue) AS c FROM fvc))""", MONTHLY_CTE, FORECAST_CTE, FVC_CTE)
+
+_HISTORY = ("SELECT segment, month, CAST(sales AS DOUBLE) AS sales, false AS is_forecast, 0 AS step FROM monthly "
+            "WHERE month IN " + _LAST12.format(n=12))
+ORACLE["forecast_chart_fixed"] = with_tx(
+    _HISTORY + " UNION ALL SELECT segment, month, yhat, true, step FROM fcst", MONTHLY_CTE, FORECAST_CTE)
+ORACLE["forecast_chart_display_fixed"] = with_tx(
+    "SELECT segment, month, round(sales, 4) AS sales, is_forecast, step FROM (" + _HISTORY + """
+    UNION ALL
+    SELECT segment, CAST(month + to_months(CAST(i - 1 AS INTEGER)) AS DATE), yhat * (1 + CAST(g AS DOUBLE) * (i - 1)), true, CAST(i AS INTEGER)
+    FROM (SELECT *, CASE segment WHEN 'AUTOMOBILE' THEN 0.02 WHEN 'BUILDING' THEN 0.01 WHEN 'MACHINERY' THEN 0.03 ELSE 0.0 END AS g
+          FROM fcst WHERE step = 1), range(1, 4) r(i))""", MONTHLY_CTE, FORECAST_CTE)
+
+ORACLE["cluster_stats_fixed"] = with_tx("""
+SELECT cluster, round(avg_sales, 4) AS avg_sales, round(avg_margin, 6) AS avg_margin, round(avg_discount, 6) AS avg_discount,
+       n_customers FROM cstats""", FIXED_CTE)
+ORACLE["persona_assignments_fixed"] = with_tx("""
+SELECT p.customer, p.cluster, n.persona FROM prof p JOIN named n ON n.cluster = p.cluster""", FIXED_CTE)
+ORACLE["persona_traits_fixed"] = with_tx(f"""
+SELECT n.persona, n.cluster, {_label('n.avg_sales', 'n.avg_discount', 'n.avg_margin')} AS persona_label,
+       CASE WHEN n.avg_margin < 0.10 OR n.avg_discount >= 0.25 THEN 'high'
+            WHEN n.avg_margin < 0.15 OR n.avg_discount >= 0.15 THEN 'medium' ELSE 'low' END AS churn_risk,
+       round(n.avg_sales, 2) AS avg_customer_sales, round(n.avg_discount, 4) AS avg_discount,
+       round(n.avg_margin, 4) AS avg_margin, n.n_customers AS cluster_size, t.region AS top_region
+FROM named n
+JOIN (SELECT cluster, region, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, region) AS rk
+      FROM tx JOIN prof USING (customer) GROUP BY 1, 2) t ON t.cluster = n.cluster AND t.rk = 1""", FIXED_CTE)
+
+_LINEAR = ("0.45 + CAST(discount AS DOUBLE) * -0.9 + CAST(quantity AS DOUBLE) * 0.0005 + rpu * 0.00001 + segment_enc * -0.01 "
+           "+ region_enc * 0.002 + industry_enc * 0.001 + product_enc * -0.0003")
+CEIL_CTE = f"""
+ceil AS (
+  SELECT segment, region, round(coalesce(max(discount) FILTER (WHERE {_LINEAR} > 0.05), 0.0), 2) AS ceiling
+  FROM (SELECT segment, region, CAST(round(i * 0.01, 2) AS DOUBLE) AS discount, quantity, revenue_per_unit AS rpu,
+               segment_enc, region_enc, industry_enc, product_enc
+        FROM reps, range(0, 81) r(i))
+  GROUP BY 1, 2
+)"""
+ORACLE["discount_ceilings_fixed"] = with_tx("SELECT * FROM ceil", ENC_CTE, REPS_CTE, CEIL_CTE)
+
+
+def _percent(x: str, n: int) -> str:
+    return f"(CAST(round(CAST({x} AS DECIMAL(18,6)) * 100, {n}) AS DECIMAL(18,{n})) || '%')"
+
+
+SCORED_CTE = f"""
+scored AS (
+  SELECT d.*, round(greatest(-1.0, least(1.0, {_LINEAR.replace('segment_enc', 'es.code').replace('region_enc', 'er.code')
+                                               .replace('industry_enc', 'ei.code').replace('product_enc', 'ep.code')})), 4) AS p, c.ceiling
+  FROM (SELECT *, sales / quantity AS rpu FROM todo) d
+  JOIN enc es ON es."column" = 'segment' AND es.value = d.segment
+  JOIN enc er ON er."column" = 'region' AND er.value = d.region
+  JOIN enc ei ON ei."column" = 'industry' AND ei.value = d.industry
+  JOIN enc ep ON ep."column" = 'product' AND ep.value = d.product
+  JOIN ceil c ON c.segment = d.segment AND c.region = d.region
+)"""
+_SCORES = f"""
+SELECT deal_id, segment, region, industry, product, CAST(quantity AS DOUBLE) AS quantity, sales, discount, p AS predicted_margin_rate,
+       CASE WHEN p >= 0.15 THEN 'green' WHEN p >= 0.05 THEN 'caution' ELSE 'red' END AS margin_flag,
+       CASE WHEN p >= 0.15 THEN 'healthy' WHEN p >= 0.05 THEN 'at_risk' ELSE 'critical' END AS margin_rating,
+       p > 0 AS is_profitable, ceiling AS max_safe_discount,
+       CASE WHEN p >= 0.15 THEN 'Margin is healthy at ' || {_percent('p', 1)} || '. Deal is within acceptable range.' || sfx
+            WHEN p >= 0.05 THEN 'Margin is thin at ' || {_percent('p', 1)} || '. Current discount (' || {_percent('discount', 0)}
+                                || ') is approaching the risk zone.' || sfx
+            ELSE 'Predicted margin (' || {_percent('p', 1)} || ') is below the 5% threshold. Discount of ' || {_percent('discount', 0)}
+                 || ' is too aggressive for this deal.' || sfx || ' Revise terms or escalate for approval.' END AS recommendation,
+       round(least(discount / CASE WHEN ceiling <> 0 THEN ceiling ELSE 0.01 END, 1.0), 6) AS discount_use,
+       discount <= ceiling AS within_ceiling, '' AS warnings
+FROM (SELECT *, ' Safe ceiling for ' || segment || '/' || region || ': ' || {_percent('ceiling', 0)} || '.' AS sfx FROM scored)"""
+ORACLE["deal_scores_fixed"] = with_tx(_SCORES, ENC_CTE, REPS_CTE, CEIL_CTE, DEALS_CTE, "todo AS (SELECT * FROM deals)", SCORED_CTE)
+
+_TOP_ORDER = ORACLE["top_at_risk"].split("ORDER BY")[1].split("LIMIT")[0]
+ORACLE["at_risk_scored_fixed"] = with_tx(_SCORES, ENC_CTE, REPS_CTE, CEIL_CTE, f"""
+todo AS (SELECT order_id AS deal_id, segment, region, industry, product, CAST(quantity AS INTEGER) AS quantity,
+                CAST(sales AS DOUBLE) AS sales, CAST(discount AS DOUBLE) AS discount
+         FROM txm WHERE margin_rate < 0.05 ORDER BY {_TOP_ORDER} LIMIT 50)""", SCORED_CTE)
+ORACLE["top_at_risk_by_region"] = with_tx(_RISK_SELECT + f"""
+QUALIFY row_number() OVER (PARTITION BY region ORDER BY {_TOP_ORDER}) <= 50""")
+
+ORACLE["rule_recovery_mapped"] = (ORACLE["rule_recovery"].replace("'Tech'", "'Brand#11'").replace("'Finance'", "'Brand#22'")
+                                  .replace("'Healthcare'", "'Brand#3'").replace("'Enterprise API'", "'ECONOMY'").replace("'Basic'", "'STANDARD'"))
+ORACLE["discount_sweep_mapped"] = (ORACLE["discount_sweep"].replace("'Enterprise API'", "'ECONOMY'").replace("'Basic'", "'STANDARD'")
+                                   .replace("'Enterprise'", "'AUTOMOBILE'").replace("'Small Business'", "'BUILDING'")
+                                   .replace("'Europe'", "'EUROPE'").replace("'APAC'", "'ASIA'"))
+
+# ------------------------------------------------------------------ ingestion pieces
+ORACLE["parse_date_forms"] = with_tx("""
+SELECT order_id, line_number, CAST((CAST(order_id AS BIGINT) * 10 + line_number) % 16 AS INTEGER) AS form, order_date FROM tx""")
+ORACLE["date_key"] = with_tx("""
+SELECT try_cast(k AS BIGINT) AS date_key, count(*) AS rows
+FROM (SELECT regexp_replace(date_raw, '[-/]', '', 'g') AS k FROM raw) GROUP BY 1""", RAW_CTE)
+ORACLE["missing_critical"] = with_tx("""
+SELECT name AS dropped, name IN ('Date', 'Amount', 'Qty') AS rejected, (SELECT count(*) FROM raw) AS rows
+FROM (VALUES ('order_id'), ('Date'), ('Client'), ('Tier'), ('Country'), ('SKU'), ('Amount'), ('Qty'), ('Discount Rate'),
+             ('net_profit'), ('Sector')) v(name)""", RAW_CTE)
+ORACLE["fill_model_columns"] = with_tx("""
+SELECT 'Unknown' AS industry, CASE WHEN quantity > 1 THEN product ELSE 'Unknown' END AS product, count(*) AS rows
+FROM typed GROUP BY 1, 2""", RAW_CTE, TYPED_CTE)
+ORACLE["sniffed_orders"] = ORACLE["normalized_headers"]
+ORACLE["csv_export"] = with_tx("""
+SELECT concat_ws(',', order_id, order_date, customer, segment, region, product, margin) AS line FROM listing""", LISTING_CTE)

@@ -36,6 +36,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.master(master)
     for key, value in _DEFAULTS.items():
         builder = builder.config(key, value)
+    if master and master.startswith("local["):
+        # one JVM is driver and executors at once, and its default heap is 1 GB
+        builder = builder.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -56,14 +59,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared directory named by ``spark.checkpoint.dir``.
 
     On a cluster this must be a shared file system (HDFS, object store) and is
-    provided by the deployment. Only when it is unset (unit tests, a laptop)
-    do we pick a local scratch folder.
+    provided by the deployment: off a local master an unset folder is an error.
+    Only a local master (unit tests, a laptop) gets a scratch folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     jsc_dir = spark.sparkContext.getCheckpointDir()
     if jsc_dir:
         return jsc_dir
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="revlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)

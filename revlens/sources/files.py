@@ -1,9 +1,9 @@
 """File sources and sinks.
 
 CSV files are read with every column as STRING - coercion is the cleaning
-step's job - so the scan is splittable and schema-stable. The only driver
-work is reading the first line of the input to pick a delimiter and an
-encoding (``limit(1)`` on a text scan).
+step's job - so the scan is splittable and schema-stable. The delimiter
+comes from the header line, the encoding of each file from all of its bytes
+(one distributed pass that returns a row per file).
 """
 
 from __future__ import annotations
@@ -36,37 +36,54 @@ def resolve_source(spark: SparkSession, source) -> str:
     raise TypeError(f"unsupported source type {type(source).__name__}; pass a path or glob")
 
 
-def sample_lines(spark: SparkSession, path: str, n: int = 1000) -> list[str]:
-    """First ``n`` lines of the input, decoded as UTF-8 (invalid bytes show
-    up as U+FFFD). Only this bounded sample reaches the driver."""
-    return [r[0] for r in spark.read.text(path).limit(n).collect()]
+def header_line(spark: SparkSession, path: str) -> str:
+    """The first line of the input; only this line reaches the driver."""
+    first = spark.read.text(path).limit(1).collect()
+    if not first:
+        raise SourceError(f"{path} is empty")
+    return first[0][0]
 
 
-def sniff(spark: SparkSession, path: str, sample: int = 1000) -> tuple[str, str]:
-    """Pick (delimiter, encoding): UTF-8 unless the sampled lines contain
-    bytes that are not valid UTF-8 (then ISO-8859-1); the candidate delimiter
-    occurring most often in the header line (comma on ties)."""
-    lines = sample_lines(spark, path, sample)
-    if not lines:
-        raise SourceError(f"{path} is empty")
-    enc = ENCODINGS[1] if any("\ufffd" in ln for ln in lines) else ENCODINGS[0]
-    header = lines[0]
-    counts = {d: header.count(d) for d in DELIMITERS}
-    delim = max(DELIMITERS, key=lambda d: (counts[d], -DELIMITERS.index(d)))
-    return delim, enc
+def sniff_delimiter(header: str) -> str:
+    """The candidate that occurs most often in the header (comma on ties)."""
+    return max(DELIMITERS, key=lambda d: (header.count(d), -DELIMITERS.index(d)))
+
+
+def file_encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Encoding -> files. A file is UTF-8 if every line of it is valid UTF-8,
+    else ISO-8859-1: one distributed pass over all bytes, one row per file."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.is_valid_utf8("value").alias("ok"))
+    out: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.bool_and("ok").alias("ok")).orderBy("file").collect():
+        out.setdefault(ENCODINGS[0 if r["ok"] else 1], []).append(r["file"])
+    return out
+
+
+def sniff(spark: SparkSession, path: str) -> tuple[str, dict[str, list[str]]]:
+    """(delimiter of the header line, files of each encoding)."""
+    return sniff_delimiter(header_line(spark, path)), file_encodings(spark, path)
 
 
 def read_csv(spark: SparkSession, source, sep: str | None = None, encoding: str | None = None,
              multiline: bool = False) -> DataFrame:
-    """Header row, auto-detected delimiter/encoding, all columns STRING."""
+    """Header row, auto-detected delimiter/encoding, all columns STRING.
+    Files of different encodings are read each in its own and unioned by
+    column name."""
     path = resolve_source(spark, source)
-    if sep is None or encoding is None:
-        s, e = sniff(spark, path)
-        sep, encoding = sep or s, encoding or e
-    try:
-        return (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+    sep = sep or sniff_delimiter(header_line(spark, path))
+    groups = {encoding: [path]} if encoding else file_encodings(spark, path)
+
+    def load(enc: str, paths: list[str]) -> DataFrame:
+        return (spark.read.option("header", True).option("sep", sep).option("encoding", enc)
                 .option("inferSchema", False).option("multiLine", multiline).option("escape", "\"")
-                .option("mode", "PERMISSIVE").csv(path))
+                .option("mode", "PERMISSIVE").csv(paths))
+
+    try:
+        parts = [load(enc, paths) for enc, paths in sorted(groups.items(), reverse=True)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p, allowMissingColumns=True)
+        return out
     except Exception as exc:  # noqa: BLE001 - surface as a validation error
         raise SourceError(f"could not parse {path}: {exc}") from exc
 
@@ -103,8 +120,12 @@ def csv_lines(df: DataFrame) -> DataFrame:
 
 
 def export_csv_crlf(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CRLF variant of S6 (the browser export's line ends): header line plus
-    quoted rows through the text writer."""
-    spark = df.sparkSession
-    header = spark.createDataFrame([(",".join(df.columns),)], "line string")
-    header.unionByName(csv_lines(df)).coalesce(1).write.mode(mode).option("lineSep", "\r\n").text(path)
+    """CRLF variant of S6: every file has the header line first and then its
+    quoted rows, and files are written in parallel (one per partition)."""
+    names = [F.lit(c) for c in df.columns]
+    header = F.concat_ws(",", *[csv_field(n) for n in names])
+    rows = csv_lines(df).withColumn("nth", F.monotonically_increasing_id())
+    # a partition's first row has a number whose low 33 bits are 0
+    first = F.col("nth").bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    both = rows.select(F.when(first, F.concat(header, F.lit("\r\n"), F.col("line"))).otherwise(F.col("line")).alias("line"))
+    both.write.mode(mode).option("lineSep", "\r\n").text(path)

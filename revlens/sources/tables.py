@@ -15,15 +15,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.plans.joins import bounded_broadcast
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
-# nation x region is a fixed-size dimension (25 x 5 in TPC-H); still checked.
-_GEO_MAX_ROWS = 10_000
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -40,12 +35,12 @@ def transactions(spark: SparkSession, sf_dir: str, *, exact: bool = True) -> Dat
     ``sales``/``profit`` are DECIMAL when ``exact`` (sums are then exact and
     engine independent); downstream operators cast to DOUBLE before dividing.
 
-    Plan: nation x region is broadcast (size checked). customer, part and
-    orders grow with the data, so their joins are left to the optimizer: AQE
-    turns a join into a broadcast at run time only when the shuffled side
-    turns out small, and uses sort-merge joins (with skew splitting) otherwise.
-    Orders are enriched with customer/geo attributes before meeting lineitem,
-    so the widest table is shuffled once on orderkey and once on partkey.
+    Plan: customer, nation, region and part are joined as the optimizer sees
+    fit. Orders and lineitem are both facts: their join is a sort-merge join
+    by hint, as the estimate for the compressed Parquet of the enriched orders
+    may fall below the broadcast threshold while its rows don't fit the
+    driver. Orders are enriched with customer/geo attributes before meeting
+    lineitem, so the widest table is shuffled once on orderkey.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
@@ -57,13 +52,11 @@ def transactions(spark: SparkSession, sf_dir: str, *, exact: bool = True) -> Dat
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
 
-    geo = bounded_broadcast(
-        nation.join(region, nation.n_regionkey == region.r_regionkey)
-        .select("n_nationkey", "r_name"), _GEO_MAX_ROWS)
+    geo = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "r_name")
     cust = customer.join(geo, customer.c_nationkey == geo.n_nationkey).select(
         "c_custkey", "c_name", "c_mktsegment", "r_name")
     enriched_orders = orders.join(cust, orders.o_custkey == cust.c_custkey)
-    joined = (li.join(enriched_orders, li.l_orderkey == enriched_orders.o_orderkey)
+    joined = (li.join(enriched_orders.hint("merge"), li.l_orderkey == enriched_orders.o_orderkey)
               .join(part, li.l_partkey == part.p_partkey))
 
     price = _dec("l_extendedprice", 12, 2)
@@ -100,8 +93,13 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     once per session into the shared checkpoint directory, then read back
     with the CSV source (all columns STRING). Reading a file also keeps the
     optimizer from pushing the cleaning predicates into the star join."""
-    from revlens.session import checkpoint_dir
     from revlens.sources.files import read_csv
+    return read_csv(spark, raw_orders_path(spark, sf_dir), sep=",", encoding="UTF-8")
+
+
+def raw_orders_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the raw export of this session lies."""
+    from revlens.session import checkpoint_dir
     key = (id(spark._jsparkSession), sf_dir)
     if key not in _RAW_FILES:
         path = f"{checkpoint_dir(spark).rstrip('/')}/fixtures/raw_orders-{uuid.uuid4().hex}"
@@ -109,7 +107,7 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             .option("quote", '"').option("escape", '"')
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
         _RAW_FILES[key] = path
-    return read_csv(spark, _RAW_FILES[key], sep=",", encoding="UTF-8")
+    return _RAW_FILES[key]
 
 
 def raw_orders_frame(spark: SparkSession, sf_dir: str) -> DataFrame:

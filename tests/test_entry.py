@@ -8,11 +8,10 @@ import math
 import pytest
 
 import __spark_entry__ as E
+from revlens.plans.catalog import QUERIES
+from revlens.plans.oracle import ORACLE
 from revlens.sources.tables import TABLES
 
-ORACLE = E.oracle_sql()
-QUERIES = E.queries()
-
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
@@ -20,6 +19,11 @@ def test_entry_smoke(spark):
     assert "segment" in df.columns
 
 
+def test_the_contract_lists_every_query():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
+    assert set(E.oracle_sql()) <= set(E.queries())
+
+
 def test_every_query_has_unique_aliased_columns(spark, sf_small):
     for name in sorted(QUERIES):
         if name in ORACLE:

@@ -78,26 +78,83 @@ def test_alert_rules(spark):
 
 
 def test_context_packet_respects_budget_and_drops_deals_first(spark):
-    fvc = spark.createDataFrame([(f"S{i}", 1000.0 * i, 900.0, 1100.0, 0.01 * i, "up", 0.3) for i in range(3)],
+    fvc = spark.createDataFrame([(f"S{i}", 1000.0 * i, 900.0, 1100.0, 1000.0 * i, 0.01 * i, "up", 0.3) for i in range(3)],
                                 "segment string, next_period_revenue double, confidence_lower double, "
-                                "confidence_upper double, pct_change_vs_current double, trend_direction string, "
+                                "confidence_upper double, current_revenue double, pct_change_vs_current double, trend_direction string, "
                                 "r2_validation double")
     personas = spark.createDataFrame([("Champions", "Champion", 10.0, 0.1, 0.2, "low", "X", 3)],
                                      "persona string, persona_label string, avg_customer_sales double, "
                                      "avg_discount double, avg_margin double, churn_risk string, top_region string, "
                                      "cluster_size long")
-    deals = spark.createDataFrame([(f"d{i}", "S0", "R", 0.01 * i, 0.3, "red") for i in range(8)],
+    deals = spark.createDataFrame([(f"d{i}", "S0", "R", 0.01 * i, 0.3, "Revise.") for i in range(8)],
                                   "deal_id string, segment string, region string, predicted_margin_rate double, "
-                                  "discount double, margin_flag string")
-    groups = spark.createDataFrame([("R",)], "region string")
-    full = CX.context_packets(fvc, deals, personas, groups).first()
-    assert full.n_items_kept == 3 + 1 + 5 and full.token_estimate <= 600
-    small = CX.context_packets(fvc, deals, personas, groups, budget_tokens=170).first()
-    assert small.token_estimate <= 170 - CX.RESERVE_TOKENS
-    assert small.pruning_log and small.pruning_log[0].startswith("dropped") and "deal" in small.pruning_log[0]
+                                  "discount double, recommendation string")
+    groups = spark.createDataFrame([("R",), ("Q",)], "region string")
+    ceilings = spark.createDataFrame([("S0", "R", 0.2), ("S1", "R", 0.1)], "segment string, region string, ceiling double")
+    avg = spark.createDataFrame([("S0", 0.2), ("S1", 0.1)], "segment string, avg_margin double")
+    facts = CX.ModelFacts(0.9, 4, 0.353)
+
+    def packet(region, tokens=600):
+        rows = CX.context_packets(fvc, deals, personas, groups, ceilings, avg, facts, budget_tokens=tokens).collect()
+        r = next(x for x in rows if x.region == region)
+        return r, json.loads(r.json)
+
     import json
-    js = json.loads(small.json)
-    assert len(js["forecast"]["segments"]) == 3
+    full, js = packet("R")
+    assert full.n_items_kept == 3 + 1 + 5 and full.token_estimate <= 600
+    assert js["forecast"]["global_summary"] == {"global_yhat": 3000.0, "total_next_period_revenue": 3000.0,
+                                                "aggregate_pct_change": "0.0%", "aggregate_trend": "flat"}
+    assert js["margin"]["model_r2"] == 0.9 and js["margin"]["avg_margin_by_segment"] == {"S0": "20.0%", "S1": "10.0%"}
+    assert js["margin"]["discount_ceiling"] == {"S0/R": "20.0%", "S1/R": "10.0%"}
+    assert [d["id"] for d in js["margin"]["at_risk_deals"]] == ["d0", "d1", "d2", "d3", "d4"]
+    assert js["margin"]["at_risk_deals"][0]["action"] == "Revise."
+    assert js["segmentation"]["n_clusters"] == 4 and js["segmentation"]["silhouette"] == 0.35
+    other, js = packet("Q")
+    assert js["margin"]["at_risk_deals"] == [] and js["margin"]["discount_ceiling"] == {}
+    small, js = packet("R", full.token_estimate - 60)
+    assert small.token_estimate <= full.token_estimate - 60
+    assert small.pruning_log[0].startswith("dropped") and "deal" in small.pruning_log[0]
+    assert len(js["forecast"]["segments"]) == 3 and len(js["segmentation"]["personas"]) == 1
+    tiny, js = packet("R", 40)
+    assert tiny.n_items_kept == 0 and js["margin"]["discount_ceiling"] == {} and "dropped the discount ceilings" in tiny.pruning_log
+    with pytest.raises(CX.EmptyPacketError):
+        CX.check_packets(fvc.limit(0), deals.limit(0), personas.limit(0))
+
+
+def test_encoders_have_no_null_class(spark):
+    from revlens.operators import ingest as IN
+    tx = spark.createDataFrame([("b", None, "r", "p", 2.0, 0.1, 5.0), ("a", "x", None, "p", 1.0, 0.4, 3.0)],
+                               "segment string, industry string, region string, product string, quantity double, "
+                               "discount double, sales double")
+    feats = IN.deal_features(tx)
+    enc = MG.fit_encoders(feats)
+    assert {(r.column, r.value): r.code for r in enc.collect()} == {
+        ("segment", "a"): 0, ("segment", "b"): 1, ("industry", "Unknown"): 0, ("industry", "x"): 1,
+        ("region", "Unknown"): 0, ("region", "r"): 1, ("product", "p"): 0}
+    assert all(r.industry_enc >= 0 and r.region_enc >= 0 for r in MG.encode(feats, enc).collect())
+    assert MG.fit_encoders(tx).where("value is null").count() == 0
+
+
+def test_hold_out_follows_the_rows_not_the_partitions(spark, sf_small):
+    from revlens.operators import rollups as R
+    from revlens.sources import tables as S
+    tx = R.margin_features(S.transactions(spark, sf_small))
+    p = MG.MarginParams(max_iter=3)
+    one, two = MG.train_margin_model(tx, p), MG.train_margin_model(tx.repartition(13), p)
+    assert (one.r2, one.mae) == (two.r2, two.mae) and one.importances == two.importances
+
+
+def test_models_save_and_load(spark, tmp_path):
+    from revlens.plans import models as MD
+    tx = spark.createDataFrame([(f"c{i % 40}", float(i), i % 7 / 20, i % 5 / 10) for i in range(400)],
+                               "customer string, sales double, margin_rate double, discount double")
+    clustered, _, (model, scaling) = PS.cluster_customers(tx, PS.PersonaParams(n_init=2))
+    MD.save_clusters(model, scaling, str(tmp_path / "c"))
+    again, rows = MD.load_clusters(spark, str(tmp_path / "c"))
+    assert [c.tolist() for c in again.clusterCenters()] == [c.tolist() for c in model.clusterCenters()]
+    assert rows.first() == scaling.first()
+    MD.save_forecast(clustered, str(tmp_path / "f"))
+    assert MD.load_forecast(spark, str(tmp_path / "f")).count() == 40
 
 
 def test_rule_recovery_and_sweep_curve(spark):

@@ -18,6 +18,34 @@ def test_group_quantile_matches_pandas_on_skewed_keys(spark):
     assert abs(g - pdf.v.median()) < 1e-12
 
 
+def test_group_quantile_narrows_its_brackets(spark):
+    """Small limits force the passes; ties, outliers, nulls and one-row groups."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"k": rng.choice(["hot", "b", None], 6000, p=[0.7, 0.2, 0.1]),
+                        "v": np.where(rng.random(6000) < 0.3, 7.0, rng.lognormal(0, 4, 6000))})
+    pdf.loc[0, "v"] = 1e300
+    pdf = pd.concat([pdf, pd.DataFrame({"k": ["one", "none"], "v": [3.5, None]})])
+    df = spark.createDataFrame(pdf.replace({np.nan: None}), "k string, v double").repartition(5)
+    for q in (0.5, 0.01, 0.99):
+        got = {r["k"]: r["m"] for r in group_quantile(df, ["k"], "v", q=q, out="m", few_rows=20).collect()}
+        exp = pdf.dropna(subset="v").groupby("k", dropna=False)["v"].quantile(q)
+        assert set(got) == {"hot", "b", "one", None}
+        for k, v in exp.items():
+            mine = got[None if pd.isna(k) else k]
+            assert mine == v or abs(mine - v) <= 1e-9 * abs(v)
+
+
+def test_one_page_needs_no_numbering(spark):
+    from revlens.operators.explore import page
+    df = spark.createDataFrame([(i % 10, f"x{i:03d}") for i in range(101)], "a int, b string").repartition(4)
+    every = {(r.a, r.b): (r.row_number, r.page) for r in page(df, ["a", "b"], None, 8).collect()}
+    for number, want in ((1, 1), (0, 1), (7, 7), (12, 12), (13, 13), (99, 13)):
+        rows = page(df, ["a", "b"], number, 8).collect()
+        assert {r.page for r in rows} == {want} and {r.total_pages for r in rows} == {13}
+        assert {(r.a, r.b): (r.row_number, r.page) for r in rows} == {k: v for k, v in every.items() if v[1] == want}
+    assert page(df.limit(0), ["a", "b"], 3, 8).count() == 0
+
+
 def test_row_number_is_dense_and_ordered(spark):
     pdf = pd.DataFrame({"a": np.arange(1000) % 7, "b": np.arange(1000)[::-1]})
     df = spark.createDataFrame(pdf).repartition(5)

@@ -47,6 +47,23 @@ def test_csv_export_round_trip_with_quoting(spark):
     raw = b"".join(open(os.path.join(out2, f), "rb").read() for f in sorted(os.listdir(out2))
                    if f.startswith("part-"))
     assert raw.startswith(b"c1,c2,c3\r\n") and b'"a,b","say ""hi""","line1\nline2"\r\n' in raw
+    out3 = os.path.join(_tmp(), "crlf")
+    FS.export_csv_crlf(spark.range(100).repartition(4), out3)
+    parts = [open(os.path.join(out3, f), "rb").read() for f in os.listdir(out3) if f.startswith("part-")]
+    assert len(parts) == 4 and all(p.startswith(b"id\r\n") and p.count(b"id") == 1 for p in parts)
+    assert sum(p.count(b"\r\n") for p in parts) == 104
+
+
+def test_encoding_is_decided_by_all_bytes_of_each_file(spark):
+    d = _tmp()
+    rows = "".join(f"{i},plain\n" for i in range(1500))
+    with open(os.path.join(d, "a.csv"), "wb") as f:
+        f.write(("id,name\n" + rows).encode() + "9999,Café\n".encode("latin-1"))
+    with open(os.path.join(d, "b.csv"), "wb") as f:
+        f.write(("id,name\n" + rows + "7777,Zoë \ufffd\n").encode())
+    got = {r["id"]: r["name"] for r in FS.read_csv(spark, os.path.join(d, "*.csv")).collect()}
+    assert got["9999"] == "Café" and got["7777"] == "Zoë \ufffd"
+    assert FS.read_csv(spark, os.path.join(d, "*.csv")).count() == 3002
 
 
 def test_file_fingerprint(spark):
