@@ -11,6 +11,7 @@ Python loop of single-row predictions.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -234,9 +235,10 @@ def _dealt(data: DataFrame) -> DataFrame:
     return data.repartition(n, "_h").sortWithinPartitions("_h", *FEATURES, "label").drop("_h", "_test")
 
 
-def train_margin_model(tx: DataFrame, params: MarginParams = MarginParams()) -> MarginModel:
+def train_margin_model(tx: DataFrame, params: MarginParams = MarginParams(), metrics_now: bool = False) -> MarginModel:
     """M9: the model is fitted on all rows; hold-out R2/MAE come from a second
-    fit on 80 % of them, made when they are asked for."""
+    fit on 80 % of them, made when they are asked for - or, if they are wanted
+    anyway (``metrics_now``), at the same time as the first."""
     encoders, data = _prepared(tx, params)
     n = data.count()
     if n < params.min_rows:
@@ -261,10 +263,17 @@ def train_margin_model(tx: DataFrame, params: MarginParams = MarginParams()) ->
         ev = RegressionEvaluator(labelCol="label", predictionCol="prediction")
         return {k: round(ev.setMetricName(k).evaluate(pred), 4) for k in ("r2", "mae")}
 
-    model = fit(data)
+    metrics: dict = {}
+    if metrics_now:
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            measured, fitted = pool.submit(measure), pool.submit(fit, data)
+            metrics, model = measured.result(), fitted.result()
+    else:
+        model = fit(data)
     gbm: GBTRegressionModel = model.stages[-1]
     imp = sorted(zip(FEATURES, gbm.featureImportances.toArray().tolist()), key=lambda t: (-t[1], t[0]))
-    return MarginModel(model=model, encoders=encoders, medians=median_rev_per_unit(tx), importances=imp, measure=measure)
+    return MarginModel(model=model, encoders=encoders, medians=median_rev_per_unit(tx), importances=imp,
+                       metrics=metrics, measure=measure)
 
 
 def predict(model: MarginModel, feats: DataFrame) -> DataFrame:

@@ -52,9 +52,10 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
         R.monthly_rollup(clean_table(spark, sf_dir)), "monthly"))
 
 
-def margin_model(spark: SparkSession, sf_dir: str, params: MG.MarginParams = MG.MarginParams()) -> MG.MarginModel:
+def margin_model(spark: SparkSession, sf_dir: str, params: MG.MarginParams = MG.MarginParams(),
+                 metrics_now: bool = False) -> MG.MarginModel:
     return _cached(spark, "margin", sf_dir, params,
-                   make=lambda: MG.train_margin_model(clean_table(spark, sf_dir), params))
+                   make=lambda: MG.train_margin_model(clean_table(spark, sf_dir), params, metrics_now))
 
 
 def ceilings(spark: SparkSession, sf_dir: str, params: MG.MarginParams = MG.MarginParams()) -> DataFrame:
@@ -80,8 +81,13 @@ def train_all(spark: SparkSession, sf_dir: str) -> None:
     forecast models) at once: they are independent, and their many small jobs
     leave executors idle when run one after another."""
     clean_table(spark, sf_dir)
+
+    def margin():
+        margin_model(spark, sf_dir, metrics_now=True)
+        ceilings(spark, sf_dir)
+
     with ThreadPoolExecutor(max_workers=3) as pool:
-        for f in [pool.submit(fn, spark, sf_dir) for fn in (ceilings, clusters, forecast_models)]:
+        for f in [pool.submit(margin), pool.submit(clusters, spark, sf_dir), pool.submit(forecast_models, spark, sf_dir)]:
             f.result()
 
 

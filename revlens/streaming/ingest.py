@@ -59,9 +59,14 @@ def start_ingest(raw_stream: DataFrame, out_dir: str, checkpoint: str,
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         # per-batch directories + overwrite: a replayed batch id rewrites
-        # its own output instead of appending duplicates
-        batch.write.mode("overwrite").partitionBy("month").parquet(f"{out_dir}/clean/batch={batch_id}")
-        monthly_partials(batch).write.mode("overwrite").parquet(f"{out_dir}/monthly_partials/batch={batch_id}")
+        # its own output instead of appending duplicates; both outputs read
+        # one computation of the batch
+        batch = batch.persist()
+        try:
+            batch.write.mode("overwrite").partitionBy("month").parquet(f"{out_dir}/clean/batch={batch_id}")
+            monthly_partials(batch).write.mode("overwrite").parquet(f"{out_dir}/monthly_partials/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     writer = clean.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if trigger_once else writer
