@@ -233,18 +233,29 @@ def _dealt_by_window(contexts: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(id, hash, spans) of (id, text, hash): merged spans (first, end) of the
     bytes that repeated windows cover; documents without any are left out."""
-    runs = stage(sampled_runs(docs), "suffix-runs")
-    rows = runs.select("id", "hash", "n_windows", "starts", F.posexplode("digits").alias("i", "digit"))
-    counts, size = staged(rows.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-digits")
-    again = rows.join(broadcast_if_small(counts, size), "digit").select(
-        "id", "hash", F.struct("digit", "n", F.get("starts", F.col("i")).alias("start"), (F.coalesce(F.get("starts", F.col("i") + 1), F.col("n_windows")) - 1).alias("end")).alias("run"))
+    # numbered once, in what is written
+    runs = stage(sampled_runs(docs).withColumn("uid", F.monotonically_increasing_id()), "suffix-runs")
+    rows = runs.select("uid", F.posexplode("digits").alias("i", "digit"), "starts", "n_windows").select(
+        "digit", "uid", F.get("starts", F.col("i")).alias("start"), (F.coalesce(F.get("starts", F.col("i") + 1), F.col("n_windows")) - 1).alias("end"))
+    # written, so that the join's two sides are plain shuffles, of which Spark can split a hot digit
+    counts = stage(rows.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "suffix-digits")
     # the runs of one document; a repeated row's are the same ones
-    chosen = again.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(F.collect_set("run").alias("runs"))
-    texts = docs.join(chosen, (docs["hash"] == chosen["__hash"]) & same(docs["id"], chosen["__id"])).select("id", "hash", "text", "runs")
-    contexts = _contexts(texts)
-    spans = _ordered_in_tasks(contexts.where(F.col("n") <= hot))
-    if counts.where(F.col("n") > hot).limit(1).count():
-        spans = spans.unionByName(_dealt_by_window(stage(contexts.where(F.col("n") > hot), "suffix-hot")))
+    again = rows.join(counts, "digit").groupBy("uid").agg(F.collect_list(F.struct("digit", "n", "start", "end")).alias("runs"))
+    again = stage(again.join(runs.select("uid", "id", "hash"), "uid").select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), "runs"), "suffix-again")
+
+    def chosen(wanted) -> DataFrame:
+        runs_ = again.withColumn("runs", F.filter("runs", wanted)).where(F.size("runs") > 0)
+        return runs_.dropDuplicates(["__id", "__hash"])
+
+    def contexts(some: DataFrame) -> DataFrame:
+        texts = docs.join(some, (docs["hash"] == F.col("__hash")) & same(docs["id"], F.col("__id")))
+        return _contexts(texts.select("id", "hash", "text", "runs"))
+
+    spans = _ordered_in_tasks(contexts(chosen(lambda r: r["n"] <= hot)))
+    rest, size = staged(chosen(lambda r: r["n"] > hot), "suffix-hot-runs")
+    if rest.limit(1).count():
+        # few documents mostly: their texts needn't be shuffled again then
+        spans = spans.unionByName(_dealt_by_window(stage(contexts(broadcast_if_small(rest, size)), "suffix-hot")))
     return _merged(spans)
 
 
