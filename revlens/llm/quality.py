@@ -92,6 +92,22 @@ def responses(b: Batch, tables: list[np.ndarray]) -> np.ndarray:
     return out.reshape(-1, BLOCK, FILTERS)
 
 
+def peaks(b: Batch, tables: list[np.ndarray], most: int = 2_048) -> np.ndarray:
+    """(blocks, filters): the highest response of each block, some blocks at a
+    time, so that a long document needs no more memory than a short one."""
+    total = int(b.blocks.sum())
+    out = np.empty((total, FILTERS), dtype=np.float32)
+    for at in range(0, total, most):
+        first, last = at * BLOCK, min(total, at + most) * BLOCK
+        part = tables[0].take(b.pairs[first:last], axis=0)
+        for j, table in enumerate(tables[1:], 1):
+            part += table.take(b.pairs[first + j : last + j], axis=0)
+        left_out = b.padding[np.searchsorted(b.padding, first) : np.searchsorted(b.padding, last)]
+        part[left_out - first] = -np.inf
+        out[at : at + most] = part.reshape(-1, BLOCK, FILTERS).max(axis=1)
+    return out
+
+
 def chunk_of(b: Batch) -> tuple[np.ndarray, np.ndarray]:
     """The two blocks of each chunk (a document of one block has one chunk)."""
     n = np.maximum(b.blocks - 1, 1)
@@ -117,7 +133,7 @@ def score_texts(texts: list[str], net: Network, tables: list[np.ndarray]) -> np.
     score = np.full(len(texts), _sigmoid(net.bias)[0], dtype=np.float64)
     b = arrange(texts)
     if len(b.rows):
-        peak = responses(b, tables).max(axis=1)
+        peak = peaks(b, tables)
         first, second = chunk_of(b)
         pooled = np.maximum(np.maximum(peak[first], peak[second]).astype(np.float64) + net.shift, 0)
         score[b.rows] = _sigmoid((combine(b, pooled) * net.out).sum(axis=1) + net.bias[0])

@@ -21,7 +21,7 @@ id gets the component of its group (null if no id in it is known).
 
 from __future__ import annotations
 
-import re
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +31,6 @@ from pyspark.sql import DataFrame, functions as F
 from revlens.llm.common import batches, same, small_batches, stage, texts_of
 from revlens.llm.components import components
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SHINGLE_WORDS, DISTANCE, SEED, SEGMENTS = 3, 3, 42, 2
 #: Entries that are compared with one block of lookups at once.
 BLOCK = 2_048
@@ -43,19 +40,21 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     """The 64-bit SimHash of a text, unsigned."""
     import xxhash
 
-    tokens = [w for w in text.translate(_LOWER).translate(_BLANKS).split(" ") if w]
+    # bytes are lower-cased in A-Z only, and split at the six ASCII blanks only
+    tokens = text.encode("utf-8", "replace").lower().split()
     if not tokens:
         return 0
     if len(tokens) < words:
-        shingles = [" ".join(tokens)]
+        shingles = [b" ".join(tokens)]
     else:
-        shingles = map(" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
+        shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s.encode(), seed) for s in shingles], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 65_536):
-        ones += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(h), bitorder="little")
+    ones, n, shingles = np.zeros(64, dtype=np.int64), 0, iter(shingles)
+    while some := [digest(s, seed) for s in itertools.islice(shingles, 65_536)]:
+        h = np.array(some, dtype="<u8")
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(some)
+    bits = np.packbits(2 * ones > n, bitorder="little")
     return int(bits.view("<u8")[0])
 
 

@@ -38,6 +38,8 @@ DEPTH, GRAM = 200, 48
 #: Ends of the digits of the second pass.
 DIGITS = ((0, 64), (64, 64), (128, 72))
 HOT = 50_000
+#: Bytes of a long document that are sampled at a time.
+SLICE = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20_240_229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -106,10 +108,17 @@ def sampled_runs(docs: DataFrame) -> DataFrame:
     """(id, hash, digits, starts, n_windows) of every document of at least DEPTH bytes."""
     schema = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("digits", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("n_windows", pa.int32())])
 
+    def found(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        if len(ends) > 1 or len(data) <= SLICE:
+            return first_digits(data, ends)
+        # a long document in slices that share DEPTH - 1 bytes: each window is in one of them
+        parts = [(at, *first_digits(part := data[at : at + SLICE + DEPTH - 1], np.array([len(part)]))) for at in range(0, len(data) - DEPTH + 1, SLICE)]
+        return tuple(np.concatenate(x) for x in ([p[1] for p in parts], [p[0] + p[2] for p in parts], [p[3] for p in parts]))
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(it, most_bytes=1 << 20):
             data, ends = _bytes_of(batch, "text")
-            doc, start, digit = first_digits(data, ends)
+            doc, start, digit = found(data, ends)
             offsets = pa.array(np.searchsorted(doc, np.arange(len(ends) + 1)).astype(np.int32))
             sizes = np.diff(np.concatenate([[0], ends]))
             out = pa.RecordBatch.from_arrays([

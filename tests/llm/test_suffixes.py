@@ -51,6 +51,22 @@ def test_awkward_rows(awkward, no_documents):
     assert suffixes.remove_repeats(no_documents).count() == 0
 
 
+def test_long_documents_are_sampled_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SLICE", 500)
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    shared = text(900)
+    docs = [(1, text(3000) + shared + text(100)), (2, shared), (3, text(499)), (4, text(700) + shared[:650])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    raw = {i: t.encode() for i, t in docs}
+    for i, b in raw.items():
+        data = np.frombuffer(b, dtype=np.uint8)
+        rows = suffixes.sampled_runs(frame.where(f"doc_id = {i}").selectExpr("doc_id id", "text", "doc_id hash")).collect()
+        assert rows[0]["n_windows"] == len(b) - 199 and rows[0]["starts"][0] == 0 and rows[0]["starts"] == sorted(rows[0]["starts"])
+        assert len(data) == len(b)
+    assert rows_of(suffixes.remove_repeats(frame)) == brute(docs)
+
+
 def test_first_digits_are_the_windows_own():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 101, 3000).astype(np.uint8)
