@@ -730,7 +730,7 @@ def _percent(x: str, n: int) -> str:
 SCORED_CTE = f"""
 scored AS (
   SELECT d.*, round(greatest(-1.0, least(1.0, {_LINEAR.replace('segment_enc', 'es.code').replace('region_enc', 'er.code')
-                                               .replace('industry_enc', 'ei.code').replace('product_enc', 'ep.code')})), 4) AS p, c.ceiling
+                                               .replace('industry_enc', 'ei.code').replace('product_enc', 'ep.code')})), 4) + 0.0 AS p, c.ceiling
   FROM (SELECT *, sales / quantity AS rpu FROM todo) d
   JOIN enc es ON es."column" = 'segment' AND es.value = d.segment
   JOIN enc er ON er."column" = 'region' AND er.value = d.region
