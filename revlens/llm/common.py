@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from revlens.session import checkpoint_dir
 
 #: A staged table up to this many bytes of Parquet may be broadcast.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -103,3 +103,5 @@ def small_batches(it: Iterator[pa.RecordBatch], column: str = "text", most_bytes
             to = max(at + 1, int(np.searchsorted(size, base + most_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    # a worker is used again: it shouldn't hold what this task needed
+    pa.default_memory_pool().release_unused()

@@ -228,7 +228,7 @@ def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
         tables = net.tables()
         build = batches({"text": pa.string()})
         for part in parts:
-            found = [score_texts(texts_of(b), net, tables) for b in small_batches([build(part.tolist())], most_bytes=1 << 19)]
+            found = [score_texts(texts_of(b), net, tables) for b in small_batches([build(part.tolist())], most_bytes=1 << 18)]
             yield pd.Series(np.concatenate(found) if found else np.zeros(0))
 
     scored.__annotations__ = {"parts": Series[pd.Series], "return": Series[pd.Series]}

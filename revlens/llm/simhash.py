@@ -26,9 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from revlens.llm.common import batches, same, small_batches, stage, texts_of
+from revlens.llm.common import batches, broadcast_if_small, same, small_batches, stage, staged, texts_of
 from revlens.llm.components import components
 
 SHINGLE_WORDS, DISTANCE, SEED, SEGMENTS = 3, 3, 42, 2
@@ -190,15 +190,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """One document of each group of near-duplicates, all columns. Of rows with
     the group's smallest id, the one with the smallest text hash stays."""
     found = near_duplicates(docs, id_col, text_col, **settings)
-    chosen = found.where(same(F.col(id_col), F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    kept = docs.join(chosen, same(docs[id_col], chosen["__id"]), "left_semi")
-    return drop_repeats(kept, id_col, text_col)
-
-
-def drop_repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of each id. Only rows whose id comes more than once are dealt by
-    id; the others stay where they are."""
-    twice = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col(id_col).alias("__id"))
-    clash = docs.join(twice, same(docs[id_col], twice["__id"]), "left_semi")
-    alone = docs.join(twice, same(docs[id_col], twice["__id"]), "left_anti")
-    return alone.unionByName(clash.dropDuplicates([id_col]))
+    chosen = found.where(same(F.col(id_col), F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    # ids and counts only: their bytes are checked before they may be broadcast
+    chosen, size = staged(chosen, "simhash-kept")
+    chosen = broadcast_if_small(chosen, size)
+    once = chosen.where("__n = 1").select("__id")
+    kept = docs.join(once, same(docs[id_col], F.col("__id")), "left_semi")
+    if not chosen.where("__n > 1").limit(1).count():
+        return kept
+    # only rows whose id comes again are dealt by id
+    again = chosen.where("__n > 1").select("__id")
+    clash = docs.join(again, same(docs[id_col], F.col("__id")), "left_semi").withColumn("__h", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    first = clash.withColumn("__nth", F.row_number().over(Window.partitionBy(id_col).orderBy("__h", text_col))).where("__nth = 1")
+    return kept.unionByName(first.drop("__h", "__nth"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revlens.llm import linedup, mixing, packing, quality, queries, simhash
-from revlens.llm.common import same, small_arrow_batches
+from revlens.llm.common import broadcast_if_small, same, small_arrow_batches, staged
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_arrow_batches(spark)
     taken = mixing.mix(docs).documents.where("taken > 0")
     times = taken.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
-    repeated = docs.join(times, same(docs["doc_id"], F.col("__id"))).withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    times, size = staged(times, "mix-times")
+    repeated = docs.join(broadcast_if_small(times, size), same(docs["doc_id"], F.col("__id"))).withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return repeated.select(*docs.columns)
 
 
