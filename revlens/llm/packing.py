@@ -20,6 +20,7 @@ is cut into pieces of ``capacity`` ids, its last piece may be shorter.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers; others are encoded when met.
 REMEMBERED_WORDS = 500_000
+#: Marks that may close a word of letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Rounds of multiplicative weights for one linear program.
 ROUNDS = 96
 #: How strongly a covered length loses price.
@@ -46,9 +49,10 @@ class WordEncoder:
 
     Such a tokenizer's ids of a text are its words' ids one after another, so
     words are encoded once each and looked up afterwards. Words that only
-    differ by a closing comma or stop share their letters' ids, and unknown
-    words are encoded many at once with a digit between them, which is a token
-    of its own.
+    differ in case or by the marks that close them share their letters' ids,
+    and unknown words are encoded many at once with a digit between them, which
+    is a token of its own. All this holds for tokenizers that split letters,
+    digits and other marks from each other; others encode whole words.
     """
 
     def __init__(self, path: str):
@@ -62,8 +66,10 @@ class WordEncoder:
         self.mark = self._ids(["1"])[0]
         probe = self.tokenizer.encode("ab 1 cd 1", add_special_tokens=False).ids
         whole = b"".join(self._ids(["ab", "1", "cd", "1"]))
-        self.joins = len(self.mark) == 4 and np.array(probe, dtype="<u4").tobytes() == whole
-        self.closing = {c: self._ids([c])[0] for c in ",."} if b"".join(self._ids(["ab", ","])) == self._ids(["ab,"])[0] else {}
+        self.joins = len(self.mark) == 4 and np.array(probe, dtype="<u4").tobytes() == whole and all(
+            b"".join(self._ids(["ab", x])) == self._ids([f"ab{x}"])[0] for x in (",", "!!", "-", "$$$", "."))
+        # ids of the runs of marks that close words
+        self.marks: dict[str, bytes] = {}
         self.letters = self._for_letters()
 
     def _for_letters(self):
@@ -75,7 +81,7 @@ class WordEncoder:
 
         settings = json.loads(self.tokenizer.to_str())
         steps = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        if [x["type"] for x in steps] != ["Split", "ByteLevel"] or not self.joins:
+        if [x["type"] for x in steps] != ["Split", "ByteLevel"] or not self.joins or '"Lowercase"' not in json.dumps(settings.get("normalizer")):
             return None
         settings |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
         return Tokenizer.from_str(json.dumps(settings))
@@ -94,33 +100,73 @@ class WordEncoder:
                 at = cut + 4
 
     def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each word with its ids."""
-        letters = [w for w in words if w.isascii() and w.isalpha() and w.islower() and len(w) <= 64] if self.letters else []
-        rest = set(words).difference(letters)
-        plain = [w for w in rest if "1" not in w and "<" not in w and len(w) <= 64] if self.joins else []
-        rest.difference_update(plain)
-        yield from self._joined(letters, self.letters)
+        """Words with their ids."""
+        plain = [w for w in words if "1" not in w and "<" not in w and len(w) <= 64] if self.joins else []
+        rest = set(words).difference(plain)
         yield from self._joined(plain)
         yield from zip(rest, self._ids(list(rest)), strict=True)
 
+    def _new(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that aren't remembered: a word's are its letters' and
+        those of the marks that close it. As many as there is room for are
+        remembered."""
+        known, marks = self.known, self.marks
+        whole: list[str] = []
+        stems: list[str] = []
+        letters: set[str] = set()
+        others: set[str] = set()
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if stem.isascii():
+                if stem.isalpha() and self.letters and len(stem) <= 64:
+                    whole.append(w)
+                    stem = stem.lower()
+                    stems.append(stem)
+                    if stem not in known:
+                        letters.add(stem)
+                    continue
+            elif self.joins and max(stem) < "\u0250" and stem.lower().isalpha():
+                whole.append(w)
+                stems.append(stem)
+                if stem not in known:
+                    others.add(stem)
+                continue
+            others.add(w)
+        found = dict(self._joined(list(letters), self.letters))
+        found.update(self._encode(list(others)))
+        get = known.get
+        for w, stem in zip(whole, stems, strict=True):
+            ids, run = get(stem), w[len(stem):]
+            if ids is None:
+                ids = found[stem]
+            if run:
+                if run not in marks:
+                    marks[run] = self._ids([run])[0]
+                ids += marks[run]
+            found[w] = ids
+        if len(marks) > 10_000:
+            marks.clear()
+        room = REMEMBERED_WORDS - len(known)
+        if room > 0:
+            known.update(itertools.islice(((w, x) for w, x in found.items() if len(w) <= 64), room))
+        return found
+
     def encode(self, texts: list[str], end_id: int | None) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known, closing = self.known, self.closing
-        extra: dict[str, bytes] = {}
-        new = set().union(*words).difference(known)
-        stems = {w: w[:-1] for w in new if w[-1] in closing and max(w) < "\u0250" and w[:-1].lower().isalpha()}
-        for w, ids in self._encode(list((new.difference(stems) | set(stems.values())).difference(known))):
-            (known if len(known) < REMEMBERED_WORDS and len(w) <= 64 else extra)[w] = ids
-        for w, stem in stems.items():
-            ids = (known[stem] if stem in known else extra[stem]) + closing[w[-1]]
-            (known if len(known) < REMEMBERED_WORDS and len(w) <= 64 else extra)[w] = ids
-        known.update(extra)  # for this batch
-        out = [b"".join(map(known.__getitem__, ws)) + end for ws in words]
-        for w in extra:
-            del known[w]
-        return out
+        get = self.known.get
+        rows: list[tuple[list[str], list]] = []
+        missing: set[str] = set()
+        for t in texts:
+            words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            ids = list(map(get, words))
+            if None in ids:
+                missing.update([w for w, x in zip(words, ids, strict=True) if x is None])
+                rows.append((words, ids))
+            else:
+                rows.append(([], ids))
+        new = self._new(missing) if missing else {}
+        return [b"".join([new[w] if x is None else x for w, x in zip(words, ids, strict=True)] if words else ids) + end for words, ids in rows]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -283,7 +329,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen, part = encoder(tokenizer_path), {}, TaskContext.get().partitionId()
-        for batch in small_batches(it):
+        for batch in small_batches(it, most_bytes=1 << 20):
             rows: list[list] = [[] for _ in range(7)]
             for id_, ids in zip(batch.column("id").to_pylist(), enc.encode(texts_of(batch), end_id), strict=True):
                 n = len(ids) // 4
