@@ -6,9 +6,11 @@ g - 1 pairs and not all g^2. Rare lines (in at most ``rare`` documents) are
 looked up first; lines in more documents are looked up in a second round, only
 where the first left them standing. Each pair is aligned with patience diff on
 its line hashes: common ends, then the lines unique in both in their longest
-rising order, then again between them. Runs of aligned lines are blocks, and
-blocks of at least ``min_chars`` code points are deleted from the later
-document. What is deleted stands in an earlier document, and the earliest one
+rising order, then again between them. Runs of aligned lines are blocks. Where
+lines are left that may lie in a block (repeated or in another order), the
+longest run of the earlier document that ends at each of them is found with
+its suffix automaton. Blocks of at least ``min_chars`` code points are deleted
+from the later document. What is deleted stands in an earlier document, and the earliest one
 that has a line never loses it.
 
 Later means a larger id, null ids after all others; rows of equal id are told
@@ -26,6 +28,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -36,6 +39,8 @@ from revlens.llm.common import batches, broadcast_if_small, stage, staged
 RARE = 64
 #: A block of fewer code points is no overlap, and a shorter line no reason to compare.
 MIN_CHARS = 24
+#: Stands between lines; no line equals it.
+_BREAK = object()
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -84,19 +89,84 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list[int], b: list[int], chars: list[int], min_chars: int) -> list[int]:
-    """Positions in b of aligned blocks of at least ``min_chars`` code points."""
+def longest_runs(a: list[int], b: list[int]) -> list[int]:
+    """For each position in b, the lines of the longest run ending there that a
+    has. By the suffix automaton of a, in linear time."""
+    steps: list[dict] = [{}]
+    link, length, last = [-1], [0], 0
+    for x in a:
+        now = len(steps)
+        steps.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        p = last
+        while p >= 0 and x not in steps[p]:
+            steps[p][x] = now
+            p = link[p]
+        if p >= 0:
+            q = steps[p][x]
+            if length[p] + 1 < length[q]:
+                copy = len(steps)
+                steps.append(dict(steps[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and steps[p].get(x) == q:
+                    steps[p][x] = copy
+                    p = link[p]
+                link[q] = q = copy
+            link[now] = q
+        last = now
     out: list[int] = []
+    at, n = 0, 0
+    for x in b:
+        while at and x not in steps[at]:
+            at = link[at]
+            n = length[at]
+        at = steps[at].get(x, 0)
+        n = n + 1 if at else 0
+        out.append(n)
+    return out
+
+
+def common_blocks(a: list[int], b: list[int], chars: list[int], min_chars: int) -> list[int]:
+    """Positions in b of the lines in blocks of at least ``min_chars`` code
+    points that a has."""
+    gone: set[int] = set()
     block: list[int] = []
     last = (-2, -2)
     for i, j in [*patience(a, b), (-9, -9)]:
         if (i - 1, j - 1) != last:
             if sum(chars[k] for k in block) >= min_chars:
-                out += block
+                gone.update(block)
             block = []
         block.append(j)
         last = (i, j)
-    return out
+    known = set(a)
+    left: list[range] = []
+    j = 0
+    while len(gone) < len(b) and j < len(b):
+        i = j
+        while j < len(b) and b[j] in known:
+            j += 1
+        if sum(chars[i:j]) >= min_chars and not gone.issuperset(range(i, j)):
+            left.append(range(i, j))
+        j += 1
+    if not left:
+        return sorted(gone)
+    # lines of no use are breaks, on both sides
+    wanted = {b[j] for some in left for j in some}
+    rest = [x if x in wanted else None for x in a]
+    rest = [x for x, y in zip(rest, [0, *rest], strict=False) if x is not None or y is not None]
+    places = [j for some in left for j in (*some, -1)]
+    found = longest_runs(rest, [b[j] if j >= 0 else _BREAK for j in places])
+    upto = [0, *accumulate(chars)]
+    free = 0  # lines before it are seen to
+    for at, (j, n) in enumerate(zip(places, found, strict=True)):
+        # a run that the next line carries on lies in that one's
+        if n and found[at + 1] <= n and upto[j + 1] - upto[j + 1 - n] >= min_chars:
+            gone.update(range(max(free, j + 1 - n), j + 1))
+            free = j + 1
+    return sorted(gone)
 
 
 def _partners(lines: DataFrame, shared: DataFrame) -> DataFrame:

@@ -60,3 +60,34 @@ def test_patience_is_an_alignment():
         assert all(a[i] == b[j] for i, j in pairs)
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
     assert len(linedup.patience(list(range(500)), [*range(100, 500), *range(100)])) == 400
+
+
+def brute_all(docs, min_chars=linedup.MIN_CHARS):
+    """Deletes every line in a run of ``min_chars`` that any earlier document
+    has, from the definition and without the module's alignment."""
+    rows = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
+    bare = [[x.strip(" \t\r\f\x0b") for x in (d[1] or "").split("\n")] for d in rows]
+    out = []
+    for n, (i, text) in enumerate(rows):
+        ls, gone = (text or "").split("\n"), set()
+        held = {tuple(b[s:t]) for b in bare[:n] for s in range(len(b)) for t in range(s + 1, len(b) + 1)}
+        for s in range(len(ls)):
+            for t in range(s + 1, len(ls) + 1):
+                if sum(map(len, ls[s:t])) >= min_chars and tuple(bare[n][s:t]) in held:
+                    gone |= set(range(s, t))
+        out.append((i, text if not gone else "\n".join(x for k, x in enumerate(ls) if k not in gone)))
+    return sorted(out, key=repr)
+
+
+def texts_after(spark, docs, **settings):
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    return sorted(((r["doc_id"], r["text"]) for r in linedup.dedup_lines(frame, **settings).collect()), key=repr)
+
+
+L, K = "a long line that many documents share", "another long line of some documents"
+
+
+def test_repeated_and_reordered_lines_go(spark):
+    docs = [(1, f"{L}\n{K}\nmine"), (2, f"{L}\nx\n{L}\ny\n{L}\n{K}\n{K}"), (3, f"{K}\nz\n{L}"), (4, f"{L}\n{L}\nw\n{L}")]
+    got = texts_after(spark, docs)
+    assert got == brute_all(docs) == [(1, docs[0][1]), (2, "x\ny"), (3, "z"), (4, "w")]
