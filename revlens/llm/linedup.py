@@ -1,17 +1,22 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share lines. Each shared line links a document to
-the earliest document that has it, so a line that g documents share gives
-g - 1 pairs and not all g^2. Rare lines (in at most ``rare`` documents) are
-looked up first; lines in more documents are looked up in a second round, only
-where the first left them standing. Each pair is aligned with patience diff on
-its line hashes: common ends, then the lines unique in both in their longest
-rising order, then again between them. Runs of aligned lines are blocks. Where
-lines are left that may lie in a block (repeated or in another order), the
-longest run of the earlier document that ends at each of them is found with
-its suffix automaton. Blocks of at least ``min_chars`` code points are deleted
-from the later document. What is deleted stands in an earlier document, and the earliest one
-that has a line never loses it.
+A line of a document goes if it lies in a block, a run of consecutive lines of
+at least ``min_chars`` code points, that an earlier document has as well.
+
+Each line begins a shortest run of that size and ends another; a long line is
+a run of its own. Every line of a block lies in one of these runs that is
+inside the block. So a document is compared only with the earliest holder of
+each of its runs, and a run that g documents share gives g - 1 pairs and not
+all g^2. Rare runs (in at most ``rare`` documents) are looked up first; runs in
+more documents are looked up in a second round, only where the first left one
+of their lines standing. What goes doesn't depend on ``rare``.
+
+Each pair is aligned with patience diff on its line hashes: common ends, then
+the lines unique in both in their longest rising order, then again between
+them. Where lines are left that may lie in a block (repeated or in another
+order), the longest run of the earlier document that ends at each of them is
+found with its suffix automaton. What is deleted stands in an earlier
+document, and the earliest one that has a line never loses it.
 
 Later means a larger id, null ids after all others; rows of equal id are told
 apart by their place in the staged input.
@@ -20,7 +25,8 @@ Defined cases: null text is empty and stays as it is; a document may lose all
 of its lines and then has an empty text; blank and short lines are deleted
 only as part of a block; repeated rows lose all but the first one's lines; an
 empty table gives no rows. Lines are compared without white space at their
-ends.
+ends, which counts in a block's size; documents that pad a block differently
+are compared if it has ``min_chars`` without that.
 """
 
 from __future__ import annotations
@@ -30,15 +36,18 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from revlens.llm.common import batches, broadcast_if_small, stage, staged
 
-#: A line in at most so many documents is rare.
+#: A run in at most so many documents is rare.
 RARE = 64
-#: A block of fewer code points is no overlap, and a shorter line no reason to compare.
+#: A block of fewer code points is no overlap, and a shorter run no reason to compare.
 MIN_CHARS = 24
+#: Base of the runs' hashes (odd, so that it has an inverse).
+BASE = 0x9E3779B97F4A7C15
 #: Stands between lines; no line equals it.
 _BREAK = object()
 
@@ -169,9 +178,60 @@ def common_blocks(a: list[int], b: list[int], chars: list[int], min_chars: int)
     return sorted(gone)
 
 
-def _partners(lines: DataFrame, shared: DataFrame) -> DataFrame:
-    """(a, b): for each shared line of document b, the earliest document a."""
-    found = lines.join(shared, "line").where("uid <> first.uid")
+def _runs(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(uid, id, run): hashes of the shortest runs of ``min_chars`` that a line
+    begins or ends, once a document; only those with a line that isn't in
+    ``deleted``."""
+    columns = ["uid", "id", "lines", "chars", "bare", "deleted"]
+    schema = f"uid long, id {docs.schema['id'].dataType.simpleString()}, run long"
+    base, inverse = np.uint64(BASE), np.uint64(pow(BASE, -1, 1 << 64))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            count = batch.column("lines").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            h = batch.column("lines").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            if not len(h):
+                continue
+            end = np.cumsum(count)
+            owner = np.repeat(np.arange(len(count)), count)
+            stands = np.ones(len(h), dtype=np.int64)
+            gone = batch.column("deleted")
+            n_gone = gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            stands[np.repeat(end - count, n_gone) + gone.flatten().to_numpy(zero_copy_only=False).astype(np.int64)] = 0
+            standing = np.concatenate([[0], np.cumsum(stands)])
+            powers = np.full(len(h) + 1, base)
+            back = np.full(len(h) + 1, inverse)
+            powers[0] = back[0] = 1
+            powers, back = np.cumprod(powers), np.cumprod(back)
+            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * powers[:-1])])
+            line = np.arange(len(h))
+            first, to = [], []
+            sizes = [batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("chars", "bare")]
+            for size in sizes if (sizes[0] != sizes[1]).any() else sizes[:1]:
+                upto = np.concatenate([[0], np.cumsum(size)])
+                stop = np.maximum(np.searchsorted(upto, upto[:-1] + min_chars, side="left"), line + 1)
+                start = np.minimum(np.searchsorted(upto, upto[1:] - min_chars, side="right") - 1, line)
+                ahead, behind = stop <= end[owner], start >= (end - count)[owner]
+                first += [line[ahead], start[behind]]
+                to += [stop[ahead], line[behind] + 1]
+            first, to = np.concatenate(first), np.concatenate(to)
+            some = standing[to] > standing[first]
+            first, to = first[some], to[some]
+            key = (sums[to] - sums[first]) * back[first] ^ (to - first - 1).astype(np.uint64) * base
+            of = owner[first]
+            order = np.lexsort((key, of))
+            key, of = key[order], of[order]
+            once = np.ones(len(key), dtype=bool)
+            once[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+            rows = pa.array(of[once])
+            yield pa.RecordBatch.from_arrays([batch.column("uid").take(rows), batch.column("id").take(rows), pa.array(key[once].view(np.int64))], names=["uid", "id", "run"])
+
+    return docs.select(*columns).mapInArrow(run, schema)
+
+
+def _partners(runs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(a, b): for each shared run of document b, the earliest document a."""
+    found = runs.join(shared, "run").where("uid <> first.uid")
     return found.select(F.col("first.uid").alias("a"), F.col("uid").alias("b")).distinct()
 
 
@@ -198,16 +258,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # numbered once, in what is written; later jobs read the numbers
     base = stage(docs.withColumn("__uid", F.monotonically_increasing_id()), "line-docs")
     split = base.select(F.col("__uid").alias("uid"), F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("text"))
-    hashed = split.select("uid", "id", F.transform("text", lambda x: F.xxhash64(F.trim(F.regexp_replace(x, "[\\t\\r\\f\\x0B]", " ")))).alias("lines"), F.transform("text", F.length).alias("chars"))
+    bare = F.transform("text", lambda x: F.trim(F.regexp_replace(x, "[\\t\\r\\f\\x0B]", " ")))
+    split = split.select("uid", "id", "text", bare.alias("bare"))
+    hashed = split.select("uid", "id", F.transform("bare", lambda x: F.xxhash64(x)).alias("lines"), F.transform("text", F.length).alias("chars"), F.transform("bare", F.length).alias("bare"))
     hashed = stage(hashed, "line-hashes")
-    long_enough = F.filter(F.arrays_zip("lines", "chars"), lambda x: x["chars"] >= min_chars)
-    lines = hashed.select("uid", "id", F.explode(F.array_distinct(F.transform(long_enough, lambda x: x["lines"]))).alias("line"))
-    shared = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "uid")).alias("first")).where("n > 1")
+    runs = _runs(hashed.withColumn("deleted", F.lit(None).cast("array<int>")), min_chars)
+    shared = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "uid")).alias("first")).where("n > 1")
     shared = stage(shared, "line-shared")
-    deleted = stage(_align(_partners(lines, shared.where(F.col("n") <= rare)), hashed, min_chars), "line-deleted")
-    standing = hashed.join(_gathered(deleted), "uid", "left")
-    still = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (F.get("chars", i) >= min_chars) & ~F.coalesce(F.array_contains("deleted", i), F.lit(False)))
-    standing = standing.select("uid", F.explode(F.array_distinct(F.transform(still, lambda i: F.get("lines", i)))).alias("line"))
+    deleted = stage(_align(_partners(runs, shared.where(F.col("n") <= rare)), hashed, min_chars), "line-deleted")
+    standing = _runs(hashed.join(_gathered(deleted), "uid", "left"), min_chars)
     more = stage(_align(_partners(standing, shared.where(F.col("n") > rare)), hashed, min_chars), "line-deleted")
     gone, size = staged(_gathered(deleted.unionByName(more)).withColumnRenamed("uid", "__uid").withColumnRenamed("deleted", "__deleted"), "line-gone")
     whole = base.join(broadcast_if_small(gone, size), "__uid", "left")

@@ -91,3 +91,18 @@ def test_repeated_and_reordered_lines_go(spark):
     docs = [(1, f"{L}\n{K}\nmine"), (2, f"{L}\nx\n{L}\ny\n{L}\n{K}\n{K}"), (3, f"{K}\nz\n{L}"), (4, f"{L}\n{L}\nw\n{L}")]
     got = texts_after(spark, docs)
     assert got == brute_all(docs) == [(1, docs[0][1]), (2, "x\ny"), (3, "z"), (4, "w")]
+
+
+def test_passages_of_short_lines_go(spark):
+    verse = [f"verse {k} of it" for k in range(8)]
+    docs = [(1, "\n".join(["own", *verse])), (2, "\n".join([*verse, "else"])), (3, "\n".join(verse)), (4, "\n".join(["p", *verse[2:5], "q", verse[7]])), (None, "日本語の短い行\n二つ目の短い行です\n三つ目\n四つ目の行です"), (5, "日本語の短い行\n二つ目の短い行です\n三つ目\n四つ目の行です")]
+    got = texts_after(spark, docs)
+    assert got == brute_all(docs) and dict(got) == {1: docs[0][1], 2: "else", 3: "", 4: f"p\nq\n{verse[7]}", 5: docs[5][1], None: ""}
+
+
+def test_random_documents_match_all_pairs(spark):
+    rng = random.Random(5)
+    lines = ["", "a", "bb ", "ccc", " dddd", "eeeee", "ffffff", "a line of twelve", "a line of more than twelve"]
+    docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    want = brute_all(docs, 12)
+    assert texts_after(spark, docs, min_chars=12) == want
