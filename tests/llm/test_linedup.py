@@ -100,9 +100,18 @@ def test_passages_of_short_lines_go(spark):
     assert got == brute_all(docs) and dict(got) == {1: docs[0][1], 2: "else", 3: "", 4: f"p\nq\n{verse[7]}", 5: docs[5][1], None: ""}
 
 
+def test_any_rare_gives_the_same(spark):
+    docs = [(0, f"{L}\ns1\ns2"), (1, f"{K}\n{L}"), (2, f"{K}\n{L}\ns1\ns2"), (3, f"s0\n{L}\ns1"), (4, f"s0\n{L}\ns1\nnew"), *((i, f"own {i}\n{L}") for i in range(5, 75))]
+    want = brute_all(docs)
+    assert dict(want)[2] == K[:0] and dict(want)[4] == "new"
+    for rare in (1, 8, 64, 1000):
+        assert texts_after(spark, docs, rare=rare) == want
+
+
 def test_random_documents_match_all_pairs(spark):
     rng = random.Random(5)
     lines = ["", "a", "bb ", "ccc", " dddd", "eeeee", "ffffff", "a line of twelve", "a line of more than twelve"]
     docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
     want = brute_all(docs, 12)
-    assert texts_after(spark, docs, min_chars=12) == want
+    for rare in (1, 5, 1000):
+        assert texts_after(spark, docs, rare=rare, min_chars=12) == want
