@@ -122,10 +122,11 @@ def schedule_slots(sources: DataFrame, slots: int, block: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
-        share: float = 1.5, repeats: int = 2, block: int = BLOCK_WORDS, seed: int = 7) -> Mix:
-    """Mix documents to ``share`` times all words by source ``weights``."""
+        share: float = 1.5, repeats: int = 2, block: int = BLOCK_WORDS, seed: int = 7, keep: tuple[str, ...] = ()) -> Mix:
+    """Mix documents to ``share`` times all words by source ``weights``.
+    ``keep``: further columns for the result's ``documents``."""
     # the words are counted before the shuffle key is made, as both read the text
-    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *keep)
     sized = stage(slim.withColumn("h", F.xxhash64(F.lit(seed), "id", "source", "size")), "mix-sizes")
     sources, n_bytes = staged(source_targets(sized, weights, share, repeats), "mix-sources")
     small = broadcast_if_small(sources, n_bytes)
@@ -141,5 +142,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     schedule = stretches.join(schedule_slots(small, slots, block), ["k", "rank"])
     taken = schedule.groupBy("k", "bucket", "nth").agg(F.sum("n_words").alias("taken"))
     documents = line.join(taken, ["k", "bucket", "nth"], "left").select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *keep)
     return Mix(documents, schedule.withColumnRenamed("id", id_col), sources)

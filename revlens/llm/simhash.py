@@ -26,9 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from revlens.llm.common import batches, broadcast_if_small, same, small_batches, stage, staged, texts_of
+from revlens.llm.common import batches, broadcast_if_small, small_batches, stage, staged, texts_of
 from revlens.llm.components import components
 
 SHINGLE_WORDS, DISTANCE, SEED, SEGMENTS = 3, 3, 42, 2
@@ -59,15 +59,16 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """(id, fp) of (id, text); fp as a signed long."""
-    build = batches({"id": pa.int64(), "fp": pa.int64()})
+    """fp, a signed long, of text, and all other columns (longs)."""
+    kept = [c for c in docs.columns if c != "text"]
+    build = batches({c: pa.int64() for c in (*kept, "fp")})
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(it):
             fps = np.array([fingerprint(t, words, seed) for t in texts_of(batch)], dtype="<u8").view(np.int64)
-            yield build(batch.column("id"), fps)
+            yield build(*(batch.column(c) for c in kept), fps)
 
-    return docs.mapInArrow(run, "id long, fp long")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in (*kept, "fp")))
 
 
 def _spans(segments: int) -> list[tuple[int, int]]:
@@ -172,34 +173,36 @@ def verified_links(found: DataFrame, distance: int, segments: int) -> DataFrame:
     return found.repartition("segment", "value").sortWithinPartitions("segment", "value").mapInArrow(run, "a long, b long")
 
 
+def _grouped(distinct: DataFrame, distance: int, segments: int) -> DataFrame:
+    """``distinct`` (fp, ...) with the group that links reach: its smallest fingerprint."""
+    links = verified_links(lookups(distinct.select("fp"), distance, segments), distance, segments)
+    groups = components(links).select(F.col("node").alias("fp"), F.col("component").alias("group"))
+    return distinct.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
                     distance: int = DISTANCE, segments: int = SEGMENTS, seed: int = SEED) -> DataFrame:
     """(id, fingerprint, component_id): the component is the smallest id that
     links of ``distance`` or fewer bits reach."""
     own = stage(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), words, seed), "simhash")
     distinct = stage(own.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    links = verified_links(lookups(distinct.select("fp"), distance, segments), distance, segments)
-    groups = components(links).select(F.col("node").alias("fp"), F.col("component").alias("group"))
-    member = distinct.join(groups, "fp", "left").select("fp", "least", F.coalesce("group", "fp").alias("group"))
+    member = _grouped(distinct, distance, segments)
     smallest = member.groupBy("group").agg(F.min("least").alias("component_id"))
     member = member.join(smallest, "group").select("fp", "component_id")
     return own.join(member, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """One document of each group of near-duplicates, all columns. Of rows with
-    the group's smallest id, the one with the smallest text hash stays."""
-    found = near_duplicates(docs, id_col, text_col, **settings)
-    chosen = found.where(same(F.col(id_col), F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    # ids and counts only: their bytes are checked before they may be broadcast
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
+             distance: int = DISTANCE, segments: int = SEGMENTS, seed: int = SEED) -> DataFrame:
+    """One row of each group of near-duplicates, all columns: the one of the
+    smallest id (null after all others), and of its rows the one of the
+    smallest text hash. Ids may be null or come again, as rows have numbers."""
+    # numbered once, in what is written; later jobs read the numbers
+    base = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "simhash-rows")
+    slim = base.select(F.col(id_col).cast("long").alias("id"), F.col("__row").alias("row"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h", "row")).alias("first")
+    distinct = stage(fingerprints(slim, words, seed).groupBy("fp").agg(first), "simhash-distinct")
+    chosen = _grouped(distinct, distance, segments).groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    # numbers only: their bytes are checked before they may be broadcast
     chosen, size = staged(chosen, "simhash-kept")
-    chosen = broadcast_if_small(chosen, size)
-    once = chosen.where("__n = 1").select("__id")
-    kept = docs.join(once, same(docs[id_col], F.col("__id")), "left_semi")
-    if not chosen.where("__n > 1").limit(1).count():
-        return kept
-    # only rows whose id comes again are dealt by id
-    again = chosen.where("__n > 1").select("__id")
-    clash = docs.join(again, same(docs[id_col], F.col("__id")), "left_semi").withColumn("__h", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    first = clash.withColumn("__nth", F.row_number().over(Window.partitionBy(id_col).orderBy("__h", text_col))).where("__nth = 1")
-    return kept.unionByName(first.drop("__h", "__nth"))
+    return base.join(broadcast_if_small(chosen, size), "__row", "left_semi").select(*docs.columns)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revlens.llm import linedup, mixing, packing, quality, queries, simhash
-from revlens.llm.common import broadcast_if_small, same, small_arrow_batches, staged
+from revlens.llm.common import broadcast_if_small, small_arrow_batches, stage, staged
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: the smallest id of each group of linked fingerprints stays."""
+    """SimHash near-dedup: one row of each group of linked fingerprints stays, of the smallest id."""
     small_arrow_batches(spark)
     return simhash.keep_one(docs, words=3, distance=3, seed=42)
 
@@ -40,10 +40,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mix takes words from it, in whole texts (a part that is taken counts as a
     whole); documents that the mix takes nothing of go."""
     small_arrow_batches(spark)
-    taken = mixing.mix(docs).documents.where("taken > 0")
-    times = taken.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
-    times, size = staged(times, "mix-times")
-    repeated = docs.join(broadcast_if_small(times, size), same(docs["doc_id"], F.col("__id"))).withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    # ids may be null or come again: rows are told apart by a written number
+    base = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    taken = mixing.mix(base, keep=("__row",)).documents.where("taken > 0")
+    times, size = staged(taken.select("__row", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times")), "mix-times")
+    repeated = base.join(broadcast_if_small(times, size), "__row").withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return repeated.select(*docs.columns)
 
 

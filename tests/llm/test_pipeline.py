@@ -65,3 +65,14 @@ def test_awkward_rows(spark, awkward, no_documents, tmp_path):
             docs = stages.mixing.stage(apply(spark, docs, folder), "test")
             assert name == "best-fit packing" or docs.columns == columns
         docs.count()
+
+
+def test_mix_takes_rows_of_null_and_repeated_ids_on_their_own(spark):
+    # a is taken twice, b in part, c more than once
+    docs = [(None if i % 2 else 7, f"{s}{i} " * (30 + i), s, i) for i in range(40) for s in "abc"]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, n long")
+    numbered = frame.withColumn("row", stages.F.concat("source", "n"))
+    taken = {r["row"]: r["taken"] for r in stages.mixing.mix(numbered, keep=("row",)).documents.collect()}
+    got = Counter(f"{r['source']}{r['n']}" for r in stages.mix_sources(spark, frame, "").collect())
+    assert got == Counter({k: -(-v // (30 + int(k[1:]))) for k, v in taken.items() if v})
+    assert len(set(got.values())) > 1 and len(got) < len(docs)

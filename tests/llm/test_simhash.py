@@ -83,3 +83,15 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == brute_components({x for e in edges for x in e}, edges)
     assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(8)]
+    docs = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]),  # three groups without an id
+            (5, texts[3]), (5, texts[4]), (5, texts[4]),  # one id, two groups
+            (6, texts[5]), (7, texts[5]), (7, texts[6]),  # 7 is chosen in one group and not in the other
+            (None, texts[7]), (9, texts[7])]
+    rows = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (6, texts[5]), (7, texts[6]), (9, texts[7])]
+    assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr)
