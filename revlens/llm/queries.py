@@ -12,7 +12,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revlens.llm import fingerprints, linedup, lm, mixing, packing, pivots, quality, sharding, simhash, suffixes
+from revlens.llm import fingerprints, infill, linedup, lm, mixing, packing, pivots, quality, sharding, simhash, suffixes
 from revlens.llm.common import small_arrow_batches
 
 QUERIES: dict = {}
@@ -106,3 +106,38 @@ def op2_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model scores of every whole text."""
     return lm.score(table(spark, sf_dir, "documents"), parts=10)
+
+
+@query
+def op13_displacement_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text cut by lines into prefix, middle and suffix, and rebuilt from its output."""
+    rows = infill.restore(infill.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate_pct=100, spm_pct=50))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+# The text is rebuilt by cutting the output at its marks.
+ORACLE["op13_displacement_infill"] = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h
+  FROM documents),
+drawn AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM lines),
+cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT doc_id, n, form, text, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid, array_to_string(units[b + 1:n], '') AS suf
+  FROM cuts),
+outputs AS (
+  SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS output
+  FROM parts),
+found AS (SELECT *, instr(output, '<P>') AS p, instr(output, '<S>') AS s, instr(output, '<M>') AS m FROM outputs)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN output
+              WHEN 'psm' THEN output[p + 3:s - 1] || output[m + 3:] || output[s + 3:m - 1]
+              ELSE output[p + 3:m - 1] || output[m + 3:] || output[s + 3:p - 1] END) AS restored_sha256
+FROM found
+"""
