@@ -12,7 +12,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revlens.llm import fingerprints, infill, linedup, lm, mixing, packing, pivots, quality, sharding, simhash, suffixes
+from revlens.llm import fingerprints, infill, licenses, linedup, lm, mixing, packing, pivots, quality, sharding, simhash, suffixes
 from revlens.llm.common import small_arrow_batches
 
 QUERIES: dict = {}
@@ -108,6 +108,12 @@ def op9_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), parts=10)
 
 
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every whole text names or grants."""
+    return licenses.labels(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 @query
 def op13_displacement_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text cut by lines into prefix, middle and suffix, and rebuilt from its output."""
