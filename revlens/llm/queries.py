@@ -12,7 +12,7 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revlens.llm import fingerprints, infill, licenses, linedup, lm, mixing, packing, pivots, quality, sharding, simhash, suffixes
+from revlens.llm import fingerprints, infill, licenses, linedup, lm, mixing, negatives, packing, pivots, quality, sharding, simhash, suffixes
 from revlens.llm.common import small_arrow_batches
 
 QUERIES: dict = {}
@@ -114,6 +114,33 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labels(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+@query
+def op12_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives for each of the five positives of every hundredth vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0, scale=256, positives=5, negatives=5, least_pct=80)
+
+
+ORACLE["op12_hilbert_negatives"] = """
+WITH ready AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM ready a JOIN ready b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+found AS (
+  SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS rank,
+         s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+  FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 5
+"""
+
+
 @query
 def op13_displacement_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text cut by lines into prefix, middle and suffix, and rebuilt from its output."""
