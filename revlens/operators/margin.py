@@ -1,12 +1,12 @@
 """Deal-margin modelling.
 
-The margin model is an MLlib ``GBTRegressor`` over nine plain DOUBLE
-features (categorical columns enter as ordinal codes, like the reference's
-label-encoded trees). Everything around it - encoders, medians, modes, the
-discount grid, scoring, ceilings - is DataFrame code: joins against small
-per-category tables and grouped aggregations. The discount sweep is one
-``transform`` over a (segment x region x 81 discounts) grid instead of a
-Python loop of single-row predictions.
+The margin model is boosted trees (``operators.boosting``) over nine plain
+DOUBLE features (categorical columns enter as ordinal codes, like the
+reference's label-encoded trees). Everything around it - encoders, medians,
+modes, scoring, ceilings - is DataFrame code: joins against small
+per-category tables and grouped aggregations. Along the discount a row's
+prediction is a step function, which is built once per row and read at all
+grid points, instead of a prediction per row and point.
 """
 
 from __future__ import annotations
@@ -14,16 +14,15 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions import expressions as X
+from revlens.operators import boosting
 from revlens.operators.ingest import MODEL_CATEGORICALS, deal_features
-from revlens.operators.quantiles import group_quantile
+from revlens.operators.quantiles import group_quantiles
 from revlens.plans.joins import attach_one_row, small_table
 from revlens.plans.materialize import materialize
 
@@ -43,9 +42,11 @@ class MarginParams:
     step_size: float = 0.05
     max_depth: int = 5
     subsampling_rate: float = 0.8
-    feature_subset: str = "0.8"
+    column_rate: float = 0.8         # of the features, drawn per tree
     min_instances: int = 10
-    max_bins: int = 32
+    leaf_penalty: float = 1.0
+    max_bins: int = 64
+    batch_trees: int = 15            # trees that fit the same gradient (1: one after another)
     seed: int = 42
     test_fraction: float = 0.2
     min_rows: int = 100
@@ -98,9 +99,9 @@ def median_rev_per_unit(tx: DataFrame) -> DataFrame:
     read by the quantiles' passes."""
     f = materialize(tx.select("segment", X.revenue_per_unit("sales", "quantity").alias("rpu")), "rpu")
     out = "median_revenue_per_unit"
-    known = f.where(F.col("segment").isNotNull())
-    every = group_quantile(f, [], "rpu", out=out).select(F.lit(None).cast("string").alias("segment"), out)
-    return small_table(group_quantile(known, ["segment"], "rpu", out=out).unionByName(every), "medians")
+    by_segment, every = group_quantiles(f, [(["segment"], "rpu", out), ([], "rpu", out)])
+    known = by_segment.where(F.col("segment").isNotNull())
+    return small_table(known.unionByName(every.select(F.lit(None).cast("string").alias("segment"), out)), "medians")
 
 
 def impute_rev_per_unit(deals: DataFrame, medians: DataFrame) -> DataFrame:
@@ -132,15 +133,17 @@ def representative_deals(encoded: DataFrame, encoders: DataFrame) -> DataFrame:
     median revenue per unit, modal industry and product codes; combinations
     without rows fall back to the segment median quantity, the segment
     median revenue per unit and code 0."""
-    # The narrow projection is read by the passes of the medians and by the
-    # modes: write it once instead of re-running joins and encoders.
+    # The narrow projection is read by the medians' passes and by the modes:
+    # write it once instead of re-running joins and encoders.
     base = materialize(encoded.select("segment", "region", F.col("quantity").cast("double").alias("quantity"),
                                       "revenue_per_unit", "industry_enc", "product_enc"), "representatives")
     keys = ["segment", "region"]
     rep = combo_grid(encoders)
-    for level, pre in ((keys, "med"), (["segment"], "seg")):
-        for col, short in (("quantity", "quantity"), ("revenue_per_unit", "rpu")):
-            rep = rep.join(group_quantile(base, level, col, out=f"{pre}_{short}"), level, "left")
+    # all four medians share their passes
+    wanted = [(level, col, f"{pre}_{short}") for level, pre in ((keys, "med"), (["segment"], "seg"))
+              for col, short in (("quantity", "quantity"), ("revenue_per_unit", "rpu"))]
+    for (level, _, _), medians in zip(wanted, group_quantiles(base, wanted)):
+        rep = rep.join(medians, level, "left")
     for code in ("industry_enc", "product_enc"):
         rep = rep.join(_mode_code(base, keys, code, code), keys, "left")
     return rep.select(
@@ -187,7 +190,7 @@ def ceiling_grid(reps: DataFrame, params: MarginParams = MarginParams()) -> Data
 class MarginModel:
     """A predictor (anything with ``transform``) and its small tables. The
     hold-out metrics need a fit of their own and are made when first asked."""
-    model: PipelineModel
+    model: boosting.Trees
     encoders: DataFrame
     medians: DataFrame
     importances: list[tuple[str, float]]
@@ -208,18 +211,10 @@ class MarginModel:
         return self._metric("mae")
 
 
-def _assembler() -> VectorAssembler:
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
-
-
-# Rows of a training partition; their number follows the rows, not the cores.
-TRAIN_ROWS_PER_PARTITION = 50_000
-
-
 def _prepared(tx: DataFrame, params: MarginParams):
     """Encoders and the written training frame, with the hold-out flag. The
-    split and the partitioning follow a hash of the row, so results don't
-    depend on the cluster's size."""
+    split follows a hash of the row, so results don't depend on the cluster's
+    size."""
     feats = deal_features(tx, params.high_discount)
     encoders = fit_encoders(feats)
     enc = encode(feats, encoders, warn=False)
@@ -227,12 +222,20 @@ def _prepared(tx: DataFrame, params: MarginParams):
     data = enc.select(*cols, F.col("margin_rate").cast("double").alias("label")).where(F.col("label").isNotNull())
     data = data.withColumn("_h", F.xxhash64(F.lit(params.seed), *FEATURES, "label"))
     data = data.withColumn("_test", F.pmod("_h", F.lit(1000)) < F.lit(int(1000 * params.test_fraction)))
-    return encoders, materialize(data, "training")
+    return encoders, materialize(data.drop("_h"), "training")
+
 
+def boost_params(params: MarginParams) -> boosting.BoostParams:
+    return boosting.BoostParams(trees=params.max_iter, step=params.step_size, depth=params.max_depth, row_rate=params.subsampling_rate,
+                                column_rate=params.column_rate, min_rows=params.min_instances, leaf_penalty=params.leaf_penalty,
+                                max_bins=params.max_bins, batch=params.batch_trees, seed=params.seed)
 
-def _dealt(data: DataFrame) -> DataFrame:
-    n = max(1, -(-data.count() // TRAIN_ROWS_PER_PARTITION))
-    return data.repartition(n, "_h").sortWithinPartitions("_h", *FEATURES, "label").drop("_h", "_test")
+
+def regression_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> dict:
+    """R2 and mean absolute error (4 dp) in one aggregation."""
+    y, error = F.col(label), F.col(label) - F.col(prediction)
+    m = scored.agg(F.avg(error * error).alias("mse"), F.avg(F.abs(error)).alias("mae"), F.var_pop(y).alias("var")).first()
+    return {"r2": round(1 - m["mse"] / m["var"], 4) if m["var"] else None, "mae": None if m["mae"] is None else round(m["mae"], 4)}
 
 
 def train_margin_model(tx: DataFrame, params: MarginParams = MarginParams(), metrics_now: bool = False) -> MarginModel:
@@ -244,24 +247,11 @@ def train_margin_model(tx: DataFrame, params: MarginParams = MarginParams(), met
     if n < params.min_rows:
         raise MarginModelError(f"need >= {params.min_rows} rows to train, got {n}")
 
-    def fit(rows: DataFrame) -> PipelineModel:
-        gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=params.max_iter,
-                           stepSize=params.step_size, maxDepth=params.max_depth,
-                           subsamplingRate=params.subsampling_rate,
-                           featureSubsetStrategy=params.feature_subset,
-                           minInstancesPerNode=params.min_instances, seed=params.seed,
-                           maxBins=params.max_bins)
-        held = _assembler().transform(_dealt(rows)).select("features", "label").persist()
-        try:
-            return PipelineModel(stages=[_assembler(), gbt.fit(held)])
-        finally:
-            held.unpersist()
+    def fit(rows: DataFrame) -> boosting.Trees:
+        return boosting.fit(rows, FEATURES, "label", boost_params(params))
 
     def measure() -> dict:
-        holdout = fit(data.where(~F.col("_test")))
-        pred = holdout.transform(data.where(F.col("_test")))
-        ev = RegressionEvaluator(labelCol="label", predictionCol="prediction")
-        return {k: round(ev.setMetricName(k).evaluate(pred), 4) for k in ("r2", "mae")}
+        return regression_metrics(fit(data.where(~F.col("_test"))).transform(data.where(F.col("_test"))))
 
     metrics: dict = {}
     if metrics_now:
@@ -270,27 +260,64 @@ def train_margin_model(tx: DataFrame, params: MarginParams = MarginParams(), met
             metrics, model = measured.result(), fitted.result()
     else:
         model = fit(data)
-    gbm: GBTRegressionModel = model.stages[-1]
-    imp = sorted(zip(FEATURES, gbm.featureImportances.toArray().tolist()), key=lambda t: (-t[1], t[0]))
-    return MarginModel(model=model, encoders=encoders, medians=median_rev_per_unit(tx), importances=imp,
+    return MarginModel(model=model, encoders=encoders, medians=median_rev_per_unit(tx), importances=model.importances(),
                        metrics=metrics, measure=measure)
 
 
 def predict(model: MarginModel, feats: DataFrame) -> DataFrame:
-    """Run the pipeline on rows that carry the nine feature columns."""
+    """Run the predictor on rows that carry the nine feature columns."""
     casted = feats
     for c in FEATURES:
         casted = casted.withColumn(c, F.col(c).cast("double"))
     return model.model.transform(casted).drop("features")
 
 
+def discount_curve(model: MarginModel, params: MarginParams = MarginParams()) -> Column:
+    """The predicted margins at all grid discounts as an array column, for rows
+    with the six features that don't depend on the discount: the trees' step
+    function along the discount, built once per row. Rows with a negative or
+    missing quantity are predicted point by point (their steps may run back)."""
+    trees: boosting.Trees = model.model
+    n = int(round(params.discount_max / params.discount_step))
+    grid = np.round(np.arange(n + 1) * params.discount_step, 2)
+    high = (grid > params.high_discount).astype(float)
+    still = [c for c in FEATURES if c not in ("discount", "discount_x_quantity", "high_discount_flag_int")]
+
+    @F.pandas_udf("array<double>")
+    def curve(*columns: pd.Series) -> pd.Series:
+        given = dict(zip(still, (c.to_numpy(dtype=np.float64, na_value=np.nan) for c in columns)))
+        out = np.empty((len(columns[0]), len(grid)))
+        for at in range(0, len(out), 4096):
+            part = {c: v[at : at + 4096] for c, v in given.items()}
+            along = grid[None, :] * part["quantity"][:, None]
+            x = np.column_stack([part.get(c, np.zeros(len(along))) for c in FEATURES])
+            plain = ~(part["quantity"] >= 0)
+            rows = np.flatnonzero(~plain)
+            out[at + rows] = trees.steps(x[rows], grid, {"discount": grid, "discount_x_quantity": along[rows], "high_discount_flag_int": high})
+            for i in np.flatnonzero(plain):
+                full = np.repeat(x[i : i + 1], len(grid), axis=0)
+                for c, v in (("discount", grid), ("discount_x_quantity", along[i]), ("high_discount_flag_int", high)):
+                    full[:, FEATURES.index(c)] = v
+                out[at + i] = trees.predict(full)
+        return pd.Series(list(out))
+
+    return curve(*[F.col(c).cast("double") for c in still])
+
+
 # ---------------------------------------------------------------- M11
 def discount_ceilings(model: MarginModel, tx: DataFrame, params: MarginParams = MarginParams()) -> DataFrame:
     """Per segment x region the LARGEST grid discount whose predicted
-    margin exceeds the floor (0.0 when none does), rounded to 2 dp."""
+    margin exceeds the floor (0.0 when none does), rounded to 2 dp. Boosted
+    trees give each representative deal's step function; any other predictor
+    is run on the grid."""
     feats = deal_features(tx, params.high_discount)
     encoded = encode(feats, model.encoders, warn=False)
     reps = representative_deals(encoded, model.encoders)
+    if isinstance(model.model, boosting.Trees):
+        above = F.filter(F.transform("_curve", lambda p, i: F.when(p > params.margin_floor, i)), lambda i: i.isNotNull())
+        last = F.coalesce(F.array_max(above), F.lit(0))
+        return (reps.withColumn("_curve", discount_curve(model, params))
+                    .select("segment", "region", F.round(last * F.lit(params.discount_step), 2).alias("ceiling")))
     grid = ceiling_grid(reps, params)
     scored = predict(model, grid)
     return (scored.groupBy("segment", "region")
@@ -402,18 +429,14 @@ def discount_sweep(deals: DataFrame, max_pct: int = 80, rules: RuleTables = Rule
 def discount_sweep_model(model: "MarginModel", deals: DataFrame, params: MarginParams = MarginParams()) -> DataFrame:
     """M18, model mode: per deal the model's predicted margin at every grid
     discount (0..max step), revenue per unit from the deal (segment median
-    when missing), categorical codes from the model's encoders."""
+    when missing), categorical codes from the model's encoders. A deal's
+    margins are read from its step function; only the results are exploded."""
     rp = impute_rev_per_unit(deals, model.medians)
-    enc = encode(rp, model.encoders, warn=False)
-    n = int(round(params.discount_max / params.discount_step))
-    g = (enc.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n))))
-            .withColumn("deal_discount", F.col("discount"))
-            .withColumn("discount", F.round(F.col("_i") * F.lit(params.discount_step), 2)).drop("_i")
-            .withColumn("discount_x_quantity", F.col("discount") * F.col("quantity").cast("double"))
-            .withColumn("high_discount_flag_int", (F.col("discount") > params.high_discount).cast("int")))
-    out = predict(model, g)
-    return out.withColumn("predicted_margin_rate",
-                          F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("prediction"))), 4))
+    enc = encode(rp, model.encoders, warn=False).withColumn("deal_discount", F.col("discount"))
+    swept = enc.drop("discount").withColumn("_curve", discount_curve(model, params))
+    out = swept.select(*[F.col(f"`{c}`") for c in swept.columns if c != "_curve"], F.posexplode("_curve").alias("_i", "prediction"))
+    return (out.withColumn("discount", F.round(F.col("_i") * F.lit(params.discount_step), 2)).drop("_i")
+               .withColumn("predicted_margin_rate", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("prediction"))), 4)))
 
 
 # Default what-if discount scenarios.

@@ -3,91 +3,105 @@
 
 Spark's exact ``percentile`` keeps a value -> count map per group in one
 buffer, so a group holding a third of a 100 TB table would be merged in one
-task. Here no row is shuffled by its group. Each group keeps a bracket of
-values that holds the wanted rank; a pass sketches the values inside the
-brackets (``percentile_approx``: a mergeable sketch of bounded size), counts
-what lies below and inside, and moves the bracket to the sketch's neighbours
-of the wanted rank. When few rows are left inside, their (group, value)
-counts - partially aggregated on the map side, so a value that repeats is one
-row - and prefix sums over them give the exact values. A sketch that misses
-the rank is noticed by the counts, and that group keeps its old bracket.
+task. Here no row is shuffled by its group. A pass counts each group's rows in
+cells that follow the order of the values (with the cells' least and greatest
+value), which combines in the map tasks; prefix sums over a group's cells say
+in which of them a wanted rank lies. The first pass takes steps of the
+logarithm, later ones cut the found cell into equal stretches. A cell of one
+value is the answer; when all cells left are small, their (group, value)
+counts are ranked. Every pass parts a cell's least from its greatest value, so
+the passes end.
 
-The input is read once per pass: hand in a written (or narrow) table.
+Several quantiles (other columns, other keys) share all passes: a row is
+exploded into one entry for each. The input is read once per pass: hand in a
+written (or narrow) table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sketch points per pass, the sketch's accuracy, rows of a group that are ranked exactly.
-POINTS, ACCURACY, FEW_ROWS = 64, 10_000, 100_000
+#: Cells of an octave in the first pass, cells of a cell in later ones, rows of a cell that are ranked by value.
+OCTAVE, CELLS, FEW_ROWS = 256, 4_096, 100_000
 
 
-def group_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5,
-                   out: str = "median", approx: bool = False, accuracy: int = 100_000,
-                   few_rows: int = FEW_ROWS) -> DataFrame:
-    """One row per group: ``keys + [out]``. NULL values are ignored; groups
-    with only NULLs are absent."""
+def _steps(v: Column) -> Column:
+    """A whole number that never falls as the value grows."""
+    size = F.floor(F.log2(F.abs(v)) * OCTAVE).cast("long") + F.lit(1 << 20)
+    far = F.abs(v) == float("inf")
+    return (F.when(F.isnan(v), F.lit(1 << 40)).when(v == 0, F.lit(0))
+             .when(v > 0, F.when(far, F.lit(1 << 39)).otherwise(size)).otherwise(F.when(far, F.lit(-(1 << 39))).otherwise(-size)))
+
+
+def group_quantiles(df: DataFrame, wanted: Sequence[tuple[Sequence[str], str, str]], q: float = 0.5,
+                    few_rows: int = FEW_ROWS) -> list[DataFrame]:
+    """For each (keys, value column, name): one row per group with the keys and
+    the quantile. NULL values are ignored; groups with only NULLs are absent."""
     from revlens.plans.joins import small_table
-    named = {f"_k{i}": k for i, k in enumerate(keys)}
-    base = df.select(*[F.col(k).alias(n) for n, k in named.items()], F.lit(0).alias("_g"),
-                     F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    grp = ["_g", *named]
-    back = [F.col(n).alias(k) for n, k in named.items()]
-    if approx:
-        return base.groupBy(*grp).agg(F.percentile_approx("_v", q, accuracy).alias(out)).select(*back, out)
+    every = list(dict.fromkeys(k for keys, _, _ in wanted for k in keys))
+    named = {k: f"_k{i}" for i, k in enumerate(every)}
+    entry = [F.struct(F.lit(n).alias("_w"), *[(F.col(k) if k in keys else F.lit(None)).cast(df.schema[k].dataType).alias(named[k]) for k in every],
+                      F.col(value).cast("double").alias("_v")) for n, (keys, value, _) in enumerate(wanted)]
+    base = df.select(F.explode(F.array(*entry)).alias("_e")).select("_e.*").where(F.col("_v").isNotNull())
+    grp = ["_w", *named.values()]
+
+    def picked(cells: DataFrame, ranks: DataFrame | None) -> DataFrame:
+        """(group, rank, at, lo, hi, below, in): the cell of each wanted rank.
+        ``cells`` may be parts of an older cell, which begins at ``_from``."""
+        part = [*grp, "_from"]
+        upto = F.sum("_in").over(Window.partitionBy(*part).orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0))
+        placed = cells.withColumn("_end", F.col("_base") + upto).withColumn("_below", F.col("_end") - F.col("_in"))
+        if ranks is None:
+            n = F.sum("_in").over(Window.partitionBy(*part))
+            pos = (F.col("_n") - 1) * F.lit(q)
+            placed = placed.withColumn("_n", n).withColumn("_at", F.explode(F.array(F.floor(pos), F.ceil(pos)))).withColumn("_share", pos - F.floor(pos))
+            placed = placed.withColumn("_second", F.col("_at") > F.floor(pos))
+        else:
+            r = ranks.select(*[F.col(c).alias(f"_r{c}") for c in part], "_at", "_second", "_share")
+            placed = placed.join(r, [placed[c].eqNullSafe(r[f"_r{c}"]) for c in part])
+        here = placed.where((F.col("_at") >= F.col("_below")) & (F.col("_at") < F.col("_end")))
+        # equal ranks (a whole position) come twice
+        return here.select(*grp, "_at", "_second", "_share", "_lo", "_hi", "_below", "_in").distinct()
 
-    def inside(state: DataFrame) -> DataFrame:
-        cond = F.lit(True)
-        s = state.select(*[F.col(c).alias(f"_s{c}") for c in grp], "_lo", "_hi", "_below", "_n")
-        for c in grp:
-            cond = cond & F.col(c).eqNullSafe(F.col(f"_s{c}"))
-        return base.join(s, cond)
+    def within(state: DataFrame) -> DataFrame:
+        """The rows that lie in an open cell, with the cell."""
+        s = state.where(F.col("_lo") < F.col("_hi")).select(*[F.col(c).alias(f"_s{c}") for c in grp], F.col("_lo").alias("_from"), F.col("_hi").alias("_to"),
+                                                           F.col("_below").alias("_base")).distinct()
+        return base.join(s, [base[c].eqNullSafe(s[f"_s{c}"]) for c in grp] + [F.col("_v").between(F.col("_from"), F.col("_to"))])
 
-    state = base.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    state = small_table(state.withColumn("_below", F.lit(0).cast("long")).withColumn("_in", F.col("_n")), "quantile")
-    pos = (F.col("_n") - 1) * F.lit(q)
-    points = [i / POINTS for i in range(1, POINTS)]
+    counted = [F.count(F.lit(1)).alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    first = base.groupBy(*grp, _steps(F.col("_v")).alias("_digit")).agg(*counted)
+    state = small_table(picked(first.withColumn("_from", F.lit(0.0)).withColumn("_base", F.lit(0).cast("long")), None), "quantile")
     while True:
         widest = state.where(F.col("_lo") < F.col("_hi")).agg(F.max("_in")).first()[0]
         if widest is None or widest <= few_rows:
             break
-        rows = inside(state).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        sk = rows.groupBy(*grp).agg(F.percentile_approx("_v", points, ACCURACY).alias("_q"))
-        s2 = state.select(*[F.col(c).alias(f"_t{c}") for c in grp], "_n", "_lo", "_hi", "_below", "_in")
-        cond = F.lit(True)
-        for c in grp:
-            cond = cond & F.col(c).eqNullSafe(F.col(f"_t{c}"))
-        at = F.floor((pos - F.col("_below")) / F.col("_in") * POINTS).cast("int")
-        moved = sk.join(s2, cond).select(
-            *grp, "_n", F.col("_lo").alias("_lo0"), F.col("_hi").alias("_hi0"), F.col("_below").alias("_below0"),
-            F.col("_in").alias("_in0"),
-            F.coalesce(F.get("_q", at - 2), F.col("_lo")).alias("_lo"),
-            F.coalesce(F.get("_q", at + 2), F.col("_hi")).alias("_hi"))
-        moved = small_table(moved, "quantile")
-        cnt = inside(moved.withColumn("_below", F.lit(0))).groupBy(*grp).agg(
-            F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
-            F.count_if(F.col("_v").between(F.col("_lo"), F.col("_hi"))).alias("_in"))
-        m = moved.select(*[F.col(c).alias(f"_t{c}") for c in grp], "_n", "_lo0", "_hi0", "_below0", "_in0", "_lo", "_hi")
-        checked = cnt.join(m, cond)
-        holds = (F.floor(pos) >= F.col("_below")) & (F.ceil(pos) < F.col("_below") + F.col("_in"))
-        pick = lambda a, b: F.when(holds, F.col(a)).otherwise(F.col(b)).alias(a)
-        state = small_table(checked.select(*grp, "_n", pick("_lo", "_lo0"), pick("_hi", "_hi0"),
-                                           pick("_below", "_below0"), pick("_in", "_in0")), "quantile")
-        now = state.where(F.col("_lo") < F.col("_hi")).agg(F.max("_in")).first()[0]
-        if now is not None and now >= widest:  # one value repeats: its counts are one row
-            break
-    rows = inside(state).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    counts = rows.groupBy(*grp, "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"),
-                                          F.first("_below").alias("_below"))
-    upto = F.sum("_c").over(Window.partitionBy(*grp).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("_end", F.col("_below") + upto).withColumn("_start", F.col("_end") - F.col("_c"))
-    holds = lambda r: (r >= F.col("_start")) & (r < F.col("_end"))
-    frac = pos - F.floor(pos)
-    res = ranked.groupBy(*grp).agg(F.max(F.when(holds(F.floor(pos)), F.col("_v"))).alias("_v_lo"),
-                                   F.max(F.when(holds(F.ceil(pos)), F.col("_v"))).alias("_v_hi"),
-                                   F.max(frac).alias("_frac"))
-    val = F.when(F.col("_frac") == 0, F.col("_v_lo")).otherwise(
-        F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * F.col("_frac"))
-    return res.select(*back, val.alias(out))
+        share = (F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from"))
+        digit = F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).alias("_digit")
+        parts = within(state).groupBy(*grp, "_from", "_base", digit).agg(*counted)
+        open_ = state.where(F.col("_lo") < F.col("_hi")).withColumn("_from", F.col("_lo"))
+        state = small_table(state.where(~(F.col("_lo") < F.col("_hi"))).unionByName(picked(parts, open_)), "quantile")
+    if widest is not None:
+        values = within(state).groupBy(*grp, "_from", "_base", "_v").agg(F.count(F.lit(1)).alias("_in"))
+        ranked = values.withColumn("_digit", F.col("_v")).withColumn("_lo", F.col("_v")).withColumn("_hi", F.col("_v"))
+        open_ = state.where(F.col("_lo") < F.col("_hi")).withColumn("_from", F.col("_lo"))
+        state = state.where(~(F.col("_lo") < F.col("_hi"))).unionByName(picked(ranked, open_))
+    found = state.groupBy(*grp).agg(F.max(F.when(~F.col("_second"), F.col("_lo"))).alias("_a"), F.max(F.when(F.col("_second"), F.col("_lo"))).alias("_b"),
+                                    F.max("_share").alias("_share"))
+    value = F.when(F.col("_b").isNull(), F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_share"))
+    found = small_table(found.select(*grp, value.alias("_v")), "quantile")
+    return [found.where(F.col("_w") == n).select(*[F.col(named[k]).alias(k) for k in keys], F.col("_v").alias(out))
+            for n, (keys, _, out) in enumerate(wanted)]
+
+
+def group_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5,
+                   out: str = "median", approx: bool = False, accuracy: int = 100_000,
+                   few_rows: int = FEW_ROWS) -> DataFrame:
+    """One quantile: ``keys + [out]``; ``approx`` takes one pass of a sketch."""
+    if approx:
+        known = df.where(F.col(value).isNotNull())
+        return known.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), q, accuracy).alias(out))
+    return group_quantiles(df, [(keys, value, out)], q, few_rows)[0]

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +16,7 @@ from revlens.operators import forecast as FC
 from revlens.operators import margin as MG
 from revlens.operators import personas as PS
 from revlens.operators import rollups as R
+from revlens.operators.boosting import Trees
 from revlens.plans.joins import small_table
 from revlens.plans.materialize import materialize, release
 from revlens.sources import tables as S
@@ -92,11 +92,11 @@ def train_all(spark: SparkSession, sf_dir: str) -> None:
 
 
 def save_margin_model(model: MG.MarginModel, path: str) -> None:
-    """Pipeline via MLlib writer, encoder/median tables as Parquet."""
-    model.model.write().overwrite().save(f"{path}/pipeline")
+    """The trees' nodes, encoders, medians, metrics and importances as Parquet."""
+    spark = model.encoders.sparkSession
+    model.model.to_table(spark).write.mode("overwrite").parquet(f"{path}/trees")
     model.encoders.write.mode("overwrite").parquet(f"{path}/encoders")
     model.medians.write.mode("overwrite").parquet(f"{path}/medians")
-    spark = model.encoders.sparkSession
     spark.createDataFrame([(model.r2, model.mae)], "r2 double, mae double").write.mode("overwrite").parquet(
         f"{path}/metrics")
     spark.createDataFrame(model.importances, "feature string, importance double").write.mode(
@@ -107,7 +107,7 @@ def load_margin_model(spark: SparkSession, path: str) -> MG.MarginModel:
     m = spark.read.parquet(f"{path}/metrics").first()
     imp = [(r.feature, r.importance) for r in spark.read.parquet(f"{path}/importances").collect()]
     imp.sort(key=lambda t: (-t[1], t[0]))
-    return MG.MarginModel(model=PipelineModel.load(f"{path}/pipeline"),
+    return MG.MarginModel(model=Trees.from_table(spark.read.parquet(f"{path}/trees"), MG.FEATURES),
                           encoders=spark.read.parquet(f"{path}/encoders"),
                           medians=spark.read.parquet(f"{path}/medians"),
                           importances=imp, metrics={"r2": m.r2, "mae": m.mae})
