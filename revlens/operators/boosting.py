@@ -40,7 +40,7 @@ from revlens.plans.materialize import materialize
 from revlens.session import checkpoint_dir
 
 #: Cells of a block, blocks that few cells are dealt into (at least FEW_CELLS each).
-BLOCK_CELLS, LEAST_BLOCKS, FEW_CELLS = 65_536, 8, 4_096
+BLOCK_CELLS, LEAST_BLOCKS, FEW_CELLS = 131_072, 8, 4_096
 #: Histograms that are added up at once, batches between checkpoints.
 MERGED, CHECKPOINT_EVERY = 64, 8
 #: The bin of a node that has no cut: no code is above it.
@@ -332,12 +332,15 @@ def nodes_at(codes: np.ndarray, feature: np.ndarray, bin_: np.ndarray, levels: i
     return node
 
 
-def histograms(state: DataFrame, parts: int, features: int, bins: int, level: int, grown: list[tuple], params: BoostParams) -> np.ndarray:
+def histograms(state: DataFrame, parts: int, features: int, bins: int, level: int, grown: list[tuple], params: BoostParams,
+               above: np.ndarray | None = None) -> np.ndarray:
     """Sums of gradients and rows: (trees, 2, nodes of the level, columns, bins).
 
     ``grown`` has, for each tree of the batch, its number, its columns and its
-    cuts so far (feature and bin of each node)."""
-    nodes = 2 ** level
+    cuts so far (feature and bin of each node). Below the root only left
+    children are summed up: with ``above``, the level before, they give the
+    right ones."""
+    nodes = max(1, 2 ** level // 2)
     width = len(grown[0][1])
     shape = (len(grown), 2, nodes, width, bins)
 
@@ -348,9 +351,9 @@ def histograms(state: DataFrame, parts: int, features: int, bins: int, level: in
             mean = (n * f - s) / n
             for k, (tree, columns, feature, bin_) in enumerate(grown):
                 rows = drawn(n, params.row_rate, params.seed, tree, block)
-                node = nodes_at(codes, feature, bin_, level) - (nodes - 1)
-                seen = np.flatnonzero(rows)
-                at, h = node[seen] * bins, rows[seen]
+                node = nodes_at(codes, feature, bin_, level) - (2 ** level - 1)
+                seen = np.flatnonzero((rows > 0) & (node % 2 == 0))
+                at, h = node[seen] // 2 * bins, rows[seen]
                 g = mean[seen] * h
                 for c, j in enumerate(columns):
                     where = at + codes[j][seen]  # a node's and a bin's place
@@ -370,10 +373,15 @@ def histograms(state: DataFrame, parts: int, features: int, bins: int, level: in
             return pa.table({"block": [table.column("block")[int(order[0])].as_py()], "sums": pa.array([total.tobytes()], type=pa.binary())})
 
         rows = rows.groupBy(F.pmod(F.xxhash64("block"), F.lit(parts))).applyInArrow(add, "block long, sums binary")
+    few = rows.toArrow()  # at most MERGED rows
     total = np.zeros(shape)
-    for r in sorted(rows.collect(), key=lambda r: r["block"]):  # at most MERGED rows
-        total += np.frombuffer(r["sums"]).reshape(shape)
-    return total
+    for i in np.argsort(few.column("block").to_numpy()):
+        total += np.frombuffer(few.column("sums")[int(i)].as_buffer()).reshape(shape)
+    if above is None:
+        return total
+    both = np.empty((shape[0], 2, 2 * nodes, width, bins))
+    both[:, :, 0::2], both[:, :, 1::2] = total, above - total
+    return both
 
 
 def best_cuts(sums: np.ndarray, params: BoostParams) -> tuple[np.ndarray, ...]:
@@ -428,15 +436,18 @@ def fit(data: DataFrame, features: Sequence[str], label: str = "label", params:
     inner = 2 ** params.depth - 1
     out = Trees.empty(features, base, params.trees, params.depth)
     before = None
-    for number, first in enumerate(range(0, params.trees, params.batch)):
-        numbers = range(first, min(first + params.batch, params.trees))
+    # a batch's steps add up: beyond a whole step they would run past the labels
+    batch = max(1, min(params.batch, int(1 / params.step)))
+    for number, first in enumerate(range(0, params.trees, batch)):
+        numbers = range(first, min(first + batch, params.trees))
         grown = []
         for t in numbers:
             columns = np.sort(np.random.default_rng([params.seed, t]).choice(len(features), width, replace=False))
             grown.append((t, columns, np.zeros(inner, np.int64), np.full(inner, NO_CUT)))
         value = np.zeros((len(grown), 2 * inner + 1))
+        sums = None
         for level in range(params.depth):
-            sums = histograms(state, parts, len(features), bins, level, grown, params)
+            sums = histograms(state, parts, len(features), bins, level, grown, params, sums)
             if level == 0:
                 if before is not None:  # the pass has read the new state
                     before.unpersist()
@@ -456,10 +467,34 @@ def fit(data: DataFrame, features: Sequence[str], label: str = "label", params:
                         value[k, 2 * node + 1] = value[k, node]
         leaves = value[:, inner:]
         out.leaf[list(numbers)] = leaves
-        if first + params.batch < params.trees:
+        if first + batch < params.trees:
             before, state = state, add_trees(state, len(features), params.depth, grown, leaves)
             if (number + 1) % CHECKPOINT_EVERY == 0:
                 state = state.checkpoint(eager=True)
             state = state.persist(StorageLevel.MEMORY_AND_DISK)
     state.unpersist()
     return out
+
+
+def split_gains(data: DataFrame, features: Sequence[str], label: str, cuts: Sequence[Sequence[float]], params: BoostParams = BoostParams()) -> DataFrame:
+    """The best root cut of each feature among given cuts, on all rows: feature,
+    cut, gain and the rows on either side. Features without a cut that leaves
+    ``min_rows`` rows on both sides are left out."""
+    spark, cuts = data.sparkSession, [np.array(c, dtype=np.float64) for c in cuts]
+    data = data.where(F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double")))
+    most = data.agg(F.max(F.abs(F.col(label).cast("double")))).first()[0] or 1.0
+    unit = 2.0 ** (math.frexp(most)[1] - 30)
+    cells = materialize(cells_of(data, features, label, cuts, unit), "cells")
+    size = cells.agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"), F.sum("high").alias("high"), F.sum("low").alias("low")).first()
+    base = (size["high"] * 32768 + size["low"]) * unit / size["n"] if size["n"] else 0.0
+    parts = max(1, -(-size["cells"] // BLOCK_CELLS))
+    rows = []
+    every = BoostParams(row_rate=1.0, min_rows=params.min_rows, leaf_penalty=params.leaf_penalty, seed=params.seed)
+    bins = max(map(len, cuts)) + 1
+    for j, name in enumerate(features):
+        grown = [(0, np.array([j]), np.zeros(1, np.int64), np.full(1, NO_CUT))]
+        sums = histograms(blocks_of(cells, parts, len(features), unit, base), parts, len(features), bins, 0, grown, every)
+        gain, _, bin_, _, left, _, right = (a[0, 0] for a in best_cuts(sums, every))
+        if gain > 0:
+            rows.append((name, float(cuts[j][bin_]), float(gain), int(left), int(right)))
+    return spark.createDataFrame(rows, "feature string, cut double, gain double, rows_left long, rows_right long")

@@ -196,6 +196,7 @@ class MarginModel:
     importances: list[tuple[str, float]]
     metrics: dict = field(default_factory=dict)
     measure: object = None
+    representatives: DataFrame | None = None
 
     def _metric(self, name: str) -> float:
         if name not in self.metrics and self.measure is not None:
@@ -241,7 +242,8 @@ def regression_metrics(scored: DataFrame, label: str = "label", prediction: str
 def train_margin_model(tx: DataFrame, params: MarginParams = MarginParams(), metrics_now: bool = False) -> MarginModel:
     """M9: the model is fitted on all rows; hold-out R2/MAE come from a second
     fit on 80 % of them, made when they are asked for - or, if they are wanted
-    anyway (``metrics_now``), at the same time as the first."""
+    anyway (``metrics_now``), at the same time as the first. The medians and
+    the representative deals are made meanwhile, as a fit's passes are short."""
     encoders, data = _prepared(tx, params)
     n = data.count()
     if n < params.min_rows:
@@ -253,15 +255,16 @@ def train_margin_model(tx: DataFrame, params: MarginParams = MarginParams(), met
     def measure() -> dict:
         return regression_metrics(fit(data.where(~F.col("_test"))).transform(data.where(F.col("_test"))))
 
-    metrics: dict = {}
-    if metrics_now:
-        with ThreadPoolExecutor(max_workers=2) as pool:
-            measured, fitted = pool.submit(measure), pool.submit(fit, data)
-            metrics, model = measured.result(), fitted.result()
-    else:
-        model = fit(data)
-    return MarginModel(model=model, encoders=encoders, medians=median_rev_per_unit(tx), importances=model.importances(),
-                       metrics=metrics, measure=measure)
+    def represent() -> DataFrame:
+        encoded = encode(deal_features(tx, params.high_discount), encoders, warn=False)
+        return small_table(representative_deals(encoded, encoders), "representatives")
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        fitted, medians, reps = pool.submit(fit, data), pool.submit(median_rev_per_unit, tx), pool.submit(represent)
+        measured = pool.submit(measure) if metrics_now else None
+        model = fitted.result()
+        return MarginModel(model=model, encoders=encoders, medians=medians.result(), importances=model.importances(),
+                           metrics=measured.result() if measured else {}, measure=measure, representatives=reps.result())
 
 
 def predict(model: MarginModel, feats: DataFrame) -> DataFrame:
@@ -310,9 +313,10 @@ def discount_ceilings(model: MarginModel, tx: DataFrame, params: MarginParams =
     margin exceeds the floor (0.0 when none does), rounded to 2 dp. Boosted
     trees give each representative deal's step function; any other predictor
     is run on the grid."""
-    feats = deal_features(tx, params.high_discount)
-    encoded = encode(feats, model.encoders, warn=False)
-    reps = representative_deals(encoded, model.encoders)
+    reps = model.representatives
+    if reps is None:
+        encoded = encode(deal_features(tx, params.high_discount), model.encoders, warn=False)
+        reps = representative_deals(encoded, model.encoders)
     if isinstance(model.model, boosting.Trees):
         above = F.filter(F.transform("_curve", lambda p, i: F.when(p > params.margin_floor, i)), lambda i: i.isNotNull())
         last = F.coalesce(F.array_max(above), F.lit(0))

@@ -8,6 +8,7 @@ oracle in ``revlens.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,13 @@ from revlens.operators import explore as EX
 from revlens.operators import ingest as IN
 from revlens.operators import margin as MG
 from revlens.operators import alerts as AL
+from revlens.operators import boosting as BO
 from revlens.operators import context as CX
 from revlens.operators import forecast as FC
 from revlens.operators import personas as PS
 from revlens.operators import rollups as R
 from revlens.plans import models as MD
+from revlens.session import checkpoint_dir
 from revlens.plans.materialize import materialize
 from revlens.plans import overview as OV
 from revlens.sources import files as FL
@@ -810,6 +813,57 @@ def q_at_risk_fixed(spark, sf_dir):
     return _score_columns(MG.score_deals(m, _as_deals(top), _fixed_ceilings(spark, sf_dir, m)))
 
 
+# three trees that cut on all kinds of features, those along the discount too
+FIXED_TREES = BO.Trees.of(MG.FEATURES, 0.30, [
+    ("high_discount_flag_int", 0.5, ("discount", 0.045, 0.05, ("discount_x_quantity", 1.255, -0.02, -0.08)), -0.30),
+    ("quantity", 24.5, ("region_enc", 1.5, 0.03, ("discount", 0.255, 0.01, -0.04)),
+     ("revenue_per_unit", 1500.0, -0.03, ("discount_x_quantity", 8.003, 0.02, -0.09))),
+    ("segment_enc", 2.5, ("industry_enc", 9.5, 0.012, -0.006), ("discount", 0.125, 0.004, ("product_enc", 2.5, -0.05, -0.11))),
+])
+
+
+def _fixed_tree_model(spark, sf_dir) -> MG.MarginModel:
+    m = _fixed_margin_model(spark, sf_dir)
+    return MG.MarginModel(model=FIXED_TREES, encoders=m.encoders, medians=m.medians, importances=FIXED_TREES.importances(), metrics=m.metrics)
+
+
+@register("discount_ceilings_trees_fixed")
+def q_ceilings_trees(spark, sf_dir):
+    return _fixed_ceilings(spark, sf_dir, _fixed_tree_model(spark, sf_dir))
+
+
+@register("discount_sweep_model_fixed")
+def q_sweep_trees(spark, sf_dir):
+    cfg = S.deals(spark, sf_dir).select("segment", "region", "industry", "product", "quantity", "sales", F.lit(0.0).alias("discount")).distinct()
+    sw = MG.discount_sweep_model(_fixed_tree_model(spark, sf_dir), cfg)
+    # a row per configuration would be 81 times the deals: the curve's summary by segment, region and discount
+    return sw.groupBy("segment", "region", "discount").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("predicted_margin_rate").cast("decimal(10,4)")).cast("double").alias("total_margin"),
+        F.min("predicted_margin_rate").alias("least_margin"), F.max("predicted_margin_rate").alias("most_margin"))
+
+
+@register("saved_model_scores")
+def q_saved_model(spark, sf_dir):
+    # What is scored is the model as it was saved and read again
+    path = f"{checkpoint_dir(spark).rstrip('/')}/models/margin-{uuid.uuid4().hex}"
+    MD.save_margin_model(_fixed_tree_model(spark, sf_dir), path)
+    m = MD.load_margin_model(spark, path)
+    scored = MG.score_deals(m, S.deals(spark, sf_dir), _fixed_ceilings(spark, sf_dir, m))
+    return scored.select("deal_id", "predicted_margin_rate", "margin_flag", "max_safe_discount", "within_ceiling")
+
+
+FIXED_CUTS = {"quantity": [5.5, 12.5, 24.5, 40.5], "discount": [0.005, 0.025, 0.045, 0.075], "revenue_per_unit": [1000.0, 1250.0, 1500.0, 1750.0],
+              "discount_x_quantity": [0.255, 0.755, 1.255, 2.505], "segment_enc": [0.5, 1.5, 2.5, 3.5]}
+
+
+@register("split_gains_fixed")
+def q_split_gains(spark, sf_dir):
+    feats = IN.deal_features(_clean(spark, sf_dir))
+    data = MG.encode(feats, MG.fit_encoders(feats), warn=False).select(*FIXED_CUTS, "margin_rate")
+    gains = BO.split_gains(data, list(FIXED_CUTS), "margin_rate", list(FIXED_CUTS.values()))
+    return gains.withColumn("gain", F.round("gain", 3))
+
+
 @register("top_at_risk_by_region")
 def q_top_by_region(spark, sf_dir):
     a = R.top_at_risk_by(_tx(spark, sf_dir), "region", 50, 0.05)

@@ -97,6 +97,8 @@ def save_margin_model(model: MG.MarginModel, path: str) -> None:
     model.model.to_table(spark).write.mode("overwrite").parquet(f"{path}/trees")
     model.encoders.write.mode("overwrite").parquet(f"{path}/encoders")
     model.medians.write.mode("overwrite").parquet(f"{path}/medians")
+    if model.representatives is not None:
+        model.representatives.write.mode("overwrite").parquet(f"{path}/representatives")
     spark.createDataFrame([(model.r2, model.mae)], "r2 double, mae double").write.mode("overwrite").parquet(
         f"{path}/metrics")
     spark.createDataFrame(model.importances, "feature string, importance double").write.mode(

@@ -723,6 +723,58 @@ ceil AS (
 ORACLE["discount_ceilings_fixed"] = with_tx("SELECT * FROM ceil", ENC_CTE, REPS_CTE, CEIL_CTE)
 
 
+def _trees(d: str, q: str, rpu: str, seg: str, ind: str, reg: str, prod: str) -> str:
+    """The three fixed trees on a discount of grid or deal."""
+    x = f"({d} * CAST({q} AS DOUBLE))"
+    return (f"0.30 + (CASE WHEN {d} > 0.3 THEN -0.30 WHEN {d} <= 0.045 THEN 0.05 WHEN {x} <= 1.255 THEN -0.02 ELSE -0.08 END)"
+            f" + (CASE WHEN {q} <= 24.5 THEN (CASE WHEN {reg} <= 1.5 THEN 0.03 WHEN {d} <= 0.255 THEN 0.01 ELSE -0.04 END)"
+            f" WHEN {rpu} <= 1500 THEN -0.03 WHEN {x} <= 8.003 THEN 0.02 ELSE -0.09 END)"
+            f" + (CASE WHEN {seg} <= 2.5 THEN (CASE WHEN {ind} <= 9.5 THEN 0.012 ELSE -0.006 END) WHEN {d} <= 0.125 THEN 0.004"
+            f" WHEN {prod} <= 2.5 THEN -0.05 ELSE -0.11 END)")
+
+
+_GRID = "CAST(i AS DOUBLE) / 100"
+TREE_CEIL_CTE = f"""
+ceil AS (
+  SELECT segment, region, round(coalesce(max({_GRID}) FILTER (WHERE CAST({_trees(_GRID, 'quantity', 'revenue_per_unit', 'segment_enc', 'industry_enc', 'region_enc', 'product_enc')} AS DOUBLE) > 0.05), 0.0), 2) AS ceiling
+  FROM reps, range(0, 81) r(i) GROUP BY 1, 2
+)"""
+CODED_CTE = """
+coded AS (
+  SELECT d.*, d.sales / d.quantity AS rpu, es.code AS seg, ei.code AS ind, er.code AS reg, ep.code AS prod
+  FROM deals d
+  JOIN enc es ON es."column" = 'segment' AND es.value = d.segment
+  JOIN enc er ON er."column" = 'region' AND er.value = d.region
+  JOIN enc ei ON ei."column" = 'industry' AND ei.value = d.industry
+  JOIN enc ep ON ep."column" = 'product' AND ep.value = d.product
+)"""
+ORACLE["discount_ceilings_trees_fixed"] = with_tx("SELECT * FROM ceil", ENC_CTE, REPS_CTE, TREE_CEIL_CTE)
+ORACLE["saved_model_scores"] = with_tx(f"""
+SELECT deal_id, p AS predicted_margin_rate, CASE WHEN p >= 0.15 THEN 'green' WHEN p >= 0.05 THEN 'caution' ELSE 'red' END AS margin_flag,
+       ceiling AS max_safe_discount, discount <= ceiling AS within_ceiling
+FROM (SELECT c.*, l.ceiling, round(greatest(-1.0, least(1.0, CAST({_trees('discount', 'quantity', 'rpu', 'seg', 'ind', 'reg', 'prod')} AS DOUBLE))), 4) + 0.0 AS p
+      FROM coded c JOIN ceil l ON l.segment = c.segment AND l.region = c.region)""", ENC_CTE, REPS_CTE, TREE_CEIL_CTE, DEALS_CTE, CODED_CTE)
+ORACLE["discount_sweep_model_fixed"] = with_tx(f"""
+SELECT segment, region, d AS discount, count(*) AS n, CAST(sum(CAST(p AS DECIMAL(10,4))) AS DOUBLE) AS total_margin, min(p) AS least_margin, max(p) AS most_margin
+FROM (SELECT segment, region, {_GRID} AS d,
+             round(greatest(-1.0, least(1.0, CAST({_trees(_GRID, 'quantity', 'rpu', 'seg', 'ind', 'reg', 'prod')} AS DOUBLE))), 4) + 0.0 AS p
+      FROM (SELECT DISTINCT segment, region, industry, product, quantity, sales, rpu, seg, ind, reg, prod FROM coded), range(0, 81) r(i))
+GROUP BY 1, 2, 3""", ENC_CTE, DEALS_CTE, CODED_CTE)
+_CUTS = {"CAST(quantity AS DOUBLE)": ("quantity", (5.5, 12.5, 24.5, 40.5)), "CAST(discount AS DOUBLE)": ("discount", (0.005, 0.025, 0.045, 0.075)),
+         "CAST(sales AS DOUBLE) / greatest(quantity, 1e-6)": ("revenue_per_unit", (1000.0, 1250.0, 1500.0, 1750.0)),
+         "CAST(discount AS DOUBLE) * quantity": ("discount_x_quantity", (0.255, 0.755, 1.255, 2.505)), "code": ("segment_enc", (0.5, 1.5, 2.5, 3.5))}
+ORACLE["split_gains_fixed"] = with_tx("""
+SELECT feature, cut, round(gain, 3) AS gain, rows_left, rows_right FROM gains
+WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, cut) = 1""", ENC_CTE, """
+y AS (SELECT t.*, e.code, CAST(margin_rate AS DOUBLE) - (SELECT avg(CAST(margin_rate AS DOUBLE)) FROM txm) AS r
+      FROM txm t JOIN enc e ON e."column" = 'segment' AND e.value = t.segment)""", "cut AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS feature, CAST({c} AS DOUBLE) AS cut, sum(r) FILTER (WHERE {x} <= {c}) AS gl, sum(r) FILTER (WHERE {x} > {c}) AS gr, "
+    f"count(*) FILTER (WHERE {x} <= {c}) AS rows_left, count(*) FILTER (WHERE {x} > {c}) AS rows_right FROM y"
+    for x, (name, cuts) in _CUTS.items() for c in cuts) + ")", """
+gains AS (SELECT *, gl * gl / (rows_left + 1) + gr * gr / (rows_right + 1) - (gl + gr) * (gl + gr) / (rows_left + rows_right + 1) AS gain
+          FROM cut WHERE rows_left >= 10 AND rows_right >= 10)""")
+
+
 def _percent(x: str, n: int) -> str:
     return f"(CAST(round(CAST({x} AS DECIMAL(18,6)) * 100, {n}) AS DECIMAL(18,{n})) || '%')"
 
