@@ -20,7 +20,8 @@ bins, draws depend on seed, tree and block, and histograms are added in the
 order of the blocks. What a batch adds is kept beside its blocks; the lineage
 of that is cut by a reliable checkpoint every few batches.
 
-NULL and NaN features go left at every cut, as the smallest value would.
+NULL and NaN features go left at every cut, before the smallest value; a cut may
+part them from all values.
 """
 
 from __future__ import annotations
@@ -131,7 +132,7 @@ class Trees:
 
     def importances(self) -> list[tuple[str, float]]:
         """Mean gain of a feature's cuts, as a share of all features' (largest first)."""
-        cuts = np.isfinite(self.cut)
+        cuts = self.cut < np.inf
         mean = np.array([self.gain[cuts & (self.feature == j)].mean() if (cuts & (self.feature == j)).any() else 0.0
                          for j in range(len(self.features))])
         share = mean / mean.sum() if mean.sum() > 0 else mean
@@ -231,6 +232,10 @@ def value_histogram(data: DataFrame, features: Sequence[str]) -> DataFrame:
         for batch in it:
             for j in range(len(features)):
                 x = batch.column(j).to_numpy(zero_copy_only=False).astype(np.float64)
+                missing = int(np.isnan(x).sum())
+                if missing:  # before all values, so that a cut can part it from them
+                    yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([-(1 << 62)]), pa.array([missing]), pa.array([-np.inf]), pa.array([-np.inf])],
+                                                     names=["feature", "key", "n", "low", "high"])
                 x = np.sort(x[~np.isnan(x)])
                 if len(x):
                     key, at, n = np.unique(value_keys(x), return_index=True, return_counts=True)
