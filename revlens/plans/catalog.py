@@ -198,6 +198,13 @@ def q_page(spark, sf_dir):
     return EX.page(lst, [*EX.LISTING_ORDER, "margin_pct"], number=100_000, size=8)
 
 
+@register("transactions_middle_page")
+def q_middle_page(spark, sf_dir):
+    # a page far from both ends
+    lst = EX.listing(_clean(spark, sf_dir))
+    return EX.page(lst, [*EX.LISTING_ORDER, "margin_pct"], number=lst.count() // 24, size=12)
+
+
 @register("trend_label")
 def q_trend(spark, sf_dir):
     return _mom(spark, sf_dir).select("segment", "month", "trend")

@@ -561,6 +561,9 @@ ORACLE["transactions_page"] = with_tx(
     "SELECT *, row_number() OVER (ORDER BY " + _LIST_ORDER + ") AS rn FROM listing)) "
     "WHERE page = least(greatest(100000, 1), total_pages)", LISTING_CTE)
 
+ORACLE["transactions_middle_page"] = (ORACLE["transactions_page"].replace("/ 8.0", "/ 12.0")
+                                      .replace("greatest(100000, 1)", "greatest((SELECT count(*) FROM listing) // 24, 1)"))
+
 ORACLE["forecast_design"] = with_tx("""
 SELECT segment, month, CAST(t AS INTEGER) AS t_idx, CAST(n AS INTEGER) AS n_months,
        (round((y - ym) / (CASE WHEN ys < 1e-6 THEN 1.0 ELSE ys END), 6) + 0.0) AS y_s,

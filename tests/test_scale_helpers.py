@@ -53,3 +53,45 @@ def test_row_number_is_dense_and_ordered(spark):
     assert list(out.row_number) == list(range(1, 1001))
     exp = pdf.sort_values(["a", "b"]).reset_index(drop=True)
     assert (out[["a", "b"]].reset_index(drop=True) == exp).all().all()
+
+
+def test_pages_by_rank_selection(spark, monkeypatch):
+    """Fences, hot keys, nulls and few different keys, against a full sort."""
+    from revlens.operators import explore as EX
+    rng = np.random.default_rng(3)
+    n = 5000
+    a = rng.choice(np.array(["x", "y", "z", None, "w"], dtype=object), n, p=[0.5, 0.2, 0.1, 0.1, 0.1])
+    b = rng.integers(0, 400, n)
+    many = pd.DataFrame({"a": a, "b": b, "c": rng.permutation(n)})
+    few = many.assign(b=many["b"] % 2, c=0)
+    one = many.assign(a="x", b=1, c=2)
+    monkeypatch.setattr(EX, "SAMPLED", 300)
+    monkeypatch.setattr(EX, "FENCED", 50)
+    for pdf in (many, few, one):
+        df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a string, b int, c int").repartition(6)
+        keys = sorted(((r.a is not None, r.a or "", r.b, r.c) for r in df.collect()))
+        for skip, rows in ((0, 7), (2500, 12), (4990, 10), (1, 1), (3333, 40), (4999, 1)):
+            got = EX.rows_between_ranks(df, ["a", "b", "c"], skip, rows)
+            assert sorted((r.a is not None, r.a or "", r.b, r.c) for r in got.collect()) == keys[skip : skip + rows]
+    assert EX.rows_between_ranks(df, ["a"], 10, 0).count() == 0
+    plan = EX.rows_between_ranks(spark.createDataFrame(many.drop(columns="a")), ["b", "c"], 2500, 12)._jdf.queryExecution().toString()
+    limits = [int(x) for x in __import__("re").findall(r"limit=(\d+)", plan)]
+    assert all(x <= 50 for x in limits)
+
+
+def test_file_rows_are_numbered_by_scan_split(spark, tmp_path):
+    from pyspark.sql import functions as F
+    for k, rows in enumerate((700, 1, 300, 0)):
+        (tmp_path / f"{k}.csv").write_text("v,w\n" + "".join(f"{k}-{i},{'x' * (i % 50)}\n" for i in range(rows)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        raw = spark.read.option("header", True).csv(str(tmp_path))
+        out = with_row_number(raw.where(F.col("v") != "0-5"), name="n")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "RDD" not in plan and "Sort" not in plan
+        got = {r["n"]: r["v"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [f"{k}-{i}" for k, rows in enumerate((700, 1, 300, 0)) for i in range(rows) if (k, i) != (0, 5)]
+    assert [got[i] for i in range(1, len(got) + 1)] == want
