@@ -46,7 +46,9 @@ END = b""
 #: Hashed words; hashed features of each kind; neighbour columns; classes.
 BUCKETS, FEATURES, NEIGHBOURS, CLASSES = 1 << 14, 1 << 14, 48, 24
 #: Text bytes of a chunk; gradient rounds; tokens of a numpy batch.
-CHUNK_BYTES, ROUNDS, TOKENS = 4 << 20, 2, 1 << 15
+CHUNK_BYTES, ROUNDS, TOKENS = 4 << 20, 2, 1 << 14
+#: Tokens whose probabilities are added up at once.
+ADDED = 1 << 17
 RATE, PRIOR = 0.7, 2.0
 #: Rows of a parameter table that travel together.
 BLOCK = 1 << 10
@@ -123,7 +125,7 @@ def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
 
 def with_corpus_counts(parts: DataFrame) -> tuple[DataFrame, dict]:
-    """(chunk, corpus counts of its words in order), and the corpus's sums.
+    """(chunk, i, c): corpus counts of the words of each chunk's dictionary, and the corpus's sums.
 
     A word has one row per chunk that it is in, whatever its frequency.
     """
@@ -133,9 +135,7 @@ def with_corpus_counts(parts: DataFrame) -> tuple[DataFrame, dict]:
     counted = stage(counted.select("chunk", "i", "c", (F.col("nth") == 1).alias("first")), "lm-counts")
     once = F.col("first") & (F.col("c") > 0)
     sums = counted.where(once).agg(F.sum("c").alias("N"), F.count(F.lit(1)).alias("V"), F.sum((F.col("c") == 1).cast("long")).alias("once")).first()
-    # a chunk's dictionary is bounded by its bytes
-    per_chunk = counted.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("pairs")).select("chunk", F.transform("pairs", lambda p: p["c"]).alias("corpus"))
-    return per_chunk, {k: int(sums[k] or 0) for k in ("N", "V", "once")}
+    return counted.select("chunk", "i", "c"), {k: int(sums[k] or 0) for k in ("N", "V", "once")}
 
 
 # -- the model ------------------------------------------------------------------
@@ -181,12 +181,12 @@ def class_probabilities(found: list[np.ndarray], weights: list[np.ndarray], bias
 
 
 def _added(out: np.ndarray, rows: list[np.ndarray], values: np.ndarray) -> None:
-    """Add a row of values to the row of each of its features."""
-    by_class = np.ascontiguousarray(values.T)
+    """Add a column of values (classes x tokens) to the column of each of its
+    features (classes x features of all kinds)."""
     for k, found in enumerate(rows):
         cell = found.astype(np.int64)
-        for c, v in enumerate(by_class):
-            out[k * FEATURES : (k + 1) * FEATURES, c] += np.bincount(cell, weights=v, minlength=FEATURES)
+        for c, v in enumerate(values):
+            out[c, k * FEATURES : (k + 1) * FEATURES] += np.bincount(cell, weights=v, minlength=FEATURES)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -290,10 +290,14 @@ def shown_and_expected(parts: DataFrame, class_of: np.ndarray, model: Model | No
                     cell = f.astype(np.int64) * CLASSES + shown
                     table[k * FEATURES : (k + 1) * FEATURES] += np.bincount(cell, minlength=FEATURES * CLASSES).reshape(FEATURES, CLASSES)
                 continue
-            for at in range(0, len(found[0]), TOKENS):
-                part = [f[at : at + TOKENS] for f in found]
-                p = class_probabilities(part, model_.weights, model_.bias)
-                _added(table, part, p)
+            by_class = np.zeros(table.shape[::-1])
+            for at in range(0, len(found[0]), ADDED):
+                group = [f[at : at + ADDED] for f in found]
+                p = np.empty((CLASSES, len(group[0])))
+                for k in range(0, len(group[0]), TOKENS):
+                    p[:, k : k + TOKENS] = class_probabilities([f[k : k + TOKENS] for f in group], model_.weights, model_.bias).T
+                _added(by_class, group, p)
+            table += by_class.T
 
     return summed(parts, gather, KINDS * FEATURES, CLASSES)
 
@@ -322,29 +326,31 @@ def score_chunks(parts: DataFrame, per_chunk: DataFrame, model: Model, sums: dic
     n, v = sums["N"], sums["V"]
     schema = pa.schema([(id_col, pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(chunk: pa.Table, counts: pa.Table) -> pa.Table:
         m = shared.value
-        for batch in it:
-            for at in range(batch.num_rows):
-                chunk = batch.slice(at, 1)
-                corpus = chunk.column("corpus").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                ((kind, first, _, number),) = _texts(chunk)
-                count = corpus[number]
-                base = np.log10((corpus + 0.1) / (n + 0.1 * (v + 1)))[number]
-                found, likely = features(kind, first), np.empty(len(kind))
-                for k in range(0, len(kind), TOKENS):
-                    part = [f[k : k + TOKENS] for f in found]
-                    p = class_probabilities(part, m.weights, m.bias)
-                    likely[k : k + TOKENS] = p[np.arange(len(p)), m.class_of[kind[k : k + TOKENS]]]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    known = np.log10(np.maximum(likely, 1e-30) * (1 - m.unknown) * count / m.mass[m.class_of[kind]])
-                token = np.where(count > 0, known, np.log10(m.unknown))
-                yield pa.RecordBatch.from_arrays([
-                    chunk.column("ids").flatten(), chunk.column("held").flatten(), chunk.column("lengths").flatten().cast(pa.int64()),
-                    pa.array(np.add.reduceat((count > 0).astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(token, first))], schema=schema)
-
-    whole = parts.join(per_chunk, "chunk").select("ids", "held", "lengths", "tokens", "buckets", "corpus")
-    return whole.mapInArrow(run, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, base_score double, score double").withColumn("train_tokens", F.lit(n).cast("long"))
+        corpus = np.zeros(counts.num_rows)
+        corpus[counts.column("i").to_numpy()] = counts.column("c").to_numpy()
+        ((kind, first, _, number),) = _texts(chunk)
+        count = corpus[number]
+        base = np.log10((corpus + 0.1) / (n + 0.1 * (v + 1)))[number]
+        found, likely = features(kind, first), np.empty(len(kind))
+        for k in range(0, len(kind), TOKENS):
+            part = [f[k : k + TOKENS] for f in found]
+            p = class_probabilities(part, m.weights, m.bias)
+            likely[k : k + TOKENS] = p[np.arange(len(p)), m.class_of[kind[k : k + TOKENS]]]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            known = np.log10(np.maximum(likely, 1e-30) * (1 - m.unknown) * count / m.mass[m.class_of[kind]])
+        token = np.where(count > 0, known, np.log10(m.unknown))
+        flat = [chunk.column(c).combine_chunks().flatten() for c in ("ids", "held", "lengths")]
+        return pa.Table.from_arrays([
+            *flat[:2], flat[2].cast(pa.int64()),
+            pa.array(np.add.reduceat((count > 0).astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(token, first))], schema=schema)
+
+    # a chunk is one row, its dictionary's counts are bounded by its bytes
+    texts, counts = parts.select("chunk", "ids", "held", "lengths", "tokens", "buckets"), per_chunk
+    scored = texts.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(
+        run, f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 10, rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
