@@ -4,9 +4,10 @@ Method: the configuration linear program over the length histogram. A
 configuration is a multiset of lengths that fits into one sequence; the
 program covers every length's count by as few configurations as possible. It
 is solved by multiplicative weights: each length has a price that falls as it
-gets covered, and a knapsack dynamic program finds the configuration of the
-highest price. The fractional solution is rounded down, what is left is solved
-again, and the last few pieces go best-fit into open sequences.
+gets covered, and a bounded knapsack dynamic program over the open pieces
+finds a configuration of nearly the highest price. Each is taken a whole
+number of times, rounded down to what is open, and the few pieces that fill
+no further sequence go best-fit into the last ones.
 
 The histogram has at most ``capacity`` rows whatever the input, so the program
 is solved on the driver. Everything that grows with the documents is a Spark
@@ -36,10 +37,12 @@ END_ID = 1
 REMEMBERED_WORDS = 500_000
 #: Marks that may close a word of letters.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Rounds of multiplicative weights for one linear program.
-ROUNDS = 96
-#: How strongly a covered length loses price.
-ETA = 2.0
+#: Most rounds of multiplicative weights; each covers a length at least (a length may take several).
+ROUNDS = 20_000
+#: How strongly a covered length loses price, how much dearer a token of a longer piece is; lengths that a knapsack looks at first.
+ETA, BEND, LOOKED = 1.0, 0.5, 64
+#: Share of the best price that a configuration must have, share of a sequence that it must fill.
+NEAR, FULL = 0.8, 0.999
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -177,90 +180,114 @@ def encoder(path: str) -> WordEncoder:
 
 # -- the configuration program (driver, on the histogram only) ---------------
 
-def best_configuration(price: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts of each length in the configuration of the highest total price
-    (unbounded knapsack by dynamic programming over the space used)."""
-    order = np.argsort(lengths)
-    size, gain = lengths[order], price[order]
+def best_configuration(price: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
+    """Counts of each length, at most ``most``, in the configuration of the
+    highest total price: a bounded knapsack by dynamic programming over the
+    space used, copies split into powers of two. Ties go to longer pieces."""
+    items = []
+    for i in np.argsort(-lengths, kind="stable"):
+        left, k = min(int(most[i]), capacity // int(lengths[i])), 1
+        while left > 0:
+            k = min(k, left)
+            items.append((int(i), k, int(lengths[i]) * k, float(price[i]) * k))
+            left, k = left - k, 2 * k
     value = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1, dtype=np.int64)
-    upto = np.searchsorted(size, np.arange(capacity + 1), side="right")
-    for room in range(1, capacity + 1):
-        k = upto[room]
-        if k:
-            total = value[room - size[:k]] + gain[:k]
-            best = int(np.argmax(total))
-            if total[best] > value[room - 1]:
-                value[room], choice[room] = total[best], best
-                continue
-        value[room] = value[room - 1]
+    taken = np.zeros((len(items), capacity + 1), dtype=bool)
+    for n, (_, _, size, gain) in enumerate(items):
+        if size <= capacity:
+            with_it = value[: capacity + 1 - size] + gain
+            np.greater(with_it, value[size:] * (1 + 1e-12), out=taken[n, size:])
+            np.maximum(value[size:], with_it, out=value[size:])
     counts = np.zeros(len(lengths), dtype=np.int64)
     room = capacity
-    while room > 0:
-        if choice[room] < 0:
-            room -= 1
-        else:
-            counts[order[choice[room]]] += 1
-            room -= size[choice[room]]
+    for n in range(len(items) - 1, -1, -1):
+        if taken[n, room]:
+            counts[items[n][0]] += items[n][1]
+            room -= items[n][2]
     return counts
 
 
-def solve_program(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int) -> list[tuple[np.ndarray, float]]:
-    """A fractional cover of ``demand`` by configurations, by multiplicative
-    weights. Each round takes the best-priced configuration as often as its
-    tightest length allows, and lowers the prices of what it covers."""
-    covered = np.zeros(len(lengths))
-    found: dict[bytes, list] = {}
+def price_configuration(price: np.ndarray, lengths: np.ndarray, open_: np.ndarray, capacity: int) -> np.ndarray:
+    """A configuration of open pieces whose price is near the best one's.
+    ``lengths`` ascend.
+
+    No configuration is worth more than the capacity filled at the highest
+    price a token. The knapsack looks at the dearest lengths, at those that
+    complete each of them, and at an even choice of the others; if what it
+    finds is less than ``NEAR`` of that bound, at more of them, at last at all
+    with all their pieces.
+    """
+    live = np.flatnonzero(open_ > 0)
+    size = lengths[live]
+    density = price[live] / size
+    bound = density.max() * min(capacity, int((open_[live] * size).sum()))
+    dearest = np.lexsort((-size, -density))
+    looked, copies = LOOKED, 3
+    while True:
+        half, rest = dearest[: looked // 2], dearest[looked // 2 :]
+        fits = np.searchsorted(size, capacity - size[half], side="right") - 1
+        even = rest[np.linspace(0, len(rest) - 1, min(looked // 2, len(rest))).astype(int)] if len(rest) else rest
+        chosen = live[np.unique(np.concatenate([half, fits[fits >= 0], even]))]
+        last = len(chosen) == len(live) and copies > 3
+        counts = best_configuration(price[chosen], lengths[chosen], open_[chosen] if last else np.minimum(open_[chosen], copies), capacity)
+        if (counts * price[chosen]).sum() >= NEAR * bound or last:
+            out = np.zeros(len(lengths), dtype=np.int64)
+            out[chosen] = counts
+            return out
+        copies += len(chosen) == len(live)
+        looked *= 8
+
+
+def solve_program(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int) -> list[tuple[np.ndarray, int]]:
+    """A cover of most of ``demand`` by configurations and how often each is
+    used, by multiplicative weights: each round takes the configuration of
+    (nearly) the best price as often as open pieces allow, a whole number of
+    times, and lowers the prices of the lengths it covers. It ends when no
+    configuration of open pieces fills ``FULL`` of a sequence any more.
+    """
+    open_ = demand.copy()
+    found: list[tuple[np.ndarray, int]] = []
     for _ in range(rounds):
-        open_ = covered < demand
-        if not open_.any():
+        if int((open_ * lengths).sum()) < capacity:
             break
-        price = lengths * np.exp(-ETA * covered / demand) * open_
-        config = np.minimum(best_configuration(price, lengths, capacity), demand)
+        price = lengths * (lengths / capacity) ** BEND * np.exp(-ETA * (demand - open_) / demand)
+        config = price_configuration(price, lengths, open_, capacity)
+        if int((config * lengths).sum()) < FULL * capacity:
+            # prices may favour a poor filling: the fullest one is the last word
+            config = price_configuration(lengths.astype(np.float64), lengths, open_, capacity)
+            if int((config * lengths).sum()) < FULL * capacity:
+                break
         used = config > 0
-        step = float(np.min((demand[used] - covered[used]) / config[used]))
-        # a length's last few pieces aren't worth a round: take at least a share of the demand
-        step = max(step, float(np.min(demand[used] / config[used])) * 0.25)
-        covered[used] += step * config[used]
-        entry = found.setdefault(config.tobytes(), [config, 0.0])
-        entry[1] += step
-    return [(c, x) for c, x in found.values()]
+        times = int(np.min(open_[used] // config[used]))
+        open_ -= times * config
+        found.append((config, times))
+    return found
 
 
 def plan_sequences(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Configurations and how often each is used: (lengths, counts, times).
 
-    Every piece of the histogram is in exactly one sequence. Rounds of the
-    program run until rounding down places nothing more; then the rest goes
-    longest first into the open sequence that it fills best.
+    Every piece of the histogram is in exactly one sequence. The program
+    places nearly all of them; the rest goes longest first into the open
+    sequence that it fills best. Where most pieces are longer than half a
+    sequence, few configurations are full and the program ends early; if best
+    fit alone then needs fewer sequences, its plan is taken.
     """
     lengths, left = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64).copy()
-    out: list[tuple[np.ndarray, np.ndarray, int]] = []
-    full = lengths == capacity
-    for i in np.flatnonzero(full & (left > 0)):
-        out.append((lengths[i : i + 1], np.ones(1, dtype=np.int64), int(left[i])))
-        left[i] = 0
-    for _ in range(2):
-        live = np.flatnonzero(left > 0)
-        if len(live) == 0 or left[live].max() < 2:
-            break
-        placed = 0
-        solution = solve_program(lengths[live], left[live], capacity, rounds)
-        # fuller configurations first: they waste least
-        solution.sort(key=lambda s: -int((s[0] * lengths[live]).sum()))
-        for config, x in solution:
-            used = config > 0
-            fill = int((config * lengths[live]).sum())
-            if fill < 0.98 * capacity:
-                continue
-            times = min(int(x), int(np.min(left[live][used] // config[used])))
-            if times > 0:
-                left[live] -= times * config
-                out.append((lengths[live][used], config[used], times))
-                placed += times
-        if placed == 0:
-            break
+    alone = list(_best_fit(lengths, left, capacity))
+    out = by_program(lengths, left, capacity, rounds)
+    for sizes, used, times in out:
+        left[np.searchsorted(lengths, sizes)] -= used * times
     out.extend(_best_fit(lengths, left, capacity))
+    return out if sum(x[2] for x in out) <= sum(x[2] for x in alone) else alone
+
+
+def by_program(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """The program's part of the plan; ``lengths`` ascend."""
+    out = [(lengths[i : i + 1], np.ones(1, dtype=np.int64), int(counts[i])) for i in np.flatnonzero((lengths == capacity) & (counts > 0))]
+    live = np.flatnonzero((lengths < capacity) & (counts > 0))
+    for config, times in solve_program(lengths[live], counts[live], capacity, rounds):
+        out.append((lengths[live][config > 0], config[config > 0], times))
     return out
 
 

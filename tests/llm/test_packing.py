@@ -80,6 +80,23 @@ def test_plan_is_near_the_volume_bound():
 
 def test_best_configuration_is_the_knapsack_optimum():
     lengths, price = np.array([3, 5, 7]), np.array([3.1, 5.5, 7.2])
-    best = packing.best_configuration(price, lengths, 17)
-    brute = max((a * 3.1 + b * 5.5 + c * 7.2 for a in range(6) for b in range(4) for c in range(3) if 3 * a + 5 * b + 7 * c <= 17))
-    assert (best * lengths).sum() <= 17 and abs((best * price).sum() - brute) < 1e-9
+    for most in ((9, 9, 9), (1, 1, 1), (2, 0, 1), (0, 3, 0)):
+        best = packing.best_configuration(price, lengths, np.array(most), 17)
+        brute = max(a * 3.1 + b * 5.5 + c * 7.2 for a in range(most[0] + 1) for b in range(most[1] + 1) for c in range(most[2] + 1) if 3 * a + 5 * b + 7 * c <= 17)
+        assert (best * lengths).sum() <= 17 and (best <= most).all() and abs((best * price).sum() - brute) < 1e-9
+
+
+def test_the_program_places_nearly_all_tokens():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet").column("text").to_pylist()
+    ids = [len(x) // 4 for x in packing.encoder(queries.packing_tokenizer()).encode([t or "" for t in texts], 1)]
+    sizes = [y for n in ids for y in [4096] * (n // 4096) + ([n % 4096] if n % 4096 else [])]
+    lengths, counts = np.unique(sizes, return_counts=True)
+    program = packing.by_program(lengths, counts)
+    placed = sum(int((a * b).sum()) * times for a, b, times in program if len(a) > 1 or a[0] < 4096)
+    assert placed >= 0.9 * (lengths * counts)[lengths < 4096].sum()
+    plan = packing.plan_sequences(lengths, counts)
+    assert sum(x[2] for x in plan) == -(-int((lengths * counts).sum()) // 4096)
+    # the plan begins with the program's configurations
+    assert [x[2] for x in plan[: len(program)]] == [x[2] for x in program]
