@@ -253,8 +253,8 @@ def _align(pairs: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All columns of ``docs`` with the remaining text, and ``n_lines``,
-    ``deleted`` (positions of the deleted lines, ascending)."""
+    """All columns of ``docs`` with the remaining text, and ``__n_lines``,
+    ``__deleted`` (positions of the deleted lines, ascending)."""
     # numbered once, in what is written; later jobs read the numbers
     base = stage(docs.withColumn("__uid", F.monotonically_increasing_id()), "line-docs")
     split = base.select(F.col("__uid").alias("uid"), F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("text"))
@@ -272,8 +272,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = base.join(broadcast_if_small(gone, size), "__uid", "left")
     whole = whole.withColumn("__gone", F.coalesce(F.array_sort("__deleted"), F.array().cast("array<int>"))).withColumn("__lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
     rest = F.array_join(F.filter("__lines", lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    kept = [F.when(F.size("__gone") == 0, F.col(text_col)).otherwise(rest).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "deleted")]
-    return whole.select(*kept, F.size("__lines").alias("n_lines"), F.col("__gone").alias("deleted"))
+    kept = [F.when(F.size("__gone") == 0, F.col(text_col)).otherwise(rest).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("__n_lines", "__deleted")]
+    return whole.select(*kept, F.size("__lines").alias("__n_lines"), F.col("__gone").alias("__deleted"))
 
 
 def _gathered(deleted: DataFrame) -> DataFrame:

@@ -203,10 +203,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(most)
     texts = docs.where(F.octet_length(text_col) <= TRAIN_DOC_BYTES).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    # at most `most` rows of two numbers
-    rows = texts.join(F.broadcast(chosen), "__id").select("__id", "__text", "__label").collect()
-    rows.sort(key=lambda r: (r["__id"], r["__text"]))
-    rows = rows[:most]
+    # `chosen` has at most `most` rows of two numbers; an id that comes again gives one text
+    found = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__label").agg(F.min("__text").alias("__text"))
+    rows = sorted(found.collect(), key=lambda r: r["__id"])
     return [r["__text"] for r in rows], [int(r["__label"]) for r in rows]
 
 
@@ -219,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """(all columns of ``docs``, ``score``)."""
+    """(all columns of ``docs``, ``__score``)."""
     from collections.abc import Iterator as Series  # evaluated by pandas_udf below
 
     import pandas as pd
@@ -233,4 +232,4 @@ def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
 
     scored.__annotations__ = {"parts": Series[pd.Series], "return": Series[pd.Series]}
     udf = F.pandas_udf(scored, "double")
-    return docs.select(*(c for c in docs.columns if c != "score"), udf(F.col(text_col)).alias("score"))
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "__score"), udf(F.col(text_col)).alias("__score"))

@@ -76,7 +76,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every text, without lines that an earlier one has."""
     rows = linedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "n_lines", F.size("deleted").alias("n_removed"), "deleted", "text")
+    return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.size("__deleted").alias("n_removed"), F.col("__deleted").alias("deleted"), "text")
 
 
 @query
@@ -85,8 +85,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     rows = quality.score(docs, net)
-    return rows.select("doc_id", (quality.held_out_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
-                       F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+    return rows.select("doc_id", (quality.held_out_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("__score").alias("score"),
+                       F.when(F.col("__score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 @query

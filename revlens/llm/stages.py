@@ -14,7 +14,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_arrow_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     scored = quality.score(docs, quality.train(docs, labels))
-    return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return scored.where(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +22,10 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     lose all of their text. Lengths follow the texts."""
     small_arrow_batches(spark)
     out = linedup.dedup_lines(docs)
-    emptied = (F.size("deleted") > 0) & (F.length(F.trim("text")) == 0)
+    emptied = (F.size("__deleted") > 0) & (F.length(F.trim("text")) == 0)
     out = out.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.size("__deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

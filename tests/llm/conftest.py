@@ -19,7 +19,7 @@ AWKWARD = [
 @pytest.fixture(scope="session")
 def awkward(spark):
     """Documents with awkward rows, and extra columns with clashing names."""
-    names = ["size", "k", "id", "h", "bucket", "group", "shard", "window", "text_crc32", "length", "__n", "rank"]
+    names = ["size", "k", "id", "h", "bucket", "group", "shard", "window", "text_crc32", "length", "__n", "rank", "n_lines", "deleted", "score", "n", "form", "found", "output"]
     schema = "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)
     return spark.createDataFrame([(*r, *["x"] * len(names)) for r in AWKWARD], schema)
 

@@ -54,7 +54,14 @@ def test_awkward_rows(spark, awkward, no_documents):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 11)] + [(3, None), (None, 1)], "doc_id long, quality int")
     net = quality.train(awkward, labels)
     rows = quality.score(awkward, net)
-    assert rows.columns == [*awkward.columns, "score"]
-    assert all(0 <= r["score"] <= 1 for r in rows.collect()) and rows.count() == len(AWKWARD)
+    assert rows.columns == [*awkward.columns, "__score"] and {r["score"] for r in rows.collect()} == {"x"}
+    assert all(0 <= r["__score"] <= 1 for r in rows.collect()) and rows.count() == len(AWKWARD)
     assert quality.score(no_documents, net).count() == 0
-    assert quality.score(awkward, quality.train(awkward, labels.limit(0))).agg({"score": "max"}).first()[0] == 0.5
+    assert quality.score(awkward, quality.train(awkward, labels.limit(0))).agg({"__score": "max"}).first()[0] == 0.5
+
+
+def test_an_id_that_comes_again_gives_one_text(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, "b"), (3, None), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 1, 2, 3, 4)], "doc_id long, quality int")
+    texts, marks = quality.training_sample(docs, labels, "doc_id", "text", "quality", most=10)
+    assert len(texts) == len(marks) <= 3 and texts.count("text 0") <= 1 and not any(t.startswith("text ") for t in texts if t != "text 0")
