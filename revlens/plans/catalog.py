@@ -943,6 +943,19 @@ def q_fill_model(spark, sf_dir):
     return IN.deal_features(t).groupBy("industry", "product").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@register("quoted_orders")
+def q_quoted_orders(spark, sf_dir):
+    # an export separated by ';' whose quoted header and fields hold commas
+    path = f"{checkpoint_dir(spark).rstrip('/')}/fixtures/quoted-{uuid.uuid4().hex}"
+    tx = S.transactions(spark, sf_dir).select(
+        F.col("order_id").alias("order, id"), F.col("line_number").cast("string").alias("line, number"),
+        F.concat_ws(", ", "customer", "segment", "region").alias("who, what, where"), F.col("sales").cast("string").alias("sales"))
+    tx.write.option("header", True).option("sep", ";").option("quoteAll", True).option("escape", '"').csv(path)
+    raw = FL.read_csv(spark, path)
+    return raw.select(F.col("`order, id`").alias("order_id"), F.col("`line, number`").cast("int").alias("line_number"),
+                      F.col("`who, what, where`").alias("who"), F.col("sales").cast("double").alias("sales"))
+
+
 @register("sniffed_orders")
 def q_sniffed(spark, sf_dir):
     """The raw export read with detected delimiter and encodings."""

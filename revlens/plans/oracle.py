@@ -835,6 +835,8 @@ FROM (VALUES ('order_id'), ('Date'), ('Client'), ('Tier'), ('Country'), ('SKU'),
 ORACLE["fill_model_columns"] = with_tx("""
 SELECT 'Unknown' AS industry, CASE WHEN quantity > 1 THEN product ELSE 'Unknown' END AS product, count(*) AS rows
 FROM typed GROUP BY 1, 2""", RAW_CTE, TYPED_CTE)
+ORACLE["quoted_orders"] = with_tx("""
+SELECT order_id, CAST(line_number AS INTEGER) AS line_number, customer || ', ' || segment || ', ' || region AS who, CAST(sales AS DOUBLE) AS sales FROM tx""")
 ORACLE["sniffed_orders"] = ORACLE["normalized_headers"]
 ORACLE["csv_export"] = with_tx("""
 SELECT concat_ws(',', order_id, order_date, customer, segment, region, product, margin) AS line FROM listing""", LISTING_CTE)

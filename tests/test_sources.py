@@ -109,3 +109,35 @@ def test_streaming_clean_matches_batch(spark):
     assert monthly.count() == 3
     batch = IN.clean(FS.read_csv(spark, src))
     assert batch.count() == 3
+
+
+def test_delimiters_are_sought_in_whole_records():
+    from revlens.sources.files import sniff_delimiter
+    assert sniff_delimiter('"a, b, c, d";e;f') == ";"
+    assert sniff_delimiter(['"x,y";z', '"1,2";3', '4;"5,,,,"']) == ";"
+    assert sniff_delimiter(["a^b^c", "1^2^3", "4^5^6"]) == "^" and sniff_delimiter("a:b:c") == ":"
+    # the comma splits the header more often, the semicolon all records alike
+    assert sniff_delimiter(["a, b, c;d", "1;2", "3;4"]) == ";"
+    assert sniff_delimiter("one") == "," and sniff_delimiter("a|b\tc|d") == "|"
+
+
+def test_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    import hashlib
+    from revlens.sources import files as FL
+    rng = __import__("random").Random(4)
+    want = {}
+    for k, n in enumerate((1, 999, 1000, 1001, 50_000)):  # Spark lists no empty files
+        data = rng.randbytes(n)
+        (tmp_path / f"f {k}%.bin").write_bytes(data)
+        want[n] = "sha256:" + hashlib.sha256(data).hexdigest()
+    monkeypatch.setattr(FL, "HASHED_BYTES", 1000)
+    # no file may be read whole
+    monkeypatch.setattr(FL.F, "sha2", lambda *a: (_ for _ in ()).throw(AssertionError))
+    got = {r["length"]: r["file_hash"] for r in FL.content_fingerprint(spark, str(tmp_path)).collect()}
+    assert got == want and FL.file_digest(str(tmp_path / "none")) is None
+
+
+def test_an_empty_table_exports_its_header(spark, tmp_path):
+    from revlens.sources.files import export_csv_crlf
+    export_csv_crlf(spark.createDataFrame([], "a string, `b,c` int"), str(tmp_path / "e"))
+    assert [p.read_bytes() for p in (tmp_path / "e").glob("part*")] == [b'a,"b,c"\r\n']
