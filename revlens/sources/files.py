@@ -179,7 +179,7 @@ def export_csv_crlf(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     names = [F.lit(c) for c in df.columns]
     header = F.concat_ws(",", *[csv_field(n) for n in names])
     if df.isEmpty():
-        df.sparkSession.range(1).select(header.alias("line")).write.mode(mode).option("lineSep", "\r\n").text(path)
+        df.sparkSession.range(1).coalesce(1).select(header.alias("line")).write.mode(mode).option("lineSep", "\r\n").text(path)
         return
     rows = csv_lines(df).withColumn("nth", F.monotonically_increasing_id())
     # a partition's first row has a number whose low 33 bits are 0
