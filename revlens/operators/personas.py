@@ -13,15 +13,17 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions import expressions as X
 from revlens.operators.rollups import customer_profiles
-from revlens.plans.joins import attach_one_row
+from revlens.plans.joins import attach_one_row, small_table
 from revlens.plans.materialize import materialize
 
 PROFILE_FEATURES = ("sales", "margin_rate", "discount")
@@ -68,7 +70,7 @@ def cluster_customers(tx: DataFrame, params: PersonaParams = PersonaParams()):
     (k-means model, scaling row)). Profiles are written once, as every restart
     reads them.
     Silhouette is MLlib's ClusteringEvaluator (squared Euclidean, linear in
-    the number of customers) - the exact Euclidean form needs all pairs."""
+    the number of customers); ``exact_silhouette`` is the Euclidean form."""
     prof = materialize(customer_profiles(tx).withColumn("sales", F.col("sales").cast("double")), "profiles")
     n = prof.count()
     if n < params.min_customers:
@@ -94,6 +96,61 @@ def cluster_customers(tx: DataFrame, params: PersonaParams = PersonaParams()):
     return out.drop("features").withColumn("cluster", F.col("cluster").cast("int")), round(sil, 3), (model, scaling)
 
 
+#: Customers whose pairwise distances give the exact silhouette; beyond, each cluster gives its share of them.
+SILHOUETTE_ROWS = 10_000
+
+
+def exact_silhouette(clustered: DataFrame, features, cluster: str = "cluster", most: int = SILHOUETTE_ROWS, seed: int = 42) -> DataFrame:
+    """M14, the exact Euclidean form: one row (silhouette, n_rows, n_clusters).
+
+    Every row's mean distance to its own cluster's other rows (a) and to the
+    nearest other cluster (b) give (b - a) / max(a, b); a cluster's only row
+    gives 0, and fewer than two clusters give NULL. Pairwise distances grow
+    with the square of the rows, so at most about ``most`` rows take part: all
+    of them up to there, else each cluster's share (one at least), by a hash of
+    the row. The rows are bounded, so all tasks get them, and each task takes
+    blocks of rows against all.
+    """
+    features = list(features)
+    rows = clustered.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(cluster).cast("long").alias("cluster"))
+    rows = rows.where(F.col("cluster").isNotNull() & F.forall(F.array(*features), lambda x: x.isNotNull() & ~F.isnan(x)))
+    n = rows.count()
+    if n > most:
+        first = Window.partitionBy("cluster").orderBy(F.xxhash64(F.lit(seed), *features), *features)
+        sizes = small_table(rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) * F.lit(most / n)).alias("_take")), "sizes")
+        share = F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(1 << 20)) < F.lit(int(min(1.0, 4 * most / n) * (1 << 20)))
+        # the hash thins large clusters before their rows are ranked
+        thin = rows.join(sizes, "cluster").where(share | (F.col("_take") <= 64))
+        rows = thin.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= F.col("_take")).drop("_nth", "_take")
+    sample = materialize(rows, "silhouette")
+    points = sample.toPandas()  # at most `most` rows and one more a cluster
+    x, names = points[features].to_numpy(), np.unique(points["cluster"])
+    member = (points["cluster"].to_numpy()[:, None] == names[None, :]).astype(np.float64)
+    size = member.sum(axis=0)
+
+    def run(it):
+        for batch in it:
+            mine = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features], axis=1)
+            own = np.searchsorted(names, batch.column("cluster").to_numpy())
+            out = np.zeros(len(mine))
+            for at in range(0, len(mine), 256):
+                part, k = mine[at : at + 256], own[at : at + 256]
+                far = np.sqrt(((part[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)) @ member
+                each = np.arange(len(part))
+                a = far[each, k] / np.maximum(size[k] - 1, 1)
+                far /= size
+                far[each, k] = np.inf
+                b = far.min(axis=1)
+                out[at : at + 256] = np.where((size[k] > 1) & (np.maximum(a, b) > 0), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(out)], names=["s"])
+
+    if len(names) < 2:
+        return sample.agg(F.lit(None).cast("double").alias("silhouette"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(names)).cast("long").alias("n_clusters"))
+    spread = max(1, min(clustered.sparkSession.sparkContext.defaultParallelism, len(x) // 512))
+    scored = sample.repartition(spread).mapInArrow(run, "s double")
+    return scored.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n_rows")).withColumn("n_clusters", F.lit(len(names)).cast("long"))
+
+
 def cluster_stats(clustered: DataFrame) -> DataFrame:
     """Per cluster the mean of each profile feature and the size."""
     return clustered.groupBy("cluster").agg(

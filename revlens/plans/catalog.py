@@ -573,6 +573,18 @@ def q_silhouette(spark, sf_dir):
                            F.count_distinct("cluster").alias("n_clusters")).withColumn("silhouette", F.lit(sil))
 
 
+@register("silhouette_exact")
+def q_silhouette_exact(spark, sf_dir):
+    c, _ = MD.clusters(spark, sf_dir)
+    return PS.exact_silhouette(c, [f"z_{f}" for f in PS.PROFILE_FEATURES])
+
+
+@register("silhouette_exact_fixed")
+def q_silhouette_exact_fixed(spark, sf_dir):
+    z = PS.standardize(materialize(_fixed_profiles(spark, sf_dir), "profiles"))
+    return PS.exact_silhouette(z, [f"z_{f}" for f in PS.PROFILE_FEATURES]).withColumn("silhouette", F.round("silhouette", 6))
+
+
 @register("cluster_stats")
 def q_cluster_stats(spark, sf_dir):
     c, _ = MD.clusters(spark, sf_dir)

@@ -701,6 +701,18 @@ ORACLE["forecast_chart_display_fixed"] = with_tx(
 ORACLE["cluster_stats_fixed"] = with_tx("""
 SELECT cluster, round(avg_sales, 4) AS avg_sales, round(avg_margin, 6) AS avg_margin, round(avg_discount, 6) AS avg_discount,
        n_customers FROM cstats""", FIXED_CTE)
+ORACLE["silhouette_exact_fixed"] = with_tx("""
+SELECT round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette,
+       count(*) AS n_rows, CAST(count(DISTINCT cluster) AS BIGINT) AS n_clusters
+FROM (SELECT customer, max(mine) AS cluster, max(m) FILTER (WHERE mine = other) AS n,
+             max(d / greatest(m - 1, 1)) FILTER (WHERE mine = other) AS a, min(d / m) FILTER (WHERE mine <> other) AS b
+      FROM (SELECT x.customer, x.cluster AS mine, y.cluster AS other, count(*) AS m,
+                   sum(sqrt((x.z1 - y.z1) * (x.z1 - y.z1) + (x.z2 - y.z2) * (x.z2 - y.z2) + (x.z3 - y.z3) * (x.z3 - y.z3))) AS d
+            FROM z x CROSS JOIN z y GROUP BY 1, 2, 3)
+      GROUP BY customer)""", FIXED_CTE, """
+z AS (SELECT customer, cluster, (s - avg(s) OVER ()) / stddev_pop(s) OVER () AS z1, (m - avg(m) OVER ()) / stddev_pop(m) OVER () AS z2,
+             (d - avg(d) OVER ()) / stddev_pop(d) OVER () AS z3
+      FROM (SELECT customer, cluster, CAST(sales AS DOUBLE) AS s, CAST(margin_rate AS DOUBLE) AS m, CAST(discount AS DOUBLE) AS d FROM prof))""")
 ORACLE["persona_assignments_fixed"] = with_tx("""
 SELECT p.customer, p.cluster, n.persona FROM prof p JOIN named n ON n.cluster = p.cluster""", FIXED_CTE)
 ORACLE["persona_traits_fixed"] = with_tx(f"""

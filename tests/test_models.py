@@ -172,3 +172,30 @@ def test_rule_recovery_and_sweep_curve(spark):
     assert sw[("Tech", 30)].margin_pct == 3.5 and sw[("Tech", 80)].margin_pct == -15.0
     assert sw[("Tech", 35)].zone == "healthy" and sw[("Tech", 36)].zone == "danger"
     assert len([k for k in sw if k[0] == "Finance"]) == 81
+
+
+def test_exact_silhouette_matches_numpy_on_all_rows_and_on_a_sample(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(0)
+    pdf = pd.DataFrame(rng.normal(size=(700, 2)) + 3 * rng.integers(0, 3, 700)[:, None], columns=["x", "y"])
+    pdf["cluster"] = np.where(pdf.x + pdf.y < 3, 0, np.where(pdf.x < 5, 1, 2))
+    pdf.loc[0, "cluster"] = 7  # a cluster of one
+
+    def numpy_form(p):
+        v, c = p[["x", "y"]].to_numpy(), p["cluster"].to_numpy()
+        d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+        out = []
+        for i in range(len(v)):
+            own = (c == c[i]).sum()
+            a = d[i, c == c[i]].sum() / max(own - 1, 1)
+            b = min(d[i, c == k].mean() for k in set(c) - {c[i]})
+            out.append((b - a) / max(a, b) if own > 1 else 0.0)
+        return np.mean(out)
+
+    df = spark.createDataFrame(pdf)
+    r = PS.exact_silhouette(df, ["x", "y"]).first()
+    assert abs(r.silhouette - numpy_form(pdf)) < 1e-9 and (r.n_rows, r.n_clusters) == (700, 4)
+    s = PS.exact_silhouette(df.repartition(5), ["x", "y"], most=200).first()
+    assert 196 <= s.n_rows <= 204 and s.n_clusters == 4 and abs(s.silhouette - r.silhouette) < 0.1
+    assert PS.exact_silhouette(df.where("cluster = 1"), ["x", "y"]).first().silhouette is None
