@@ -52,6 +52,18 @@ def trend(pct, band: float = 0.05) -> Column:
     return F.when(p >= band, "up").when(p <= -band, "down").otherwise("flat")
 
 
+# The mark of each trend in context packets.
+TREND_ARROWS = {"up": "↑", "down": "↓", "flat": "→"}
+
+
+def trend_arrow(direction: Column) -> Column:
+    """The arrow of a trend's name (sideways for any other name)."""
+    out = F.lit(TREND_ARROWS["flat"])
+    for name, arrow in TREND_ARROWS.items():
+        out = F.when(direction == name, F.lit(arrow)).otherwise(out)
+    return out
+
+
 def pct_change(nxt, current) -> Column:
     """(next - current) / current, 0 when current <= 0."""
     n, c = as_double(nxt), as_double(current)

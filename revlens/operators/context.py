@@ -53,7 +53,7 @@ def forecast_items(fvc: DataFrame) -> DataFrame:
             F.col("segment"), F.round("next_period_revenue", 2).alias("next_period_revenue"),
             F.array(F.round("confidence_lower", 2), F.round("confidence_upper", 2)).alias("confidence_interval"),
             _pct(F.col("pct_change_vs_current")).alias("pct_change_vs_current"),
-            F.col("trend_direction").alias("trend"), F.round("r2_validation", 2).alias("r2"))).alias("item"))
+            X.trend_arrow(F.col("trend_direction")).alias("trend"), F.round("r2_validation", 2).alias("r2"))).alias("item"))
 
 
 def persona_items(personas: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def _fixed_facts(fvc: DataFrame, avg_margin: DataFrame, facts: ModelFacts) -> Da
         F.round("total_next_period_revenue", 2).alias("global_yhat"),
         F.round("total_next_period_revenue", 2).alias("total_next_period_revenue"),
         _pct(F.col("aggregate_pct_change")).alias("aggregate_pct_change"),
-        F.col("aggregate_trend"))).alias("_summary"))
+        X.trend_arrow(F.col("aggregate_trend")).alias("aggregate_trend"))).alias("_summary"))
     margins = avg_margin.agg(_object(F.col("segment"), _pct(F.col("avg_margin"))).alias("_margins"))
     return attach_one_row(out, margins).withColumn("_r2", _number(facts.model_r2)).withColumn(
         "_clusters", _number(facts.n_clusters)).withColumn("_silhouette", _number(facts.silhouette))

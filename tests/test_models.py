@@ -103,7 +103,8 @@ def test_context_packet_respects_budget_and_drops_deals_first(spark):
     full, js = packet("R")
     assert full.n_items_kept == 3 + 1 + 5 and full.token_estimate <= 600
     assert js["forecast"]["global_summary"] == {"global_yhat": 3000.0, "total_next_period_revenue": 3000.0,
-                                                "aggregate_pct_change": "0.0%", "aggregate_trend": "flat"}
+                                                "aggregate_pct_change": "0.0%", "aggregate_trend": "→"}
+    assert [x["trend"] for x in js["forecast"]["segments"]] == ["↑"] * 3
     assert js["margin"]["model_r2"] == 0.9 and js["margin"]["avg_margin_by_segment"] == {"S0": "20.0%", "S1": "10.0%"}
     assert js["margin"]["discount_ceiling"] == {"S0/R": "20.0%", "S1/R": "10.0%"}
     assert [d["id"] for d in js["margin"]["at_risk_deals"]] == ["d0", "d1", "d2", "d3", "d4"]
