@@ -45,6 +45,14 @@ def pivot_count(entries: int) -> int:
     return int(min(MOST_PIVOTS, max(32, 2 ** round(np.log2(max(1.0, entries) ** 0.5)))))
 
 
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors; components are first scaled by powers of two, exactly, so
+    that no norm overflows or vanishes."""
+    top = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1]
+    scaled = np.ldexp(np.ldexp(vectors, -(top // 2)), top // 2 - top)  # in two steps: 2 ** -top may not be a double
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def choose_pivots(entries: DataFrame, count: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Unit pivots by vector length, with their numbers: the ``count`` entries
     of the smallest hash."""
@@ -55,7 +63,7 @@ def choose_pivots(entries: DataFrame, count: int) -> dict[int, tuple[np.ndarray,
     out = {}
     for size, found in by.items():
         m = np.array([v for _, v in found], dtype=np.float64)
-        out[size] = (np.array([n for n, _ in found], dtype=np.int32), m / np.linalg.norm(m, axis=1, keepdims=True))
+        out[size] = (np.array([n for n, _ in found], dtype=np.int32), units(m))
     return out
 
 
@@ -70,8 +78,7 @@ def describe(entries: DataFrame, pivots: dict, nearest: int) -> DataFrame:
             sizes = np.array([len(v) for v in vectors])
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                m = np.array(vectors.take(pa.array(at)).to_pylist(), dtype=np.float64)
-                m /= np.linalg.norm(m, axis=1, keepdims=True)
+                m = units(np.array(vectors.take(pa.array(at)).to_pylist(), dtype=np.float64))
                 numbers, points = pivots.get(int(size), (np.array([-1], dtype=np.int32), np.ones((1, size))))
                 k = min(nearest, len(numbers))
                 near = numbers[np.argsort(-(m @ points.T), axis=1, kind="stable")[:, :k]]

@@ -86,3 +86,14 @@ def test_awkward_rows(spark):
     assert got == sorted(brute(rows)[1], key=repr)
     assert pivots.near_duplicates(frame.limit(0)).count() == 0
     assert pivots.near_duplicates(spark.createDataFrame([(None, v, 1, "", "")], SCHEMA)).collect()[0][1:] == (0, None, None)
+
+
+def test_very_large_and_very_small_components(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(3, 8))
+    rows = [(3 * k + n, [float(x * scale) for x in v], 0) for k, scale in enumerate((1.0, 1e200, 1e-200, 1e307, 1e-310)) for n, v in enumerate(base)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivots.near_duplicates(frame).collect()}
+    assert got == {i: (4, i % 3) for i, _, _ in rows}
+    v = rng.normal(size=(50, 8))
+    assert (pivots.units(v) == v / np.linalg.norm(v, axis=1, keepdims=True)).mean() > 0.9 and np.allclose(pivots.units(v), v / np.linalg.norm(v, axis=1, keepdims=True), rtol=1e-15)
