@@ -8,9 +8,10 @@ over the document by mean, maximum and minimum, and a logistic layer makes one
 probability of them. Mean and minimum show text that repeats itself: its
 chunks excite few filters.
 
-The network is fitted by Adam on a bounded sample of labelled rows, at most
-``TRAIN_DOCS`` documents of at most ``TRAIN_DOC_BYTES`` bytes, chosen by a
-hash of their id. Every document is scored whole in Spark tasks.
+The network is fitted by Adam on a bounded sample of labelled rows: at most
+``TRAIN_DOCS`` documents in the order of a hash of their id, whole, each that
+still fits into ``TRAIN_BYTES`` bytes in all. Every document is scored whole
+in Spark tasks.
 
 Defined cases: null and empty texts score by the bias alone; a text shorter
 than a filter is padded with zero bytes; without labels of both kinds the
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from revlens.llm.common import batches, small_batches, texts_of
 
 WIDTH, FILTERS, CHUNK = 6, 24, 256
-TRAIN_DOCS, TRAIN_DOC_BYTES = 3_000, 65_536
+TRAIN_DOCS, TRAIN_BYTES = 3_000, 16 << 20
 EPOCHS, BATCH, RATE = 14, 48, 0.01
 #: Documents that score below are rejected.
 THRESHOLD = 0.3
@@ -82,21 +83,13 @@ def arrange(texts: list[str]) -> Batch:
     return Batch(np.frombuffer(data, dtype="<u2"), np.concatenate(padding) if padding else np.arange(0), np.cumsum(counts) - counts, counts, np.array(rows, dtype=np.int64), np.array(counted, dtype=np.int64))
 
 
-def responses(b: Batch, tables: list[np.ndarray]) -> np.ndarray:
-    """(blocks, places, filters)."""
-    n = int(b.blocks.sum()) * BLOCK
-    out = tables[0].take(b.pairs[:n], axis=0)
-    for j, table in enumerate(tables[1:], 1):
-        out += table.take(b.pairs[j : j + n], axis=0)
-    out[b.padding] = -np.inf
-    return out.reshape(-1, BLOCK, FILTERS)
-
-
-def peaks(b: Batch, tables: list[np.ndarray], most: int = 2_048) -> np.ndarray:
-    """(blocks, filters): the highest response of each block, some blocks at a
-    time, so that a long document needs no more memory than a short one."""
+def peaks(b: Batch, tables: list[np.ndarray], most: int = 2_048, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """(blocks, filters): the highest response of each block and, if asked for,
+    its place in the block; some blocks at a time, so that a long document
+    needs no more memory than a short one."""
     total = int(b.blocks.sum())
     out = np.empty((total, FILTERS), dtype=np.float32)
+    where = np.empty((total, FILTERS), dtype=np.int64) if places else None
     for at in range(0, total, most):
         first, last = at * BLOCK, min(total, at + most) * BLOCK
         part = tables[0].take(b.pairs[first:last], axis=0)
@@ -104,8 +97,11 @@ def peaks(b: Batch, tables: list[np.ndarray], most: int = 2_048) -> np.ndarray:
             part += table.take(b.pairs[first + j : last + j], axis=0)
         left_out = b.padding[np.searchsorted(b.padding, first) : np.searchsorted(b.padding, last)]
         part[left_out - first] = -np.inf
-        out[at : at + most] = part.reshape(-1, BLOCK, FILTERS).max(axis=1)
-    return out
+        part = part.reshape(-1, BLOCK, FILTERS)
+        out[at : at + most] = part.max(axis=1)
+        if places:
+            where[at : at + most] = part.argmax(axis=1)
+    return out, where
 
 
 def chunk_of(b: Batch) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +129,7 @@ def score_texts(texts: list[str], net: Network, tables: list[np.ndarray]) -> np.
     score = np.full(len(texts), _sigmoid(net.bias)[0], dtype=np.float64)
     b = arrange(texts)
     if len(b.rows):
-        peak = peaks(b, tables)
+        peak, _ = peaks(b, tables)
         first, second = chunk_of(b)
         pooled = np.maximum(np.maximum(peak[first], peak[second]).astype(np.float64) + net.shift, 0)
         score[b.rows] = _sigmoid((combine(b, pooled) * net.out).sum(axis=1) + net.bias[0])
@@ -141,9 +137,8 @@ def score_texts(texts: list[str], net: Network, tables: list[np.ndarray]) -> np.
 
 
 def _gradients(b: Batch, label: np.ndarray, net: Network) -> list[np.ndarray]:
-    raw = responses(b, net.tables())
-    where = raw.argmax(axis=1)  # (blocks, filters)
-    peak = np.take_along_axis(raw, where[:, None, :], axis=1)[:, 0, :].astype(np.float64)
+    peak, where = peaks(b, net.tables(), places=True)
+    peak = peak.astype(np.float64)
     first, second = chunk_of(b)
     left = peak[first] >= peak[second]
     pooled = np.maximum(np.where(left, peak[first], peak[second]) + net.shift, 0)
@@ -196,16 +191,23 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = EPOCH
     return net
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = TRAIN_DOCS) -> tuple[list[str], list[int]]:
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> tuple[list[str], list[int]]:
     """Texts and labels of at most ``most`` labelled documents whose id isn't
-    held out."""
+    held out, of at most ``most_bytes`` bytes in all."""
     known = labels.where(F.col(label_col).isin(0, 1) & (held_out_remainder(F.col(id_col), 5) != 0))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
-    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(most)
-    texts = docs.where(F.octet_length(text_col) <= TRAIN_DOC_BYTES).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    # `chosen` has at most `most` rows of two numbers; an id that comes again gives one text
-    found = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__label").agg(F.min("__text").alias("__text"))
-    rows = sorted(found.collect(), key=lambda r: r["__id"])
+    chosen = known.withColumn("__order", F.xxhash64("__id")).orderBy("__order", "__id").limit(most)
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull())
+    # `chosen` has at most `most` rows of three numbers; an id that comes again gives one text
+    found = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__label", "__order").agg(F.min("__text").alias("__text"))
+    sizes = found.select("__order", "__id", F.octet_length("__text").alias("__bytes")).collect()
+    fit_in, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["__order"], r["__id"])):
+        if total + r["__bytes"] <= most_bytes:
+            total += r["__bytes"]
+            fit_in.append(r["__id"])
+    rows = found.where(F.col("__id").isin(fit_in)).collect() if fit_in else []
+    rows = sorted(rows, key=lambda r: r["__id"])
     return [r["__text"] for r in rows], [int(r["__label"]) for r in rows]
 
 
@@ -213,8 +215,8 @@ def held_out_remainder(id_: Column, parts: int) -> Column:
     return F.crc32(id_.cast("string")) % parts
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS) -> Network:
-    return fit(*training_sample(docs, labels, id_col, text_col, label_col, most))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Network:
+    return fit(*training_sample(docs, labels, id_col, text_col, label_col, most, most_bytes))
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:

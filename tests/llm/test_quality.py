@@ -65,3 +65,21 @@ def test_an_id_that_comes_again_gives_one_text(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in (1, 1, 2, 3, 4)], "doc_id long, quality int")
     texts, marks = quality.training_sample(docs, labels, "doc_id", "text", "quality", most=10)
     assert len(texts) == len(marks) <= 3 and texts.count("text 0") <= 1 and not any(t.startswith("text ") for t in texts if t != "text 0")
+
+
+def test_the_sample_is_bounded_in_bytes_and_keeps_long_texts_whole(spark):
+    long = "long text " * 20_000
+    docs = spark.createDataFrame([(i, long if i % 10 == 1 else f"short {i}") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    every, _ = quality.training_sample(docs, labels, "doc_id", "text", "quality")
+    trained = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    assert len(every) == len(trained) and every.count(long) == sum(i % 10 == 1 for i in trained) > 1
+    some, _ = quality.training_sample(docs, labels, "doc_id", "text", "quality", most_bytes=len(long) + 2_000)
+    assert some.count(long) == 1 and len(some) == len(trained) - every.count(long) + 1
+
+
+def test_peaks_do_not_depend_on_the_cut():
+    net = quality.fit([], [])
+    b = quality.arrange(["ab cd" * 4_000, "q", "xyz " * 300])
+    whole, parts = quality.peaks(b, net.tables(), places=True), quality.peaks(b, net.tables(), most=7, places=True)
+    assert all((w == p).all() for w, p in zip(whole, parts, strict=True)) and whole[1].max() < quality.BLOCK
