@@ -11,7 +11,9 @@ the verified links and never the pairs; the forests' components are the
 result.
 
 Equal fingerprints are one entry, so copies make no larger buckets: a hot
-group of copies is pre-aggregated before anything is shuffled by segment.
+group of copies is pre-aggregated before anything is shuffled by segment. A
+bucket of many distinct fingerprints is a grid of parts, blocks of entries
+against blocks of seekers, which tasks share.
 
 Defined cases: null and wordless texts have fingerprint zero, linked like any
 other; texts of fewer words than a shingle have one shingle of all of them;
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from revlens.llm.common import batches, broadcast_if_small, small_batches, stage, staged, texts_of
 from revlens.llm.components import components
@@ -34,6 +36,8 @@ from revlens.llm.components import components
 SHINGLE_WORDS, DISTANCE, SEED, SEGMENTS = 3, 3, 42, 2
 #: Entries that are compared with one block of lookups at once.
 BLOCK = 2_048
+#: Entries of a bucket beyond which it is dealt into parts of about as many.
+BUCKET_ROWS = 4_096
 
 
 def fingerprint(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -104,78 +108,142 @@ def lookups(fps: DataFrame, distance: int, segments: int) -> DataFrame:
 
 
 def _forest(entries: np.ndarray, seekers: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between entries and seekers of a bucket."""
+    """A spanning forest of the links between entries and seekers of a bucket:
+    in each round every part takes its first link to another part."""
     nodes = np.unique(np.concatenate([entries, seekers]))
-    parent = list(range(len(nodes)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out = []
+    label = np.arange(len(nodes))
     at, of = np.searchsorted(nodes, entries), np.searchsorted(nodes, seekers)
+    out = []
     for x in range(0, len(entries), BLOCK):
         for y in range(0, len(seekers), BLOCK):
             a, b = entries[x : x + BLOCK].view(np.uint64), seekers[y : y + BLOCK].view(np.uint64)
             i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= distance)
-            for u, v in zip(at[x + i].tolist(), of[y + j].tolist(), strict=True):
-                p, q = root(u), root(v)
-                if p != q:
-                    parent[p] = q
-                    out.append((int(nodes[u]), int(nodes[v])))
+            u, v = at[x + i], of[y + j]
+            while True:
+                apart = np.flatnonzero(label[u] != label[v])
+                if not len(apart):
+                    break
+                u, v = u[apart], v[apart]
+                first = np.full(len(nodes), len(u))
+                for side in (label[u], label[v]):
+                    mine = np.full(len(nodes), len(u))
+                    mine[side[::-1]] = np.arange(len(u))[::-1]  # the first link of each part stays
+                    first = np.minimum(first, mine)
+                taken = np.unique(first[first < len(u)])
+                out += zip(nodes[u[taken]].tolist(), nodes[v[taken]].tolist(), strict=True)
+                label = _merged(label, label[u[taken]], label[v[taken]])
     return out
 
 
-def verified_links(found: DataFrame, distance: int, segments: int) -> DataFrame:
+def _merged(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Labels after parts ``left`` and ``right`` are joined: the smallest of each."""
+    parent = np.arange(len(label))
+    while True:
+        p, q = parent[left], parent[right]
+        if (p == q).all():
+            return parent[label]
+        np.minimum.at(parent, np.maximum(p, q), np.minimum(p, q))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
+def _own(fp: Column, first: int, width: int) -> Column:
+    """The value of a segment."""
+    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+
+
+def hot_buckets(fps: DataFrame, distance: int, segments: int, rows: int) -> DataFrame:
+    """(segment, value, n_entry, n_seeker): into how many parts the entries and
+    the seekers of a bucket are dealt, for buckets of over ``rows`` entries and
+    those that such a bucket's entries look up. Another bucket has at most
+    ``rows`` entries, and seekers from as small buckets only."""
+    spans = _spans(segments)
+    values = F.array(*[F.struct(F.lit(s).alias("segment"), _own(F.col("fp"), *span).alias("value")) for s, span in enumerate(spans)])
+    hot = fps.select(F.inline(values)).groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
+    balls = [_ball(width, distance // segments) for _, width in spans]
+    build = batches({"segment": pa.int32(), "value": pa.int64(), "entries": pa.int64(), "seekers": pa.int64()})
+
+    def around(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            segment, value, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("segment", "value", "n"))
+            for s, ball in enumerate(balls):
+                v, count = value[segment == s], np.repeat(n[segment == s], len(ball))
+                found = (v.view(np.uint64)[:, None] ^ ball[None, :]).ravel()
+                yield build(np.full(len(found), s, dtype=np.int32), found.view(np.int64), np.where(np.tile(ball, len(v)) == 0, count, 0), count)
+
+    wide = hot.mapInArrow(around, "segment int, value long, entries long, seekers long").groupBy("segment", "value").agg(F.max("entries").alias("e"), F.sum("seekers").alias("s"))
+    parts = {"n_entry": F.greatest(F.ceil(F.col("e") / rows), F.lit(1)), "n_seeker": F.ceil(F.col("s") / rows)}
+    return wide.select("segment", "value", *(c.cast("long").alias(name) for name, c in parts.items()))
+
+
+def dealt_lookups(fps: DataFrame, distance: int, segments: int, rows: int = BUCKET_ROWS) -> DataFrame:
+    """(segment, value, part, fp, role): the lookups by bucket. Role is 1 for
+    an entry, 2 for a seeker, 3 for both. A hot bucket is a grid of parts, each
+    a block of entries against a block of seekers, so that tasks share it."""
+    hot, size = staged(hot_buckets(fps, distance, segments, rows), "simhash-hot")
+    found = lookups(fps, distance, segments).join(broadcast_if_small(hot, size), ["segment", "value"], "left")
+    own = F.lit(False)
+    for s, span in enumerate(_spans(segments)):
+        own = F.when(F.col("segment") == s, _own(F.col("fp"), *span) == F.col("value")).otherwise(own)
+    found = found.withColumn("own", own)
+
+    def cell(part: Column, role: Column) -> Column:
+        return F.struct(part.cast("long").alias("part"), role.cast("int").alias("role"))
+
+    draw = F.xxhash64(F.lit(SEED), "fp")
+    e, s = F.pmod(draw, F.col("n_entry")), F.pmod(F.shiftrightunsigned(draw, 20), F.col("n_seeker"))
+    seeks = F.transform(F.sequence(F.lit(0), F.col("n_entry") - 1), lambda k: cell(k * F.col("n_seeker") + s, F.lit(2)))
+    enters = F.transform(F.sequence(F.lit(0), F.col("n_seeker") - 1), lambda k: cell(e * F.col("n_seeker") + k, F.lit(1)))
+    whole = F.array(cell(F.lit(0), F.when(F.col("own"), 3).otherwise(2)))
+    cells = F.when(F.col("n_entry").isNull(), whole).when(F.col("own"), F.concat(seeks, enters)).otherwise(seeks)
+    return found.select("segment", "value", "fp", F.inline(cells))
+
+
+def verified_links(found: DataFrame, distance: int) -> DataFrame:
     """(a, b): spanning forests of the links that the buckets hold.
 
-    ``found`` is dealt by (segment, value) and sorted, so a bucket's rows come
-    one after another whatever its size; only buckets with an entry and
-    another fingerprint are looked at.
+    ``found`` is dealt by (segment, value, part) and sorted, so a part's rows
+    come one after another; only parts with an entry and another fingerprint
+    are looked at.
     """
-    spans = _spans(segments)
+    keys = ("segment", "value", "part")
     build = batches({"a": pa.int64(), "b": pa.int64()})
 
-    def buckets(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Runs of whole buckets."""
+    def parts(it: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """Runs of whole parts: keys, fp and role."""
         held: list[np.ndarray] = []
         for batch in it:
-            now = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("segment", "value", "fp")]
+            now = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*keys, "fp", "role")]
             if not len(now[0]):
                 continue
             now = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
-            last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+            last = np.flatnonzero(np.any([k != k[-1] for k in now[:3]], axis=0))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield tuple(x[:cut] for x in now)
+                yield [x[:cut] for x in now]
             held = [x[cut:] for x in now]
         if held:
-            yield tuple(held)
+            yield held
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for segment, value, fp in buckets(it):
-            new = np.flatnonzero((np.diff(segment) != 0) | (np.diff(value) != 0)) + 1
+        for segment, value, part, fp, role in parts(it):
+            new = np.flatnonzero(np.any([np.diff(k) != 0 for k in (segment, value, part)], axis=0)) + 1
             starts = np.concatenate([[0], new])
             sizes = np.diff(np.concatenate([starts, [len(fp)]]))
-            first = np.array([spans[s][0] for s in segment], dtype=np.uint64) if len(set(segment.tolist())) > 1 else np.uint64(spans[segment[0]][0])
-            width = np.array([(1 << spans[s][1]) - 1 for s in segment], dtype=np.uint64) if np.ndim(first) else np.uint64((1 << spans[segment[0]][1]) - 1)
-            entry = ((fp.view(np.uint64) >> first) & width).view(np.int64) == value
-            entries = np.add.reduceat(entry, starts)
+            entries = np.add.reduceat(role & 1, starts)
             pairs: list[tuple[int, int]] = []
             for k in np.flatnonzero((sizes > 1) & (entries > 0)):
                 rows = slice(starts[k], starts[k] + sizes[k])
-                pairs += _forest(fp[rows][entry[rows]], fp[rows], distance)
+                pairs += _forest(fp[rows][(role[rows] & 1) > 0], fp[rows][(role[rows] & 2) > 0], distance)
             if pairs:
                 yield build(*zip(*pairs, strict=True))
 
-    return found.repartition("segment", "value").sortWithinPartitions("segment", "value").mapInArrow(run, "a long, b long")
+    return found.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def _grouped(distinct: DataFrame, distance: int, segments: int) -> DataFrame:
     """``distinct`` (fp, ...) with the group that links reach: its smallest fingerprint."""
-    links = verified_links(lookups(distinct.select("fp"), distance, segments), distance, segments)
+    links = verified_links(dealt_lookups(distinct.select("fp"), distance, segments), distance)
     groups = components(links).select(F.col("node").alias("fp"), F.col("component").alias("group"))
     return distinct.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
 

@@ -68,16 +68,39 @@ def test_multi_index_finds_every_link(spark):
     fps = sorted(np.array(sorted(fps), dtype=np.uint64).view(np.int64).tolist())
     mask = (1 << 64) - 1
     links = [(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & mask).bit_count() <= 3]
-    for segments in (1, 2, 4):
+    for segments, rows in ((2, simhash.BUCKET_ROWS), (2, 1), (2, 3), (4, 2)):
         frame = spark.createDataFrame([(f,) for f in fps], "fp long")
-        found = simhash.verified_links(simhash.lookups(frame, 3, segments), 3, segments) if segments > 1 else None
-        if found is None:
-            continue
-        pairs = [tuple(r) for r in found.collect()]
+        pairs = [tuple(r) for r in simhash.verified_links(simhash.dealt_lookups(frame, 3, segments, rows), 3).collect()]
         assert all(((a ^ b) & mask).bit_count() <= 3 for a, b in pairs)
         assert brute_components(fps, pairs) == brute_components(fps, links)
 
 
+def test_a_hot_bucket_is_shared_by_tasks(spark):
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 1 << 32, 20_000, dtype=np.uint64)
+    bucket = (np.uint64(0x1234_5678) << np.uint64(32)) | low  # one upper half
+    beside = bucket[:6_000] ^ np.uint64(1 << 40)  # looks up the hot bucket
+    fps = np.unique(np.concatenate([bucket, beside])).view(np.int64)
+    frame = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    dealt = simhash.dealt_lookups(frame, 3, 2, 1_000).persist()
+    largest = dealt.groupBy("segment", "value", "part").count().agg({"count": "max"}).first()[0]
+    assert largest < 4_000  # the bucket has 26,000 rows
+    pairs = [tuple(r) for r in simhash.verified_links(dealt, 3).collect()]
+    x, links = fps.view(np.uint64), []
+    for at in range(0, len(x), 1_000):
+        i, j = np.nonzero(np.bitwise_count(x[at : at + 1_000, None] ^ x[None, :]) <= 3)
+        links += [(int(fps[at + a]), int(fps[b])) for a, b in zip(i, j, strict=True) if at + a < b]
+    assert len(links) >= 6_000 and set(map(frozenset, pairs)) <= set(map(frozenset, links))
+    assert brute_components(fps.tolist(), pairs) == brute_components(fps.tolist(), links)
+    dealt.unpersist()
+
+
+def test_forest_of_a_dense_block():
+    fps = np.arange(4_096, dtype=np.int64)  # every one links with its neighbours
+    pairs = simhash._forest(fps, fps, 3)
+    assert len(pairs) == len(fps) - 1 and set(brute_components(fps.tolist(), pairs).values()) == {0}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (300, 300)] + [(500, x) for x in range(501, 540)]
     got = {r["node"]: r["component"] for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
