@@ -2,26 +2,24 @@
 A9-A11, J1, X5-X7).
 
 Customer profiles are one aggregation of the transaction table; scaling
-uses population statistics from one global aggregate; MLlib ``KMeans`` does
-the clustering (distributed Lloyd iterations), restarted with several seeds
-and the lowest-cost fit kept, like ``n_init``. Cluster statistics and the
-persona mapping are tiny (k rows).
+uses population statistics from one global aggregate; ``clustering`` fits the centres, all
+``n_init`` restarts in the same passes. Cluster statistics and the persona
+mapping are tiny (k rows).
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions import expressions as X
+from revlens.operators import clustering
 from revlens.operators.rollups import customer_profiles
 from revlens.plans.joins import attach_one_row, small_table
 from revlens.plans.materialize import materialize
@@ -41,7 +39,6 @@ class PersonaParams:
     min_customers: int = 20
     max_iter: int = 300
     tol: float = 1e-4
-    parallel_fits: int = 4
 
 
 def standardize(profiles: DataFrame, features=PROFILE_FEATURES) -> DataFrame:
@@ -67,33 +64,29 @@ def scale(profiles: DataFrame, scaling: DataFrame, features=PROFILE_FEATURES) ->
 
 def cluster_customers(tx: DataFrame, params: PersonaParams = PersonaParams()):
     """Returns (clustered profiles with ``cluster``, silhouette,
-    (k-means model, scaling row)). Profiles are written once, as every restart
-    reads them.
+    (centres, scaling row)). Profiles are written once, as every pass reads
+    them; one with a missing feature gets no cluster.
     Silhouette is MLlib's ClusteringEvaluator (squared Euclidean, linear in
-    the number of customers); ``exact_silhouette`` is the Euclidean form."""
+    the number of customers; NULL for a single cluster); ``exact_silhouette`` is the Euclidean form."""
     prof = materialize(customer_profiles(tx).withColumn("sales", F.col("sales").cast("double")), "profiles")
     n = prof.count()
     if n < params.min_customers:
         raise SegmentationError(f"need >= {params.min_customers} customers, got {n}")
     scaling = materialize(scaling_of(prof), "scaling")
-    z = scale(prof, scaling)
-    vec = VectorAssembler(inputCols=[f"z_{f}" for f in PROFILE_FEATURES], outputCol="features").transform(z)
-    vec = vec.persist()
-
-    def fit_one(i):
-        km = KMeans(k=params.k, seed=params.seed + i, maxIter=params.max_iter, tol=params.tol,
-                    featuresCol="features", predictionCol="cluster")
-        m = km.fit(vec)
-        return m.summary.trainingCost, i, m
-    # n_init restarts are independent jobs: run them concurrently, keep the
-    # lowest cost (ties -> lowest restart index, so the choice is stable)
-    with ThreadPoolExecutor(max_workers=min(params.n_init, params.parallel_fits)) as pool:
-        fits = list(pool.map(fit_one, range(params.n_init)))
-    model = min(fits, key=lambda t: (t[0], t[1]))[2]
-    out = model.transform(vec)
-    sil = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(out)
-    vec.unpersist()
-    return out.drop("features").withColumn("cluster", F.col("cluster").cast("int")), round(sil, 3), (model, scaling)
+    z = [f"z_{f}" for f in PROFILE_FEATURES]
+    scaled = scale(prof, scaling)
+    model = clustering.fit(scaled, z, params.k, params.n_init, params.seed, params.max_iter, params.tol)
+    out = scaled.withColumn("cluster", model.nearest())
+    known = VectorAssembler(inputCols=z, outputCol="features").transform(out.where(F.col("cluster").isNotNull()))
+    several = known.agg(F.min("cluster") < F.max("cluster")).first()[0]
+    sil = round(ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(known), 3) if several else None
+    return out, sil, (model, scaling)
+
+
+def assign_clusters(profiles: DataFrame, model: clustering.Centers, scaling: DataFrame) -> DataFrame:
+    """``profiles`` with the cluster of each, also of customers that weren't in
+    the fit: scaled as the fitted ones were, then the nearest centre."""
+    return scale(profiles, scaling).withColumn("cluster", model.nearest())
 
 
 #: Customers whose pairwise distances give the exact silhouette; beyond, each cluster gives its share of them.

@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from revlens.operators import ingest as IN
 from revlens.operators import margin as MG
 from revlens.operators import alerts as AL
 from revlens.operators import boosting as BO
+from revlens.operators import clustering as CL
 from revlens.operators import context as CX
 from revlens.operators import forecast as FC
 from revlens.operators import personas as PS
@@ -464,14 +466,14 @@ def _fc_models(spark, sf_dir):
 @register("forecast_coefficients")
 def q_forecast_coefficients(spark, sf_dir):
     co = FC.coefficients(_monthly(spark, sf_dir))
-    return co.select("segment", "split", "n", F.round("intercept", 9).alias("intercept"),
-                     F.transform("coef", lambda x: F.round(x, 9)).alias("coef"))
+    return co.select("segment", "split", "n", F.round("intercept", 6).alias("intercept"),
+                     *[F.round(F.col("coef")[i], 6).alias(f"coef_{f}") for i, f in enumerate(FC.FEATURES)])
 
 
 @register("forecast_backtest")
 def q_forecast_backtest(spark, sf_dir):
     return _fc_models(spark, sf_dir).select("segment", "n_months", "r2_validation",
-                                            F.round("resid_std_s", 9).alias("resid_std_s"))
+                                            F.round("resid_std_s", 6).alias("resid_std_s"))
 
 
 def _segment_forecast(spark, sf_dir, periods=3):
@@ -585,6 +587,33 @@ def q_silhouette_exact_fixed(spark, sf_dir):
     return PS.exact_silhouette(z, [f"z_{f}" for f in PS.PROFILE_FEATURES]).withColumn("silhouette", F.round("silhouette", 6))
 
 
+#: Centres of two restarts, in deviations from the mean.
+FIXED_CENTERS = [[(1.0, 0.5, -0.5), (-1.0, 0.25, 0.75), (0.125, -1.0, 0.0), (-0.25, 0.0, -1.25)],
+                 [(0.0, 0.0, 0.0), (2.0, -0.5, 0.5), (-0.5, 1.5, 0.25), (0.75, 0.75, 1.0)]]
+
+
+def _profiles(spark, sf_dir):
+    return R.customer_profiles(_clean(spark, sf_dir)).withColumn("sales", F.col("sales").cast("double"))
+
+
+@register("lloyd_step_fixed")
+def q_lloyd_step(spark, sf_dir):
+    # one pass that serves two restarts
+    z = [f"z_{f}" for f in PS.PROFILE_FEATURES]
+    points = CL.distinct_points(PS.standardize(materialize(_profiles(spark, sf_dir), "profiles")), z)
+    step = CL.lloyd_step(points, z, np.array(FIXED_CENTERS))
+    return step.select("restart", "cluster", "n", _r("cost", 5).alias("cost"), *[F.round(F.col(f"sum_{f}") / F.col("n"), 6).alias(f) for f in z])
+
+
+@register("saved_cluster_scores")
+def q_saved_clusters(spark, sf_dir):
+    # Customers are assigned by the centres and the scaling as they were saved and read again
+    path = f"{checkpoint_dir(spark).rstrip('/')}/models/clusters-{uuid.uuid4().hex}"
+    prof = materialize(_profiles(spark, sf_dir), "profiles")
+    MD.save_clusters(CL.Centers(tuple(f"z_{f}" for f in PS.PROFILE_FEATURES), np.array(FIXED_CENTERS[0])), PS.scaling_of(prof), path)
+    return PS.assign_clusters(prof, *MD.load_clusters(spark, path)).select("customer", "cluster")
+
+
 @register("cluster_stats")
 def q_cluster_stats(spark, sf_dir):
     c, _ = MD.clusters(spark, sf_dir)

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 
 from revlens.operators import forecast as FC
@@ -17,6 +16,7 @@ from revlens.operators import margin as MG
 from revlens.operators import personas as PS
 from revlens.operators import rollups as R
 from revlens.operators.boosting import Trees
+from revlens.operators.clustering import Centers
 from revlens.plans.joins import small_table
 from revlens.plans.materialize import materialize, release
 from revlens.sources import tables as S
@@ -115,14 +115,15 @@ def load_margin_model(spark: SparkSession, path: str) -> MG.MarginModel:
                           importances=imp, metrics={"r2": m.r2, "mae": m.mae})
 
 
-def save_clusters(model: KMeansModel, scaling: DataFrame, path: str) -> None:
-    """The k-means model and the means and deviations it was fitted with."""
-    model.write().overwrite().save(f"{path}/kmeans")
+def save_clusters(model: Centers, scaling: DataFrame, path: str) -> None:
+    """The centres and the means and deviations they were fitted with."""
+    model.to_table(scaling.sparkSession).write.mode("overwrite").parquet(f"{path}/centers")
     scaling.write.mode("overwrite").parquet(f"{path}/scaling")
 
 
-def load_clusters(spark: SparkSession, path: str) -> tuple[KMeansModel, DataFrame]:
-    return KMeansModel.load(f"{path}/kmeans"), spark.read.parquet(f"{path}/scaling")
+def load_clusters(spark: SparkSession, path: str) -> tuple[Centers, DataFrame]:
+    """What ``personas.assign_clusters`` needs."""
+    return Centers.from_table(spark.read.parquet(f"{path}/centers")), spark.read.parquet(f"{path}/scaling")
 
 
 def save_forecast(models: DataFrame, path: str) -> None:

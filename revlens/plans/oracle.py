@@ -698,6 +698,68 @@ ORACLE["forecast_chart_display_fixed"] = with_tx(
     FROM (SELECT *, CASE segment WHEN 'AUTOMOBILE' THEN 0.02 WHEN 'BUILDING' THEN 0.01 WHEN 'MACHINERY' THEN 0.03 ELSE 0.0 END AS g
           FROM fcst WHERE step = 1), range(1, 4) r(i))""", MONTHLY_CTE, FORECAST_CTE)
 
+# Ridge by its normal equations: centred sums, alpha on the diagonal, and Gauss-Jordan elimination, a pivot a step.
+_TERMS = ["CAST(t AS DOUBLE)", "CAST(t AS DOUBLE) * t"] + [f"{f}(2 * pi() * {k} / 12 * t)" for k in (1, 2, 3) for f in ("sin", "cos")]
+RIDGE_CTE = f"""
+dsg AS (
+  SELECT segment, n AS n_months, t < n - least(6, CAST(floor(n / 3) AS INTEGER)) AS is_train,
+         (y - ym) / (CASE WHEN ys < 1e-6 THEN 1.0 ELSE ys END) AS y_s, {', '.join(f'{x} AS x{i}' for i, x in enumerate(_TERMS))}
+  FROM (SELECT segment, CAST(sales AS DOUBLE) AS y, row_number() OVER (PARTITION BY segment ORDER BY month) - 1 AS t,
+               count(*) OVER (PARTITION BY segment) AS n, avg(CAST(sales AS DOUBLE)) OVER (PARTITION BY segment) AS ym,
+               stddev_pop(CAST(sales AS DOUBLE)) OVER (PARTITION BY segment) AS ys
+        FROM monthly)
+  WHERE n >= 12
+),
+sides AS (SELECT 'full' AS split, * FROM dsg UNION ALL SELECT 'train', * FROM dsg WHERE is_train),
+mid AS (SELECT segment, split, count(*) AS n, avg(y_s) AS my, {', '.join(f'avg(x{i}) AS m{i}' for i in range(8))} FROM sides GROUP BY 1, 2),
+aug AS (
+  SELECT segment, split, 0 AS k, {', '.join(
+      f"sum((x{i} - m{i}) * ({f'x{j} - m{j}' if j < 8 else 'y_s - my'})) + {1.0 if i == j else 0.0} AS a{i}_{j}" for i in range(8) for j in range(9))}
+  FROM sides JOIN mid USING (segment, split) GROUP BY 1, 2
+),
+gj AS (
+  SELECT segment, split, k, {', '.join('[' + ', '.join(f'a{i}_{j}' for j in range(9)) + ']' + f' AS r{i}' for i in range(8))} FROM aug
+  UNION ALL
+  SELECT segment, split, k + 1, {', '.join(
+      f"CASE WHEN k = {i} THEN [" + ', '.join(f'r{i}[{j}] / r{i}[{i + 1}]' for j in range(1, 10)) + "] ELSE ["
+      + ', '.join(f'r{i}[{j}] - r{i}[k + 1] * p[{j}] / p[k + 1]' for j in range(1, 10)) + f"] END AS r{i}" for i in range(8))}
+  FROM (SELECT *, CASE k {' '.join(f'WHEN {i} THEN r{i}' for i in range(8))} END AS p FROM gj WHERE k < 8)
+),
+ridge AS (
+  SELECT segment, split, n, {', '.join(f'r{i}[9] AS b{i}' for i in range(8))}, my - ({' + '.join(f'r{i}[9] * m{i}' for i in range(8))}) AS b
+  FROM gj JOIN mid USING (segment, split) WHERE k = 8
+),
+fitted AS (
+  SELECT s.*, r.b + {' + '.join(f'r.b{i} * s.x{i}' for i in range(8))} AS yhat
+  FROM ridge r JOIN (SELECT 'full' AS split, * FROM dsg UNION ALL SELECT 'train', * FROM dsg WHERE NOT is_train) s USING (segment, split)
+)"""
+_NAMES = ["t", "t2", "sin1", "cos1", "sin2", "cos2", "sin3", "cos3"]
+ORACLE["forecast_coefficients"] = with_tx(f"""
+SELECT segment, split, n, round(b, 6) + 0.0 AS intercept, {', '.join(f'round(b{i}, 6) + 0.0 AS coef_{x}' for i, x in enumerate(_NAMES))}
+FROM ridge""", MONTHLY_CTE, RIDGE_CTE).replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLE["forecast_backtest"] = with_tx("""
+SELECT f.segment, f.n_months, round(h.r2, 3) AS r2_validation, round(f.s, 6) AS resid_std_s
+FROM (SELECT segment, max(n_months) AS n_months, stddev_pop(y_s - yhat) AS s FROM fitted WHERE split = 'full' GROUP BY 1) f
+LEFT JOIN (SELECT segment, CASE WHEN sst = 0 THEN CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END ELSE 1 - sse / sst END AS r2
+           FROM (SELECT segment, sum((y_s - yhat) * (y_s - yhat)) AS sse, var_pop(y_s) * count(*) AS sst
+                 FROM fitted WHERE split = 'train' GROUP BY 1)) h USING (segment)""", MONTHLY_CTE, RIDGE_CTE).replace("WITH ", "WITH RECURSIVE ", 1)
+
+# Centres of two restarts: those of the query.
+_CENTERS = [(0, 0, 1.0, 0.5, -0.5), (0, 1, -1.0, 0.25, 0.75), (0, 2, 0.125, -1.0, 0.0), (0, 3, -0.25, 0.0, -1.25),
+            (1, 0, 0.0, 0.0, 0.0), (1, 1, 2.0, -0.5, 0.5), (1, 2, -0.5, 1.5, 0.25), (1, 3, 0.75, 0.75, 1.0)]
+NEAREST_CTE = f"""
+zall AS (SELECT customer, (s - avg(s) OVER ()) / stddev_pop(s) OVER () AS z1, (m - avg(m) OVER ()) / stddev_pop(m) OVER () AS z2,
+                (d - avg(d) OVER ()) / stddev_pop(d) OVER () AS z3
+         FROM (SELECT customer, CAST(sum(sales) AS DOUBLE) AS s, {_avg("margin_rate")} AS m, {_avg("discount")} AS d FROM txm GROUP BY customer)),
+near AS (SELECT customer, z1, z2, z3, restart, min(d) AS d, arg_min(c, (d, c)) AS cluster
+         FROM (SELECT z.*, restart, c, (z1 - c1) * (z1 - c1) + (z2 - c2) * (z2 - c2) + (z3 - c3) * (z3 - c3) AS d
+               FROM zall z CROSS JOIN (VALUES {', '.join(map(str, _CENTERS))}) v(restart, c, c1, c2, c3))
+         GROUP BY customer, z1, z2, z3, restart)"""
+ORACLE["lloyd_step_fixed"] = with_tx("""
+SELECT restart, cluster, count(*) AS n, round(sum(d), 5) AS cost, round(avg(z1), 6) + 0.0 AS z_sales, round(avg(z2), 6) + 0.0 AS z_margin_rate,
+       round(avg(z3), 6) + 0.0 AS z_discount
+FROM near GROUP BY 1, 2""", NEAREST_CTE)
+ORACLE["saved_cluster_scores"] = with_tx("SELECT customer, cluster FROM near WHERE restart = 0", NEAREST_CTE)
 ORACLE["cluster_stats_fixed"] = with_tx("""
 SELECT cluster, round(avg_sales, 4) AS avg_sales, round(avg_margin, 6) AS avg_margin, round(avg_discount, 6) AS avg_discount,
        n_customers FROM cstats""", FIXED_CTE)
