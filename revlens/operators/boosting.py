@@ -14,6 +14,12 @@ trees of a batch fit the same gradient, each on its own draw of rows and
 columns, a pass serves all of them: 300 trees of depth 5 in batches of 15 are
 100 passes instead of 1,500. A batch of 1 is plain sequential boosting.
 
+A pass costs cells x trees, so that it does little for each: columns of few
+bins are counted jointly and summed up apart at the block's end; at the root
+only the rows that a tree doesn't see are counted and taken off the sums of
+all, which the batch shares; below it only the smaller child of each node. A
+cell's node follows from comparisons of whole columns of bytes.
+
 Results don't depend on the input's partitioning: label sums are exact whole
 numbers (units of the largest label times 2^-30), the cells are dealt by their
 bins, draws depend on seed, tree and block, and histograms are added in the
@@ -26,6 +32,7 @@ part them from all values.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -40,8 +47,12 @@ from pyspark.sql import functions as F
 from revlens.plans.materialize import materialize
 from revlens.session import checkpoint_dir
 
-#: Cells of a block, blocks that few cells are dealt into (at least FEW_CELLS each).
-BLOCK_CELLS, LEAST_BLOCKS, FEW_CELLS = 131_072, 8, 4_096
+#: Cells of a block; blocks that fewer cells are dealt into, and the cells that each of them has at least.
+BLOCK_CELLS, FEWER = 524_288, ((48, 65_536), (8, 4_096))
+#: Cells that a pass works on at once, bins of columns that are counted jointly, levels whose nodes are told apart one by one.
+CHUNK_CELLS, JOINT_BINS, MASKED_LEVELS = 131_072, 2_048, 6
+#: Rows of a cell and cells with as many rows from which on draws are looked up in a table.
+TABLE_ROWS, TABLE_CELLS = 4_096, 256
 #: Histograms that are added up at once, batches between checkpoints.
 MERGED, CHECKPOINT_EVERY = 64, 8
 #: The bin of a node that has no cut: no code is above it.
@@ -106,18 +117,27 @@ class Trees:
         return Trees(tuple(features), float(base), np.zeros((trees, inner), np.int16), np.full((trees, inner), np.inf),
                      np.zeros((trees, inner + 1)), np.zeros((trees, inner)))
 
+    def binned(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """Each feature's cuts in ascending order and every node's place among them (-1: no cut)."""
+        if "_binned" not in self.__dict__:
+            real = self.cut < np.inf
+            cuts = [np.unique(self.cut[real & (self.feature == j)]) for j in range(len(self.features))]
+            place = np.full(self.cut.shape, -1)
+            for j, c in enumerate(cuts):
+                at = real & (self.feature == j)
+                place[at] = np.searchsorted(c, self.cut[at])
+            self.__dict__["_binned"] = cuts, place
+        return self.__dict__["_binned"]
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Predictions for rows of ``x`` (rows x features)."""
         out = np.full(len(x), self.base)
-        inner = self.cut.shape[1]
-        for at in range(0, len(x), 8192):
-            part = np.ascontiguousarray(x[at : at + 8192])
-            flat, first = part.ravel(), np.arange(len(part)) * part.shape[1]
-            for feature, cut, leaf in zip(self.feature, self.cut, self.leaf):
-                node = np.zeros(len(part), np.int64)
-                for _ in range(self.depth):
-                    node = 2 * node + 1 + (flat[first + feature[node]] > cut[node])
-                out[at : at + 8192] += leaf[node - inner]
+        cuts, places = self.binned()
+        for at in range(0, len(x), 32_768):
+            part = x[at : at + 32_768]
+            codes = [bins_of(part[:, j], c, np.uint8 if len(c) < 256 else np.uint32) for j, c in enumerate(cuts)]
+            for feature, place, leaf in zip(self.feature, places, self.leaf):
+                out[at : at + 32_768] += leaf.take(nodes_at(codes, feature, place, self.depth, none=-1))
         return out
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -263,9 +283,9 @@ def choose_cuts(histogram: pd.DataFrame, features: int, max_bins: int) -> list[n
     return out
 
 
-def bins_of(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+def bins_of(x: np.ndarray, cuts: np.ndarray, kind: type = np.uint8) -> np.ndarray:
     """Cuts below each value; NaN has none below."""
-    return np.where(np.isnan(x), 0, np.searchsorted(cuts, x, side="left")).astype(np.uint8)
+    return np.where(np.isnan(x), 0, np.searchsorted(cuts, x, side="left")).astype(kind)
 
 
 def cells_of(data: DataFrame, features: Sequence[str], label: str, cuts: list[np.ndarray], unit: float) -> DataFrame:
@@ -299,8 +319,9 @@ def blocks_of(cells: DataFrame, parts: int, features: int, unit: float, base: fl
             codes = np.frombuffer(b"".join(table.column("key").to_pylist()), np.uint8).reshape(-1, features)
             n = table.column("n").to_numpy().astype(np.float64)
             s = (table.column("high").to_numpy() * 32768.0 + table.column("low").to_numpy()) * unit
+            few = np.argsort(n, kind="stable")  # cells of as many rows are drawn from together
             # a block's number is fixed by its cells
-            yield state_row(int.from_bytes(table.column("key")[0].as_py()[:7], "big"), np.ascontiguousarray(codes.T), n, s, np.full(len(n), base))
+            yield state_row(int.from_bytes(table.column("key")[0].as_py()[:7], "big"), np.ascontiguousarray(codes[few].T), n[few], s[few], np.full(len(n), base))
 
     dealt = cells.repartition(parts, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, STATE)
@@ -319,51 +340,163 @@ def state_of(it: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple]:
 
 # ------------------------------------------------------------------ growing trees
 def drawn(n: np.ndarray, rate: float, seed: int, tree: int, block: int) -> np.ndarray:
-    """How many rows of each cell a tree sees: every row with probability ``rate``."""
-    rng = np.random.default_rng([seed, tree, block])
-    out = (rng.random(len(n)) < rate).astype(np.float64)
-    many = np.flatnonzero(n > 1)
-    out[many] = rng.binomial(n[many].astype(np.int64), rate)
+    """How many rows of each cell a tree sees: every row with probability
+    ``rate`` (in steps of 2^-16). ``n`` ascends; where it is 1 throughout, the
+    result is boolean."""
+    rng = np.random.Generator(np.random.SFC64([seed, tree, block]))
+    bits = rng.integers(0, 1 << 64, -(-len(n) // 4), dtype=np.uint64).view(np.uint16)[: len(n)]
+    if n[-1] == 1:
+        return bits < round(rate * 65536)
+    out = np.empty(len(n))
+    first = np.flatnonzero(np.diff(n, prepend=0.0))
+    for at, to in zip(first, [*first[1:], len(n)]):
+        rows = int(n[at])
+        if rows == 1:
+            out[at:to] = bits[at:to] < round(rate * 65536)
+        elif rows <= TABLE_ROWS and to - at >= TABLE_CELLS and 0 < rate < 1:
+            out[at:to] = draw_table(rows, rate).take(bits[at:to])
+        else:
+            out[at:to] = rng.binomial(rows, rate, to - at)
     return out
 
 
-def nodes_at(codes: np.ndarray, feature: np.ndarray, bin_: np.ndarray, levels: int) -> np.ndarray:
-    """Each cell's node after ``levels`` levels of a tree. A node without a cut
-    (``NO_CUT``) sends all cells to its left, where there's no cut either."""
-    node = np.zeros(codes.shape[1], np.int64)
-    every, flat, row = np.arange(codes.shape[1]), codes.ravel(), feature * codes.shape[1]
-    for _ in range(levels):
-        node = 2 * node + 1 + (flat.take(row.take(node) + every) > bin_.take(node))
+@functools.lru_cache(maxsize=128)
+def draw_table(rows: int, rate: float) -> np.ndarray:
+    """How many of ``rows`` are drawn, for each of 2^16 equal shares of the chances."""
+    k = np.arange(rows + 1)
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, rows + 1)))])
+    log_share = log_factorial[-1] - log_factorial - log_factorial[::-1] + k * math.log(rate) + (rows - k) * math.log1p(-rate)
+    return np.searchsorted(np.cumsum(np.exp(log_share))[:-1], (np.arange(65536) + 0.5) / 65536, side="right").astype(np.float64)
+
+
+def nodes_at(codes: Sequence[np.ndarray], feature: np.ndarray, bin_: np.ndarray, levels: int, none: int = NO_CUT) -> np.ndarray:
+    """Each cell's place among its level's nodes after ``levels`` levels of a
+    tree. A node without a cut (``none``) sends all cells to its left, where
+    there's no cut either. The upper levels compare whole columns with each
+    node's cut; further down, where nodes are many, each cell looks up its own."""
+    node = np.zeros(len(codes[0]), np.uint8)
+    for level in range(min(levels, MASKED_LEVELS)):
+        right = above_cut(codes, feature, bin_, level, node, none)
+        np.add(node, node, out=node)
+        np.add(node, right.view(np.uint8), out=node)
+    if levels > MASKED_LEVELS:
+        node, rows, every = node.astype(np.int64), np.stack(codes), np.arange(len(node))
+        for level in range(MASKED_LEVELS, levels):
+            at = node + (2 ** level - 1)
+            cut = bin_[at]
+            node = 2 * node + ((cut != none) & (rows[feature[at], every] > cut))
     return node
 
 
-def histograms(state: DataFrame, parts: int, features: int, bins: int, level: int, grown: list[tuple], params: BoostParams,
+def above_cut(codes: Sequence[np.ndarray], feature: np.ndarray, bin_: np.ndarray, level: int, node: np.ndarray, none: int, turned: np.ndarray | None = None) -> np.ndarray:
+    """Which cells lie above the cut of their node; in nodes that are ``turned``, which don't."""
+    out, above, here = (np.zeros(len(node), bool) for _ in range(3))
+    for i in range(2 ** level):
+        at = 2 ** level - 1 + i
+        if bin_[at] != none:
+            column = codes[feature[at]]
+            (np.less_equal if turned is not None and turned[at] else np.greater)(column, column.dtype.type(bin_[at]), out=above)
+            if level:
+                np.logical_and(above, np.equal(node, np.uint8(i), out=here), out=above)
+            np.logical_or(out, above, out=out)
+    return out
+
+
+def joined_columns(widths: Sequence[int]) -> list[list[int]]:
+    """Columns in groups whose bins together are at most ``JOINT_BINS`` (or one column)."""
+    groups: list[list[int]] = []
+    for j in sorted(range(len(widths)), key=lambda j: -widths[j]):
+        fits = [g for g in groups if math.prod(widths[k] for k in g) * widths[j] <= JOINT_BINS]
+        (fits[0] if fits else groups.append([]) or groups[-1]).append(j)
+    return groups
+
+
+def block_sums(out: np.ndarray, block: int, codes: np.ndarray, n: np.ndarray, s: np.ndarray, f: np.ndarray, level: int, grown: list[tuple],
+               widths: Sequence[int], params: BoostParams) -> None:
+    """Add a block's sums of gradients and rows to ``out``."""
+    groups = joined_columns(widths)
+    size = [math.prod(widths[j] for j in g) for g in groups]
+    joint = []
+    for g in groups:
+        code = np.zeros(len(n), np.uint16)
+        for j in g:
+            code = code * np.uint16(widths[j]) + codes[j]
+        joint.append(code)
+    single = n[-1] == 1
+    mean = (n * f - s) / n
+    nodes = out.shape[2]
+
+    def count(sums: list, used: list[int], rows: np.ndarray, at: int, seen: np.ndarray, parent: np.ndarray | None) -> None:
+        h = None if single else rows.take(seen)
+        g = mean[at : at + CHUNK_CELLS].take(seen)
+        if h is not None:
+            g *= h
+        for i in used:
+            where = joint[i][at : at + CHUNK_CELLS].take(seen)
+            if parent is not None:
+                where = parent * size[i] + where
+            sums[i][0] += np.bincount(where, g, nodes * size[i])
+            sums[i][1] += np.bincount(where, h, nodes * size[i])
+
+    def empty(used: list[int]) -> list:
+        return [np.zeros((2, nodes * k)) if i in used else None for i, k in enumerate(size)]
+
+    chunks = range(0, len(n), CHUNK_CELLS)
+    if level == 0:
+        every = list(range(len(groups)))
+        whole = empty(every)
+        for at in chunks:
+            rows = n[at : at + CHUNK_CELLS]
+            count(whole, every, rows, at, np.arange(len(rows)), None)
+    for k, (tree, columns, feature, bin_, right_child) in enumerate(grown):
+        used = [i for i, g in enumerate(groups) if any(j in g for j in columns)]
+        rows = drawn(n, params.row_rate, params.seed, tree, block)
+        if level == 0:  # the rows left out
+            rows = ~rows if single else n - rows
+        sums = empty(used)
+        for at in chunks:
+            part, parent = codes[:, at : at + CHUNK_CELLS], None
+            left = rows[at : at + CHUNK_CELLS]
+            some = left if single else left > 0
+            if level == 0:
+                seen = np.flatnonzero(some)
+            else:
+                node = nodes_at(part, feature, bin_, level - 1)
+                if level - 1 < MASKED_LEVELS:
+                    child = above_cut(part, feature, bin_, level - 1, node, NO_CUT, ~right_child)
+                else:
+                    place = node + (2 ** (level - 1) - 1)
+                    child = ((nodes_at(part, feature, bin_, level) & 1) == right_child[place]) & (bin_[place] != NO_CUT)
+                seen = np.flatnonzero(child & some)
+                parent = node.take(seen).astype(np.int64)
+            count(sums, used, left, at, seen, parent)
+        for i in used:
+            cube = (whole[i] - sums[i] if level == 0 else sums[i]).reshape(2, nodes, *[widths[j] for j in groups[i]])
+            for axis, j in enumerate(groups[i]):
+                c = np.flatnonzero(columns == j)
+                if len(c):
+                    others = tuple(2 + x for x in range(len(groups[i])) if x != axis)
+                    out[k, :, :, c[0], : widths[j]] += cube.sum(axis=others) if others else cube
+
+
+def histograms(state: DataFrame, parts: int, features: int, widths: Sequence[int], level: int, grown: list[tuple], params: BoostParams,
                above: np.ndarray | None = None) -> np.ndarray:
     """Sums of gradients and rows: (trees, 2, nodes of the level, columns, bins).
 
-    ``grown`` has, for each tree of the batch, its number, its columns and its
-    cuts so far (feature and bin of each node). Below the root only left
-    children are summed up: with ``above``, the level before, they give the
-    right ones."""
+    ``grown`` has, for each tree of the batch, its number, its columns, its
+    cuts so far (feature and bin of each node) and for each node whether its
+    right child has fewer rows. Below the root only the smaller children are
+    summed up: with ``above``, the level before, they give the others.
+    ``widths`` has each feature's number of bins."""
     nodes = max(1, 2 ** level // 2)
     width = len(grown[0][1])
-    shape = (len(grown), 2, nodes, width, bins)
+    shape = (len(grown), 2, nodes, width, max(widths))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, first = np.zeros(shape), None
         for block, codes, n, s, f in state_of(it, features):
             first = block if first is None else first
-            mean = (n * f - s) / n
-            for k, (tree, columns, feature, bin_) in enumerate(grown):
-                rows = drawn(n, params.row_rate, params.seed, tree, block)
-                node = nodes_at(codes, feature, bin_, level) - (2 ** level - 1)
-                seen = np.flatnonzero((rows > 0) & (node % 2 == 0))
-                at, h = node[seen] // 2 * bins, rows[seen]
-                g = mean[seen] * h
-                for c, j in enumerate(columns):
-                    where = at + codes[j][seen]  # a node's and a bin's place
-                    out[k, 0, :, c] += np.bincount(where, g, nodes * bins).reshape(nodes, bins)
-                    out[k, 1, :, c] += np.bincount(where, h, nodes * bins).reshape(nodes, bins)
+            block_sums(out, block, codes, n, s, f, level, grown, widths, params)
         if first is not None:
             yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([out.tobytes()], type=pa.binary())], names=["block", "sums"])
 
@@ -384,8 +517,9 @@ def histograms(state: DataFrame, parts: int, features: int, bins: int, level: in
         total += np.frombuffer(few.column("sums")[int(i)].as_buffer()).reshape(shape)
     if above is None:
         return total
-    both = np.empty((shape[0], 2, 2 * nodes, width, bins))
-    both[:, :, 0::2], both[:, :, 1::2] = total, above - total
+    both = np.empty((shape[0], 2, 2 * nodes, *shape[3:]))
+    turned = np.stack([right_child[nodes - 1 : 2 * nodes - 1] for *_, right_child in grown])[:, None, :, None, None]
+    both[:, :, 0::2], both[:, :, 1::2] = np.where(turned, above - total, total), np.where(turned, total, above - total)
     return both
 
 
@@ -411,8 +545,10 @@ def add_trees(state: DataFrame, features: int, depth: int, grown: list[tuple], l
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, codes, n, s, f in state_of(it, features):
             f = f.copy()
-            for (_, _, feature, bin_), leaf in zip(grown, leaves):
-                f += leaf[nodes_at(codes, feature, bin_, depth) - (2 ** depth - 1)]
+            for at in range(0, len(n), CHUNK_CELLS):
+                part = codes[:, at : at + CHUNK_CELLS]
+                for (_, _, feature, bin_, _), leaf in zip(grown, leaves):
+                    f[at : at + CHUNK_CELLS] += leaf.take(nodes_at(part, feature, bin_, depth))
             yield state_row(block, codes, n, s, f)
 
     return state.mapInArrow(run, STATE)
@@ -434,7 +570,8 @@ def fit(data: DataFrame, features: Sequence[str], label: str = "label", params:
     cells = materialize(cells_of(data, features, label, cuts, unit), "cells")
     size = cells.agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"), F.sum("high").alias("high"), F.sum("low").alias("low")).first()
     base = (size["high"] * 32768 + size["low"]) * unit / size["n"]
-    parts = max(-(-size["cells"] // BLOCK_CELLS), min(LEAST_BLOCKS, -(-size["cells"] // FEW_CELLS)))
+    parts = max(-(-size["cells"] // BLOCK_CELLS), *[min(most, -(-size["cells"] // least)) for most, least in FEWER])
+    widths = [len(c) + 1 for c in cuts]
 
     state = blocks_of(cells, parts, len(features), unit, base).persist(StorageLevel.MEMORY_AND_DISK)
     width = max(1, int(params.column_rate * len(features)))
@@ -448,23 +585,23 @@ def fit(data: DataFrame, features: Sequence[str], label: str = "label", params:
         grown = []
         for t in numbers:
             columns = np.sort(np.random.default_rng([params.seed, t]).choice(len(features), width, replace=False))
-            grown.append((t, columns, np.zeros(inner, np.int64), np.full(inner, NO_CUT)))
+            grown.append((t, columns, np.zeros(inner, np.int64), np.full(inner, NO_CUT), np.zeros(inner, bool)))
         value = np.zeros((len(grown), 2 * inner + 1))
         sums = None
         for level in range(params.depth):
-            sums = histograms(state, parts, len(features), bins, level, grown, params, sums)
+            sums = histograms(state, parts, len(features), widths, level, grown, params, sums)
             if level == 0:
                 if before is not None:  # the pass has read the new state
                     before.unpersist()
                 g, h = sums[:, 0, 0, 0].sum(axis=-1), sums[:, 1, 0, 0].sum(axis=-1)
                 value[:, 0] = -g / (h + params.leaf_penalty) * params.step
             gain, column, bin_, gl, hl, gr, hr = best_cuts(sums, params)
-            for k, (t, columns, feature, cut_bin) in enumerate(grown):
+            for k, (t, columns, feature, cut_bin, right_child) in enumerate(grown):
                 for i in range(2 ** level):
                     node = 2 ** level - 1 + i
                     if gain[k, i] > 0:
                         j = int(columns[column[k, i]])
-                        feature[node], cut_bin[node] = j, bin_[k, i]
+                        feature[node], cut_bin[node], right_child[node] = j, bin_[k, i], hr[k, i] < hl[k, i]
                         out.feature[t, node], out.cut[t, node], out.gain[t, node] = j, cuts[j][bin_[k, i]], gain[k, i]
                         value[k, 2 * node + 1] = -gl[k, i] / (hl[k, i] + params.leaf_penalty) * params.step
                         value[k, 2 * node + 2] = -gr[k, i] / (hr[k, i] + params.leaf_penalty) * params.step
@@ -495,10 +632,10 @@ def split_gains(data: DataFrame, features: Sequence[str], label: str, cuts: Sequ
     parts = max(1, -(-size["cells"] // BLOCK_CELLS))
     rows = []
     every = BoostParams(row_rate=1.0, min_rows=params.min_rows, leaf_penalty=params.leaf_penalty, seed=params.seed)
-    bins = max(map(len, cuts)) + 1
+    widths = [len(c) + 1 for c in cuts]
     for j, name in enumerate(features):
-        grown = [(0, np.array([j]), np.zeros(1, np.int64), np.full(1, NO_CUT))]
-        sums = histograms(blocks_of(cells, parts, len(features), unit, base), parts, len(features), bins, 0, grown, every)
+        grown = [(0, np.array([j]), np.zeros(1, np.int64), np.full(1, NO_CUT), np.zeros(1, bool))]
+        sums = histograms(blocks_of(cells, parts, len(features), unit, base), parts, len(features), widths, 0, grown, every)
         gain, _, bin_, _, left, _, right = (a[0, 0] for a in best_cuts(sums, every))
         if gain > 0:
             rows.append((name, float(cuts[j][bin_]), float(gain), int(left), int(right)))

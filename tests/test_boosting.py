@@ -121,3 +121,47 @@ def test_value_keys_follow_the_values():
     rng = np.random.default_rng(2)
     x = np.sort(np.concatenate([rng.normal(size=500), rng.lognormal(0, 20, 500), -rng.lognormal(0, 20, 500), [0.0, -0.0, 1e-308, -1e-308]]))
     assert (np.diff(B.value_keys(x)) >= 0).all()
+
+
+def test_draws_follow_the_rows_of_a_cell():
+    n = np.repeat([1.0, 2.0, 6.0, 60.0, 5000.0], [40_000, 40_000, 40_000, 40_000, 300])
+    rows = B.drawn(n, 0.8, 42, 3, 7)
+    for k in np.unique(n):
+        got = rows[n == k] / k
+        assert abs(got.mean() - 0.8) < 0.01 and abs(got.var() * k - 0.16) < 0.02 and got.max() <= 1
+    assert (B.drawn(n, 1.0, 42, 3, 7) == n).all() and B.drawn(n[:9], 0.8, 1, 2, 3).dtype == bool
+    assert (B.drawn(n, 0.8, 42, 3, 7) == rows).all() and (B.drawn(n, 0.8, 42, 4, 7) != rows).any()
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10_000), st.booleans(), st.integers(1, 8))
+def test_block_sums_are_the_sums_of_each_node(seed, single, depth):
+    """Joint columns, left-out rows and smaller children against a sum over the cells themselves."""
+    rng = np.random.default_rng(seed)
+    widths, cells, inner = [40, 3, 7, 60, 1], 400, 2**depth - 1
+    codes = np.stack([rng.integers(0, w, cells) for w in widths]).astype(np.uint8)
+    n = np.ones(cells) if single else np.sort(rng.integers(1, 5, cells)).astype(float)
+    s, f = rng.normal(size=cells), rng.normal(size=cells)
+    columns = np.sort(rng.choice(5, 3, replace=False))
+    feature = rng.choice(columns, inner)
+    bin_ = np.array([rng.integers(0, widths[j]) if rng.random() < 0.9 else B.NO_CUT for j in feature])
+    side = rng.random(inner) < 0.5
+    params = B.BoostParams()
+    rows = B.drawn(n, params.row_rate, params.seed, 4, 9).astype(float)
+    node = np.zeros(cells, int)
+    for level in range(depth):
+        if level:
+            at = node + 2 ** (level - 1) - 1
+            right = (bin_[at] != B.NO_CUT) & (codes[feature[at], np.arange(cells)] > bin_[at])
+            counted, place = (right == side[at]) & (bin_[at] != B.NO_CUT), node
+            node = 2 * node + right
+        else:
+            counted, place = np.ones(cells, bool), node
+        assert (B.nodes_at(codes, feature, bin_, level) == node).all()
+        got = np.zeros((1, 2, max(1, 2**level // 2), 3, 60))
+        B.block_sums(got, 9, codes, n, s, f, level, [(4, columns, feature, bin_, side)], widths, params)
+        want = np.zeros_like(got)
+        for c, j in enumerate(columns):
+            np.add.at(want[0, 0, :, c], (place[counted], codes[j][counted]), ((n * f - s) / n * rows)[counted])
+            np.add.at(want[0, 1, :, c], (place[counted], codes[j][counted]), rows[counted])
+        assert np.allclose(got, want, atol=1e-9)
