@@ -198,9 +198,11 @@ class Trees:
         costs as much as it reaches leaves, not points times trees.
         """
         rows, points = len(x), len(grid)
-        change = np.zeros((rows, points + 1))
-        change[:, 0] = self.base
+        width = points + 1
+        change = np.zeros(rows * width)
+        change[::width] = self.base
         number = {self.features.index(f): v for f, v in moving.items()}
+        columns = np.ascontiguousarray(x.T)
         turns: dict[tuple[int, float], np.ndarray] = {}
 
         def turn(j: int, cut: float) -> np.ndarray:
@@ -212,31 +214,40 @@ class Trees:
                     turns[j, cut] = np.count_nonzero(~(number[j] > cut), axis=1)
             return turns[j, cut]
 
+        def some(keep: np.ndarray, *parts: np.ndarray) -> tuple:
+            at = np.flatnonzero(keep)
+            return parts if len(at) == len(keep) else tuple(p.take(at) for p in parts)
+
         inner = self.cut.shape[1]
-        for feature, cuts, leaf in zip(self.feature, self.cut, self.leaf):
-            todo = [(0, np.arange(rows), np.zeros(rows, np.int64), np.full(rows, points))]
+        first = (np.arange(rows), np.zeros(rows, np.int64), np.full(rows, points))
+        places, values = [], []
+        for n, (feature, cuts, leaf) in enumerate(zip(self.feature.tolist(), self.cut.tolist(), self.leaf)):
+            todo = [(0, *first)]
             while todo:
                 node, who, begin, end = todo.pop()
                 if not len(who):
                     continue
                 if node >= inner:
-                    change[who, begin] += leaf[node - inner]
-                    change[who, end] -= leaf[node - inner]
+                    row = who * width
+                    places += [row + begin, row + end]
+                    values += [np.full(len(who), leaf[node - inner]), np.full(len(who), -leaf[node - inner])]
                     continue
-                j, cut = int(feature[node]), float(cuts[node])
+                j, cut = feature[node], cuts[node]
                 if cut == np.inf:
                     todo.append((2 * node + 1, who, begin, end))
                 elif j in number:
-                    k = turn(j, cut)[who]
+                    k = turn(j, cut).take(who)
                     left, right = np.minimum(end, k), np.maximum(begin, k)
-                    on_left, on_right = begin < left, right < end
-                    todo.append((2 * node + 1, who[on_left], begin[on_left], left[on_left]))
-                    todo.append((2 * node + 2, who[on_right], right[on_right], end[on_right]))
+                    todo.append((2 * node + 1, *some(begin < left, who, begin, left)))
+                    todo.append((2 * node + 2, *some(right < end, who, right, end)))
                 else:
-                    right = x[who, j] > cut
-                    todo.append((2 * node + 1, who[~right], begin[~right], end[~right]))
-                    todo.append((2 * node + 2, who[right], begin[right], end[right]))
-        return np.cumsum(change[:, :points], axis=1)
+                    right = columns[j].take(who) > cut
+                    todo.append((2 * node + 1, *some(~right, who, begin, end)))
+                    todo.append((2 * node + 2, *some(right, who, begin, end)))
+            if n % 16 == 15 or n == len(self.cut) - 1:
+                change += np.bincount(np.concatenate(places), np.concatenate(values), len(change))
+                places, values = [], []
+        return np.cumsum(change.reshape(rows, width)[:, :points], axis=1)
 
 
 # ------------------------------------------------------------------ bins and cells
@@ -375,8 +386,9 @@ def nodes_at(codes: Sequence[np.ndarray], feature: np.ndarray, bin_: np.ndarray,
     there's no cut either. The upper levels compare whole columns with each
     node's cut; further down, where nodes are many, each cell looks up its own."""
     node = np.zeros(len(codes[0]), np.uint8)
+    spare = tuple(np.empty(len(node), bool) for _ in range(3))
     for level in range(min(levels, MASKED_LEVELS)):
-        right = above_cut(codes, feature, bin_, level, node, none)
+        right = above_cut(codes, feature, bin_, level, node, none, spare=spare)
         np.add(node, node, out=node)
         np.add(node, right.view(np.uint8), out=node)
     if levels > MASKED_LEVELS:
@@ -388,17 +400,21 @@ def nodes_at(codes: Sequence[np.ndarray], feature: np.ndarray, bin_: np.ndarray,
     return node
 
 
-def above_cut(codes: Sequence[np.ndarray], feature: np.ndarray, bin_: np.ndarray, level: int, node: np.ndarray, none: int, turned: np.ndarray | None = None) -> np.ndarray:
-    """Which cells lie above the cut of their node; in nodes that are ``turned``, which don't."""
-    out, above, here = (np.zeros(len(node), bool) for _ in range(3))
-    for i in range(2 ** level):
-        at = 2 ** level - 1 + i
-        if bin_[at] != none:
-            column = codes[feature[at]]
-            (np.less_equal if turned is not None and turned[at] else np.greater)(column, column.dtype.type(bin_[at]), out=above)
+def above_cut(codes: Sequence[np.ndarray], feature: np.ndarray, bin_: np.ndarray, level: int, node: np.ndarray, none: int,
+              turned: np.ndarray | None = None, spare: tuple | None = None) -> np.ndarray:
+    """Which cells lie above the cut of their node; in nodes that are ``turned``,
+    which don't. ``spare``: three boolean arrays to work in."""
+    out, above, here = spare or tuple(np.empty(len(node), bool) for _ in range(3))
+    out[:] = False
+    nodes = slice(2 ** level - 1, 2 ** (level + 1) - 1)
+    flip = [False] * 2 ** level if turned is None else turned[nodes].tolist()
+    for i, (j, cut, below) in enumerate(zip(feature[nodes].tolist(), bin_[nodes].tolist(), flip)):
+        if cut != none:
+            (np.less_equal if below else np.greater)(codes[j], cut, above)
             if level:
-                np.logical_and(above, np.equal(node, np.uint8(i), out=here), out=above)
-            np.logical_or(out, above, out=out)
+                np.equal(node, i, here)
+                np.logical_and(above, here, above)
+            np.logical_or(out, above, out)
     return out
 
 

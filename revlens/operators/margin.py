@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -275,23 +276,36 @@ def predict(model: MarginModel, feats: DataFrame) -> DataFrame:
     return model.model.transform(casted).drop("features")
 
 
-def discount_curve(model: MarginModel, params: MarginParams = MarginParams()) -> Column:
+def rounded_rates(p: np.ndarray) -> np.ndarray:
+    """Margins clipped to [-1, 1] and rounded to 4 places as Spark's ``round``
+    does it (half up, by the shortest decimal of the double)."""
+    clipped = np.clip(p, -1.0, 1.0)
+    scaled = clipped * 1e4
+    out = np.rint(scaled) / 1e4 + 0.0
+    for at in map(tuple, np.argwhere(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6)):
+        out[at] = float(Decimal(repr(float(clipped[at]))).quantize(Decimal("0.0001"), ROUND_HALF_UP)) + 0.0
+    return out
+
+
+def discount_curve(model: MarginModel, params: MarginParams = MarginParams(), rounded: bool = False) -> Column:
     """The predicted margins at all grid discounts as an array column, for rows
     with the six features that don't depend on the discount: the trees' step
     function along the discount, built once per row. Rows with a negative or
-    missing quantity are predicted point by point (their steps may run back)."""
+    missing quantity are predicted point by point (their steps may run back).
+    ``rounded``: structs of each prediction and its margin rate
+    (``rounded_rates``), as Spark's own rounding of so many doubles by decimals
+    costs more than the prediction."""
     trees: boosting.Trees = model.model
     n = int(round(params.discount_max / params.discount_step))
     grid = np.round(np.arange(n + 1) * params.discount_step, 2)
     high = (grid > params.high_discount).astype(float)
     still = [c for c in FEATURES if c not in ("discount", "discount_x_quantity", "high_discount_flag_int")]
 
-    @F.pandas_udf("array<double>")
-    def curve(*columns: pd.Series) -> pd.Series:
+    def curves(columns: tuple[pd.Series, ...]) -> np.ndarray:
         given = dict(zip(still, (c.to_numpy(dtype=np.float64, na_value=np.nan) for c in columns)))
         out = np.empty((len(columns[0]), len(grid)))
-        for at in range(0, len(out), 4096):
-            part = {c: v[at : at + 4096] for c, v in given.items()}
+        for at in range(0, len(out), 16_384):
+            part = {c: v[at : at + 16_384] for c, v in given.items()}
             along = grid[None, :] * part["quantity"][:, None]
             x = np.column_stack([part.get(c, np.zeros(len(along))) for c in FEATURES])
             plain = ~(part["quantity"] >= 0)
@@ -302,9 +316,18 @@ def discount_curve(model: MarginModel, params: MarginParams = MarginParams()) ->
                 for c, v in (("discount", grid), ("discount_x_quantity", along[i]), ("high_discount_flag_int", high)):
                     full[:, FEATURES.index(c)] = v
                 out[at + i] = trees.predict(full)
-        return pd.Series(list(out))
+        return out
 
-    return curve(*[F.col(c).cast("double") for c in still])
+    @F.pandas_udf("array<double>")
+    def curve(*columns: pd.Series) -> pd.Series:
+        return pd.Series(list(curves(columns)))
+
+    @F.pandas_udf("prediction array<double>, rate array<double>")
+    def both(*columns: pd.Series) -> pd.DataFrame:
+        out = curves(columns)
+        return pd.DataFrame({"prediction": list(out), "rate": list(rounded_rates(out))})
+
+    return (both if rounded else curve)(*[F.col(c).cast("double") for c in still])
 
 
 # ---------------------------------------------------------------- M11
@@ -434,13 +457,16 @@ def discount_sweep_model(model: "MarginModel", deals: DataFrame, params: MarginP
     """M18, model mode: per deal the model's predicted margin at every grid
     discount (0..max step), revenue per unit from the deal (segment median
     when missing), categorical codes from the model's encoders. A deal's
-    margins are read from its step function; only the results are exploded."""
+    margins are read from its step function; only the results are exploded, with
+    their rates already rounded."""
     rp = impute_rev_per_unit(deals, model.medians)
     enc = encode(rp, model.encoders, warn=False).withColumn("deal_discount", F.col("discount"))
-    swept = enc.drop("discount").withColumn("_curve", discount_curve(model, params))
-    out = swept.select(*[F.col(f"`{c}`") for c in swept.columns if c != "_curve"], F.posexplode("_curve").alias("_i", "prediction"))
-    return (out.withColumn("discount", F.round(F.col("_i") * F.lit(params.discount_step), 2)).drop("_i")
-               .withColumn("predicted_margin_rate", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("prediction"))), 4)))
+    swept = enc.drop("discount").withColumn("_curve", discount_curve(model, params, rounded=True))
+    n = int(round(params.discount_max / params.discount_step))
+    grid = F.lit([float(d) for d in np.round(np.arange(n + 1) * params.discount_step, 2)])
+    # the grid's discounts are rounded once, the rates with their curve
+    points = F.arrays_zip(F.col("_curve.prediction").alias("prediction"), grid.alias("discount"), F.col("_curve.rate").alias("predicted_margin_rate"))
+    return swept.select(*[F.col(f"`{c}`") for c in swept.columns if c != "_curve"], F.inline(points))
 
 
 # Default what-if discount scenarios.

@@ -200,3 +200,15 @@ def test_exact_silhouette_matches_numpy_on_all_rows_and_on_a_sample(spark):
     s = PS.exact_silhouette(df.repartition(5), ["x", "y"], most=200).first()
     assert 196 <= s.n_rows <= 204 and s.n_clusters == 4 and abs(s.silhouette - r.silhouette) < 0.1
     assert PS.exact_silhouette(df.where("cluster = 1"), ["x", "y"]).first().silhouette is None
+
+
+def test_sweep_rates_are_rounded_like_sparks(spark):
+    """Ties of the shortest decimal go up, away from zero, with both ways of rounding."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from revlens.operators import margin as MG
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.normal(0, 0.7, 500), (rng.integers(-9999, 9999, 500) + 0.5) / 1e4, [0.00005, -0.00005, 1.5, -2.0, 0.0, -0.00001]])
+    want = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)], "i int, p double").orderBy("i").select(
+        (F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("p"))), 4) + 0.0).alias("r")).toPandas()["r"].to_numpy()
+    assert (MG.rounded_rates(p) == want).all() and (MG.rounded_rates(p.reshape(2, -1)).ravel() == want).all()
