@@ -33,6 +33,7 @@ part them from all values.
 from __future__ import annotations
 
 import functools
+import gc
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -50,15 +51,15 @@ from revlens.session import checkpoint_dir
 #: Cells of a block; blocks that fewer cells are dealt into, and the cells that each of them has at least.
 BLOCK_CELLS, FEWER = 524_288, ((48, 65_536), (8, 4_096))
 #: Cells that a pass works on at once, bins of columns that are counted jointly, levels whose nodes are told apart one by one.
-CHUNK_CELLS, JOINT_BINS, MASKED_LEVELS = 131_072, 2_048, 6
+CHUNK_CELLS, JOINT_BINS, MASKED_LEVELS = 65_536, 2_048, 6
 #: Rows of a cell and cells with as many rows from which on draws are looked up in a table.
 TABLE_ROWS, TABLE_CELLS = 4_096, 256
 #: Histograms that are added up at once, batches between checkpoints.
 MERGED, CHECKPOINT_EVERY = 64, 8
 #: The bin of a node that has no cut: no code is above it.
 NO_CUT = 255
-#: Mantissa bits of the value histogram's keys (0.1 % steps).
-KEY_BITS = 10
+#: Mantissa bits of the value histogram's keys (0.1 % steps); whole numbers below ``COUNTED`` are counted without a sort.
+KEY_BITS, COUNTED = 10, 4_096
 
 
 @dataclass(frozen=True)
@@ -257,6 +258,21 @@ def value_keys(x: np.ndarray) -> np.ndarray:
     return np.where(x < 0, -(bits & ((1 << (11 + KEY_BITS)) - 1)) - 1, bits)
 
 
+def key_counts(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The keys of some values in ascending order, each with its number of values,
+    the least and the greatest of them. Codes and other small whole numbers, which
+    most features have, are counted; the others are sorted."""
+    if x.min() >= 0 and x.max() < COUNTED and (whole := x.astype(np.int64)).astype(np.float64).tobytes() == (x + 0.0).tobytes():
+        n = np.bincount(whole)
+        value = np.flatnonzero(n).astype(np.float64)
+        key, first = np.unique(value_keys(value), return_index=True)
+        ends = np.append(first[1:], len(value)) - 1
+        return key, np.add.reduceat(n[n > 0], first), value[first], value[ends]
+    x = np.sort(x)
+    key, at, n = np.unique(value_keys(x), return_index=True, return_counts=True)
+    return key, n, x[at], x[at + n - 1]
+
+
 def value_histogram(data: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, key, n, low, high): rows, least and greatest value of each key."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,10 +283,10 @@ def value_histogram(data: DataFrame, features: Sequence[str]) -> DataFrame:
                 if missing:  # before all values, so that a cut can part it from them
                     yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([-(1 << 62)]), pa.array([missing]), pa.array([-np.inf]), pa.array([-np.inf])],
                                                      names=["feature", "key", "n", "low", "high"])
-                x = np.sort(x[~np.isnan(x)])
+                    x = x[~np.isnan(x)]
                 if len(x):
-                    key, at, n = np.unique(value_keys(x), return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), j, np.int32)), pa.array(key), pa.array(n), pa.array(x[at]), pa.array(x[at + n - 1])],
+                    key, n, low, high = key_counts(x)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), j, np.int32)), pa.array(key), pa.array(n), pa.array(low), pa.array(high)],
                                                      names=["feature", "key", "n", "low", "high"])
 
     rows = data.select(*[F.col(c).cast("double").alias(c) for c in features]).mapInArrow(run, "feature int, key long, n long, low double, high double")
@@ -304,49 +320,69 @@ def cells_of(data: DataFrame, features: Sequence[str], label: str, cuts: list[np
     ``(high * 2^15 + low) * unit``, as exact whole numbers."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            codes = np.stack([bins_of(batch.column(j).to_numpy(zero_copy_only=False).astype(np.float64), cuts[j]) for j in range(len(features))], axis=1)
-            y = np.rint(batch.column(len(features)).to_numpy(zero_copy_only=False) / unit).astype(np.int64)
-            # rows of one tuple within the batch are one row already
-            tuples, at = np.unique(np.ascontiguousarray(codes).view(f"V{len(features)}").ravel(), return_inverse=True)
-            n, high, low = (np.zeros(len(tuples), np.int64) for _ in range(3))
-            np.add.at(n, at, 1)
-            np.add.at(high, at, y >> 15)
-            np.add.at(low, at, y & 32767)
-            yield pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in tuples], type=pa.binary()), pa.array(n), pa.array(high), pa.array(low)], names=["key", "n", "high", "low"])
+            rows, width = batch.num_rows, len(features)
+            codes = np.empty((rows, width), np.uint8)
+            for j in range(width):
+                codes[:, j] = bins_of(batch.column(j).to_numpy(zero_copy_only=False).astype(np.float64), cuts[j])
+            y = np.rint(batch.column(width).to_numpy(zero_copy_only=False) / unit).astype(np.int64)
+            # Spark adds up the rows of one tuple, in the map tasks already
+            ends = pa.py_buffer(np.arange(0, (rows + 1) * width, width, dtype=np.int32))
+            key = pa.Array.from_buffers(pa.binary(), rows, [None, ends, pa.py_buffer(codes)])
+            yield pa.RecordBatch.from_arrays([key, pa.array(np.ones(rows, np.int64)), pa.array(y >> 15), pa.array(y & 32767)], names=["key", "n", "high", "low"])
 
     rows = data.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("__label")).mapInArrow(run, "key binary, n long, high long, low long")
     return rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "high", "low")])
 
 
-STATE = "block long, codes binary, n binary, s binary, f binary"
+STATE = "block long, codes binary, n binary, g binary"
 
 
 def blocks_of(cells: DataFrame, parts: int, features: int, unit: float, base: float) -> DataFrame:
-    """The cells in blocks of arrays: codes (features x cells), rows, label sums, predictions so far."""
+    """The cells in blocks of arrays: codes (features x cells), rows, and how far
+    a row's prediction so far lies above its label, in the cell's mean."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in it if b.num_rows]
         if held:
             table = pa.Table.from_batches(held)
-            codes = np.frombuffer(b"".join(table.column("key").to_pylist()), np.uint8).reshape(-1, features)
+            codes = np.concatenate([key_codes(chunk, features) for chunk in table.column("key").chunks])
             n = table.column("n").to_numpy().astype(np.float64)
             s = (table.column("high").to_numpy() * 32768.0 + table.column("low").to_numpy()) * unit
             few = np.argsort(n, kind="stable")  # cells of as many rows are drawn from together
             # a block's number is fixed by its cells
-            yield state_row(int.from_bytes(table.column("key")[0].as_py()[:7], "big"), np.ascontiguousarray(codes[few].T), n[few], s[few], np.full(len(n), base))
+            yield state_row(int.from_bytes(table.column("key")[0].as_py()[:7], "big"), np.ascontiguousarray(codes[few].T), n[few], base - s[few] / n[few])
 
     dealt = cells.repartition(parts, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, STATE)
 
 
-def state_row(block: int, codes: np.ndarray, n: np.ndarray, s: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block]), *[pa.array([v.tobytes()], type=pa.binary()) for v in (codes, n, s, f)]], names=["block", "codes", "n", "s", "f"])
+def key_codes(keys: pa.Array, features: int) -> np.ndarray:
+    """The bytes of keys that are ``features`` bytes each (cells x features), without a copy."""
+    first = int(np.frombuffer(keys.buffers()[1], np.int32)[keys.offset]) if len(keys) else 0
+    return np.frombuffer(keys.buffers()[2], np.uint8, len(keys) * features, first).reshape(-1, features)
+
+
+def state_row(block: int, codes: np.ndarray, n: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+    """A block as a row. ``n`` ascends, so that its values and where each begins are enough."""
+    first = np.flatnonzero(np.diff(n, prepend=0.0))
+    runs = np.concatenate([n[first], first, [len(n)]])
+    return pa.RecordBatch.from_arrays([pa.array([block]), *[pa.array([v.tobytes()], type=pa.binary()) for v in (codes, runs, g)]], names=["block", "codes", "n", "g"])
+
+
+@functools.cache
+def keep_modules() -> None:
+    """Leave what a worker has loaded so far out of its garbage collections: one
+    runs after each task, and a fit has thousands of short tasks."""
+    gc.freeze()
 
 
 def state_of(it: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple]:
+    keep_modules()
     for batch in it:
         for k in range(batch.num_rows):
-            cols = [np.frombuffer(batch.column(c)[k].as_buffer(), np.uint8 if c == "codes" else np.float64) for c in ("codes", "n", "s", "f")]
-            yield (batch.column("block")[k].as_py(), cols[0].reshape(features, -1), *cols[1:])
+            codes, runs, g = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint8 if c == "codes" else np.float64) for c in ("codes", "n", "g"))
+            values = len(runs) // 2
+            n = np.repeat(runs[:values], np.diff(runs[values:]).astype(np.int64))
+            yield batch.column("block")[k].as_py(), codes.reshape(features, -1), n, g
 
 
 # ------------------------------------------------------------------ growing trees
@@ -429,7 +465,14 @@ def joined_columns(widths: Sequence[int]) -> list[list[int]]:
 
 def block_sums(out: np.ndarray, block: int, codes: np.ndarray, n: np.ndarray, s: np.ndarray, f: np.ndarray, level: int, grown: list[tuple],
                widths: Sequence[int], params: BoostParams) -> None:
-    """Add a block's sums of gradients and rows to ``out``."""
+    """Add a block's sums of gradients and rows to ``out``: of cells with the
+    label sums ``s`` and the predictions ``f``."""
+    mean_sums(out, block, codes, n, (n * f - s) / n, level, grown, widths, params)
+
+
+def mean_sums(out: np.ndarray, block: int, codes: np.ndarray, n: np.ndarray, mean: np.ndarray, level: int, grown: list[tuple],
+              widths: Sequence[int], params: BoostParams) -> None:
+    """``block_sums`` by the mean gradient of each cell's rows."""
     groups = joined_columns(widths)
     size = [math.prod(widths[j] for j in g) for g in groups]
     joint = []
@@ -439,7 +482,6 @@ def block_sums(out: np.ndarray, block: int, codes: np.ndarray, n: np.ndarray, s:
             code = code * np.uint16(widths[j]) + codes[j]
         joint.append(code)
     single = n[-1] == 1
-    mean = (n * f - s) / n
     nodes = out.shape[2]
 
     def count(sums: list, used: list[int], rows: np.ndarray, at: int, seen: np.ndarray, parent: np.ndarray | None) -> None:
@@ -449,8 +491,7 @@ def block_sums(out: np.ndarray, block: int, codes: np.ndarray, n: np.ndarray, s:
             g *= h
         for i in used:
             where = joint[i][at : at + CHUNK_CELLS].take(seen)
-            if parent is not None:
-                where = parent * size[i] + where
+            where = where.astype(np.intp) if parent is None else parent * size[i] + where
             sums[i][0] += np.bincount(where, g, nodes * size[i])
             sums[i][1] += np.bincount(where, h, nodes * size[i])
 
@@ -510,9 +551,9 @@ def histograms(state: DataFrame, parts: int, features: int, widths: Sequence[int
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, first = np.zeros(shape), None
-        for block, codes, n, s, f in state_of(it, features):
+        for block, codes, n, g in state_of(it, features):
             first = block if first is None else first
-            block_sums(out, block, codes, n, s, f, level, grown, widths, params)
+            mean_sums(out, block, codes, n, g, level, grown, widths, params)
         if first is not None:
             yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([out.tobytes()], type=pa.binary())], names=["block", "sums"])
 
@@ -559,13 +600,13 @@ def best_cuts(sums: np.ndarray, params: BoostParams) -> tuple[np.ndarray, ...]:
 def add_trees(state: DataFrame, features: int, depth: int, grown: list[tuple], leaves: np.ndarray) -> DataFrame:
     """The blocks with what a batch's trees add to their predictions."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, codes, n, s, f in state_of(it, features):
-            f = f.copy()
+        for block, codes, n, g in state_of(it, features):
+            g = g.copy()
             for at in range(0, len(n), CHUNK_CELLS):
                 part = codes[:, at : at + CHUNK_CELLS]
                 for (_, _, feature, bin_, _), leaf in zip(grown, leaves):
-                    f[at : at + CHUNK_CELLS] += leaf.take(nodes_at(part, feature, bin_, depth))
-            yield state_row(block, codes, n, s, f)
+                    g[at : at + CHUNK_CELLS] += leaf.take(nodes_at(part, feature, bin_, depth))
+            yield state_row(block, codes, n, g)
 
     return state.mapInArrow(run, STATE)
 

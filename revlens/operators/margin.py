@@ -136,8 +136,12 @@ def representative_deals(encoded: DataFrame, encoders: DataFrame) -> DataFrame:
     median revenue per unit and code 0."""
     # The narrow projection is read by the medians' passes and by the modes:
     # write it once instead of re-running joins and encoders.
-    base = materialize(encoded.select("segment", "region", F.col("quantity").cast("double").alias("quantity"),
-                                      "revenue_per_unit", "industry_enc", "product_enc"), "representatives")
+    return representatives_of(materialize(encoded.select("segment", "region", F.col("quantity").cast("double").alias("quantity"),
+                                                         "revenue_per_unit", "industry_enc", "product_enc"), "representatives"), encoders)
+
+
+def representatives_of(base: DataFrame, encoders: DataFrame) -> DataFrame:
+    """``representative_deals`` of a written table of the columns they need."""
     keys = ["segment", "region"]
     rep = combo_grid(encoders)
     # all four medians share their passes
@@ -216,12 +220,12 @@ class MarginModel:
 def _prepared(tx: DataFrame, params: MarginParams):
     """Encoders and the written training frame, with the hold-out flag. The
     split follows a hash of the row, so results don't depend on the cluster's
-    size."""
+    size. Rows without a label are kept, as the representative deals count them."""
     feats = deal_features(tx, params.high_discount)
     encoders = fit_encoders(feats)
     enc = encode(feats, encoders, warn=False)
     cols = [F.col(c).cast("double").alias(c) for c in FEATURES]
-    data = enc.select(*cols, F.col("margin_rate").cast("double").alias("label")).where(F.col("label").isNotNull())
+    data = enc.select("segment", "region", *cols, F.col("margin_rate").cast("double").alias("label"))
     data = data.withColumn("_h", F.xxhash64(F.lit(params.seed), *FEATURES, "label"))
     data = data.withColumn("_test", F.pmod("_h", F.lit(1000)) < F.lit(int(1000 * params.test_fraction)))
     return encoders, materialize(data.drop("_h"), "training")
@@ -245,7 +249,8 @@ def train_margin_model(tx: DataFrame, params: MarginParams = MarginParams(), met
     fit on 80 % of them, made when they are asked for - or, if they are wanted
     anyway (``metrics_now``), at the same time as the first. The medians and
     the representative deals are made meanwhile, as a fit's passes are short."""
-    encoders, data = _prepared(tx, params)
+    encoders, every = _prepared(tx, params)
+    data = every.where(F.col("label").isNotNull())
     n = data.count()
     if n < params.min_rows:
         raise MarginModelError(f"need >= {params.min_rows} rows to train, got {n}")
@@ -257,8 +262,9 @@ def train_margin_model(tx: DataFrame, params: MarginParams = MarginParams(), met
         return regression_metrics(fit(data.where(~F.col("_test"))).transform(data.where(F.col("_test"))))
 
     def represent() -> DataFrame:
-        encoded = encode(deal_features(tx, params.high_discount), encoders, warn=False)
-        return small_table(representative_deals(encoded, encoders), "representatives")
+        codes = [F.col(c).cast("int").alias(c) for c in ("industry_enc", "product_enc")]
+        base = every.select("segment", "region", "quantity", "revenue_per_unit", *codes)
+        return small_table(representatives_of(base, encoders), "representatives")
 
     with ThreadPoolExecutor(max_workers=4) as pool:
         fitted, medians, reps = pool.submit(fit, data), pool.submit(median_rev_per_unit, tx), pool.submit(represent)

@@ -165,3 +165,22 @@ def test_block_sums_are_the_sums_of_each_node(seed, single, depth):
             np.add.at(want[0, 0, :, c], (place[counted], codes[j][counted]), ((n * f - s) / n * rows)[counted])
             np.add.at(want[0, 1, :, c], (place[counted], codes[j][counted]), rows[counted])
         assert np.allclose(got, want, atol=1e-9)
+
+
+@pytest.mark.parametrize("x", [[3.0, 0.0, 3.0, 4095.0, 2049.0, 2050.0], [0.5, 1.0, 0.25], [-1.0, 2.0, 2.0], [-0.0, 0.0, 7.0], [4096.0, 1.0], [np.inf, 1.0, -np.inf]])
+def test_keys_are_counted_as_by_sorting(x):
+    x = np.array(x)
+    y = np.sort(x)
+    key, at, n = np.unique(B.value_keys(y), return_index=True, return_counts=True)
+    for got, want in zip(B.key_counts(x), (key, n, y[at], y[at + n - 1])):
+        assert np.array_equal(got, want)
+
+
+def test_a_block_has_17_bytes_a_cell(spark):
+    rng = np.random.default_rng(5)
+    n = np.sort(rng.integers(1, 9, 10_000)).astype(float)
+    codes, g = rng.integers(0, 64, (9, len(n))).astype(np.uint8), rng.normal(size=len(n))
+    row = B.state_row(7, codes, n, g)
+    ((block, codes2, n2, g2),) = B.state_of(iter([row]), 9)
+    assert block == 7 and np.array_equal(codes, codes2) and np.array_equal(n, n2) and np.array_equal(g, g2)
+    assert sum(len(row.column(c)[0].as_py()) for c in ("codes", "n", "g")) <= 17 * len(n) + 200

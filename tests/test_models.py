@@ -212,3 +212,18 @@ def test_sweep_rates_are_rounded_like_sparks(spark):
     want = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)], "i int, p double").orderBy("i").select(
         (F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("p"))), 4) + 0.0).alias("r")).toPandas()["r"].to_numpy()
     assert (MG.rounded_rates(p) == want).all() and (MG.rounded_rates(p.reshape(2, -1)).ravel() == want).all()
+
+
+def test_training_encodes_the_rows_once(spark, sf_small, monkeypatch):
+    from revlens.operators.rollups import margin_features
+    from revlens.sources import tables as S
+
+    # rows without a margin don't train the model, but they are deals
+    tx = margin_features(S.transactions(spark, sf_small)).withColumn("margin_rate", F.when(F.col("line_number") > 1, F.col("margin_rate")))
+    encodings, encode = [], MG.encode
+    monkeypatch.setattr(MG, "encode", lambda *a, **k: encodings.append(1) or encode(*a, **k))
+    model = MG.train_margin_model(tx, MG.MarginParams(max_iter=2))
+    assert len(encodings) == 1
+    want = MG.representative_deals(encode(MG.deal_features(tx), model.encoders, warn=False), model.encoders)
+    assert model.representatives.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, model.representatives.collect())) == sorted(map(tuple, want.collect()))
