@@ -22,20 +22,23 @@ is cut into pieces of ``capacity`` ids, its last piece may be shorter.
 from __future__ import annotations
 
 import itertools
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from revlens.llm.common import batches, small_batches, stage, texts_of
+from revlens.llm.common import batches, small_batches, stage
 
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers; others are encoded when met.
 REMEMBERED_WORDS = 500_000
-#: Marks that may close a word of letters.
+#: Letters of a plain word, marks that may close a word of letters.
+ASCII_LETTERS = string.ascii_letters
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Most rounds of multiplicative weights; each covers a length at least (a length may take several).
 ROUNDS = 20_000
@@ -66,6 +69,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self._remembered = self._as_arrays()
         self.mark = self._ids(["1"])[0]
         probe = self.tokenizer.encode("ab 1 cd 1", add_special_tokens=False).ids
         whole = b"".join(self._ids(["ab", "1", "cd", "1"]))
@@ -89,6 +93,10 @@ class WordEncoder:
         settings |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
         return Tokenizer.from_str(json.dumps(settings))
 
+    def _as_arrays(self) -> tuple[pa.Array, pa.Array]:
+        """The remembered words and their ids."""
+        return pa.array(self.known.keys(), pa.large_string()), pa.array(self.known.values(), pa.large_binary())
+
     def _ids(self, texts: list[str], tokenizer=None) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -154,22 +162,57 @@ class WordEncoder:
             known.update(itertools.islice(((w, x) for w, x in found.items() if len(w) <= 64), room))
         return found
 
-    def encode(self, texts: list[str], end_id: int | None) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def _known_ids(self, words: pa.Array) -> pa.Array:
+        """Ids of different words: the remembered ones are found by Arrow, the others in Python."""
+        names, values = self._remembered
+        place = pc.index_in(words, names)
+        missing = words.filter(pc.is_null(place)).to_pylist()
+        ids = list(map(self.known.get, missing))
+        if None in ids:
+            new = self._new({w for w, x in zip(missing, ids, strict=True) if x is None})
+            ids = [new[w] if x is None else x for w, x in zip(missing, ids, strict=True)]
+        at = pc.fill_null(place, -1).to_numpy().astype(np.int64)
+        at[at < 0] = len(names) + np.arange(len(missing))
+        if len(self.known) > 1.2 * len(names):
+            self._remembered = self._as_arrays()
+        return pa.concat_arrays([values, pa.array(ids, pa.large_binary())]).take(pa.array(at))
+
+    def _word_ids(self, words: pa.Array) -> pa.Array:
+        """Ids of different words. Those of ASCII letters and the marks that
+        close them are put together of their letters' and their marks' ids."""
+        stems = pc.utf8_rtrim(words, MARKS)
+        plain = pc.and_(pc.ascii_is_alpha(stems), pc.less_equal(pc.binary_length(stems), 64))
+        if not self.letters or not pc.any(plain).as_py():
+            return self._known_ids(words)
+        lower = pc.ascii_lower(stems.filter(plain)).dictionary_encode()
+        runs = pc.ascii_ltrim(words.filter(plain), ASCII_LETTERS).dictionary_encode()
+        marks = pa.array(self._ids(runs.dictionary.to_pylist()), pa.large_binary())
+        put = pc.binary_join_element_wise(self._known_ids(lower.dictionary).take(lower.indices), marks.take(runs.indices), pa.scalar(b"", pa.large_binary()))
+        rest = self._known_ids(words.filter(pc.invert(plain)))
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        at = np.where(is_plain, np.cumsum(is_plain) - 1, len(put) + np.cumsum(~is_plain) - 1)
+        return pa.concat_arrays([put, rest]).take(pa.array(at))
+
+    def encode(self, texts: list[str] | pa.Array, end_id: int | None) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text (null: empty).
+
+        Arrow splits the texts, numbers their different words and puts the
+        words' ids together; Python sees each different word once, if it isn't
+        remembered.
+        """
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-        get = self.known.get
-        rows: list[tuple[list[str], list]] = []
-        missing: set[str] = set()
-        for t in texts:
-            words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            ids = list(map(get, words))
-            if None in ids:
-                missing.update([w for w, x in zip(words, ids, strict=True) if x is None])
-                rows.append((words, ids))
-            else:
-                rows.append(([], ids))
-        new = self._new(missing) if missing else {}
-        return [b"".join([new[w] if x is None else x for w, x in zip(words, ids, strict=True)] if words else ids) + end for words, ids in rows]
+        column = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()), "")
+        for blank in "\n\t\r":
+            column = pc.replace_substring(column, blank, " ")
+        words = pc.split_pattern(column, " ")
+        numbered = words.flatten().dictionary_encode()
+        joined = self._word_ids(numbered.dictionary).take(numbered.indices)
+        _, ends, data = joined.buffers()
+        if not data or not len(joined):
+            return [end] * len(column)
+        ends = np.frombuffer(ends, np.int64, len(joined) + 1, 8 * joined.offset)[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        data = memoryview(data)
+        return [bytes(data[i:k]) + end for i, k in itertools.pairwise(ends)]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -356,9 +399,9 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen, part = encoder(tokenizer_path), {}, TaskContext.get().partitionId()
-        for batch in small_batches(it, most_bytes=1 << 20):
+        for batch in small_batches(it, most_bytes=4 << 20):
             rows: list[list] = [[] for _ in range(7)]
-            for id_, ids in zip(batch.column("id").to_pylist(), enc.encode(texts_of(batch), end_id), strict=True):
+            for id_, ids in zip(batch.column("id").to_pylist(), enc.encode(batch.column("text"), end_id), strict=True):
                 n = len(ids) // 4
                 for piece, at in enumerate(range(0, n, capacity)):
                     length = min(capacity, n - at)

@@ -100,3 +100,16 @@ def test_the_program_places_nearly_all_tokens():
     assert sum(x[2] for x in plan) == -(-int((lengths * counts).sum()) // 4096)
     # the plan begins with the program's configurations
     assert [x[2] for x in plan[: len(program)]] == [x[2] for x in program]
+
+
+def test_words_that_differ_in_case_or_marks_are_met_once(monkeypatch):
+    import pyarrow as pa
+
+    enc, met = packing.WordEncoder(queries.packing_tokenizer()), []
+    new = enc._new
+    monkeypatch.setattr(enc, "_new", lambda words: met.extend(words) or new(words))
+    texts = ["Zutzer zutzer, ZUTZER!!\n(x) zutzer.\t9a", None, "", "naïve Naïve. zutzer$$$ don't \x0b\x1c x1", " a" * 100]
+    got = enc.encode(pa.array(texts), 1)
+    assert got == [np.array([*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4").tobytes() for t in texts]
+    assert met.count("zutzer") == 1 and not {"Zutzer", "zutzer,", "ZUTZER!!", "zutzer$$$"} & set(met)
+    assert enc.encode(pa.array(texts).slice(1, 3), None) == [x[:-4] for x in got[1:4]] and enc.encode([], 1) == []
