@@ -35,7 +35,7 @@ from __future__ import annotations
 import functools
 import gc
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,6 +50,8 @@ from revlens.session import checkpoint_dir
 
 #: Cells of a block; blocks that fewer cells are dealt into, and the cells that each of them has at least.
 BLOCK_CELLS, FEWER = 524_288, ((48, 65_536), (8, 4_096))
+#: Rows that are predicted at once (a multiple of 64).
+PREDICTED_ROWS = 65_536
 #: Cells that a pass works on at once, bins of columns that are counted jointly, levels whose nodes are told apart one by one.
 CHUNK_CELLS, JOINT_BINS, MASKED_LEVELS = 65_536, 2_048, 6
 #: Rows of a cell and cells with as many rows from which on draws are looked up in a table.
@@ -133,21 +135,60 @@ class Trees:
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Predictions for rows of ``x`` (rows x features)."""
         out = np.full(len(x), self.base)
-        cuts, places = self.binned()
-        for at in range(0, len(x), 32_768):
-            part = x[at : at + 32_768]
-            codes = [bins_of(part[:, j], c, np.uint8 if len(c) < 256 else np.uint32) for j, c in enumerate(cuts)]
-            for feature, place, leaf in zip(self.feature, places, self.leaf):
-                out[at : at + 32_768] += leaf.take(nodes_at(codes, feature, place, self.depth, none=-1))
+        for at in range(0, len(x), PREDICTED_ROWS):
+            part = x[at : at + PREDICTED_ROWS]
+            for leaf, node in zip(self.leaf, self._leaves_by_bits(part) if self.depth <= MASKED_LEVELS else self._leaves(part)):
+                out[at : at + PREDICTED_ROWS] += leaf.take(node)
         return out
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """``df`` with a column ``prediction``."""
+    def _leaves(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """Each row's leaf in one tree after another."""
+        cuts, places = self.binned()
+        codes = [bins_of(x[:, j], c, np.uint8 if len(c) < 256 else np.uint32) for j, c in enumerate(cuts)]
+        for feature, place in zip(self.feature, places):
+            yield nodes_at(codes, feature, place, self.depth, none=-1)
+
+    def _leaves_by_bits(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """``_leaves`` with a bit per row and cut. The trees share few cuts, so
+        each is compared once; a level then picks among its nodes' bits by the
+        levels above, 64 rows at a time, and gives one bit of the leaf's place."""
+        cuts, places = self.binned()
+        first = np.cumsum([1, *map(len, cuts)])
+        words = -(-len(x) // 64)
+        above = np.zeros((first[-1], words * 8), np.uint8)  # the first row has no bits: a node without a cut
+        for j, c in enumerate(cuts):
+            column = np.ascontiguousarray(x[:, j])
+            for k, cut in enumerate(c.tolist()):
+                bits = np.packbits(column > cut, bitorder="little")
+                above[first[j] + k, : len(bits)] = bits
+        above = above.view(np.uint64)
+        for at in np.where(places < 0, 0, first[self.feature] + places):
+            node, chosen = np.zeros(words * 64, np.uint8), []
+            for level in range(self.depth):
+                bits = above[at[2 ** level - 1 : 2 ** (level + 1) - 1]]
+                for way in reversed(chosen):
+                    bits = bits[0::2] ^ ((bits[0::2] ^ bits[1::2]) & way)
+                chosen.append(bits[0])
+                np.add(node, node, out=node)
+                np.add(node, np.unpackbits(bits[0].view(np.uint8), bitorder="little"), out=node)
+            yield node[: len(x)]
+
+    def transform(self, df: DataFrame, then: Callable[[np.ndarray], np.ndarray] = np.asarray) -> DataFrame:
+        """``df`` with a column ``prediction``; ``then`` is run on the predictions."""
         trees = self
 
         @F.pandas_udf("double")
-        def predicted(*columns: pd.Series) -> pd.Series:
-            return pd.Series(trees.predict(np.column_stack([c.to_numpy(dtype=np.float64, na_value=np.nan) for c in columns])))
+        def predicted(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            held, rows = [], 0  # a tree costs as much for few rows as for some thousands
+            for columns in batches:
+                columns = columns if isinstance(columns, tuple) else (columns,)  # a single feature comes as it is
+                held.append(np.column_stack([c.to_numpy(dtype=np.float64, na_value=np.nan) for c in columns]))
+                rows += len(held[-1])
+                if rows >= PREDICTED_ROWS:
+                    yield pd.Series(then(trees.predict(np.concatenate(held))))
+                    held, rows = [], 0
+            if held:
+                yield pd.Series(then(trees.predict(np.concatenate(held))))
 
         return df.withColumn("prediction", predicted(*[F.col(c).cast("double") for c in self.features]))
 

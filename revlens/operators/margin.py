@@ -78,18 +78,20 @@ def encode(df: DataFrame, encoders: DataFrame, columns=MODEL_CATEGORICALS,
     against that column's slice of the written encoder table, which carries a
     broadcast hint if its bytes are few (``fit_encoders``)."""
     out = df
-    msgs = []
+    msgs, all_known = [], F.lit(True)
     for c in columns:
         enc = encoders.where(F.col("column") == c).select(F.col("value").alias(f"_{c}_v"),
                                                           F.col("code").alias(f"_{c}_code"))
         out = out.join(enc, out[c].cast("string") == enc[f"_{c}_v"], "left").drop(f"_{c}_v")
         known = F.col(f"_{c}_code").isNotNull()
+        all_known = all_known & known
         msgs.append(F.when(~known, F.format_string(f"Unknown {c} '%s' encoded as -1.",
                                                    F.coalesce(F.col(c).cast("string"), F.lit("")))))
         out = out.withColumn(f"{c}_enc", F.coalesce(F.col(f"_{c}_code"), F.lit(OOV_CODE)))
     if warn:
         prev = F.col("warnings") if "warnings" in df.columns else F.array().cast("array<string>")
-        out = out.withColumn("warnings", F.concat(prev, F.array_compact(F.array(*msgs))))
+        # most rows have nothing to add
+        out = out.withColumn("warnings", F.when(all_known, prev).otherwise(F.concat(prev, F.array_compact(F.array(*msgs)))))
     return out.drop(*[f"_{c}_code" for c in columns])
 
 
@@ -274,12 +276,22 @@ def train_margin_model(tx: DataFrame, params: MarginParams = MarginParams(), met
                            metrics=measured.result() if measured else {}, measure=measure, representatives=reps.result())
 
 
-def predict(model: MarginModel, feats: DataFrame) -> DataFrame:
+def predict(model: MarginModel, feats: DataFrame, **how) -> DataFrame:
     """Run the predictor on rows that carry the nine feature columns."""
     casted = feats
     for c in FEATURES:
         casted = casted.withColumn(c, F.col(c).cast("double"))
-    return model.model.transform(casted).drop("features")
+    return model.model.transform(casted, **how).drop("features")
+
+
+def predicted_rates(model: MarginModel, feats: DataFrame) -> DataFrame:
+    """Predictions clipped to [-1, 1] and rounded to 4 places as
+    ``predicted_margin_rate``. Trees round where they predict, as Spark's own
+    rounding of a double by decimals costs about as much as all trees."""
+    if isinstance(model.model, boosting.Trees):
+        return predict(model, feats, then=rounded_rates).withColumnRenamed("prediction", "predicted_margin_rate")
+    rate = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("prediction"))), 4)
+    return predict(model, feats).withColumn("predicted_margin_rate", rate)
 
 
 def rounded_rates(p: np.ndarray) -> np.ndarray:
@@ -366,21 +378,19 @@ def score_deals(model: MarginModel, deals: DataFrame, ceilings: DataFrame | None
     ceiling (NULL -> 0.0 as max_safe_discount) and per-row warnings. Bad rows
     never fail the batch: problems become entries of ``warnings``."""
     rp = impute_rev_per_unit(deals, model.medians)
-    imputed_msg = F.when(F.col("rpu_imputed"), F.format_string(
-        "No revenue per unit given; the segment's median of %.2f stands in.", F.col("revenue_per_unit")))
-    rp = rp.withColumn("warnings", F.array_compact(F.array(imputed_msg)))
+    imputed_msg = F.format_string("No revenue per unit given; the segment's median of %.2f stands in.", F.col("revenue_per_unit"))
+    nothing = F.array_compact(F.array(F.lit(None).cast("string")))
+    rp = rp.withColumn("warnings", F.when(F.col("rpu_imputed"), F.array(imputed_msg)).otherwise(nothing))
     q, d = F.col("quantity").cast("double"), F.col("discount").cast("double")
     rp = (rp.withColumn("discount_x_quantity", d * q)
             .withColumn("high_discount_flag_int", (d > params.high_discount).cast("int")))
-    enc = encode(rp, model.encoders)
-    scored = predict(model, enc)
-    pred = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("prediction"))), 4)
-    out = scored.withColumn("predicted_margin_rate", pred)
+    out = predicted_rates(model, encode(rp, model.encoders))
     if ceilings is not None:
-        out = out.join(ceilings.select("segment", "region", F.col("ceiling").alias("discount_ceiling")),
+        note = X.ceiling_note("segment", "region", "ceiling")  # there are few
+        out = out.join(ceilings.select("segment", "region", F.col("ceiling").alias("discount_ceiling"), note.alias("_note")),
                        ["segment", "region"], "left")
     else:
-        out = out.withColumn("discount_ceiling", F.lit(None).cast("double"))
+        out = out.withColumns({"discount_ceiling": F.lit(None).cast("double"), "_note": F.lit(None).cast("string")})
     p = F.col("predicted_margin_rate")
     return out.select(
         *[c for c in deals.columns],
@@ -389,8 +399,7 @@ def score_deals(model: MarginModel, deals: DataFrame, ceilings: DataFrame | None
         X.margin_rating(p).alias("margin_rating"),
         X.is_profitable(p).alias("is_profitable"),
         F.coalesce(F.col("discount_ceiling"), F.lit(0.0)).alias("max_safe_discount"),
-        X.recommendation(p, F.col("discount"), F.col("segment"), F.col("region"),
-                         F.col("discount_ceiling")).alias("recommendation"),
+        X.recommendation(p, F.col("discount"), F.col("_note"), X.rate_text(p)).alias("recommendation"),
         X.discount_use(F.col("discount"), F.col("discount_ceiling")).alias("discount_use"),
         X.within_ceiling(F.col("discount"), F.coalesce(F.col("discount_ceiling"), F.lit(0.0))).alias("within_ceiling"),
         "warnings",

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from revlens.operators import boosting as B
 
@@ -184,3 +185,43 @@ def test_a_block_has_17_bytes_a_cell(spark):
     ((block, codes2, n2, g2),) = B.state_of(iter([row]), 9)
     assert block == 7 and np.array_equal(codes, codes2) and np.array_equal(n, n2) and np.array_equal(g, g2)
     assert sum(len(row.column(c)[0].as_py()) for c in ("codes", "n", "g")) <= 17 * len(n) + 200
+
+
+def some_trees(rng, trees, depth, features=4):
+    """Trees with branches that end early and cuts that several trees share."""
+    out = B.Trees.empty([f"f{j}" for j in range(features)], 0.25, trees, depth)
+    out.feature[:] = rng.integers(0, features, out.feature.shape)
+    out.cut[:] = rng.integers(0, 8, out.cut.shape) + 0.5
+    for n in range(trees):
+        for i in range(out.cut.shape[1]):
+            if rng.random() < 0.2 or (i and out.cut[n, (i - 1) // 2] == np.inf):
+                out.cut[n, i] = np.inf
+    out.leaf[:] = rng.normal(size=out.leaf.shape)
+    return out
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5, 6, 7])
+@pytest.mark.parametrize("rows", [1, 64, 301])
+def test_predictions_follow_each_tree_down(monkeypatch, depth, rows):
+    monkeypatch.setattr(B, "PREDICTED_ROWS", 128)
+    rng = np.random.default_rng(depth * 1000 + rows)
+    trees = some_trees(rng, 7, depth)
+    x = rng.integers(-1, 10, (rows, 4)) / 1.0
+    x[rng.random(x.shape) < 0.1] = np.nan
+    want = np.full(rows, 0.25)
+    for r in range(rows):
+        for feature, cut, leaf in zip(trees.feature, trees.cut, trees.leaf):
+            node = 0
+            while node < len(cut):
+                node = 2 * node + (2 if x[r, feature[node]] > cut[node] else 1)
+            want[r] += leaf[node - len(cut)]
+    assert (trees.predict(x) == want).all()
+
+
+def test_arrow_batches_are_predicted_together(spark):
+    """As many rows at once as ``PREDICTED_ROWS``, not as Arrow's batches have."""
+    trees = some_trees(np.random.default_rng(3), 5, 3, features=1)
+    df = spark.range(0, 30_000, 1, 1).withColumn("f0", (F.col("id") % 11).cast("double"))
+    got = trees.transform(df, lambda p: p + 1000.0 * len(p)).orderBy("id").toPandas()
+    want = trees.predict(got[["f0"]].to_numpy()) + 1000.0 * 30_000
+    assert (got["prediction"].to_numpy() == want).all()

@@ -227,3 +227,45 @@ def test_training_encodes_the_rows_once(spark, sf_small, monkeypatch):
     want = MG.representative_deals(encode(MG.deal_features(tx), model.encoders, warn=False), model.encoders)
     assert model.representatives.schema.simpleString() == want.schema.simpleString()
     assert sorted(map(tuple, model.representatives.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_rate_text_is_the_percent_text_of_every_rate(spark):
+    rates = spark.range(-10_000, 10_001).select((F.col("id") / 10_000).alias("r")).union(spark.createDataFrame([(None,)], "r double"))
+    assert rates.where(~X.rate_text("r").eqNullSafe(X.pct_text("r", 1))).count() == 0
+
+
+def test_scored_deals_come_from_the_clean_table(spark, sf_small, monkeypatch):
+    """The star join is run once, for the clean table; its rows are the deals."""
+    from revlens.plans import catalog
+    from revlens.sources import tables as S
+
+    joins, transactions = [], S.transactions
+    monkeypatch.setattr(S, "transactions", lambda *a, **k: joins.append(1) or transactions(*a, **k))
+    catalog.MD.clear(spark)
+    scored = catalog.QUERIES["deal_scores_fixed"](spark, sf_small)
+    assert len(joins) == 1
+    columns = ["deal_id", "segment", "region", "industry", "product", "quantity", "sales", "discount"]
+    assert sorted(map(tuple, scored.select(columns).collect())) == sorted(map(tuple, S.deals(spark, sf_small).select(columns).collect()))
+
+
+def test_scored_trees_round_and_warn_like_any_predictor(spark, sf_small):
+    """Rates rounded in Python, texts of whole numbers, warnings of the rare rows only."""
+    from revlens.plans import catalog
+
+    model = catalog._fixed_tree_model(spark, sf_small)
+    deals = spark.createDataFrame([("a", "BUILDING", "ASIA", "Brand#1", "ECONOMY", 10, 900.0, 0.1), ("b", "NOWHERE", "ASIA", "Brand#1", None, 10, 900.0, 0.6),
+                                   ("c", "BUILDING", "MARS", "Brand#1", "ECONOMY", 0, 900.0, 0.3), ("d", "NOWHERE", None, "x", "y", 30, -1.0, 0.45)],
+                                  "deal_id string, segment string, region string, industry string, product string, quantity int, sales double, discount double")
+    ceilings = spark.createDataFrame([("BUILDING", "ASIA", 0.17)], "segment string, region string, ceiling double")
+
+    class Plain:  # the same predictions, rounded and told by Spark
+        def transform(self, df):
+            return model.model.transform(df)
+
+    rows = {r.deal_id: r for r in MG.score_deals(model, deals, ceilings).collect()}
+    plain = MG.MarginModel(model=Plain(), encoders=model.encoders, medians=model.medians, importances=[])
+    assert rows == {r.deal_id: r for r in MG.score_deals(plain, deals, ceilings).collect()}
+    assert rows["a"].warnings == [] and rows["a"].recommendation.count(" Safe ceiling for BUILDING/ASIA: 17%.") == 1
+    assert rows["b"].warnings == ["Unknown segment 'NOWHERE' encoded as -1.", "Unknown product '' encoded as -1."]
+    assert [w.split()[0] for w in rows["c"].warnings] == ["No", "Unknown"] and "ceiling" not in rows["c"].recommendation
+    assert [w.split()[0] for w in rows["d"].warnings] == ["No", *["Unknown"] * 4]
