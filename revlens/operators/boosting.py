@@ -427,20 +427,21 @@ def state_of(it: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple]:
 
 
 # ------------------------------------------------------------------ growing trees
-def drawn(n: np.ndarray, rate: float, seed: int, tree: int, block: int) -> np.ndarray:
+def drawn(n: np.ndarray, rate: float, seed: int, tree: int, block: int, first: np.ndarray | None = None) -> np.ndarray:
     """How many rows of each cell a tree sees: every row with probability
     ``rate`` (in steps of 2^-16). ``n`` ascends; where it is 1 throughout, the
-    result is boolean."""
+    result is boolean. ``first``: where its values begin (``value_starts``)."""
     rng = np.random.Generator(np.random.SFC64([seed, tree, block]))
     bits = rng.integers(0, 1 << 64, -(-len(n) // 4), dtype=np.uint64).view(np.uint16)[: len(n)]
     if n[-1] == 1:
         return bits < round(rate * 65536)
-    out = np.empty(len(n))
-    first = np.flatnonzero(np.diff(n, prepend=0.0))
+    # as few bytes as the most rows of a cell take
+    out = np.empty(len(n), np.uint16 if n[-1] <= TABLE_ROWS else np.float64)
+    first = value_starts(n) if first is None else first
     for at, to in zip(first, [*first[1:], len(n)]):
         rows = int(n[at])
         if rows == 1:
-            out[at:to] = bits[at:to] < round(rate * 65536)
+            np.less(bits[at:to], round(rate * 65536), out=out[at:to], casting="unsafe")
         elif rows <= TABLE_ROWS and to - at >= TABLE_CELLS and 0 < rate < 1:
             out[at:to] = draw_table(rows, rate).take(bits[at:to])
         else:
@@ -448,13 +449,18 @@ def drawn(n: np.ndarray, rate: float, seed: int, tree: int, block: int) -> np.nd
     return out
 
 
+def value_starts(n: np.ndarray) -> np.ndarray:
+    """Where each value of an ascending array begins."""
+    return np.flatnonzero(np.diff(n, prepend=0.0))
+
+
 @functools.lru_cache(maxsize=128)
 def draw_table(rows: int, rate: float) -> np.ndarray:
     """How many of ``rows`` are drawn, for each of 2^16 equal shares of the chances."""
     k = np.arange(rows + 1)
     log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, rows + 1)))])
     log_share = log_factorial[-1] - log_factorial - log_factorial[::-1] + k * math.log(rate) + (rows - k) * math.log1p(-rate)
-    return np.searchsorted(np.cumsum(np.exp(log_share))[:-1], (np.arange(65536) + 0.5) / 65536, side="right").astype(np.float64)
+    return np.searchsorted(np.cumsum(np.exp(log_share))[:-1], (np.arange(65536) + 0.5) / 65536, side="right").astype(np.uint16)
 
 
 def nodes_at(codes: Sequence[np.ndarray], feature: np.ndarray, bin_: np.ndarray, levels: int, none: int = NO_CUT) -> np.ndarray:
@@ -522,19 +528,26 @@ def mean_sums(out: np.ndarray, block: int, codes: np.ndarray, n: np.ndarray, mea
         for j in g:
             code = code * np.uint16(widths[j]) + codes[j]
         joint.append(code)
-    single = n[-1] == 1
+    single, first = n[-1] == 1, value_starts(n)
     nodes = out.shape[2]
+    spare_places = np.empty(CHUNK_CELLS, np.intp)
 
     def count(sums: list, used: list[int], rows: np.ndarray, at: int, seen: np.ndarray, parent: np.ndarray | None) -> None:
-        h = None if single else rows.take(seen)
+        # n ascends: where a chunk's last cell has one row, those seen are counted without weights
+        h = None if n[at : at + CHUNK_CELLS][-1] == 1 else rows.take(seen).astype(np.float64)
         g = mean[at : at + CHUNK_CELLS].take(seen)
         if h is not None:
             g *= h
+        place = spare_places[: len(seen)]
         for i in used:
             where = joint[i][at : at + CHUNK_CELLS].take(seen)
-            where = where.astype(np.intp) if parent is None else parent * size[i] + where
-            sums[i][0] += np.bincount(where, g, nodes * size[i])
-            sums[i][1] += np.bincount(where, h, nodes * size[i])
+            if parent is None:
+                place[:] = where
+            else:
+                np.multiply(parent, size[i], out=place)
+                np.add(place, where, out=place)
+            sums[i][0] += np.bincount(place, g, nodes * size[i])
+            sums[i][1] += np.bincount(place, h, nodes * size[i])
 
     def empty(used: list[int]) -> list:
         return [np.zeros((2, nodes * k)) if i in used else None for i, k in enumerate(size)]
@@ -548,13 +561,13 @@ def mean_sums(out: np.ndarray, block: int, codes: np.ndarray, n: np.ndarray, mea
             count(whole, every, rows, at, np.arange(len(rows)), None)
     for k, (tree, columns, feature, bin_, right_child) in enumerate(grown):
         used = [i for i, g in enumerate(groups) if any(j in g for j in columns)]
-        rows = drawn(n, params.row_rate, params.seed, tree, block)
-        if level == 0:  # the rows left out
-            rows = ~rows if single else n - rows
+        rows = drawn(n, params.row_rate, params.seed, tree, block, first)
         sums = empty(used)
         for at in chunks:
             part, parent = codes[:, at : at + CHUNK_CELLS], None
             left = rows[at : at + CHUNK_CELLS]
+            if level == 0:  # the rows left out
+                left = ~left if single else n[at : at + CHUNK_CELLS] - left
             some = left if single else left > 0
             if level == 0:
                 seen = np.flatnonzero(some)
