@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -89,59 +90,140 @@ def assign_clusters(profiles: DataFrame, model: clustering.Centers, scaling: Dat
     return scale(profiles, scaling).withColumn("cluster", model.nearest())
 
 
-#: Customers whose pairwise distances give the exact silhouette; beyond, each cluster gives its share of them.
-SILHOUETTE_ROWS = 10_000
+#: Rows whose distances to as many others are one piece of work, the least that are worth one, and the sums of a piece at most.
+SILHOUETTE_BLOCK, SILHOUETTE_LEAST, SILHOUETTE_SUMS = 65_536, 512, 1 << 22
+#: Rows and columns of distances at once (they stay in the cache), and blocks' sums that are added up at once.
+DISTANCE_TILE, MERGED_SUMS = (64, 512), 64
 
 
-def exact_silhouette(clustered: DataFrame, features, cluster: str = "cluster", most: int = SILHOUETTE_ROWS, seed: int = 42) -> DataFrame:
+def exact_silhouette(clustered: DataFrame, features, cluster: str = "cluster", most: int | None = None, seed: int = 42) -> DataFrame:
     """M14, the exact Euclidean form: one row (silhouette, n_rows, n_clusters).
 
     Every row's mean distance to its own cluster's other rows (a) and to the
     nearest other cluster (b) give (b - a) / max(a, b); a cluster's only row
-    gives 0, and fewer than two clusters give NULL. Pairwise distances grow
-    with the square of the rows, so at most about ``most`` rows take part: all
-    of them up to there, else each cluster's share (one at least), by a hash of
-    the row. The rows are bounded, so all tasks get them, and each task takes
-    blocks of rows against all.
+    gives 0, and fewer than two clusters give NULL. All rows take part, so
+    distances grow with the square of the rows: rows are dealt into blocks, and
+    each pair of blocks is a piece of work of its own, which gives both blocks
+    their sums of distances to the other's clusters. A task holds two blocks.
+
+    ``most``: only if given, and only beyond so many rows, each cluster's share
+    of about ``most`` rows (one at least) takes part, by a hash of the row.
     """
     features = list(features)
     rows = clustered.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(cluster).cast("long").alias("cluster"))
     rows = rows.where(F.col("cluster").isNotNull() & F.forall(F.array(*features), lambda x: x.isNotNull() & ~F.isnan(x)))
-    n = rows.count()
-    if n > most:
+    if most is not None and (n := rows.count()) > most:
         first = Window.partitionBy("cluster").orderBy(F.xxhash64(F.lit(seed), *features), *features)
         sizes = small_table(rows.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) * F.lit(most / n)).alias("_take")), "sizes")
         share = F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(1 << 20)) < F.lit(int(min(1.0, 4 * most / n) * (1 << 20)))
         # the hash thins large clusters before their rows are ranked
         thin = rows.join(sizes, "cluster").where(share | (F.col("_take") <= 64))
         rows = thin.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= F.col("_take")).drop("_nth", "_take")
-    sample = materialize(rows, "silhouette")
-    points = sample.toPandas()  # at most `most` rows and one more a cluster
-    x, names = points[features].to_numpy(), np.unique(points["cluster"])
-    member = (points["cluster"].to_numpy()[:, None] == names[None, :]).astype(np.float64)
-    size = member.sum(axis=0)
-
-    def run(it):
-        for batch in it:
-            mine = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features], axis=1)
-            own = np.searchsorted(names, batch.column("cluster").to_numpy())
-            out = np.zeros(len(mine))
-            for at in range(0, len(mine), 256):
-                part, k = mine[at : at + 256], own[at : at + 256]
-                far = np.sqrt(((part[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)) @ member
-                each = np.arange(len(part))
-                a = far[each, k] / np.maximum(size[k] - 1, 1)
-                far /= size
-                far[each, k] = np.inf
-                b = far.min(axis=1)
-                out[at : at + 256] = np.where((size[k] > 1) & (np.maximum(a, b) > 0), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(out)], names=["s"])
-
+    rows = materialize(rows, "silhouette")
+    counts = sorted(rows.groupBy("cluster").count().collect())  # a row per cluster
+    names, size = np.array([c[0] for c in counts], np.int64), np.array([c[1] for c in counts], np.float64)
     if len(names) < 2:
-        return sample.agg(F.lit(None).cast("double").alias("silhouette"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(names)).cast("long").alias("n_clusters"))
-    spread = max(1, min(clustered.sparkSession.sparkContext.defaultParallelism, len(x) // 512))
-    scored = sample.repartition(spread).mapInArrow(run, "s double")
-    return scored.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n_rows")).withColumn("n_clusters", F.lit(len(names)).cast("long"))
+        return rows.agg(F.lit(None).cast("double").alias("silhouette"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(names)).cast("long").alias("n_clusters"))
+    n, tasks = int(size.sum()), clustered.sparkSession.sparkContext.defaultParallelism
+    most_rows = max(SILHOUETTE_LEAST, min(SILHOUETTE_BLOCK, SILHOUETTE_SUMS // len(names)))
+    parts = max(-(-n // most_rows), min(int(np.ceil(np.sqrt(8 * tasks))), -(-n // SILHOUETTE_LEAST)))
+    scores = silhouette_scores(distance_sums(point_blocks(rows, features, names, parts), len(features), len(names), parts), size, parts)
+    return scores.agg((F.sum("s") / F.sum("n")).alias("silhouette"), F.sum("n").alias("n_rows")).withColumn("n_clusters", F.lit(len(names)).cast("long"))
+
+
+def point_blocks(rows: DataFrame, features: list[str], names: np.ndarray, parts: int) -> DataFrame:
+    """The rows in ``parts`` blocks of about as many: (block, points, own), the
+    points as an array (features x rows) and their clusters' places among
+    ``names`` in ascending order. Written once, as each block goes to many tasks."""
+    def run(it):
+        held = pa.Table.from_batches([b for b in it if b.num_rows] or [pa.RecordBatch.from_pylist([], schema)])
+        own = np.searchsorted(names, held.column("cluster").to_numpy())
+        order = np.argsort(own, kind="stable")
+        points = np.stack([held.column(f).to_numpy()[order] for f in features])
+        if len(order):
+            packed = [pa.array([v.tobytes()], pa.binary()) for v in (points, own[order].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), *packed], names=["block", "points", "own"])
+
+    schema = pa.schema([*[(f, pa.float64()) for f in features], ("cluster", pa.int64())])
+    return materialize(rows.repartition(parts).mapInArrow(run, "block int, points binary, own binary"), "blocks")
+
+
+def distance_sums(blocks: DataFrame, features: int, clusters: int, parts: int) -> DataFrame:
+    """(block, other, own, sums): the sums of distances from each point of
+    ``block`` to each cluster's points in ``other`` (points x clusters). ``own``
+    is only given where both are the same."""
+    def run(table: pa.Table) -> pa.Table:
+        block, points, own = (table.column(c) for c in ("block", "points", "own"))
+        x, y = (np.frombuffer(points[i].as_buffer()).reshape(features, -1) for i in (0, table.num_rows - 1))
+        kx, ky = (np.frombuffer(own[i].as_buffer(), np.int64) for i in (0, table.num_rows - 1))
+        to_y, to_x = cluster_distances(x, y, kx, ky, clusters, both=table.num_rows > 1)
+        if table.num_rows == 1:
+            return pa.table({"block": block, "other": block, "own": own, "sums": pa.array([to_y.tobytes()], pa.binary())})
+        return pa.table({"block": block, "other": pa.array([block[1].as_py(), block[0].as_py()], pa.int32()), "own": pa.nulls(2, pa.binary()),
+                         "sums": pa.array([to_y.tobytes(), to_x.tobytes()], pa.binary())})
+
+    other = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    met = blocks.withColumn("_other", other).select(F.least("block", "_other").alias("_low"), F.greatest("block", "_other").alias("_high"), *blocks.columns)
+    # a number of partitions that isn't cut down, as the blocks are few bytes and much work
+    pairs = parts * (parts + 1) // 2
+    return met.repartition(min(pairs, 4_096), "_low", "_high").groupBy("_low", "_high").applyInArrow(run, "block int, other int, own binary, sums binary")
+
+
+def cluster_distances(x: np.ndarray, y: np.ndarray, own_x: np.ndarray, own_y: np.ndarray, clusters: int, both: bool) -> tuple:
+    """Sums of distances from each point of ``x`` (features x points) to each
+    cluster's points of ``y``, and (``both``) from those of ``y`` to ``x``'s."""
+    high, wide = DISTANCE_TILE
+    to_y, to_x = np.zeros((x.shape[1], clusters)), np.zeros((y.shape[1], clusters))
+    spare = np.empty((2, high, wide))
+    kinds = np.arange(clusters)
+    for at in range(0, x.shape[1], high):
+        left = x[:, at : at + high]
+        in_x = (own_x[at : at + high] == kinds[:, None]).astype(np.float64)
+        for to in range(0, y.shape[1], wide):
+            right = y[:, to : to + wide]
+            far, step = spare[:, : left.shape[1], : right.shape[1]]
+            far[:] = 0.0
+            for a, b in zip(left, right):
+                np.subtract(a[:, None], b, out=step)
+                np.multiply(step, step, out=step)
+                np.add(far, step, out=far)
+            np.sqrt(far, out=far)
+            to_y[at : at + high] += far @ (own_y[to : to + wide, None] == kinds).astype(np.float64)
+            if both:
+                to_x[to : to + wide] += (in_x @ far).T
+    return to_y, to_x
+
+
+def silhouette_scores(sums: DataFrame, size: np.ndarray, parts: int) -> DataFrame:
+    """(s, n): each block's sum of the rows' scores, and its rows."""
+    shape = "block int, other int, own binary, sums binary"
+
+    def added(table: pa.Table) -> tuple:
+        order = np.argsort(table.column("other").to_numpy())
+        total = sum(np.frombuffer(table.column("sums")[int(i)].as_buffer()) for i in order)
+        return table.column("own").drop_null(), total, table.column("other")[int(order[0])].as_py()
+
+    def add(table: pa.Table) -> pa.Table:
+        own, total, other = added(table)
+        return pa.table({"block": table.column("block")[:1], "other": pa.array([other], pa.int32()), "own": pa.array([own[0].as_py() if len(own) else None], pa.binary()),
+                         "sums": pa.array([total.tobytes()], pa.binary())})
+
+    def score(table: pa.Table) -> pa.Table:
+        own, total, _ = added(table)
+        k = np.frombuffer(own[0].as_buffer(), np.int64)
+        far, each = total.reshape(len(k), -1).copy(), np.arange(len(k))
+        a = far[each, k] / np.maximum(size[k] - 1, 1)
+        far /= size
+        far[each, k] = np.inf
+        b = far.min(axis=1)
+        s = np.where((size[k] > 1) & (np.maximum(a, b) > 0), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+        return pa.table({"s": [float(s.sum())], "n": [len(k)]})
+
+    some = parts
+    while some > MERGED_SUMS:
+        some = -(-some // MERGED_SUMS)
+        sums = sums.groupBy("block", F.pmod(F.xxhash64("other"), F.lit(some))).applyInArrow(add, shape)
+    return sums.groupBy("block").applyInArrow(score, "s double, n long")
 
 
 def cluster_stats(clustered: DataFrame) -> DataFrame:

@@ -202,6 +202,34 @@ def test_exact_silhouette_matches_numpy_on_all_rows_and_on_a_sample(spark):
     assert PS.exact_silhouette(df.where("cluster = 1"), ["x", "y"]).first().silhouette is None
 
 
+def test_exact_silhouette_takes_all_rows_however_many(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame(rng.normal(size=(10_500, 2)), columns=["x", "y"])
+    pdf["cluster"] = np.where(pdf.x < 0, 3, 5)
+
+    def numpy_form(p):
+        v, own = p[["x", "y"]].to_numpy(), p["cluster"].to_numpy()
+        out = np.empty(len(v))
+        for at in range(0, len(v), 500):
+            d = np.sqrt(((v[at : at + 500, None] - v[None]) ** 2).sum(-1))
+            far = {c: d[:, own == c].sum(axis=1) for c in (3, 5)}
+            for i, c in enumerate(own[at : at + 500]):
+                a, b = far[c][i] / ((own == c).sum() - 1), far[8 - c][i] / (own == 8 - c).sum()
+                out[at + i] = (b - a) / max(a, b)
+        return out.mean()
+
+    r = PS.exact_silhouette(spark.createDataFrame(pdf), ["x", "y"]).first()
+    assert (r.n_rows, r.n_clusters) == (10_500, 2) and abs(r.silhouette - numpy_form(pdf)) < 1e-9
+    # many blocks, whose sums are added up in several steps
+    few = pdf[:300]
+    for name, value in (("SILHOUETTE_BLOCK", 30), ("SILHOUETTE_LEAST", 7), ("MERGED_SUMS", 2), ("DISTANCE_TILE", (5, 4))):
+        monkeypatch.setattr(PS, name, value)
+    r = PS.exact_silhouette(spark.createDataFrame(few).repartition(3), ["x", "y"]).first()
+    assert r.n_rows == 300 and abs(r.silhouette - numpy_form(few)) < 1e-9
+
+
 def test_sweep_rates_are_rounded_like_sparks(spark):
     """Ties of the shortest decimal go up, away from zero, with both ways of rounding."""
     import numpy as np
