@@ -54,6 +54,8 @@ BLOCK_CELLS, FEWER = 524_288, ((48, 65_536), (8, 4_096))
 PREDICTED_ROWS = 65_536
 #: Cells that a pass works on at once, bins of columns that are counted jointly, levels whose nodes are told apart one by one.
 CHUNK_CELLS, JOINT_BINS, MASKED_LEVELS = 65_536, 2_048, 6
+#: Along one input: the places of a tree's table at most, and sums of rows and turns held at once.
+STEP_PLACES, STEP_SUMS = 1 << 16, 1 << 20
 #: Rows of a cell and cells with as many rows from which on draws are looked up in a table.
 TABLE_ROWS, TABLE_CELLS = 4_096, 256
 #: Histograms that are added up at once, batches between checkpoints.
@@ -232,18 +234,88 @@ class Trees:
         """Predictions of every row at every point of a grid (rows x points).
 
         Some features move with the grid: ``moving`` has their values (rows x
-        points, or points alone), which must not fall along it. Down a tree, a
-        row carries the stretch of the grid that reaches a node; a cut on a
-        moving feature splits the stretch, another one sends it whole to one
-        side. Each leaf so reached adds its value where its stretch begins and
-        takes it off where it ends; the running sum is the step function. A row
-        costs as much as it reaches leaves, not points times trees.
+        points, or points alone), which must not fall along it. A cut on one of
+        them holds from some point on: its turn, which is the same for all rows
+        if the values are, and else the row's own. So a leaf adds its value to a
+        row, if the row's other features reach it, from the later of two turns
+        to the earlier of two others, each time a row's own and a common one.
+        Per tree, a table has these sums for all ways in which the other
+        features can fall (``_turning``); a row costs a look-up for each pair of
+        turns, and its own turns only count once, after all trees. Trees whose
+        table would be large are walked down (``_walk``).
         """
+        number = {self.features.index(f): v for f, v in moving.items()}
+        own = [j for j, v in number.items() if v.ndim == 2]
+        plan = self._turning({j: v for j, v in number.items() if v.ndim == 1}, own, len(grid)) if len(own) < 2 else None
+        if plan is None:
+            return self._walk(x, grid, number, range(len(self.cut)))
+        out = np.empty((len(x), len(grid)))
+        rows = max(256, STEP_SUMS // max(1, len(plan.pairs)))
+        for at in range(0, len(x), rows):
+            part = {j: v[at : at + rows] if v.ndim == 2 else v for j, v in number.items()}
+            out[at : at + rows] = self._turned(plan, x[at : at + rows], own, part, len(grid))
+            if plan.others:
+                out[at : at + rows] += self._walk(x[at : at + rows], grid, part, plan.others) - self.base
+        return out
+
+    def _turning(self, common: dict[int, np.ndarray], own: list[int], points: int) -> Turning:
+        """The tables of ``steps`` for features that move alike for all rows
+        (``common``) and at most one that moves by row."""
+        key = (tuple((j, v.tobytes()) for j, v in sorted(common.items())), tuple(own), points)
+        made = self.__dict__.setdefault("_tables", {})
+        if key not in made:
+            made[key] = turning_tables(self, common, own, points)
+        return made[key]
+
+    def _turned(self, plan: Turning, x: np.ndarray, own: list[int], moving: dict[int, np.ndarray], points: int) -> np.ndarray:
+        rows = len(x)
+        cuts, _ = self.binned()
+        codes = []
+        for group in plan.groups:
+            code = np.zeros(rows, np.intp)
+            for j in group:
+                code = code * (len(cuts[j]) + 1) + bins_of(np.ascontiguousarray(x[:, j]), cuts[j], np.intp)
+            codes.append(code)
+        sums = [np.zeros(rows) for _ in plan.pairs]
+        place, spare = np.empty((2, rows), np.intp)
+        held = np.empty((max([1, *[len(t[2]) for t in plan.trees]]), rows))
+        for looks, kinds, columns, table in plan.trees:
+            place[:] = 0
+            for i, look in looks:
+                look.take(codes[i], out=spare, mode="clip")
+                np.add(place, spare, out=place)
+            kinds.take(place, out=spare, mode="clip")
+            table.take(spare, axis=1, out=held[: len(columns)], mode="clip")
+            for column, values in zip(columns, held):
+                total = sums[column]
+                np.add(total, values, out=total)
+        # what is added from the later turn of each pair on
+        change = np.zeros((points + 1, rows))
+        change[0] = self.base
+        flat, each = change.reshape(-1), np.arange(rows)
+        mine = np.unique([cut for cut, _ in plan.pairs if cut > -np.inf])
+        if len(mine):
+            # the points whose value is above no more than so many of the cuts
+            below = bins_of(moving[own[0]].reshape(-1), mine, np.intp) + np.repeat(each * (len(mine) + 1), points)
+            turns = np.cumsum(np.bincount(below, minlength=rows * (len(mine) + 1)).reshape(rows, -1), axis=1).T * rows + each
+        for (cut, turn), value in zip(plan.pairs, sums):
+            if cut == -np.inf:
+                change[turn] += value
+            else:
+                flat[np.maximum(turns[np.searchsorted(mine, cut)], turn * rows + each)] += value
+        return np.cumsum(change[:points], axis=0).T
+
+    def _walk(self, x: np.ndarray, grid: np.ndarray, number: dict[int, np.ndarray], trees: Sequence[int]) -> np.ndarray:
+        """``steps`` of some trees, walked down: a row carries the stretch of the
+        grid that reaches a node; a cut on a moving feature splits the stretch,
+        another one sends it whole to one side. Each leaf so reached adds its
+        value where its stretch begins and takes it off where it ends; the
+        running sum is the step function. A row costs as much as it reaches
+        leaves, not points times trees."""
         rows, points = len(x), len(grid)
         width = points + 1
         change = np.zeros(rows * width)
         change[::width] = self.base
-        number = {self.features.index(f): v for f, v in moving.items()}
         columns = np.ascontiguousarray(x.T)
         turns: dict[tuple[int, float], np.ndarray] = {}
 
@@ -263,7 +335,8 @@ class Trees:
         inner = self.cut.shape[1]
         first = (np.arange(rows), np.zeros(rows, np.int64), np.full(rows, points))
         places, values = [], []
-        for n, (feature, cuts, leaf) in enumerate(zip(self.feature.tolist(), self.cut.tolist(), self.leaf)):
+        for n, t in enumerate(trees):
+            feature, cuts, leaf = self.feature[t].tolist(), self.cut[t].tolist(), self.leaf[t]
             todo = [(0, *first)]
             while todo:
                 node, who, begin, end = todo.pop()
@@ -286,12 +359,85 @@ class Trees:
                     right = columns[j].take(who) > cut
                     todo.append((2 * node + 1, *some(~right, who, begin, end)))
                     todo.append((2 * node + 2, *some(right, who, begin, end)))
-            if n % 16 == 15 or n == len(self.cut) - 1:
+            if n % 16 == 15 or n == len(trees) - 1:
                 change += np.bincount(np.concatenate(places), np.concatenate(values), len(change))
                 places, values = [], []
         return np.cumsum(change.reshape(rows, width)[:, :points], axis=1)
 
 
+@dataclass
+class Turning:
+    """The tables of ``Trees.steps``: groups of the still features that are
+    looked up jointly; the pairs of a row's own cut (-inf: none) and a common
+    turn; for each tree, what each group adds to a place, the kind of row at
+    each place, the tree's pairs, and their values for each kind. ``others``
+    are trees without a table."""
+    groups: list[list[int]]
+    pairs: list[tuple[float, int]]
+    trees: list[tuple]
+    others: list[int]
+
+
+def turning_tables(model: Trees, common: dict[int, np.ndarray], own: list[int], points: int) -> Turning:
+    cuts, places = model.binned()
+    widths = [len(c) + 1 for c in cuts]
+    still = [j for j in range(len(cuts)) if j not in common and j not in own and len(cuts[j])]
+    groups = [[still[i] for i in g] for g in joined_columns([widths[j] for j in still])]
+    # every bin of each feature in a group's joint code
+    bins = {}
+    for g in groups:
+        code = np.arange(math.prod(widths[j] for j in g))
+        for j in reversed(g):
+            code, bins[j] = np.divmod(code, widths[j])
+    pairs: dict[tuple[float, int], int] = {}
+    trees, others = [], []
+    for n, (feature, cut, place, leaf) in enumerate(zip(model.feature.tolist(), model.cut.tolist(), places.tolist(), model.leaf.tolist())):
+        inner = len(cut)
+        used = {j: sorted({place[i] for i in range(inner) if feature[i] == j and cut[i] < np.inf}) for j in still}
+        size = math.prod(len(u) + 1 for u in used.values())
+        if size > STEP_PLACES or len(leaf) > 64:
+            others.append(n)
+            continue
+        stride, looks, at = 1, [np.zeros(len(bins[g[0]]), np.intp) for g in groups], {}
+        for k, g in enumerate(groups):
+            for j in g:
+                if used[j]:
+                    # a bin is above the cuts whose places are below it
+                    looks[k] += np.searchsorted(used[j], bins[j]) * stride
+                    at[j] = np.arange(size) // stride % (len(used[j]) + 1)
+                    stride *= len(used[j]) + 1
+        # the leaves that each place reaches, and from which to which turns
+        reached, values = np.zeros(size, np.uint64), []
+        todo = [(0, np.ones(size, bool), -np.inf, np.inf, 0, points)]
+        while todo:
+            i, here, low, high, begin, end = todo.pop()
+            if low >= high or begin >= end or not here.any():
+                continue
+            if i >= inner:
+                reached[here] |= np.uint64(1 << len(values))
+                worth: dict[tuple[float, int], float] = {}
+                for c, t, v in ((low, begin, 1), (high, begin, -1), (low, end, -1), (high, end, 1)):
+                    if c < np.inf and t < points:  # others never turn
+                        worth[c, t] = v * leaf[i - inner]
+                values.append(worth)
+            elif cut[i] == np.inf:
+                todo.append((2 * i + 1, here, low, high, begin, end))
+            elif feature[i] in common:
+                turn = int(np.count_nonzero(~(common[feature[i]] > cut[i])))
+                todo += [(2 * i + 1, here, low, high, begin, min(end, turn)), (2 * i + 2, here, low, high, max(begin, turn), end)]
+            elif feature[i] in own:
+                todo += [(2 * i + 1, here, low, min(high, cut[i]), begin, end), (2 * i + 2, here, max(low, cut[i]), high, begin, end)]
+            else:
+                above = at[feature[i]] > used[feature[i]].index(place[i])
+                todo += [(2 * i + 1, here & ~above, low, high, begin, end), (2 * i + 2, here & above, low, high, begin, end)]
+        kinds, kind = np.unique(reached, return_inverse=True)
+        mine = sorted({pair for worth in values for pair in worth})
+        table = (kinds[:, None] >> np.arange(len(values), dtype=np.uint64) & np.uint64(1)).astype(np.float64) @ np.array([[w.get(pair, 0.0) for pair in mine] for w in values])
+        columns = [pairs.setdefault(pair, len(pairs)) for pair in mine]
+        trees.append(([(k, look) for k, look in enumerate(looks) if look.any()], kind.reshape(-1).astype(np.intp), columns, np.ascontiguousarray(table.T)))
+    return Turning(groups, list(pairs), trees, others)
+
+
 # ------------------------------------------------------------------ bins and cells
 def value_keys(x: np.ndarray) -> np.ndarray:
     """Log-linear keys in the order of the values."""

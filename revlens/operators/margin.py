@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -319,8 +319,8 @@ def discount_curve(model: MarginModel, params: MarginParams = MarginParams(), ro
     high = (grid > params.high_discount).astype(float)
     still = [c for c in FEATURES if c not in ("discount", "discount_x_quantity", "high_discount_flag_int")]
 
-    def curves(columns: tuple[pd.Series, ...]) -> np.ndarray:
-        given = dict(zip(still, (c.to_numpy(dtype=np.float64, na_value=np.nan) for c in columns)))
+    def curves(columns: tuple[pa.Array, ...]) -> np.ndarray:
+        given = dict(zip(still, (c.to_numpy(zero_copy_only=False).astype(np.float64) for c in columns)))
         out = np.empty((len(columns[0]), len(grid)))
         for at in range(0, len(out), 16_384):
             part = {c: v[at : at + 16_384] for c, v in given.items()}
@@ -336,14 +336,18 @@ def discount_curve(model: MarginModel, params: MarginParams = MarginParams(), ro
                 out[at + i] = trees.predict(full)
         return out
 
-    @F.pandas_udf("array<double>")
-    def curve(*columns: pd.Series) -> pd.Series:
-        return pd.Series(list(curves(columns)))
+    def listed(out: np.ndarray) -> pa.Array:
+        ends = np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)
+        return pa.ListArray.from_arrays(ends, np.ascontiguousarray(out).reshape(-1))
 
-    @F.pandas_udf("prediction array<double>, rate array<double>")
-    def both(*columns: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("array<double>")
+    def curve(*columns: pa.Array) -> pa.Array:
+        return listed(curves(columns))
+
+    @F.arrow_udf("prediction array<double>, rate array<double>")
+    def both(*columns: pa.Array) -> pa.Array:
         out = curves(columns)
-        return pd.DataFrame({"prediction": list(out), "rate": list(rounded_rates(out))})
+        return pa.StructArray.from_arrays([listed(out), listed(rounded_rates(out))], names=["prediction", "rate"])
 
     return (both if rounded else curve)(*[F.col(c).cast("double") for c in still])
 
@@ -479,9 +483,13 @@ def discount_sweep_model(model: "MarginModel", deals: DataFrame, params: MarginP
     swept = enc.drop("discount").withColumn("_curve", discount_curve(model, params, rounded=True))
     n = int(round(params.discount_max / params.discount_step))
     grid = F.lit([float(d) for d in np.round(np.arange(n + 1) * params.discount_step, 2)])
-    # the grid's discounts are rounded once, the rates with their curve
-    points = F.arrays_zip(F.col("_curve.prediction").alias("prediction"), grid.alias("discount"), F.col("_curve.rate").alias("predicted_margin_rate"))
-    return swept.select(*[F.col(f"`{c}`") for c in swept.columns if c != "_curve"], F.inline(points))
+    # the grid's discounts are rounded once, the rates with their curve; predictions are read by their
+    # place, so that they needn't be exploded where only the rates are wanted; the outer form, as Spark would
+    # make the curves once more to look for empty ones
+    kept = [F.col(f"`{c}`") for c in swept.columns if c != "_curve"]
+    points = swept.select(*kept, F.col("_curve.prediction").alias("_predictions"), F.posexplode_outer("_curve.rate").alias("_point", "predicted_margin_rate"))
+    at = F.col("_point")
+    return points.select(*kept, F.get("_predictions", at).alias("prediction"), F.get(grid, at).alias("discount"), "predicted_margin_rate")
 
 
 # Default what-if discount scenarios.

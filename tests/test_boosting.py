@@ -118,6 +118,31 @@ def test_steps_equal_separate_predictions(seed):
         assert np.allclose(got[:, i], TREES.predict(full), atol=1e-12)
 
 
+@pytest.mark.parametrize("places", [1 << 16, 30, 1])
+def test_steps_look_trees_up_where_tables_are_small(places, monkeypatch):
+    rng = np.random.default_rng(places)
+    trees = B.Trees.empty(NAMES, 0.25, 20, 5)
+    trees.feature[:] = rng.integers(0, 4, trees.feature.shape)
+    trees.cut[:] = np.where(rng.random(trees.cut.shape) < 0.9, np.round(rng.normal(2, 2, trees.cut.shape), 1), np.inf)
+    trees.leaf[:] = rng.normal(size=trees.leaf.shape)
+    for i in range(trees.cut.shape[1] // 2):  # a branch that ends has no cuts below
+        for child in (2 * i + 1, 2 * i + 2):
+            trees.cut[:, child] = np.where(trees.cut[:, i] == np.inf, np.inf, trees.cut[:, child])
+    monkeypatch.setattr(B, "STEP_PLACES", places)
+    monkeypatch.setattr(B, "STEP_SUMS", 1)  # more than one chunk of rows
+    walked, walk = [], B.Trees._walk
+    monkeypatch.setattr(B.Trees, "_walk", lambda self, x, grid, number, which: walked.append(len(which)) or walk(self, x, grid, number, which))
+    x, grid = rng.normal(1, 2, (600, 4)), np.round(np.arange(41) * 0.2, 2)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    along = grid * np.abs(rng.normal(0, 2, 600))[:, None]
+    got = trees.steps(x, grid, {"c": along, "d": (grid > 3).astype(float)})
+    assert not walked if places > 30 else 0 < max(walked) <= 20
+    for i, d in enumerate(grid):
+        full = x.copy()
+        full[:, 2], full[:, 3] = along[:, i], float(d > 3)
+        assert np.allclose(got[:, i], trees.predict(full), atol=1e-12)
+
+
 def test_value_keys_follow_the_values():
     rng = np.random.default_rng(2)
     x = np.sort(np.concatenate([rng.normal(size=500), rng.lognormal(0, 20, 500), -rng.lognormal(0, 20, 500), [0.0, -0.0, 1e-308, -1e-308]]))
